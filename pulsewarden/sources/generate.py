@@ -1,0 +1,139 @@
+"""Sample data made on the executors.
+
+Every random number is a hash of (seed, stream, row), so the data do not depend
+on how the rows are partitioned.
+"""
+
+from __future__ import annotations
+
+from math import pi
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from pulsewarden.schema import WIDE_METRICS
+
+
+def uniform(seed: int, stream: str, *row: Column) -> Column:
+    """Uniform number in (0, 1)."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), *row), 11)
+    return (h.cast("double") + 0.5) / float(1 << 53)
+
+
+def normal(seed: int, stream: str, scale: float, *row: Column) -> Column:
+    """Normal number by the Box–Muller transform."""
+    u, v = uniform(seed, stream + ":r", *row), uniform(seed, stream + ":a", *row)
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2 * pi * v) * scale
+
+
+def generate_metrics(servers: DataFrame, steps: int, step_minutes: int = 5, seed: int = 42,
+                     start: str = "2026-01-01 00:00:00", anomaly_rate: float = 0.03) -> DataFrame:
+    """Wide table of eight metrics per server on a regular grid.
+
+    Daily sine waves over a business-hours base, error counts by weekday, and
+    about three percent spiked rows.
+    """
+    day = 1440 // step_minutes
+    i, sid = F.col("i"), F.col("server_id")
+    ts = F.timestamp_micros(
+        F.unix_micros(F.lit(start).cast("timestamp")) + i * (step_minutes * 60_000_000)
+    )
+    df = (
+        servers.select("server_id")
+        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))))
+        .withColumn("timestamp", ts)
+    )
+    business = F.hour("timestamp").between(9, 17)
+    weekday = F.weekday("timestamp") < 5
+
+    def wave(phase: float = 0.0, speed: float = 1.0) -> Column:
+        return F.sin(2 * pi * speed * i / day + phase)
+
+    def noise(metric: str, scale: float) -> Column:
+        return normal(seed, metric, scale, sid, i)
+
+    spiked = uniform(seed, "spike", sid, i) < anomaly_rate
+    cpu = F.when(business, 55.0).otherwise(35.0) + 15 * wave() + noise("cpu", 5)
+    errors = -F.log(uniform(seed, "errors", sid, i)) * F.when(weekday, 0.3).otherwise(0.1)
+    cpu_seen = F.when(spiked, F.least(F.lit(100.0), cpu * (1.5 + uniform(seed, "cpu*", sid, i)))).otherwise(cpu)
+    errors_seen = F.when(spiked, errors * (5 + 15 * uniform(seed, "err*", sid, i))).otherwise(errors)
+    metrics = {
+        "cpu_usage": cpu_seen,
+        "memory_usage": F.least(F.lit(100.0), F.when(business, 65.0).otherwise(50.0) + 8 * wave(1) + noise("mem", 3)),
+        "disk_io_util": 15 + 10 * F.abs(wave(speed=2)) + noise("disk", 4),
+        "network_in": F.when(business, 80.0).otherwise(30.0) + 30 * wave(2) + noise("in", 10),
+        "network_out": F.when(business, 60.0).otherwise(20.0) + 20 * wave(3) + noise("out", 8),
+        "load_avg_5m": cpu / 25 + noise("load", 0.3),
+        "iowait": 3 + 2 * F.abs(wave()) + noise("iowait", 0.8),
+        "error_rate": errors_seen,
+    }
+    digits = {"error_rate": 4}
+    return df.select(
+        "timestamp", "server_id",
+        *[F.round(F.greatest(F.lit(0.0), metrics[m]), digits.get(m, 2)).alias(m) for m in WIDE_METRICS],
+    )
+
+
+def generate_training_matrix(rows: DataFrame, n: int, id_col: str = "id",
+                             anomaly_rate: float = 0.05, seed: int = 42) -> DataFrame:
+    """Eight correlated features per row id (0 … n−1) with injected anomalies.
+
+    A struck row is a spike, a drop or the start of a ramp over ten rows; a ramp
+    reaches later rows by a join on the row ids it touches, so no ordering of the
+    whole table is needed.
+    """
+    i = F.col(id_col)
+    t = i * (n / 288.0) / max(n - 1, 1)
+
+    def wave(phase: float = 0.0, speed: float = 1.0) -> Column:
+        return F.sin(2 * pi * speed * t + phase)
+
+    def noise(name: str, scale: float) -> Column:
+        return normal(seed, name, scale, i)
+
+    def between(lo: float, c: Column, hi: float) -> Column:
+        return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+
+    cpu = 40 + 20 * wave() + noise("cpu", 3)
+    base = {
+        "cpu_usage": between(0.0, cpu, 100.0),
+        "memory_usage": between(0.0, 60 + 10 * wave(1) + noise("mem", 2), 100.0),
+        "disk_io_util": between(0.0, 20 + 15 * wave(speed=2) + noise("disk", 4), 100.0),
+        "network_in": between(0.0, 100 + 50 * wave(2) + noise("in", 10), 1000.0),
+        "network_out": between(0.0, 80 + 30 * wave(3) + noise("out", 8), 500.0),
+        "load_avg_5m": between(0.0, cpu / 30 + noise("load", 0.5), 10.0),
+        "iowait": between(0.0, 5 + 3 * F.abs(wave()) + noise("iowait", 1), 50.0),
+        "error_rate": between(0.0, -0.5 * F.log(uniform(seed, "errors", i)), 20.0),
+    }
+    struck = uniform(seed, "hit", i) < anomaly_rate
+    kind = F.when(struck, F.floor(uniform(seed, "kind", i) * 3)).otherwise(-1)
+    df = rows.select(id_col).withColumn("_kind", kind).withColumns(base)
+
+    starts = df.filter(F.col("_kind") == 2).select(F.col(id_col).alias("_s"))
+    length = F.least(F.lit(10), n - F.col("_s"))
+    factors = (
+        starts.withColumn("_k", F.explode(F.sequence(F.lit(0), (length - 1).cast("int"))))
+        .withColumn("_f", F.when(length == 1, 1.0).otherwise(1.0 + F.col("_k") / (length - 1)))
+        .groupBy((F.col("_s") + F.col("_k")).alias(id_col))
+        .agg(F.product("_f").alias("_ramp"))
+    )
+    df = df.join(factors, id_col, "left")
+
+    def factor(name: str, lo: float, hi: float) -> Column:
+        return lo + (hi - lo) * uniform(seed, name, i)
+
+    def hit(metric: str, spike: bool, drop: bool) -> Column:
+        f = F.lit(1.0)
+        if spike:
+            f = F.when(F.col("_kind") == 0, factor(metric + "^", 1.5, 3.0)).otherwise(f)
+        if drop:
+            f = F.when(F.col("_kind") == 1, factor(metric + "v", 0.1, 0.4)).otherwise(f)
+        return f
+
+    out = df.withColumns({
+        "cpu_usage": F.col("cpu_usage") * hit("cpu", True, True) * F.coalesce("_ramp", F.lit(1.0)),
+        "memory_usage": F.col("memory_usage") * hit("mem", True, True),
+        "disk_io_util": F.col("disk_io_util") * hit("disk", True, False),
+    })
+    anomalous = (F.col("_kind") >= 0) | F.col("_ramp").isNotNull()
+    return out.select(id_col, *WIDE_METRICS, anomalous.alias("is_injected"))
