@@ -23,14 +23,14 @@ from pulsewarden.sources import exposition, generate, messages, responses, table
 _SHAPES_SQL = """
 m AS (SELECT event_id, ts, CASE event_id % 10
     WHEN 0 THEN '{"name":"' || event_type || '","value":' || value || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","server_id":"srv-' || user_id || '","labels":{"k":"v"},"type":"gauge"}'
-    WHEN 1 THEN '{"name":"' || event_type || '","value":"' || value || '","timestamp":' || CAST(epoch(ts) AS BIGINT) || ',"server_id":"srv-' || user_id || '"}'
+    WHEN 1 THEN '{"name":"' || event_type || '","value":"' || value || '","timestamp":' || (epoch_us(ts) // 1000000) || ',"server_id":"srv-' || user_id || '"}'
     WHEN 2 THEN '{"name":"' || event_type || '","value":' || value || ',"server_id":"srv-' || user_id || '","type":"counter"}'
     WHEN 3 THEN '{"name":"' || event_type || '","value":' || value || ',"timestamp":"not a time"}'
     WHEN 4 THEN '{"name":"' || event_type || '","value":"n/a","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}'
-    WHEN 5 THEN '{"value":' || value || ',"timestamp":' || CAST(epoch(ts) AS BIGINT) || '}'
+    WHEN 5 THEN '{"value":' || value || ',"timestamp":' || (epoch_us(ts) // 1000000) || '}'
     WHEN 6 THEN '{"name":"' || event_type || '","value":' || value || ',"timestamp":null,"type":"summary"}'
     WHEN 7 THEN 'event ' || event_id
-    WHEN 8 THEN '{"name":"' || event_type || '","value":' || value || ',"timestamp":' || CAST(epoch(ts) AS BIGINT) || '.5,"type":"histogram"}'
+    WHEN 8 THEN '{"name":"' || event_type || '","value":' || value || ',"timestamp":' || (epoch_us(ts) // 1000000) || '.5,"type":"histogram"}'
     ELSE '{"name":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}'
     END AS value FROM events)
 """
@@ -155,9 +155,9 @@ def src4(spark, sf_dir):
 @query("src5_range_matrix", """
     WITH k AS (SELECT *, unnest([0, 1, 2]) AS i FROM events WHERE event_type <> 'error')
     SELECT event_id, event_type AS name, 'srv-' || user_id AS server_id,
-           make_timestamp((1700000000 + 300 * i) * 1000000) AS timestamp, value + i AS value FROM k
+           make_timestamp((1700000000::BIGINT + 300 * i) * 1000000) AS timestamp, value + i AS value FROM k
     UNION ALL
-    SELECT event_id, event_type, 'unknown', make_timestamp((1700000000 + 300 * i) * 1000000), value
+    SELECT event_id, event_type, 'unknown', make_timestamp((1700000000::BIGINT + 300 * i) * 1000000), value
     FROM k WHERE i <> 1""")
 def src5(spark, sf_dir):
     def pairs(cells):
@@ -286,8 +286,8 @@ def _alerts(spark, sf_dir):
     return al.build_alerts(al.grade(verdicts(spark, sf_dir)), al.DEFAULTS.with_(dashboard_base="http://grafana:3000"))
 
 
-_TWO = "CAST(round(CAST({0} AS DECIMAL(18, 9)), 2) AS DECIMAL(18, 2))::VARCHAR"
-_ONE = "CAST(round(CAST({0} AS DECIMAL(18, 9)), 1) AS DECIMAL(18, 1))::VARCHAR"
+_TWO = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DECIMAL(18, 2))::VARCHAR"
+_ONE = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DECIMAL(18, 1))::VARCHAR"
 _SCORE = _TWO.format("anomaly_score")
 MESSAGE = f"""CASE WHEN is_predicted THEN '[PREDICTED] ' || metric_name || ' on ' || server_id || ' is forecast to reach anomalous levels within the prediction horizon (score: ' || {_SCORE} || ')'
     WHEN forecast IS NOT NULL THEN upper(severity) || ': ' || metric_name || ' on ' || server_id || ' at ' || {_ONE.format('actual')} || '% deviates from predicted normal of ' || {_ONE.format('forecast')} || '% (anomaly score: ' || {_SCORE} || ')'
@@ -300,7 +300,7 @@ ALERTS = GRADED.rstrip() + f""",
 a AS (SELECT *, 'alt_' || substr(sha256(concat_ws('|', server_id, metric_name, severity, epoch_us(timestamp)::VARCHAR, seq::VARCHAR)), 1, 12) AS alert_id,
              {MESSAGE} AS message, {ACTION} AS suggested_action,
              'http://grafana:3000/d/server-detail?var-server=' || server_id AS dashboard_url, {ISO} AS iso,
-             round(CAST(anomaly_score AS DECIMAL(18, 9)), 4)::DOUBLE AS score4 FROM g)
+             round(CAST(CAST(anomaly_score AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS score4 FROM g)
 """
 _HORIZON = """CASE WHEN is_predicted THEN '{"source":"holt_winters","values":[' || actual || '],"steps":1}' ELSE 'null' END"""
 _JSON = f"""'{{"alert_id":"' || alert_id || '","server_id":"' || server_id || '","metric_name":"' || metric_name || '","anomaly_score":' || score4 || ',"severity":"' || severity || '","is_predicted":' || is_predicted || ',"prediction_horizon":' || {_HORIZON} || ',"message":"' || message || '","suggested_action":"' || suggested_action || '","model_details":{{}},"dashboard_url":"' || dashboard_url || '","timestamp":"' || iso || '","correlation_id":"","acknowledged":false,"acknowledged_by":""}}'"""
