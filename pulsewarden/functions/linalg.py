@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -17,17 +17,16 @@ def second_moments(df: DataFrame, column: str, size: int, pivot: float = 0.0) ->
     """
     d = size + 1
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf[column].to_numpy()) - pivot
-                x = np.hstack([np.ones((len(x), 1)), x])
-                total += x.T @ x
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - pivot
+            x = np.hstack([np.ones((len(x), 1)), x])
+            total += x.T @ x
         if total[0, 0]:
-            yield pd.DataFrame({"place": np.arange(d * d), "v": total.ravel()})
+            yield pa.RecordBatch.from_pydict({"place": pa.array(range(d * d), pa.int32()), "v": total.ravel()})
 
-    sums = df.select(column).mapInPandas(partial, "place int, v double")
+    sums = df.select(column).mapInArrow(partial, "place int, v double")
     rows = sums.groupBy("place").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(d * d)
     for r in rows:

@@ -128,5 +128,6 @@ def z_score(df: DataFrame, value: str = "value") -> DataFrame:
     """Residual against ``forecast`` in units of ``resid_std``: score z/4, anomalous above .7."""
     out = df.withColumn("residual", F.abs(F.col(value) - F.col("forecast")))
     out = out.withColumn("z_score", F.when(F.col("resid_std") > 0, F.col("residual") / F.col("resid_std")))
-    score = F.coalesce(F.least(F.lit(1.0), F.col("z_score") / 4.0), F.lit(0.0))
+    # least() skips nulls, so an undefined z must be caught before it
+    score = F.when(F.col("z_score").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("z_score") / 4.0))
     return out.withColumn("anomaly_score", score).withColumn("is_anomaly", F.col("anomaly_score") > 0.7)

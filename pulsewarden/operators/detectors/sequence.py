@@ -6,10 +6,11 @@ them; the matrices are bounded by the window length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewarden.config import DEFAULTS
@@ -19,6 +20,7 @@ from pulsewarden.operators import ordering as o
 from pulsewarden.operators.detectors.base import Detector
 from pulsewarden.operators.percentiles import exact_percentile
 from pulsewarden.operators.rolling import sequences
+from pulsewarden.session import materialize
 
 
 def error_score(error: Column, threshold: Column) -> Column:
@@ -70,7 +72,7 @@ class SequenceReconstruction(Detector):
             "basis": basis.ravel().tolist(), "n_sequences": int(n),
         }
         errors = windows.select(self._error(params)(F.col("sequence")).alias("value"))
-        params["threshold"] = float(exact_percentile(errors, self.percentile).first()["percentile"])
+        params["threshold"] = float(exact_percentile(materialize(errors), self.percentile).first()["percentile"])
         self.model = df.sparkSession.createDataFrame(
             [params], "mean array<double>, scale array<double>, basis array<double>, n_sequences long, threshold double"
         )
@@ -81,13 +83,12 @@ class SequenceReconstruction(Detector):
         mean, scale = np.array(params["mean"]), np.array(params["scale"])
         basis = np.array(params["basis"]).reshape(len(mean), -1)
 
-        @F.pandas_udf("double")
-        def reconstruction_error(rows: pd.Series) -> pd.Series:
-            if not len(rows):
-                return pd.Series([], dtype=float)
-            z = (np.vstack(rows.to_numpy()) - mean) / scale
+        @F.arrow_udf("double")
+        def reconstruction_error(rows: pa.Array) -> pa.Array:
+            values = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean))
+            z = (values - mean) / scale
             rest = z - (z @ basis) @ basis.T
-            return pd.Series((rest * rest).mean(axis=1))
+            return pa.array((rest * rest).mean(axis=1))
 
         return reconstruction_error
 

@@ -78,6 +78,7 @@ def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str], le: str
 
 def align_steps(points: DataFrame, step: str = "300 seconds") -> DataFrame:
     """Last value of each series in each step, stamped with the step's start."""
-    return points.groupBy("server_id", "name", F.window("timestamp", step).start.alias("step")).agg(
+    last = points.groupBy("server_id", "name", F.window("timestamp", step).alias("_w")).agg(
         F.max_by("value", F.struct("timestamp", "seq")).alias("value")
     )
+    return last.select("server_id", "name", F.col("_w.start").alias("step"), "value")

@@ -80,8 +80,9 @@ def al3(spark, sf_dir):
                     "message", "suggested_action", "is_predicted", ntz("timestamp").alias("timestamp"))
 
 
-@query("al4_process_detections", f"""WITH RECURSIVE {GRADED}, {_fold_sql('g', 30, 50)}, k AS (SELECT g.* FROM g JOIN f USING (server_id, metric_name, severity, seq) WHERE f.emitted)
-    SELECT severity, unnest(['webhook', 'slack', 'pagerduty', 'email']) AS channel, count(*) AS n_payloads FROM k GROUP BY ALL""")
+@query("al4_process_detections", f"""WITH RECURSIVE {GRADED}, {_fold_sql('g', 30, 50)}, k AS (SELECT g.* FROM g JOIN f USING (server_id, metric_name, severity, seq) WHERE f.emitted),
+    r AS (SELECT severity, unnest(['webhook', 'slack', 'pagerduty', 'email']) AS channel FROM k)
+    SELECT severity, channel, count(*) AS n_payloads FROM r GROUP BY ALL""")
 def al4(spark, sf_dir):
     a = al.evaluate(verdicts(spark, sf_dir))
     routed = ch.route_alerts(a, _channels())

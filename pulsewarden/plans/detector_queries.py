@@ -11,6 +11,7 @@ from pulsewarden.operators.detectors.iforest import IsolationForest
 from pulsewarden.operators.detectors.sequence import SequenceForecaster, SequenceReconstruction, error_score
 from pulsewarden.plans.catalog import POINTS, ntz, points, query, r6, sql6, table
 from pulsewarden.plans.scalar_queries import MODELS, hour_models
+from pulsewarden.session import materialize
 from pulsewarden.sinks.stores import report_rows
 
 LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -46,7 +47,8 @@ def if2(spark, sf_dir):
 def if2_features(spark, sf_dir):
     names = ["click", "error", "purchase", "signup", "view"]
     feats = rolling.rolling_features(points(spark, sf_dir), (1, 5))
-    rows = rolling.feature_table(feats, names, "1 hour", (1, 5)).withColumn("id", F.xxhash64("server_id", "step"))
+    # training reads the feature table several times, so it is written once
+    rows = materialize(rolling.feature_table(feats, names, "1 hour", (1, 5)).withColumn("id", F.xxhash64("server_id", "step")))
     f = IsolationForest(None, "id")
     f.train(rows)
     return f.score(rows).select("server_id", ntz("step").alias("step"), r6("anomaly_score").alias("anomaly_score"), "is_anomaly")

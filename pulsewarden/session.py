@@ -46,3 +46,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/pulsewarden/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table too small to fill the cores.
+
+    For work that costs much per row. A table of at least one full split per core
+    keeps its own splits and is not moved; nor is a stream.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = 128 << 20
+    return df.repartition(cores) if int(str(size)) < cores * split else df

@@ -93,7 +93,11 @@ def retain(points: DataFrame, now, days: int = DEFAULTS.retention_days) -> DataF
 
 
 def downsample(points: DataFrame, step: str = DEFAULTS.downsample) -> DataFrame:
-    return points.groupBy("server_id", "name", F.window("timestamp", step).start.alias("step")).agg(
+    # grouped by the window itself, which carries a stream's watermark
+    per = points.groupBy("server_id", "name", F.window("timestamp", step).alias("_w")).agg(
         F.avg("value").alias("avg_value"), F.min("value").alias("min_value"),
         F.max("value").alias("max_value"), F.count("value").alias("n_points"),
     )
+    return per.withColumn("step", F.col("_w.start")).select(
+        "server_id", "name", "step", "avg_value", "min_value", "max_value", "n_points"
+    )

@@ -19,7 +19,10 @@ def parse_metric_messages(df: DataFrame, value_col: str = "value",
     arrival = ingest_ts if ingest_ts is not None else F.current_timestamp()
     keep = [c for c in df.columns if c != value_col]
     v = F.col("_v")
-    df = df.withColumn("_raw", F.col(value_col).cast("string")).withColumn("_v", F.try_parse_json("_raw"))
+    df = df.withColumn("_raw", F.col(value_col).cast("string"))
+    # as a generated column the document is parsed once: filters on what was read
+    # from it are not pushed below the parser and repeated there
+    df = df.withColumn("_v", F.explode(F.array(F.try_parse_json("_raw"))))
 
     kind = F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant"))
     text_ts = F.try_to_timestamp(F.try_variant_get(v, "$.timestamp", "string"))
