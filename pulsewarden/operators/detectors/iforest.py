@@ -178,7 +178,8 @@ class IsolationForest(Detector):
             values = vectors.flatten().to_numpy(zero_copy_only=False)
             return pa.array(forest.depth_score(values.reshape(len(vectors), -1)) if len(vectors) else [], pa.float64())
 
-        return depth_score
+        # marked so that a filter on the score does not run the trees a second time
+        return depth_score.asNondeterministic()
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``raw_score`` (negative = anomalous), ``anomaly_score`` and ``is_anomaly``.

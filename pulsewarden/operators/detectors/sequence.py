@@ -90,7 +90,7 @@ class SequenceReconstruction(Detector):
             rest = z - (z @ basis) @ basis.T
             return pa.array((rest * rest).mean(axis=1))
 
-        return reconstruction_error
+        return reconstruction_error.asNondeterministic()
 
     def score(self, df: DataFrame) -> DataFrame:
         params = self.model.first().asDict()

@@ -52,7 +52,10 @@ def with_bins(values: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
 
 
 def psi_of_counts(ref: Column, now: Column, width: Column) -> Column:
-    """Stability index of two count arrays: smoothed densities, rescaled to one, compared."""
+    """Stability index of two count arrays: smoothed densities, rescaled to one, compared.
+
+    NaN when no current value fell into a bin, which grades as significant drift.
+    """
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
@@ -62,7 +65,8 @@ def psi_of_counts(ref: Column, now: Column, width: Column) -> Column:
             counts, lambda n: F.coalesce(F.try_divide(n, t * width), F.lit(0.0)) + EPS))
         return bind(smooth, lambda d: bind(total(d), lambda t: F.transform(d, lambda v: v / t)))
 
-    return total(F.zip_with(shares(ref), shares(now), lambda r, c: (c - r) * F.ln(c / r)))
+    index = total(F.zip_with(shares(ref), shares(now), lambda r, c: (c - r) * F.ln(c / r)))
+    return F.when(total(now) > 0, index).otherwise(float("nan"))
 
 
 def reference_arrays(reference: DataFrame) -> DataFrame:

@@ -61,7 +61,9 @@ def score_features(features: DataFrame, detector: Detector, names: Sequence[str]
 
     Stateless, so the same call serves batches and streams.
     """
-    rows = features.withColumn("vector", s.map_vector(F.col("features"), names))
+    # generated rather than projected: the scorer needs rows in Spark's binary form,
+    # which a stateful operator's output is not
+    rows = features.withColumn("vector", F.explode(F.array(s.map_vector(F.col("features"), names))))
     scored = detector.score(rows)
     return scored.filter(s.dispatch_gate(F.col("is_anomaly"), F.col("anomaly_score"))).select(
         "server_id", F.lit("unknown").alias("metric_name"), "timestamp",
