@@ -9,11 +9,12 @@ from math import ceil
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from pulsewarden.config import DEFAULT_ACTION, DEFAULTS, SUGGESTED_ACTIONS, Settings
 from pulsewarden.functions import scalars as s
+from pulsewarden.operators.ordering import first_per_key
 from pulsewarden.schema import HORIZON_TYPE
+from pulsewarden.session import sized
 
 ALERT_KEY = ("server_id", "metric_name", "severity")
 HOUR = 3_600_000_000
@@ -125,7 +126,7 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
     ts = F.unix_micros(order[0])
     if cooldown_minutes <= 0:
         hour = candidates.withColumn("_hour", F.floor(ts / HOUR))
-        return _first_n(hour, max_per_hour, [*keys, "_hour"], order).drop("_hour")
+        return first_per_key(hour, max_per_hour, [*keys, "_hour"], [F.col(c) for c in order]).drop("_hour")
 
     cooldown = int(cooldown_minutes * 60_000_000)
     cap = max_per_hour if cap_can_bind(cooldown_minutes, max_per_hour) else None
@@ -150,15 +151,6 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
     return one.select(*keys, "_r.*").select(*candidates.columns)
 
 
-def _first_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
-    first = salted.withColumn("_r", inner).filter(F.col("_r") <= n).drop("_r", "_salt")
-    outer = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return first.withColumn("_r", outer).filter(F.col("_r") <= n).drop("_r")
-
-
 def _column(df: DataFrame, name: str, dtype) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
@@ -234,7 +226,7 @@ def match_rules(df: DataFrame, rules: Sequence[AlertRule], metric: str = "metric
     ])
     names = df.select(metric).distinct()
     matched = names.select(metric, F.inline(candidates)).filter("fits").drop("fits")
-    return df.join(matched, metric)
+    return df.join(sized(matched), metric)
 
 
 def apply_rules(detections: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:

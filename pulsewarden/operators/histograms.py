@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.scalars import bind, nan_to_num
+from pulsewarden.session import sized
 
 EPS = 1e-6
 
@@ -32,7 +33,7 @@ def set_reference(df: DataFrame, bins: int = 10) -> DataFrame:
     of one. Empty bins have n = 0.
     """
     values = _values(df)
-    edges = _edges(values)
+    edges = sized(_edges(values))
     counted = with_bins(values, edges, bins).groupBy("name", "lo", "hi").agg(bin_counts(bins).alias("_n"))
     return counted.select("name", F.posexplode("_n").alias("bin", "n"), "lo", "hi").select(
         "name", "bin", "lo", "hi", "n"
@@ -83,7 +84,7 @@ def psi(current: DataFrame, reference: DataFrame, bins: int = 10) -> DataFrame:
     Current values outside the reference range are not counted. One pass over the
     current values, combined on the map side.
     """
-    ref = reference_arrays(reference)
+    ref = sized(reference_arrays(reference))
     binned = with_bins(_values(current), ref.select("name", "lo", "hi"), bins)
     now = binned.groupBy("name").agg(bin_counts(bins).alias("now"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -118,4 +119,4 @@ def psi_or_zero(current: DataFrame, reference: DataFrame, bins: int = 10) -> Dat
 def check_buffer(features: DataFrame, reference: DataFrame, min_rows: int = 10, **kw) -> DataFrame:
     """Drift of the buffered features ``(server_id, step, name, value)``; fewer than ``min_rows`` rows give nothing."""
     enough = features.groupBy("name").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
-    return check_drift(features.join(enough.select("name"), "name", "left_semi"), reference, **kw)
+    return check_drift(features.join(sized(enough.select("name")), "name", "left_semi"), reference, **kw)

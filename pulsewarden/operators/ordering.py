@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from pulsewarden.session import materialize
@@ -35,9 +35,12 @@ def ordered(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = OR
     partitioning; the only broadcast table has one row per partition.
     """
     cols = [*keys, *order]
+    # the scan position splits even a long run of equal rows
     placed = materialize(
-        df.repartitionByRange(*cols)
+        df.withColumn("_scan", F.monotonically_increasing_id())
+        .repartitionByRange(*cols, "_scan")
         .sortWithinPartitions(*cols)
+        .drop("_scan")
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     part = F.shiftright("_mid", _PLACE_BITS)
@@ -98,24 +101,30 @@ def home(df: DataFrame) -> DataFrame:
     return df.filter(HOME).drop(CHUNK, HOME, POS)
 
 
-def newest(
-    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], rank: str | None = None
+def first_per_key(
+    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column], rank: str | None = None
 ) -> DataFrame:
-    """The newest ``n`` rows of each key, in two stages so no key meets in one task.
+    """The first ``n`` rows of each key, so that no key meets in one task.
 
-    Rows are first ranked inside (key, salt), which leaves at most n rows per
-    salt, then inside the key. For small ``n`` Spark also prunes each map task's
-    output before the shuffle.
+    Each map task already drops what cannot be among the first n (raising Spark's
+    limit for that if needed). What is left is ranked per key and salt, and only the
+    survivors per key. The salt is the input split, so a task holds one salt.
     """
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    desc = [F.col(c).desc() for c in order]
-    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    first = (
-        salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*desc)))
-        .filter(F.col("_r") <= n)
-        .drop("_r", "_salt")
-    )
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < n:
+        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(n))
+    salts = int(conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    kept = salted.withColumn("_r", inner).filter(F.col("_r") <= n).drop("_r", "_salt")
     name = rank or "_r"
-    out = first.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*desc)))
-    out = out.filter(F.col(name) <= n)
+    outer = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    out = kept.withColumn(name, outer).filter(F.col(name) <= n)
     return out if rank else out.drop(name)
+
+
+def newest(
+    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], rank: str | None = None
+) -> DataFrame:
+    """The newest ``n`` rows of each key; ``rank`` names a column counting from the newest."""
+    return first_per_key(df, n, keys, [F.col(c).desc() for c in order], rank)

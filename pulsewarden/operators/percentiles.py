@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from pulsewarden.session import sized
+
 BINS = 4096
 
 
@@ -18,17 +20,19 @@ def exact_percentile(df: DataFrame, q: float, value: str = "value",
     wanted order statistics are counted by value. Both counts are combined on the
     map side, so repeated values and large groups cost nothing extra. One extra
     level of bins keeps the last step small for heavily clustered data.
+
+    Reads ``df`` several times. What travels to the rows between the steps has at
+    most two rows per key.
     """
+    x = F.col(value).cast("double")
+    key_cols = [F.col(k) for k in keys] or [F.isnan(x).cast("int").alias("_all")]
     keys = list(keys) or ["_all"]
-    rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_x")).filter(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
-    )
+    rows = df.select(*key_cols, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     span = rows.groupBy(*keys).agg(
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n")
     )
     rank = (F.col("_n") - 1) * (q / 100.0)
-    span = span.withColumn("_k0", F.floor(rank)).withColumn("_k1", F.ceil(rank)).withColumn("_w", rank - F.floor(rank))
+    span = sized(span.withColumns({"_k0": F.floor(rank), "_k1": F.ceil(rank), "_w": rank - F.floor(rank)}))
 
     width = (F.col("_hi") - F.col("_lo")) / BINS
     first = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(0)
@@ -47,15 +51,15 @@ def exact_percentile(df: DataFrame, q: float, value: str = "value",
         return c.filter((F.col("_ahead") <= F.col("_k1")) & (end > F.col("_k0")))
 
     carry = ["_k0", "_k1", "_w"]
-    level1 = wanted(
+    level1 = sized(wanted(
         binned.groupBy(*keys, *carry, "_b1").agg(F.count("*").alias("_c")).withColumn("_base", F.lit(0).cast("bigint")),
         keys, ["_b1"],
-    ).select(*keys, "_b1", F.col("_ahead").alias("_base"))
+    ).select(*keys, "_b1", F.col("_ahead").alias("_base")))
     inside1 = binned.join(level1, [*keys, "_b1"])
-    level2 = wanted(
+    level2 = sized(wanted(
         inside1.groupBy(*keys, *carry, "_b1", "_b2").agg(F.count("*").alias("_c"), F.first("_base").alias("_base")),
         [*keys, "_b1"], ["_b2"],
-    ).select(*keys, "_b1", "_b2", F.col("_ahead").alias("_base"))
+    ).select(*keys, "_b1", "_b2", F.col("_ahead").alias("_base")))
     inside2 = binned.join(level2, [*keys, "_b1", "_b2"])
     picked = wanted(
         inside2.groupBy(*keys, *carry, "_b1", "_b2", "_x").agg(F.count("*").alias("_c"), F.first("_base").alias("_base")),

@@ -200,10 +200,10 @@ def latest_features(features: DataFrame, names: Sequence[str]) -> DataFrame:
     Undefined features are left out, as a dictionary without the key would.
     """
     last = features.groupBy("server_id", "name").agg(
-        *[F.max_by(n, F.struct("timestamp", "seq")).alias(n) for n in names]
+        F.max_by(F.struct(*names), F.struct("timestamp", "seq")).alias("f")
     )
     pairs = F.array(*[
-        F.struct(F.format_string(f"%s_{n}", "name").alias("feature"), F.col(n).alias("feature_value"))
+        F.struct(F.format_string(f"%s_{n}", "name").alias("feature"), F.col(f"f.{n}").alias("feature_value"))
         for n in names
     ])
     return last.select("server_id", F.inline(pairs)).filter(F.col("feature_value").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(app: str = "pulsewarden", master: str | None = None, **conf) -> SparkSession:
@@ -48,6 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Write a reduced table and broadcast it if it has at most ``max_rows`` rows.
+
+    Before it has run, Spark can only guess an aggregate's size from its input, and
+    would shuffle the large side of a join with it. A larger table is joined by key.
+    """
+    table = materialize(df)
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out the rows of a table too small to fill the cores.
 

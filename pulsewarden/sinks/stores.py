@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsewarden.config import DEFAULTS
+from pulsewarden.session import materialize
 
 
 # ---- models ------------------------------------------------------------------
@@ -56,14 +57,20 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
 
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append the alerts that are not stored yet, so a repeated batch adds nothing."""
+    """Append the alerts that are not stored yet, so a repeated batch adds nothing.
+
+    Only the stored dates the batch touches are read.
+    """
     spark = alerts.sparkSession
-    rows = alert_rows(alerts)
+    rows = materialize(alert_rows(alerts))
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(fs_path):
-        stored = spark.read.parquet(path).select("alert_id", "alert_date")
-        rows = rows.join(stored, ["alert_id", "alert_date"], "left_anti")
+        days = rows.agg(F.min("alert_date"), F.max("alert_date")).first()
+        if days[0] is None:
+            return
+        stored = spark.read.parquet(path).filter(F.col("alert_date").between(*days))
+        rows = rows.join(stored.select("alert_id", "alert_date"), ["alert_id", "alert_date"], "left_anti")
     rows.write.mode("append").partitionBy("alert_date").parquet(path)
 
 

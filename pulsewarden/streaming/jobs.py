@@ -16,7 +16,9 @@ from pulsewarden.functions import scalars as s
 from pulsewarden.operators import alerts as al, histograms as dr
 from pulsewarden.operators.detectors.base import Detector
 from pulsewarden.schema import ALERT_SCHEMA
+from pulsewarden.session import materialize, sized
 from pulsewarden.sinks import stores
+from pulsewarden.sources.messages import split_bad_records
 from pulsewarden.streaming.stateful import stream_features, stream_suppress
 
 
@@ -35,9 +37,6 @@ def write_split(parsed: DataFrame, good_path: str, bad_path: str, checkpoint: st
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        from pulsewarden.sources.messages import split_bad_records
-        from pulsewarden.session import materialize
-
         good, bad = split_bad_records(materialize(batch))
         good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
@@ -105,7 +104,7 @@ def stream_drift(points: DataFrame, reference: DataFrame, window: str = "1 hour"
 
     State is one row of bin counts per open window and name.
     """
-    ref = dr.reference_arrays(reference)
+    ref = sized(dr.reference_arrays(reference))
     rows = points.withWatermark("timestamp", watermark).select("name", "timestamp", s.nan_to_num(F.col("value")).alias("_x"))
     binned = dr.with_bins(rows, ref, bins)
     now = binned.groupBy("name", F.window("timestamp", window).alias("w"), "lo", "hi", "ref").agg(
