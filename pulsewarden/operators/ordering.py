@@ -24,19 +24,29 @@ CHUNK = "_chunk"
 HOME = "_home"
 POS = "_g"
 
+PARTITION_ROWS = 20_000
+
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in the low 33 bits
 
 
 def ordered(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """Add ``_g``, the row's place (0, 1, 2 …) in the global (keys, order) sort.
 
-    Rows of one key are contiguous in ``_g``. The range-partitioned rows are
-    written once, so that the partition sizes and the rows come from the same
-    partitioning; the only broadcast table has one row per partition.
+    Rows of one key are contiguous in ``_g``.
+    """
+    return _placed(df, keys, order)[0]
+
+
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows with their place, and how many there are.
+
+    The range-partitioned rows are written once, so that the partition sizes and the
+    rows come from the same partitioning. Only the sizes, one number per partition,
+    pass through the driver.
     """
     cols = [*keys, *order]
     # the scan position splits even a long run of equal rows
-    placed = materialize(
+    written = materialize(
         df.withColumn("_scan", F.monotonically_increasing_id())
         .repartitionByRange(*cols, "_scan")
         .sortWithinPartitions(*cols)
@@ -44,16 +54,20 @@ def ordered(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = OR
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     part = F.shiftright("_mid", _PLACE_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    sizes = sorted(written.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["p"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
     place = F.col("_mid").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
+    rows = (
+        written.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
         .withColumn(POS, F.col("_start") + place)
         .drop("_part", "_start", "_mid")
     )
+    return rows, total
 
 
 def chunked(
@@ -69,12 +83,14 @@ def chunked(
     Evaluate windows over ``chunk_window(keys)`` and keep only ``_home`` rows.
     """
     size = max(chunk_rows, 4 * (before + after) + 1)
-    rows = ordered(df, keys, order)
+    rows, total = _placed(df, keys, order)
     chunk = F.floor(F.col(POS) / size)
     place = F.col(POS) % size
-    # A fixed number of partitions: window work per byte is high, so small
-    # partitions must not be coalesced.
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Window work per byte is high, so the number of partitions follows the rows and
+    # is fixed: coalescing by bytes would leave too few.
+    spark = df.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(min(wide, -(-total // PARTITION_ROWS)), min(wide, spark.sparkContext.defaultParallelism))
     targets = F.filter(
         F.array(
             F.lit(0),

@@ -83,6 +83,12 @@ def ag8(spark, sf_dir):
     return d.select("name", r6("percentile").alias("percentile"))
 
 
+@query("ag8_percentile_binned", f"WITH {POINTS} SELECT name, {sql6('quantile_cont(value, 0.95)')} AS percentile FROM p GROUP BY name")
+def ag8_binned(spark, sf_dir):
+    d = exact_percentile(points(spark, sf_dir), 95.0, "value", ["name"], direct_rows=0)
+    return d.select("name", r6("percentile").alias("percentile"))
+
+
 @query("ag8_percentile_all", f"SELECT {sql6('quantile_cont(l_extendedprice, 0.05)')} AS percentile FROM lineitem")
 def ag8_all(spark, sf_dir):
     d = exact_percentile(table(spark, sf_dir, "lineitem"), 5.0, "l_extendedprice")

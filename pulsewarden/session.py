@@ -55,7 +55,7 @@ def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     would shuffle the large side of a join with it. A larger table is joined by key.
     """
     table = materialize(df)
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+    return F.broadcast(table) if table.count() <= max_rows else table
 
 
 def spread(df: DataFrame) -> DataFrame:

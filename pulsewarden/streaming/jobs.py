@@ -118,6 +118,7 @@ def stream_drift(points: DataFrame, reference: DataFrame, window: str = "1 hour"
 
 def train_when_ready(features: DataFrame, detector: Detector, min_samples: int = DEFAULTS.min_samples) -> DataFrame | None:
     """Train once the feature table holds ``min_samples`` rows; repeating is the scheduler's part."""
-    if features.limit(min_samples).count() < min_samples:
+    # take() stops reading as soon as it has enough rows
+    if len(features.select(F.lit(1)).take(min_samples)) < min_samples:
         return None
     return detector.train(features)
