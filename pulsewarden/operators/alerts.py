@@ -14,7 +14,7 @@ from pulsewarden.config import DEFAULT_ACTION, DEFAULTS, SUGGESTED_ACTIONS, Sett
 from pulsewarden.functions import scalars as s
 from pulsewarden.operators.ordering import first_per_key
 from pulsewarden.schema import HORIZON_TYPE
-from pulsewarden.session import sized
+from pulsewarden.session import materialize, sized
 
 ALERT_KEY = ("server_id", "metric_name", "severity")
 HOUR = 3_600_000_000
@@ -132,8 +132,14 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
     cap = max_per_hour if cap_can_bind(cooldown_minutes, max_per_hour) else None
     block = ceil(max(24 * HOUR, 24 * cooldown) / HOUR) * HOUR
     key_ddl = ", ".join(f"`{k}` string" for k in keys)
-    at = candidates.select(*[F.col(k).cast("string").alias(k) for k in keys], ts.alias("_us")).distinct()
-    blocks = at.groupBy(*keys, F.floor(F.col("_us") / block).alias("block")).agg(
+    # of several candidates at one instant the first may be sent; the others are
+    # gone before the shuffle, so a run of copies costs nothing after it
+    rest = [c for c in candidates.columns if c not in keys]
+    first = materialize(
+        candidates.withColumn("_us", ts).withColumns({k: F.col(k).cast("string") for k in keys})
+        .groupBy(*keys, "_us").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    )
+    blocks = first.groupBy(*keys, F.floor(F.col("_us") / block).alias("block")).agg(
         F.sort_array(F.collect_list("_us")).alias("times")
     )
     tables = blocks.mapInPandas(
@@ -144,11 +150,7 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
     sent = blocks.join(starts, [*keys, "block"]).mapInPandas(
         _sent_in_block(cooldown, cap), f"{key_ddl}, block bigint, sent array<bigint>"
     ).select(*keys, F.explode("sent").alias("_us"))
-    passed = candidates.withColumn("_us", ts).join(sent, [*keys, "_us"], "left_semi")
-    # of several candidates at one instant the first is sent
-    rest = [c for c in candidates.columns if c not in keys]
-    one = passed.groupBy(*keys, "_us").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return one.select(*keys, "_r.*").select(*candidates.columns)
+    return first.join(sent, [*keys, "_us"], "left_semi").select(*keys, "_r.*").select(*candidates.columns)
 
 
 def _column(df: DataFrame, name: str, dtype) -> Column:
@@ -190,6 +192,17 @@ def build_alerts(graded: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def attribute_metric(verdicts: DataFrame, scores: DataFrame, obs: Sequence[str] = ("obs",)) -> DataFrame:
+    """Name each verdict's metric: the one with the highest score of its own.
+
+    ``scores`` has the observation, ``name`` and ``score``; without any the metric is
+    ``unknown``.
+    """
+    top = scores.groupBy(*obs).agg(F.max_by("name", F.struct("score", "name")).alias("metric_name"))
+    named = verdicts.drop("metric_name").join(top, list(obs), "left")
+    return named.withColumn("metric_name", F.coalesce("metric_name", F.lit("unknown")))
+
+
 def evaluate(detections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Gate, suppress and describe: the alerts of a batch of detections."""
     passed = suppress(grade(detections, settings), settings.cooldown_minutes, settings.max_alerts_per_hour)

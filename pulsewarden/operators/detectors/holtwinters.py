@@ -94,7 +94,7 @@ class HoltWinters(Detector):
         types = dict(df.dtypes)
         key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
         rows = df.select(*keys, *order, nan_to_num(F.col(self.value)).alias("_y"))
-        buffer = newest(rows, self.history, keys, order)
+        buffer = newest(rows, self.history, keys, order, keep_apart=True)
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(order)

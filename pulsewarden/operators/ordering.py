@@ -118,13 +118,17 @@ def home(df: DataFrame) -> DataFrame:
 
 
 def first_per_key(
-    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column], rank: str | None = None
+    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column], rank: str | None = None,
+    keep_apart: bool = False,
 ) -> DataFrame:
     """The first ``n`` rows of each key, so that no key meets in one task.
 
     Each map task already drops what cannot be among the first n (raising Spark's
     limit for that if needed). What is left is ranked per key and salt, and only the
     survivors per key. The salt is the input split, so a task holds one salt.
+
+    ``keep_apart`` fixes the number of partitions for costly work per key: coalescing
+    by bytes would put many keys in one task.
     """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < n:
@@ -133,6 +137,8 @@ def first_per_key(
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
     kept = salted.withColumn("_r", inner).filter(F.col("_r") <= n).drop("_r", "_salt")
+    if keep_apart:
+        kept = kept.repartition(salts, *keys)
     name = rank or "_r"
     outer = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     out = kept.withColumn(name, outer).filter(F.col(name) <= n)
@@ -140,7 +146,8 @@ def first_per_key(
 
 
 def newest(
-    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], rank: str | None = None
+    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], rank: str | None = None,
+    keep_apart: bool = False,
 ) -> DataFrame:
     """The newest ``n`` rows of each key; ``rank`` names a column counting from the newest."""
-    return first_per_key(df, n, keys, [F.col(c).desc() for c in order], rank)
+    return first_per_key(df, n, keys, [F.col(c).desc() for c in order], rank, keep_apart)

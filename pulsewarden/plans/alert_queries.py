@@ -102,3 +102,15 @@ def al5(spark, sf_dir):
 def al7(spark, sf_dir):
     alerts = al.build_alerts(al.grade(verdicts(spark, sf_dir)))
     return al.dedupe_for_paging(alerts, 360).select("dedup_key", ntz("slot").alias("slot"), "seq")
+
+
+@query("al3_metric_attribution", f"""WITH {POINTS}, h AS (SELECT server_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS step, name, max(value) AS score FROM p GROUP BY ALL),
+    v AS (SELECT DISTINCT server_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS step FROM p),
+    t AS (SELECT server_id, step, arg_max(name, (score, name)) AS name FROM h WHERE score > 60 GROUP BY ALL)
+    SELECT v.server_id, v.step, coalesce(name, 'unknown') AS metric_name FROM v LEFT JOIN t USING (server_id, step)""")
+def al3_attribution(spark, sf_dir):
+    steps = points(spark, sf_dir).withColumn("step", F.window("timestamp", "1 hour").start)
+    scores = steps.groupBy("server_id", "step", "name").agg(F.max("value").alias("score")).filter("score > 60")
+    seen = steps.select("server_id", "step").distinct()
+    out = al.attribute_metric(seen, scores, ("server_id", "step"))
+    return out.select("server_id", ntz("step").alias("step"), "metric_name")

@@ -12,6 +12,7 @@ from pulsewarden.plans.catalog import (
     DETECTIONS, POINTS, SEVERITY_SQL, VERDICTS, detections, ntz, points, query, r6, sql6, table, verdicts,
 )
 from pulsewarden.plans.source_queries import ACTION
+from pulsewarden.session import spread
 
 _DIRTY = "CASE event_id % 5 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN '-Infinity'::DOUBLE WHEN 3 THEN NULL ELSE value END"
 
@@ -84,7 +85,7 @@ _MASKED = f"CASE WHEN {_HIT} THEN CASE WHEN contains(text, '@') THEN substr(spli
 
 @query("sc12_mask_documents", f"SELECT doc_id, {_MASKED} AS masked FROM documents")
 def sc12(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", s.mask_pii(F.col("text")).alias("masked"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", s.mask_pii(F.col("text")).alias("masked"))
 
 
 @query("sc12_mask_conversations", f"SELECT conv_id, turn, {_MASKED} AS masked, role FROM conversations")

@@ -13,7 +13,7 @@ from pulsewarden.plans.catalog import (
     GRADED, POINTS, ntz, points, query, r6, sql6, table, verdicts,
 )
 from pulsewarden.schema import WIDE_METRICS
-from pulsewarden.session import shared_dir
+from pulsewarden.session import shared_dir, spread
 from pulsewarden.sinks import channels as ch, stores
 from pulsewarden.sources import exposition, generate, messages, responses, tables
 
@@ -37,7 +37,7 @@ m AS (SELECT event_id, ts, CASE event_id % 10
 
 
 def _messages(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     ts = F.col("ts").cast("timestamp")
     iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     secs = F.unix_seconds(ts).cast("string")
