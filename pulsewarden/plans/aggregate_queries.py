@@ -199,7 +199,7 @@ def en1(spark, sf_dir):
     return d.select("obs", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", r6("total_weight").alias("total_weight"), "n_models")
 
 
-@query("en1_model_details", f"""WITH {DETECTIONS} SELECT obs, model_name, CAST(round(CAST(CAST(anomaly_score AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS score, is_anomaly FROM d""")
+@query("en1_model_details", f"""WITH {DETECTIONS} SELECT obs, model_name, CAST(round(CAST(CAST(anomaly_score AS VARCHAR) AS DECIMAL(38, 26)), 4) AS DOUBLE) AS score, is_anomaly FROM d""")
 def en1_details(spark, sf_dir):
     d = en.weighted(detections(spark, sf_dir))
     return d.select("obs", F.inline("models"))

@@ -201,8 +201,8 @@ def j7(spark, sf_dir):
     return al.acknowledge(alerts, acks).select("obs", "acknowledged", "acknowledged_by")
 
 
-@query("j8_having_reference", f"WITH {POINTS} SELECT seq, name FROM p WHERE name IN (SELECT DISTINCT name FROM p WHERE value > 400)")
+@query("j8_having_reference", f"WITH {POINTS} SELECT seq, name FROM p WHERE name IN (SELECT DISTINCT name FROM p WHERE name > 'error')")
 def j8(spark, sf_dir):
     p = points(spark, sf_dir)
-    known = p.filter("value > 400").select("name").distinct()
+    known = p.filter("name > 'error'").select("name").distinct()
     return joins.having_reference(p, known).select("seq", "name")

@@ -286,8 +286,8 @@ def _alerts(spark, sf_dir):
     return al.build_alerts(al.grade(verdicts(spark, sf_dir)), al.DEFAULTS.with_(dashboard_base="http://grafana:3000"))
 
 
-_TWO = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DECIMAL(18, 2))::VARCHAR"
-_ONE = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DECIMAL(18, 1))::VARCHAR"
+_TWO = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 26)), 2) AS DECIMAL(18, 2))::VARCHAR"
+_ONE = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 26)), 1) AS DECIMAL(18, 1))::VARCHAR"
 _SCORE = _TWO.format("anomaly_score")
 MESSAGE = f"""CASE WHEN is_predicted THEN '[PREDICTED] ' || metric_name || ' on ' || server_id || ' is forecast to reach anomalous levels within the prediction horizon (score: ' || {_SCORE} || ')'
     WHEN forecast IS NOT NULL THEN upper(severity) || ': ' || metric_name || ' on ' || server_id || ' at ' || {_ONE.format('actual')} || '% deviates from predicted normal of ' || {_ONE.format('forecast')} || '% (anomaly score: ' || {_SCORE} || ')'
@@ -300,7 +300,7 @@ ALERTS = GRADED.rstrip() + f""",
 a AS (SELECT *, 'alt_' || substr(sha256(concat_ws('|', server_id, metric_name, severity, epoch_us(timestamp)::VARCHAR, seq::VARCHAR)), 1, 12) AS alert_id,
              {MESSAGE} AS message, {ACTION} AS suggested_action,
              'http://grafana:3000/d/server-detail?var-server=' || server_id AS dashboard_url, {ISO} AS iso,
-             round(CAST(CAST(anomaly_score AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS score4 FROM g)
+             round(CAST(CAST(anomaly_score AS VARCHAR) AS DECIMAL(38, 26)), 4)::DOUBLE AS score4 FROM g)
 """
 _HORIZON = """CASE WHEN is_predicted THEN '{"source":"holt_winters","values":[' || actual || '],"steps":1}' ELSE 'null' END"""
 _JSON = f"""'{{"alert_id":"' || alert_id || '","server_id":"' || server_id || '","metric_name":"' || metric_name || '","anomaly_score":' || score4 || ',"severity":"' || severity || '","is_predicted":' || is_predicted || ',"prediction_horizon":' || {_HORIZON} || ',"message":"' || message || '","suggested_action":"' || suggested_action || '","model_details":{{}},"dashboard_url":"' || dashboard_url || '","timestamp":"' || iso || '","correlation_id":"","acknowledged":false,"acknowledged_by":""}}'"""
