@@ -64,6 +64,10 @@ def _entry_table(cooldown: int, cap: int | None, block: int):
             entries, exits = [], []
             for number, times in zip(pdf["block"], pdf["times"]):
                 times = np.asarray(times, dtype=np.int64)
+                if len(times) == 1:
+                    entries.append(times)
+                    exits.append(times)
+                    continue
                 first_free = np.searchsorted(times, number * block + cooldown)
                 start = np.arange(min(first_free + 1, len(times)))
                 last = times[start]

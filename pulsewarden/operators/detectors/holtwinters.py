@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.scalars import nan_to_num
 from pulsewarden.operators.detectors.base import Detector
-from pulsewarden.operators.ordering import newest
+from pulsewarden.operators.ordering import newest, numbered
 
 KEYS = ("server_id", "name")
 _MODEL = (
@@ -118,6 +118,10 @@ class HoltWinters(Detector):
         joined = df.join(model, self.keys).withColumn("forecast", forecast_at(h))
         return z_score(joined, self.value).drop("level", "trend", "season", "n", "m")
 
+    def number_steps(self, df: DataFrame, name: str = "step") -> DataFrame:
+        """Steps since the end of training for the points that follow it, for ``score``."""
+        return numbered(df, name, self.keys, self.order)
+
     def forecast(self, steps: int = DEFAULTS.horizon_steps) -> DataFrame:
         """``forecast array<double>`` per series."""
         horizon = F.transform(F.sequence(F.lit(1), F.lit(steps)), forecast_at)

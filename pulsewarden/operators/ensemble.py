@@ -105,6 +105,28 @@ def attach_forecast(verdicts: DataFrame, sequence: DataFrame | None, smoothing:
     return out.withColumn("prediction_horizon", horizon).drop(*[c for c, _ in found])
 
 
+def predictions(asked: DataFrame, latest: DataFrame, detections: DataFrame, sequence: DataFrame | None,
+                smoothing: DataFrame | None, method: str = DEFAULTS.ensemble_method,
+                steps: int = DEFAULTS.horizon_steps) -> DataFrame:
+    """Score and forecast for the servers ``asked`` from their latest feature row.
+
+    ``latest`` has one row per server, ``detections`` the detectors' scores of it. A
+    server without data or without a score gets 0 and a warning.
+    """
+    verdict = METHODS.get(method, weighted)(detections, obs=("server_id",))
+    rows = attach_forecast(latest, sequence, smoothing, steps=steps)
+    if "prediction_horizon" not in rows.columns:
+        rows = rows.withColumn("prediction_horizon", F.lit(None))
+    rows = rows.select("server_id", "prediction_horizon", F.lit(True).alias("_known"))
+    joined = asked.select("server_id").distinct().join(rows, "server_id", "left").join(
+        verdict.select("server_id", "anomaly_score"), "server_id", "left")
+    return joined.select(
+        "server_id", F.coalesce(F.round("anomaly_score", 4), F.lit(0.0)).alias("anomaly_score"), "prediction_horizon",
+        F.when(F.col("_known").isNull(), "no data buffered for this server")
+        .when(F.col("anomaly_score").isNull(), "no trained models available").alias("warning"),
+    )
+
+
 class EnsembleRegistry:
     """Detectors by name with their weights; a detector counts once it has a model."""
 

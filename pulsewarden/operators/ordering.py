@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from pulsewarden.session import materialize
+from pulsewarden.session import materialize, sized
 
 KEYS = ("server_id", "name")
 ORDER = ("timestamp", "seq")
@@ -70,6 +70,14 @@ def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[D
     return rows, total
 
 
+def numbered(df: DataFrame, name: str = "rn", keys: Sequence[str] = KEYS,
+             order: Sequence[str] = ORDER) -> DataFrame:
+    """Number the rows of each key from 1, without a window over the key."""
+    rows = ordered(df, keys, order)
+    starts = sized(rows.groupBy(*keys).agg(F.min(POS).alias("_first")))
+    return rows.join(starts, list(keys)).withColumn(name, F.col(POS) - F.col("_first") + 1).drop(POS, "_first")
+
+
 def chunked(
     df: DataFrame,
     before: int = 0,

@@ -14,28 +14,29 @@ from pulsewarden.operators import ordering as o
 STATS = ("mean", "std", "min", "max", "skew", "kurtosis", "rate")
 
 
-def _moments(value: str, spec) -> Column:
-    """Count, mean, central moment sums and extremes of ``value`` over ``spec``.
+def _moments(value: str, spec, stats: set[str]) -> Column:
+    """Count, mean, central moment sums and extremes of ``value`` over ``spec``, as far as ``stats`` need them.
 
     Spark reports no skew or kurtosis for a constant part; there the third and
     fourth moment sums are zero.
     """
     n = F.count(value).over(spec).cast("double")
-    var = F.var_pop(value).over(spec)
-    skew = F.coalesce(F.skewness(value).over(spec), F.lit(0.0))
-    kurt = F.coalesce(F.kurtosis(value).over(spec), F.lit(-3.0))
-    return F.struct(
-        n.alias("n"),
-        F.avg(value).over(spec).alias("m"),
-        (n * var).alias("m2"),
-        (n * skew * F.pow(var, 1.5)).alias("m3"),
-        (n * (kurt + 3.0) * var * var).alias("m4"),
-        F.min(value).over(spec).alias("lo"),
-        F.max(value).over(spec).alias("hi"),
-    )
-
-
-def _merge(a: str, b: str, out: str) -> list[Column]:
+    fields = {"n": n, "m": F.avg(value).over(spec)}
+    if stats & {"std", "skew", "kurtosis"}:
+        var = F.var_pop(value).over(spec)
+        fields["m2"] = n * var
+    if stats & {"skew", "kurtosis"}:
+        fields["m3"] = n * F.coalesce(F.skewness(value).over(spec), F.lit(0.0)) * F.pow(var, 1.5)
+    if "kurtosis" in stats:
+        fields["m4"] = n * (F.coalesce(F.kurtosis(value).over(spec), F.lit(-3.0)) + 3.0) * var * var
+    if "min" in stats:
+        fields["lo"] = F.min(value).over(spec)
+    if "max" in stats:
+        fields["hi"] = F.max(value).over(spec)
+    return F.struct(*[c.alias(f) for f, c in fields.items()])
+
+
+def _merge(a: str, b: str, out: str, stats: set[str]) -> list[Column]:
     """Pairwise update of central moments (Chan et al., Pébay); ``a`` may be null."""
     na = F.coalesce(F.col(f"{a}.n"), F.lit(0.0))
     nb = F.col(f"{b}.n")
@@ -43,28 +44,31 @@ def _merge(a: str, b: str, out: str) -> list[Column]:
     ma, mb = F.coalesce(F.col(f"{a}.m"), F.col(f"{b}.m")), F.col(f"{b}.m")
     d = mb - ma
 
-    def part(side: str, field: str) -> Column:
-        return F.coalesce(F.col(f"{side}.{field}"), F.lit(0.0))
-
-    a2, a3, a4 = (part(a, f) for f in ("m2", "m3", "m4"))
-    b2, b3, b4 = (part(b, f) for f in ("m2", "m3", "m4"))
-    m2 = a2 + b2 + d * d * na * nb / n
-    m3 = a3 + b3 + F.pow(d, 3) * na * nb * (na - nb) / (n * n) + 3.0 * d * (na * b2 - nb * a2) / n
-    m4 = (
-        a4 + b4
-        + F.pow(d, 4) * na * nb * (na * na - na * nb + nb * nb) / F.pow(n, 3)
-        + 6.0 * d * d * (na * na * b2 + nb * nb * a2) / (n * n)
-        + 4.0 * d * (na * b3 - nb * a3) / n
-    )
-    return [
-        n.alias(f"{out}_n"),
-        (ma + d * nb / n).alias(f"{out}_mean"),
-        m2.alias(f"{out}_m2"),
-        m3.alias(f"{out}_m3"),
-        m4.alias(f"{out}_m4"),
-        F.least(f"{a}.lo", f"{b}.lo").alias(f"{out}_min"),
-        F.greatest(f"{a}.hi", f"{b}.hi").alias(f"{out}_max"),
-    ]
+    def part(field: str) -> tuple[Column, Column]:
+        return F.coalesce(F.col(f"{a}.{field}"), F.lit(0.0)), F.coalesce(F.col(f"{b}.{field}"), F.lit(0.0))
+
+    merged = {"n": n, "mean": ma + d * nb / n}
+    if stats & {"std", "skew", "kurtosis"}:
+        a2, b2 = part("m2")
+        merged["m2"] = a2 + b2 + d * d * na * nb / n
+    if stats & {"skew", "kurtosis"}:
+        a3, b3 = part("m3")
+        merged["m3"] = (
+            a3 + b3 + F.pow(d, 3) * na * nb * (na - nb) / (n * n) + 3.0 * d * (na * b2 - nb * a2) / n
+        )
+    if "kurtosis" in stats:
+        a4, b4 = part("m4")
+        merged["m4"] = (
+            a4 + b4
+            + F.pow(d, 4) * na * nb * (na * na - na * nb + nb * nb) / F.pow(n, 3)
+            + 6.0 * d * d * (na * na * b2 + nb * nb * a2) / (n * n)
+            + 4.0 * d * (na * b3 - nb * a3) / n
+        )
+    if "min" in stats:
+        merged["min"] = F.least(f"{a}.lo", f"{b}.lo")
+    if "max" in stats:
+        merged["max"] = F.greatest(f"{a}.hi", f"{b}.hi")
+    return [c.alias(f"{out}_{f}") for f, c in merged.items()]
 
 
 def rolling_features(
@@ -99,15 +103,16 @@ def rolling_features(
     df = chunks.withColumn("_rn", F.row_number().over(spec) - 1)
 
     moments = [s for s in stats if s != "rate"]
+    need = set(moments)
     for w, size in frames.items():
         if not moments:
             break
         df = df.withColumn(f"_b{w}", F.floor(F.col("_rn") / size))
         block = Window.partitionBy(*keys, o.CHUNK, f"_b{w}")
         rows = (Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumn(f"_p{w}", _moments(value, block.orderBy(o.POS).rowsBetween(*rows)))
+        df = df.withColumn(f"_p{w}", _moments(value, block.orderBy(o.POS).rowsBetween(*rows), need))
         df = df.withColumn(
-            f"_s{w}", _moments(value, block.orderBy(F.col(o.POS).desc()).rowsBetween(*rows))
+            f"_s{w}", _moments(value, block.orderBy(F.col(o.POS).desc()).rowsBetween(*rows), need)
         )
 
     prior, first = [], F.first_value(value).over(spec.rowsBetween(Window.unboundedPreceding, 0))
@@ -120,26 +125,21 @@ def rolling_features(
     df = df.select("*", *prior).filter(o.HOME)
 
     if moments:
-        merged = [c for w in frames for c in _merge(f"_a{w}", f"_p{w}", f"_m{w}")]
+        merged = [c for w in frames for c in _merge(f"_a{w}", f"_p{w}", f"_m{w}", need)]
         df = df.select(*columns, "_rn", *[f"_rate{w}" for w in frames], *merged)
 
     ready = F.col("_rn") >= min_points - 1
     out = []
     for w in frames:
         m = f"_m{w}"
-        spread = F.col(f"{m}_m2") > 0
+        n, m2 = F.col(f"{m}_n"), F.col(f"{m}_m2")
         forms = {
             "mean": F.col(f"{m}_mean"),
-            "std": F.sqrt(F.col(f"{m}_m2") / F.col(f"{m}_n")),
+            "std": F.sqrt(m2 / n),
             "min": F.col(f"{m}_min"),
             "max": F.col(f"{m}_max"),
-            "skew": F.when(
-                spread, F.sqrt(f"{m}_n") * F.col(f"{m}_m3") / F.pow(F.col(f"{m}_m2"), 1.5)
-            ),
-            "kurtosis": F.when(
-                spread,
-                F.col(f"{m}_n") * F.col(f"{m}_m4") / (F.col(f"{m}_m2") * F.col(f"{m}_m2")) - 3.0,
-            ),
+            "skew": F.when(m2 > 0, F.sqrt(n) * F.col(f"{m}_m3") / F.pow(m2, 1.5)),
+            "kurtosis": F.when(m2 > 0, n * F.col(f"{m}_m4") / (m2 * m2) - 3.0),
             "rate": F.col(f"_rate{w}"),
         }
         for stat in [*moments, "rate"]:

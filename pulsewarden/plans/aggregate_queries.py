@@ -5,8 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from pulsewarden.operators import aggregates as ag, ensemble as en, histograms as dr, joins, metric_queries as mq
 from pulsewarden.operators import alerts as al, ordering as o
 from pulsewarden.operators.percentiles import exact_percentile
@@ -68,11 +66,7 @@ def ag6(spark, sf_dir):
 @query("ag7_residual_stats", f"""WITH {POINTS}, t AS (SELECT server_id, name, value - 50.0 AS r, row_number() OVER (PARTITION BY server_id, name ORDER BY timestamp, seq) AS rn FROM p)
     SELECT server_id, name, {sql6('stddev_pop(r)')} AS residual_std, {sql6('sum(r * r)')} AS sse, count(*) AS n_residuals FROM t WHERE rn > 24 GROUP BY ALL""")
 def ag7(spark, sf_dir):
-    rows = o.ordered(points(spark, sf_dir))
-    start = rows.groupBy("server_id", "name").agg(F.min(o.POS).alias("_start"))
-    numbered = rows.join(start, ["server_id", "name"]).select(
-        "server_id", "name", (F.col(o.POS) - F.col("_start") + 1).alias("rn"),
-        (F.col("value") - 50.0).alias("residual"), F.lit(24).alias("m"))
+    numbered = o.numbered(points(spark, sf_dir)).withColumns({"residual": F.col("value") - 50.0, "m": F.lit(24)})
     d = ag.residual_stats(numbered)
     return d.select("server_id", "name", r6("residual_std").alias("residual_std"), r6("sse").alias("sse"), "n_residuals")
 
@@ -249,6 +243,28 @@ def en5(spark, sf_dir):
                     r6(h["values"][0]).alias("first_value"), r6(h["values"][1]).alias("second_value"))
 
 
+@query("tk4_predictions", f"""WITH {POINTS},
+    l AS (SELECT server_id, name, value, seq FROM p QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY timestamp DESC, seq DESC) = 1),
+    k AS (SELECT server_id, (least(1.0, value / 120.0) * 0.4 + least(1.0, abs(value - 40.0) / 150.0) * 0.4) / 0.8 AS s FROM l WHERE name <> 'signup'),
+    h AS (SELECT server_id, name, max(value) AS x FROM p WHERE name <> 'view' GROUP BY ALL), a AS (SELECT DISTINCT server_id FROM p UNION ALL SELECT 'srv-none')
+    SELECT a.server_id, {sql6('coalesce(round(s + 1.3e-9, 4), 0.0)')} AS anomaly_score,
+           CASE WHEN l.server_id IS NULL THEN 'no data buffered for this server' WHEN s IS NULL THEN 'no trained models available' END AS warning,
+           {sql6('round(x, 4)')} AS first_value
+    FROM a LEFT JOIN l USING (server_id) LEFT JOIN k USING (server_id) LEFT JOIN h ON h.server_id = l.server_id AND h.name = l.name""")
+def tk4_predictions(spark, sf_dir):
+    p = points(spark, sf_dir)
+    asked = p.select("server_id").distinct().unionByName(spark.range(1).select(F.lit("srv-none").alias("server_id")))
+    latest = joins.latest_per_server(p, ["name", "value"])
+    v = F.col("value")
+    scores = F.array(*[F.struct(F.lit(m).alias("model_name"), (F.least(F.lit(1.0), s) + 1.3e-9).alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
+                       for m, s in (("isolation_forest", v / 120.0), ("lstm_autoencoder", F.abs(v - 40.0) / 150.0))])
+    found = latest.filter("name <> 'signup'").select("server_id", F.inline(scores))
+    hw = p.filter("name <> 'view'").groupBy("server_id", "name").agg(F.array(F.max("value")).alias("forecast"))
+    d = en.predictions(asked, latest, found, None, hw, steps=1)
+    return d.select("server_id", r6("anomaly_score").alias("anomaly_score"), "warning",
+                    r6(F.col("prediction_horizon")["values"][0]).alias("first_value"))
+
+
 # ---- drift -------------------------------------------------------------------
 
 @query("dr1_set_reference", f"WITH {_LINES}, {_hist('h', 'early')} SELECT name, bin, lo, hi, n FROM h")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsewarden.schema import METRIC_TYPES
 
+# Spark also reads a bare year or a time of day; a message must give a full date.
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+
 
 def parse_metric_messages(df: DataFrame, value_col: str = "value",
                           ingest_ts: Column | None = None) -> DataFrame:
@@ -25,7 +28,8 @@ def parse_metric_messages(df: DataFrame, value_col: str = "value",
     df = df.withColumn("_v", F.explode(F.array(F.try_parse_json("_raw"))))
 
     kind = F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant"))
-    text_ts = F.try_to_timestamp(F.try_variant_get(v, "$.timestamp", "string"))
+    text = F.try_variant_get(v, "$.timestamp", "string")
+    text_ts = F.when(text.rlike(_ISO), F.try_to_timestamp(text))
     seconds = F.try_variant_get(v, "$.timestamp", "double")
     number_ts = F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))
     is_number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")

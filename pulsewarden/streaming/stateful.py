@@ -102,7 +102,12 @@ def stream_suppress(graded: DataFrame, cooldown_minutes: float = DEFAULTS.cooldo
             state.remove()
             return
         last, hour, sent = state.get if state.exists else (None, None, 0)
-        pdf = pd.concat(list(batches)).sort_values(["timestamp", "seq"])
+        pdf = None
+        for part in batches:
+            pdf = part if pdf is None else pd.concat([pdf, part])
+            pdf = pdf.sort_values(["timestamp", "seq"])
+            if cooldown > 0:  # at one instant only the first can be sent
+                pdf = pdf.drop_duplicates("timestamp")
         keep = []
         for place, us in enumerate(pdf["timestamp"].astype("datetime64[us]").astype("int64")):
             if hour != us // HOUR:

@@ -139,6 +139,9 @@ def test_holt_winters_per_series(spark):
     assert forecast["a"][5] == pytest.approx(m["level"] + 6 * m["trend"] + m["season"][(120 + 5) % 12])
     scored = {r["seq"]: r for r in d.score(points(spark, {"a": [forecast["a"][0], 1000.0]})).collect()}
     assert scored[0]["anomaly_score"] == pytest.approx(0, abs=1e-9) and scored[1]["anomaly_score"] == 1.0
+    later = points(spark, {"a": forecast["a"][:9]})
+    stepped = {r["seq"]: r["residual"] for r in d.score(d.number_steps(later), "step").collect()}
+    assert len(stepped) == 9 and max(stepped.values()) < 1e-9
     assert d.score(points(spark, {"b": [9.0]})).first()["anomaly_score"] == 0.0
 
 

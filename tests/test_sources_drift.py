@@ -24,10 +24,10 @@ def parse(spark, *texts):
 def test_message_times(spark):
     base = {"name": "cpu", "value": 1}
     got = parse(spark, *[json.dumps({**base, "timestamp": t}) for t in (
-        "2026-06-13T10:00:00Z", "2026-06-13T12:00:00+02:00", 1781344800, 1781344800.25, None, True, "soon")], json.dumps(base))
+        "2026-06-13T10:00:00Z", "2026-06-13T12:00:00+02:00", 1781344800, 1781344800.25, None, True, "soon", "2026", "10:00", "2026-06-13")], json.dumps(base))
     at = dt.datetime(2026, 6, 13, 10)
-    assert [r["timestamp"] for r in got] == [at, at, at, at + dt.timedelta(milliseconds=250), T0, T0, None, T0]
-    assert [r["reason"] for r in got] == [None] * 6 + ["bad_timestamp", None]
+    assert [r["timestamp"] for r in got] == [at, at, at, at + dt.timedelta(milliseconds=250), T0, T0, None, None, None, dt.datetime(2026, 6, 13), T0]
+    assert [r["reason"] for r in got] == [None] * 6 + ["bad_timestamp"] * 3 + [None, None]
 
 
 def test_message_fields(spark):

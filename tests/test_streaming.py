@@ -135,3 +135,30 @@ def test_feature_hook_sees_every_batch(spark, events, tmp_path):
     stream = _as_stream(spark, events, str(tmp_path / "in"), files=2)
     jobs.on_features(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "cp"), windows=(1,)).awaitTermination()
     assert [n for _, n in seen if n] == [8, 8]
+
+
+def test_batch_operators_on_streams(spark, events, tmp_path):
+    """Union, scoring against stored models, counting and payloads need no streaming twin."""
+    from pulsewarden.operators.aggregates import alert_stats, detection_counter
+    from pulsewarden.operators.detectors.holtwinters import HoltWinters
+    from pulsewarden.operators.joins import merge_sources
+    from pulsewarden.sinks.channels import PagerDuty, Slack, route_alerts
+
+    hw = HoltWinters(12)
+    hw.train(events)
+    hw.save(str(tmp_path / "models"))
+    hw.load(spark, str(tmp_path / "models"))
+    a = _as_stream(spark, events.filter("seq % 2 = 0"), str(tmp_path / "a"))
+    b = _as_stream(spark, events.filter("seq % 2 = 1"), str(tmp_path / "b"))
+
+    def scored(points):
+        return hw.score(points).withColumnRenamed("name", "metric_name")
+
+    stream, batch = scored(merge_sources(a, b)), scored(events)
+    got = {tuple(r) for r in _drain(detection_counter(stream), "counter", "complete").collect()}
+    assert got == {tuple(r) for r in detection_counter(batch).collect()}
+    got = {tuple(r) for r in _drain(alert_stats(al.grade(stream)), "stats", "complete").collect()}
+    assert got == {tuple(r) for r in alert_stats(al.grade(batch)).collect()}
+    channels = [Slack(), PagerDuty("k")]
+    got = {tuple(r) for r in _drain(route_alerts(al.build_alerts(al.grade(stream)), channels), "payloads").collect()}
+    assert got == {tuple(r) for r in route_alerts(al.build_alerts(al.grade(batch)), channels).collect()} and got
