@@ -1,4 +1,4 @@
-"""What every detector offers."""
+"""What every model and detector offers."""
 
 from __future__ import annotations
 
@@ -6,33 +6,32 @@ from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame
 
+from pulsewarden.sinks.stores import load_model, save_model
 
-class Detector(ABC):
-    """``train`` fits and keeps a model table; ``score`` adds ``anomaly_score`` in [0, 1] and ``is_anomaly``.
 
-    A model is a DataFrame, so it is stored and loaded as a table.
-    """
+class StoredModel(ABC):
+    """``train`` fits and keeps a model table; being a DataFrame, it is stored and loaded as a table."""
 
     model_name: str
     model: DataFrame | None = None
 
     @abstractmethod
-    def train(self, df: DataFrame) -> DataFrame: ...
-
-    @abstractmethod
-    def score(self, df: DataFrame) -> DataFrame: ...
+    def train(self, df: DataFrame) -> DataFrame | None: ...
 
     @property
     def is_trained(self) -> bool:
         return self.model is not None
 
     def save(self, base: str, version: str = "1.0.0") -> str:
-        from pulsewarden.sinks.stores import save_model
-
         return save_model(self.model, base, self.model_name, version)
 
-    def load(self, spark, base: str, version: str | None = None) -> "Detector":
-        from pulsewarden.sinks.stores import load_model
-
+    def load(self, spark, base: str, version: str | None = None) -> "StoredModel":
         self.model = load_model(spark, base, self.model_name, version)
         return self
+
+
+class Detector(StoredModel):
+    """``score`` adds ``anomaly_score`` in [0, 1] and ``is_anomaly`` to its rows."""
+
+    @abstractmethod
+    def score(self, df: DataFrame) -> DataFrame: ...

@@ -17,7 +17,7 @@ from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.linalg import second_moments
 from pulsewarden.functions.scalars import nan_to_num
 from pulsewarden.operators import ordering as o
-from pulsewarden.operators.detectors.base import Detector
+from pulsewarden.operators.detectors.base import Detector, StoredModel
 from pulsewarden.operators.percentiles import exact_percentile
 from pulsewarden.operators.rolling import sequences
 from pulsewarden.session import materialize
@@ -104,7 +104,7 @@ class SequenceReconstruction(Detector):
         })
 
 
-class SequenceForecaster(Detector):
+class SequenceForecaster(StoredModel):
     """Next ``horizon`` values from the last ``length`` by ridge regression, one pass for all steps."""
 
     model_name = "lstm_forecaster"
@@ -154,6 +154,3 @@ class SequenceForecaster(Detector):
             return pd.Series(list(weights[0] + x @ weights[1:] + pivot))
 
         return self.latest_windows(points).select(*self.keys, predict("sequence").alias("forecast"))
-
-    def score(self, df: DataFrame) -> DataFrame:
-        return self.forecast(df)

@@ -33,6 +33,14 @@ def counter_rate(samples: DataFrame, span: str = "5 minutes", keys: Sequence[str
     )
 
 
+def rate_by_label(samples: DataFrame, label: str, span: str = "5 minutes", how: str = "sum") -> DataFrame:
+    """Rates of the series, summed or averaged over all series with the same label."""
+    fn = {"sum": F.sum, "avg": F.avg}[how]
+    rows = samples.withColumn("_l", F.coalesce(F.col("labels")[label], F.lit("")))
+    rates = counter_rate(rows, span, keys=(*o.KEYS, "_l"))
+    return rates.groupBy("window_start", F.col("_l").alias(label)).agg(fn("rate").alias(f"{how}_rate"))
+
+
 def by_label(samples: DataFrame, label: str, how: str = "sum", value: str = "value") -> DataFrame:
     fn = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[how]
     return samples.groupBy(F.col("labels")[label].alias(label)).agg(fn(value).alias(f"{how}_{value}"))
@@ -82,3 +90,59 @@ def align_steps(points: DataFrame, step: str = "300 seconds") -> DataFrame:
         F.max_by("value", F.struct("timestamp", "seq")).alias("value")
     )
     return last.select("server_id", "name", F.col("_w.start").alias("step"), "value")
+
+
+# Raw series behind each default metric.
+RATE_METRICS = {
+    "disk_io_util": "node_disk_io_time_seconds_total",
+    "network_in": "node_network_receive_bytes_total",
+    "network_out": "node_network_transmit_bytes_total",
+}
+CPU_SECONDS = "node_cpu_seconds_total"
+CPU_METRICS = {"cpu_usage": "idle", "iowait": "iowait"}
+MEMORY_FREE, MEMORY_ALL = "node_memory_MemAvailable_bytes", "node_memory_MemTotal_bytes"
+LOAD = "node_load5"
+REQUESTS = "http_requests_total"
+
+
+def default_metrics(samples: DataFrame, span: str = "5 minutes") -> DataFrame:
+    """The eight default metrics per server and stretch of ``span`` from raw samples.
+
+    Input: ``server_id, name, timestamp, value, labels, seq``. Series of one name differ
+    in their labels. Counters are turned into rates in one pass; each metric is then one
+    aggregate over rates or latest gauges.
+    """
+    mode, status = F.col("labels")["mode"], F.col("labels")["status"]
+    series = F.to_json(F.array_sort(F.map_entries("labels")))
+    raw = samples.select("server_id", "name", "timestamp", "value", "seq", series.alias("_s"), mode.alias("_mode"), status.alias("_status"))
+
+    counters = raw.filter(F.col("name").isin(CPU_SECONDS, REQUESTS, *RATE_METRICS.values()))
+    rates = counter_rate(counters, span, keys=("server_id", "name", "_s", "_mode", "_status"))
+
+    def pick(metric: str, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("name"), value.alias("value"))
+
+    def of(name: str, keep: Column | None = None) -> Column:
+        hit = F.col("name") == name
+        return F.when(hit if keep is None else hit & keep, F.col("rate"))
+
+    idle, wait = (F.avg(of(CPU_SECONDS, F.col("_mode") == m)) for m in CPU_METRICS.values())
+    failed = F.sum(of(REQUESTS, F.col("_status").rlike("^5..$")))
+    from_rates = rates.groupBy("server_id", F.col("window_start").alias("timestamp")).agg(F.array(
+        pick("cpu_usage", 100 - idle * 100), pick("iowait", wait * 100),
+        pick("error_rate", F.try_divide(F.coalesce(failed, F.lit(0.0)), F.sum(of(REQUESTS))) * 100),
+        *[pick(m, F.sum(of(n))) for m, n in RATE_METRICS.items()],
+    ).alias("_m"))
+
+    gauges = raw.filter(F.col("name").isin(MEMORY_FREE, MEMORY_ALL, LOAD))
+    order = F.struct("timestamp", "seq")
+
+    def last(name: str) -> Column:
+        hit = F.col("name") == name
+        return F.max_by(F.when(hit, F.col("value")), F.when(hit, order))
+
+    from_gauges = gauges.groupBy("server_id", F.window("timestamp", span).start.alias("_w")).agg(F.array(
+        pick("memory_usage", 100 * (1 - F.try_divide(last(MEMORY_FREE), last(MEMORY_ALL)))), pick("load_avg_5m", last(LOAD)),
+    ).alias("_m")).withColumnRenamed("_w", "timestamp")
+    both = from_rates.unionByName(from_gauges)
+    return both.select("server_id", "timestamp", F.inline("_m")).filter(F.col("value").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.scalars import nan_to_num
 from pulsewarden.operators import ordering as o
+from pulsewarden.session import sized
 
 STATS = ("mean", "std", "min", "max", "skew", "kurtosis", "rate")
 
@@ -237,6 +238,24 @@ def feature_table(
     return wide.select("server_id", "step", F.array(*vector).alias("vector"))
 
 
+def normalize_column(df: DataFrame, value: str = "value", keys: Sequence[str] = o.KEYS,
+                     method: str = "zscore") -> DataFrame:
+    """Scale a column by its group's mean and deviation, or range, as ``normalized``.
+
+    A group without spread and an unknown method leave it unchanged.
+    """
+    x = F.col(value)
+    if method == "zscore":
+        base, width = F.avg(value), F.stddev_pop(value)
+    elif method == "minmax":
+        base, width = F.min(value), F.max(value) - F.min(value)
+    else:
+        return df.withColumn("normalized", x)
+    groups = sized(df.groupBy(*keys).agg(base.alias("_base"), width.alias("_width")))
+    scaled = F.when(F.col("_width") > 0, (x - F.col("_base")) / F.col("_width")).otherwise(x)
+    return df.join(groups, list(keys)).withColumn("normalized", scaled).drop("_base", "_width")
+
+
 def readiness(points: DataFrame, ready: int = DEFAULTS.ready_points,
               keys: Sequence[str] = o.KEYS, order: Sequence[str] = o.ORDER) -> DataFrame:
     """Flag each point whose series has ``ready`` or more values by then."""

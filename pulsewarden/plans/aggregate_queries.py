@@ -391,3 +391,42 @@ def pq5(spark, sf_dir):
 def pq6(spark, sf_dir):
     d = mq.align_steps(points(spark, sf_dir))
     return d.select("server_id", "name", ntz("step").alias("step"), "value")
+
+
+@query("pq2_rate_by_label", f"""WITH {POINTS}, w AS (SELECT *, 'i-' || (user_id % 5) AS instance, time_bucket(INTERVAL 1 DAY, timestamp) AS b FROM p),
+    t AS (SELECT *, lag(value) OVER (PARTITION BY server_id, name, instance, b ORDER BY timestamp, seq) AS prev FROM w),
+    r AS (SELECT server_id, name, instance, b, sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)
+                 / nullif((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6, 0) AS rate FROM t GROUP BY ALL)
+    SELECT instance, b AS window_start, {sql6('sum(rate)')} AS sum_rate FROM r GROUP BY ALL""")
+def pq2_rate(spark, sf_dir):
+    p = points(spark, sf_dir, "user_id").withColumn(
+        "labels", F.create_map(F.lit("instance"), F.concat(F.lit("i-"), (F.col("user_id") % 5).cast("string"))))
+    d = mq.rate_by_label(p, "instance", "1 day")
+    return d.select("instance", ntz("window_start").alias("window_start"), r6("sum_rate").alias("sum_rate"))
+
+
+_RAW = {"view": mq.CPU_SECONDS, "click": mq.REQUESTS, "error": mq.LOAD, "signup": mq.MEMORY_FREE, "purchase": mq.MEMORY_ALL}
+
+
+@query("pq_default_metrics", f"""WITH {POINTS}, w AS (SELECT *, user_id % 3 AS k, time_bucket(INTERVAL 1 DAY, timestamp) AS b FROM p),
+    t AS (SELECT *, lag(value) OVER (PARTITION BY server_id, name, k, b ORDER BY timestamp, seq) AS prev FROM w WHERE name IN ('view', 'click')),
+    r AS (SELECT server_id, name, k, b, sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)
+                 / nullif((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6, 0) AS rate FROM t GROUP BY ALL),
+    m AS (SELECT server_id, b, 'cpu_usage' AS name, 100 - avg(rate) FILTER (name = 'view' AND k = 0) * 100 AS value FROM r GROUP BY ALL
+          UNION ALL SELECT server_id, b, 'iowait', avg(rate) FILTER (name = 'view' AND k = 1) * 100 FROM r GROUP BY ALL
+          UNION ALL SELECT server_id, b, 'error_rate', coalesce(sum(rate) FILTER (name = 'click' AND k = 1), 0) / nullif(sum(rate) FILTER (name = 'click'), 0) * 100 FROM r GROUP BY ALL
+          UNION ALL SELECT server_id, b, 'load_avg_5m', arg_max(value, (timestamp, seq)) FILTER (name = 'error') FROM w WHERE name IN ('error', 'signup', 'purchase') GROUP BY ALL
+          UNION ALL SELECT server_id, b, 'memory_usage', 100 * (1 - arg_max(value, (timestamp, seq)) FILTER (name = 'signup') / arg_max(value, (timestamp, seq)) FILTER (name = 'purchase'))
+                    FROM w WHERE name IN ('error', 'signup', 'purchase') GROUP BY ALL)
+    SELECT server_id, b AS timestamp, name, {sql6('value')} AS value FROM m WHERE value IS NOT NULL""")
+def pq_default(spark, sf_dir):
+    p = points(spark, sf_dir, "user_id")
+    k = F.col("user_id") % 3
+    mode = F.when(k == 0, "idle").when(k == 1, "iowait").otherwise("user")
+    status = F.when(k == 0, "200").when(k == 1, "503").otherwise("404")
+    raw = F.lit(None).cast("string")
+    for event, name in _RAW.items():
+        raw = F.when(F.col("name") == event, F.lit(name)).otherwise(raw)
+    samples = p.withColumns({"name": raw, "labels": F.create_map(F.lit("mode"), mode, F.lit("status"), status)})
+    d = mq.default_metrics(samples, "1 day")
+    return d.select("server_id", ntz("timestamp").alias("timestamp"), "name", r6("value").alias("value"))

@@ -169,3 +169,13 @@ def sc3(spark, sf_dir):
         F.max_by("value", F.struct("timestamp", "seq")).alias("v"))
     wide = latest.groupBy("server_id", "step").pivot("name", names).agg(F.max("v"))
     return wide.select("server_id", ntz("step").alias("step"), _text(feature_vector(names)).alias("vector"))
+
+
+for _method, _form in (("zscore", "(value - avg(value) OVER k) / nullif(stddev_pop(value) OVER k, 0)"),
+                       ("minmax", "(value - min(value) OVER k) / nullif(max(value) OVER k - min(value) OVER k, 0)")):
+    def _normalized(spark, sf_dir, method=_method):
+        d = rolling.normalize_column(points(spark, sf_dir), method=method)
+        return d.select("seq", r6("normalized").alias("normalized"))
+
+    query(f"sc2_{_method}_by_series", f"""WITH {POINTS} SELECT seq, {sql6(f'coalesce({_form}, value)')} AS normalized FROM p
+        WINDOW k AS (PARTITION BY server_id, name)""")(_normalized)
