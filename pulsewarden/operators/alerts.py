@@ -83,21 +83,63 @@ def _entry_table(cooldown: int, cap: int | None, block: int):
 
 
 def _fold_blocks(cooldown: int):
-    """Per key: earliest time an alert may be sent in each block."""
+    """Earliest time an alert may be sent in each block of a group, given the first block's (``since``)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block", ignore_index=True)
-        free, out = np.iinfo(np.int64).min, []
+        free, out = int(pdf["since"].iloc[0]), []
         for entries, exits in zip(pdf["entries"], pdf["exits"]):
             out.append(free)
             place = np.searchsorted(entries, free)
             if place < len(entries):
                 free = int(exits[place]) + cooldown
-        return pdf.drop(columns=["entries", "exits"]).assign(free=np.array(out, dtype=np.int64))
+        return pdf.drop(columns=["entries", "exits", "since"]).assign(free=np.array(out, dtype=np.int64))
 
     return run
 
 
+def _join_blocks(cooldown: int, fan: int):
+    """The table of ``fan`` neighbouring blocks from the blocks' own tables."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ignore_index=True)
+        # a start behind the first block's last entry finds the next block untouched
+        first = np.concatenate([pdf["entries"].iloc[0], *[e[:1] for e in pdf["entries"].iloc[1:2]]]).astype(np.int64)
+        free, last = first.copy(), first.copy()
+        for entries, exits in zip(pdf["entries"], pdf["exits"]):
+            place = np.searchsorted(entries, free)
+            hit = place < len(entries)
+            last = np.where(hit, np.asarray(exits)[np.minimum(place, len(entries) - 1)], last)
+            free = np.where(hit, last + cooldown, free)
+        keep = np.append(last[1:] != last[:-1], True)
+        out = pdf.iloc[:1].assign(block=pdf["block"].iloc[0] // fan)
+        return out.assign(entries=[first[keep]], exits=[last[keep]])
+
+    return run
+
+
+def _block_starts(tables: DataFrame, cooldown: int, keys: Sequence[str], key_ddl: str, low: int, high: int, fan: int) -> DataFrame:
+    """Earliest time an alert may be sent in each block (``low`` … ``high``) of each key.
+
+    Up to ``fan`` blocks are chained directly. Longer histories are joined level by
+    level, ``fan`` blocks at a time, and resolved back down, so that no task sees
+    more than ``fan`` tables of a key.
+    """
+    fold, ddl = _fold_blocks(cooldown), f"{key_ddl}, block bigint, free bigint"
+    if high - low < fan:
+        begin = F.lit(int(np.iinfo(np.int64).min))
+        return tables.withColumn("since", begin).groupBy(*keys).applyInPandas(fold, ddl)
+    tables = materialize(tables)
+    parent = F.floor(F.col("block") / fan)
+    table_ddl = f"{key_ddl}, block bigint, entries array<bigint>, exits array<bigint>"
+    joined = tables.groupBy(*keys, parent.alias("_up")).applyInPandas(
+        lambda pdf: _join_blocks(cooldown, fan)(pdf), table_ddl)
+    above = _block_starts(joined, cooldown, keys, key_ddl, low // fan, high // fan, fan)
+    above = above.withColumnRenamed("block", "_up").withColumnRenamed("free", "since")
+    below = tables.withColumn("_up", parent).join(above, [*keys, "_up"])
+    return below.groupBy(*keys, "_up").applyInPandas(lambda pdf: fold(pdf.drop(columns="_up")), ddl)
+
+
 def _sent_in_block(cooldown: int, cap: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,7 +156,7 @@ def _sent_in_block(cooldown: int, cap: int | None):
 
 def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_minutes,
              max_per_hour: int = DEFAULTS.max_alerts_per_hour, keys: Sequence[str] = ALERT_KEY,
-             order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
+             order: Sequence[str] = ("timestamp", "seq"), fan: int = 64) -> DataFrame:
     """Candidates that pass the cooldown and the hourly cap of their key.
 
     An alert is held back while the last *sent* alert of its key is younger than
@@ -123,7 +165,8 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
     Exact without walking a key from end to end in one task: times of a key are cut
     into blocks of at least a day. A block only needs to know when the next alert may
     be sent, so each block is first reduced to a table "first alert → last alert",
-    the tables of a key are chained, and then every block is resolved on its own.
+    the tables of a key are chained (``fan`` at a time), and then every block is
+    resolved on its own.
     """
     if max_per_hour <= 0:
         return candidates.limit(0)
@@ -150,7 +193,9 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
         _entry_table(cooldown, cap, block),
         f"{key_ddl}, block bigint, entries array<bigint>, exits array<bigint>",
     )
-    starts = tables.groupBy(*keys).applyInPandas(_fold_blocks(cooldown), f"{key_ddl}, block bigint, free bigint")
+    ends = first.agg(F.min("_us"), F.max("_us")).first()
+    low, high = (0, 0) if ends[0] is None else (ends[0] // block, ends[1] // block)
+    starts = _block_starts(tables, cooldown, keys, key_ddl, low, high, fan)
     sent = blocks.join(starts, [*keys, "block"]).mapInPandas(
         _sent_in_block(cooldown, cap), f"{key_ddl}, block bigint, sent array<bigint>"
     ).select(*keys, F.explode("sent").alias("_us"))

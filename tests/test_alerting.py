@@ -68,6 +68,18 @@ def test_suppression_equals_sequential_rule(spark, cooldown, cap, seed):
     assert got == sequential(rows, cooldown, cap)
 
 
+@pytest.mark.parametrize("gap,fan,cooldown,cap", [(400, 3, 30, 50), (90, 2, 45, 50), (40, 2, 10, 2)])
+def test_long_histories_are_joined_level_by_level(spark, gap, fan, cooldown, cap):
+    rng = np.random.default_rng(gap)
+    rows = []
+    for k in range(2):
+        minutes = np.round(rng.exponential(gap, 250).cumsum() + 1e4 * k, 2)
+        minutes[100:] += 20_000 * k  # a stretch without candidates
+        rows += candidates(spark, minutes, ("s", f"m{k}", "warning"), 1000 * k)
+    got = {r["seq"] for r in al.suppress(spark.createDataFrame(rows, CAND), cooldown, cap, fan=fan).collect()}
+    assert got == sequential(rows, cooldown, cap)
+
+
 def test_nothing_passes_a_zero_cap(spark):
     assert al.suppress(spark.createDataFrame(candidates(spark, [0, 40]), CAND), 30, 0).count() == 0
 
