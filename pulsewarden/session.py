@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,15 +39,65 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/pulsewarden/{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_SCRATCH: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if spark.sparkContext._jsc is None or jvm is None:  # the session has ended before
+        return
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        own = scratch_dir(spark).split("://")[-1].rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if own.split(":", 1)[-1].lstrip("/") in folder:
+                _remove(spark, folder)
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Hold a setting of the session for a while and give the caller's own back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+#: Lets a finished query give back its shuffle files at once, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and, being columnar, lets later
-    passes read only the columns they need.
+    passes read only the columns they need. The shuffle files that led to the table
+    are removed as soon as it is written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulsewarden/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    with _setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
