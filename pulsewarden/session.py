@@ -87,8 +87,8 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder per value of ``partition_by``, and read it back.
 
     Cuts the lineage, survives lost executors and, being columnar, lets later
     passes read only the columns they need. The shuffle files that led to the table
@@ -97,7 +97,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     with _setting(spark, _CLEANUP, "true"):
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
