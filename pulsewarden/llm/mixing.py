@@ -26,9 +26,9 @@ from pulsewarden.session import materialize, sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Ranges of the ring, as bits of a place. At 10^10 documents of a source a range
-#: holds some 150 000.
-RANGE_BITS = 16
+#: Ranges of the ring, as bits of a place: 4 096 sums for each source, and at 10^10
+#: documents of a source some 2.5 million of them in a range.
+RANGE_BITS = 12
 
 PLACE, SIZE = "_place", "_size"
 
