@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from pulsewarden.llm import classifier, decontam, katz, language, linkgraph, mixing, quality, suffix, winnow
+from pulsewarden.llm import classifier, decontam, katz, language, linkgraph, mixing, ngramjoin, quality, suffix, winnow
 from pulsewarden.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "lang")
 
 
+@query
+def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.link_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
