@@ -76,3 +76,84 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES["op6_line_dedup"] = rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+n AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line,
+             len({_WORDS.format('line')}) AS words FROM l),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM n WHERE words > 0),
+w AS (SELECT doc_id, min(pos) OVER f AS a, max(pos) OVER f AS b, list(line) OVER f AS ls, sum(words) OVER f AS words
+      FROM c WINDOW f AS (PARTITION BY doc_id ORDER BY upto - words RANGE BETWEEN CURRENT ROW AND {winnow.MIN_WORDS - 1} FOLLOWING)
+      UNION ALL
+      SELECT doc_id, min(pos) OVER f, max(pos) OVER f, list(line) OVER f, sum(words) OVER f
+      FROM c WINDOW f AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {winnow.MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+r AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY ls ORDER BY doc_id, a) AS nth
+      FROM (SELECT DISTINCT doc_id, a, b, ls FROM w WHERE words >= {winnow.MIN_WORDS})),
+x AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.a AND r.b WHERE r.nth > 1),
+k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL) AS text,
+             count(x.pos) AS n_removed, count(*) AS n_lines
+      FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+ORACLES["op8_jaccard_groups"] = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), '" + linkgraph.UPPER + "', '" + linkgraph.LOWER + "')")} AS w
+                     FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(na.n) + max(nb.n) - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def _url_verdicts_sql() -> str:
+    """Each round of trust and distrust is one more table."""
+    keep, a = 1 - linkgraph.DAMPING, linkgraph.DAMPING
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in linkgraph.RULES)
+    url = linkgraph.URL.removeprefix("(?s)")
+    lower = lambda x: f"translate({x}, '{linkgraph.UPPER}', '{linkgraph.LOWER}')"
+    link = linkgraph.LINK.removeprefix("(?i)").replace("'", "''")
+    rounds = "".join(f""",
+t{i + 1} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+    SELECT * FROM base
+    UNION ALL SELECT dst, {a} * share * trust, 0.0 FROM g JOIN t{i} ON src = host
+    UNION ALL SELECT src, 0.0, {a} * share * distrust FROM g JOIN t{i} ON dst = host) GROUP BY host)"""
+                     for i in range(linkgraph.ROUNDS))
+    return rf"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+u AS (SELECT page_id, html, {lower(f"coalesce(regexp_extract(url, '{url}', 1, 's'), '')")} AS host,
+             coalesce(regexp_extract(url, '{url}', 2, 's'), '') AS path FROM pages),
+m AS (SELECT u.*, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+      FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+      GROUP BY page_id, html, host, path),
+base AS (SELECT host, {keep} * avg((coalesce(v, '') = 'allow')::DOUBLE) AS trust,
+                {keep} * avg((coalesce(v, '') = 'block')::DOUBLE) AS distrust FROM m WHERE host <> '' GROUP BY host),
+k AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1, 'i')) AS dst FROM u),
+c AS (SELECT src, {lower('dst')} AS dst, count(*) AS n FROM k WHERE src <> {lower('dst')} AND src <> '' GROUP BY ALL),
+g AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM c),
+t0 AS (SELECT * FROM base){rounds}
+SELECT page_id, m.host, path, rule, coalesce(v, CASE WHEN distrust >= {linkgraph.THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM m LEFT JOIN t{linkgraph.ROUNDS} t ON t.host = m.host
+"""
+
+
+ORACLES["op5_url_verdicts"] = _url_verdicts_sql()
