@@ -127,8 +127,6 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from ``rows`` (doc_id, text, label 0 or 1)."""
     ready = rows.filter("label IN (0, 1)").select(
         F.xxhash64("doc_id", "text").alias("order"), F.col("label").cast("int").alias("label"), "text")
-    # the smallest hashes: ids alone are sorted, each task keeps its own first rows
-    picked = ready.orderBy("order", "label").limit(max_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +140,9 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                     pa.ListArray.from_arrays(at, pa.array(s)), pa.ListArray.from_arrays(at, pa.array(v))],
                     ["order", "label", "slots", "vals"])
 
-    examples = picked.mapInArrow(extract, "order long, label int, slots array<int>, vals array<float>")
+    examples = ready.mapInArrow(extract, "order long, label int, slots array<int>, vals array<float>")
+    # the smallest hashes; each task keeps its own first rows
+    examples = examples.orderBy("order", "label").limit(max_rows)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "label"], kind="stable")

@@ -101,7 +101,14 @@ w AS (SELECT doc_id, min(pos) OVER f AS a, max(pos) OVER f AS b, list(line) OVER
       FROM c WINDOW f AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {winnow.MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
 r AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY ls ORDER BY doc_id, a) AS nth
       FROM (SELECT DISTINCT doc_id, a, b, ls FROM w WHERE words >= {winnow.MIN_WORDS})),
-x AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.a AND r.b WHERE r.nth > 1),
+y AS (SELECT DISTINCT n.doc_id, n.pos FROM n JOIN r ON n.doc_id = r.doc_id AND n.pos BETWEEN r.a AND r.b
+      WHERE r.nth > 1 AND n.words > 0),
+g AS (SELECT n.doc_id, n.pos, CASE WHEN n.words > 0 THEN y.pos IS NOT NULL END AS gone
+      FROM n LEFT JOIN y ON n.doc_id = y.doc_id AND n.pos = y.pos),
+x AS (SELECT doc_id, pos FROM (
+        SELECT doc_id, pos, coalesce(gone, last_value(gone IGNORE NULLS) OVER before AND first_value(gone IGNORE NULLS) OVER after) AS gone
+        FROM g WINDOW before AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                      after AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE gone),
 k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL) AS text,
              count(x.pos) AS n_removed, count(*) AS n_lines
       FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY l.doc_id)

@@ -41,7 +41,7 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: _row, place (order of documents), pos, h, from_word, to_word."""
+    """One row per line with a word: _row, place (order of documents), pos, nth, h, from_word, to_word."""
     spaces = " \t\n\x0b\x0c\r"
     lines = (
         docs.select("_row", F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"),
@@ -52,7 +52,11 @@ def line_table(docs: DataFrame) -> DataFrame:
         .filter("words > 0")
     )
     upto = Window.partitionBy("_row").orderBy("pos")
-    return lines.withColumn("to_word", F.sum("words").over(upto)).withColumn("from_word", F.col("to_word") - F.col("words"))
+    return (
+        lines.withColumn("to_word", F.sum("words").over(upto))
+        .withColumn("from_word", F.col("to_word") - F.col("words"))
+        .withColumn("nth", F.row_number().over(upto))
+    )
 
 
 def _windows(min_words: int) -> tuple[WindowSpec, WindowSpec]:
@@ -69,11 +73,12 @@ def window_table(lines: DataFrame, min_words: int) -> DataFrame:
         out = out.withColumn(name, F.when(F.sum("words").over(w) >= min_words, F.struct(
             F.min(F.struct("h", "pos")).over(w).alias("finger"),
             F.min("pos").over(w).alias("a"), F.max("pos").over(w).alias("b"),
+            F.min("nth").over(w).alias("from_nth"), F.max("nth").over(w).alias("to_nth"),
             F.collect_list("g").over(w).alias("lines"))))
     return (
         out.select("_row", "place", F.explode(F.array("f", "b")).alias("w"))
         .filter("w IS NOT NULL")
-        .select("_row", "place", "w.a", "w.b", F.col("w.finger.h").alias("finger"), F.col("w.finger.pos").alias("at"),
+        .select("_row", "place", "w.a", "w.b", "w.from_nth", "w.to_nth", F.col("w.finger.h").alias("finger"), F.col("w.finger.pos").alias("at"),
                 F.xxhash64("w.lines").alias("extension"))
         # a window may be found from both of its ends
         .distinct()
@@ -81,7 +86,7 @@ def window_table(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeats(windows: DataFrame) -> DataFrame:
-    """The windows that are not the first with their lines: _row, a, b."""
+    """The windows that are not the first with their lines: _row, a, b, from_nth, to_nth."""
     first = (
         windows.groupBy("finger", "extension")
         .agg(F.min(F.struct("place", "a")).alias("first"), F.count("*").alias("n"))
@@ -90,15 +95,15 @@ def repeats(windows: DataFrame) -> DataFrame:
     return (
         windows.join(first, ["finger", "extension"])
         .filter(F.struct("place", "a") != F.col("first"))
-        .select("_row", "a", "b")
+        .select("_row", "a", "b", "from_nth", "to_nth")
     )
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """Per document the lines to delete, as maximal runs: _row, runs array<struct<a,b>>."""
+    """Per document the lines to delete, as runs without a kept line with a word: _row, runs array<struct<a,b>>."""
     w = Window.partitionBy("_row").orderBy("a", "b")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True))
+    starts = F.coalesce(F.col("from_nth") > F.max("to_nth").over(before) + 1, F.lit(True))
     return (
         found.withColumn("_new", starts.cast("int"))
         .withColumn("_run", F.sum("_new").over(w))
