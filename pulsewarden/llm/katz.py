@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewarden.llm.language import held_out
-from pulsewarden.llm.tokens import groups, hashes, mix, pair, utf8, words
+from pulsewarden.llm.tokens import GROUP, groups, hashes, mix, pair, utf8, words
 from pulsewarden.session import drop, materialize
 
 ORDER = 2
@@ -60,7 +60,7 @@ CUTOFFS = (1, 2)
 K = 5
 
 #: Tokens whose n-grams a task counts at once.
-TOKENS = 1 << 21
+TOKENS = 1 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 24 << 20
 
@@ -109,28 +109,36 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(_U)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], order: int, size: int):
-    """Tokens of about ``size`` at a time: columns of the rows, tokens, contexts, row of each token."""
-    held, rows, total = [], [], 0
+def _gather(batches: Iterator[pa.RecordBatch], order: int, size: int, keys_only: bool):
+    """About ``size`` tokens at a time: the texts' rids, text of each token, then arrays for each token.
+
+    Those are the keys of its n-grams by level, or the token and its contexts from level 2 on.
+    """
+    held, rids, total, texts = [], [], 0, 0
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        for i, j in groups(data, offsets):
+        for i, j in groups(data, offsets, min(GROUP, 4 * size)):
             base = offsets[i]
             token, contexts, doc = tokens(data[base: offsets[j]], offsets[i: j + 1] - base, order)
-            held.append((token, contexts, doc + sum(map(len, rows))))
-            rows.append(batch.column(1).slice(i, j - i))
-            total += len(token)
+            columns = [gram_key(c, token, n) for n, c in enumerate(contexts, 1)] if keys_only else [token, *contexts[1:]]
+            held.append([(doc + texts).astype(np.int32), *columns])
+            rids.append(batch.column(1).slice(i, j - i).to_numpy())
+            total, texts = total + len(token), texts + j - i
             if total >= size:
-                yield _joined(held, rows, order)
-                held, rows, total = [], [], 0
+                yield np.concatenate(rids), *_joined(held)
+                held, rids, total, texts = [], [], 0, 0
     if held:
-        yield _joined(held, rows, order)
+        yield np.concatenate(rids), *_joined(held)
 
 
-def _joined(held: list, rows: list, order: int):
-    token = np.concatenate([h[0] for h in held])
-    contexts = [np.concatenate([h[1][n] for h in held]) for n in range(order)]
-    return pa.chunked_array(rows).to_numpy(), token, contexts, np.concatenate([h[2] for h in held])
+def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of several parts as one; a part's memory goes as soon as it is copied."""
+    out = []
+    for k in range(len(held[0])):
+        out.append(np.concatenate([h[k] for h in held]))
+        for h in held:
+            h[k] = None
+    return out
 
 
 BLOCK = "shard int, n int, ctx array<long>, back array<long>, word array<long>, c array<long>"
@@ -141,9 +149,10 @@ def count_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
     """n-grams of ``docs`` (text, rid) counted by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, token, contexts, _ in _gather(batches, order, TOKENS):
+        for _, _, token, *contexts in _gather(batches, order, TOKENS, keys_only=False):
             for n in range(1, order + 1):
-                ctx, back = contexts[n - 1], contexts[max(0, n - 2)]
+                ctx = contexts[n - 2] if n > 1 else None
+                back = contexts[n - 3] if n > 2 else None
                 key = gram_key(ctx, token, n)
                 key, first, c = np.unique(key, return_index=True, return_counts=True)
                 shard = key % _U(shards)
@@ -312,11 +321,13 @@ def request_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
     """Each task's distinct n-grams by shard, with the texts that they lie in. ``docs``: text, rid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rid, token, contexts, doc in _gather(batches, order, TOKENS):
+        for rid, doc, *keys in _gather(batches, order, TOKENS, keys_only=True):
             for n in range(1, order + 1):
-                key = gram_key(contexts[n - 1], token, n)
-                by = np.lexsort((key, key % _U(shards)))
-                key, lies = key[by], doc[by].astype(np.int32)
+                key, keys[n - 1] = keys[n - 1], None
+                by = np.argsort(key, kind="stable")
+                by = by[np.argsort((key % _U(shards)).astype(np.int32)[by], kind="stable")]
+                key, lies = key[by], doc[by]
+                del by
                 new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 runs = np.diff(np.append(new, len(key))).astype(np.int32)
                 shard = key[new] % _U(shards)
