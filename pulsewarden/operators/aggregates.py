@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pulsewarden.functions.scalars import counter_severity
-from pulsewarden.operators.ordering import newest
+from pulsewarden.operators.ordering import numbered
+from pulsewarden.session import sized
 
 
 def latest_metrics(points: DataFrame, server: str | None = None) -> DataFrame:
@@ -82,24 +83,22 @@ def residual_stats(residuals: DataFrame, skip: str = "m", keys: Sequence[str] =
     )
 
 
-# 0.9 ** 7200 is below the smallest double, so older latencies add exactly 0.
-EMA_ROWS = 7200
-
-
 def inference_stats(calls: DataFrame, alpha: float = 0.1, keys: Sequence[str] = ("model_name",),
                     order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
     """Calls, time of the last call and moving average of latency (starting at 0) per model.
 
-    The average is a weighted sum over the newest calls: the i-th newest has weight
-    ``alpha * (1 - alpha) ** (i - 1)``.
+    The average is a weighted sum over all calls: the i-th newest has weight
+    ``alpha * (1 - alpha) ** (i - 1)``. Calls are numbered by place, without a window
+    over a model's calls, and summed on the map side.
     """
-    totals = calls.groupBy(*keys).agg(
+    totals = sized(calls.groupBy(*keys).agg(
         F.count("*").alias("inference_count"), F.max(order[0]).alias("last_inference_at")
-    )
-    recent = newest(calls.select(*keys, *order, "latency_ms"), EMA_ROWS, keys, order, rank="_i")
-    weight = alpha * F.pow(F.lit(1.0 - alpha), F.col("_i") - 1)
-    ema = recent.groupBy(*keys).agg(F.sum(F.col("latency_ms") * weight).alias("avg_latency_ms"))
-    return totals.join(ema, list(keys))
+    ))
+    rows = numbered(calls.select(*keys, *order, "latency_ms"), "_rn", keys, order).join(totals, list(keys))
+    weight = alpha * F.pow(F.lit(1.0 - alpha), F.col("inference_count") - F.col("_rn"))
+    return rows.groupBy(*keys).agg(
+        F.first("inference_count").alias("inference_count"), F.first("last_inference_at").alias("last_inference_at"),
+        F.sum(F.col("latency_ms") * weight).alias("avg_latency_ms"))
 
 
 def buffer_status(features: DataFrame, limit: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pulsewarden.config import DEFAULT_ACTION, DEFAULTS, SUGGESTED_ACTIONS, Sett
 from pulsewarden.functions import scalars as s
 from pulsewarden.operators.ordering import first_per_key
 from pulsewarden.schema import HORIZON_TYPE
-from pulsewarden.session import materialize, sized
+from pulsewarden.session import materialize
 
 ALERT_KEY = ("server_id", "metric_name", "severity")
 HOUR = 3_600_000_000
@@ -121,14 +121,13 @@ def _join_blocks(cooldown: int, fan: int):
 def _block_starts(tables: DataFrame, cooldown: int, keys: Sequence[str], key_ddl: str, low: int, high: int, fan: int) -> DataFrame:
     """Earliest time an alert may be sent in each block (``low`` … ``high``) of each key.
 
-    Up to ``fan`` blocks are chained directly. Longer histories are joined level by
-    level, ``fan`` blocks at a time, and resolved back down, so that no task sees
-    more than ``fan`` tables of a key.
+    Blocks are joined level by level, ``fan`` at a time, until a key has one, and resolved
+    back down, so that no task sees more than ``fan`` tables of a key.
     """
     fold, ddl = _fold_blocks(cooldown), f"{key_ddl}, block bigint, free bigint"
-    if high - low < fan:
+    if high == low:
         begin = F.lit(int(np.iinfo(np.int64).min))
-        return tables.withColumn("since", begin).groupBy(*keys).applyInPandas(fold, ddl)
+        return tables.select(*keys, "block", begin.alias("free"))
     tables = materialize(tables)
     parent = F.floor(F.col("block") / fan)
     table_ddl = f"{key_ddl}, block bigint, entries array<bigint>, exits array<bigint>"
@@ -272,8 +271,8 @@ class AlertRule:
 def match_rules(df: DataFrame, rules: Sequence[AlertRule], metric: str = "metric_name") -> DataFrame:
     """Rows with every enabled rule whose pattern fits the metric.
 
-    Patterns are tried once per distinct metric name; rows then meet their rules
-    by an equi-join on the name.
+    The rules are a short configured list, so each row tries them in passing: one pass
+    over the rows, no join.
     """
     columns = ("rule", "threshold", "rule_severity")
     enabled = [r for r in rules if r.enabled]
@@ -286,9 +285,8 @@ def match_rules(df: DataFrame, rules: Sequence[AlertRule], metric: str = "metric
             F.col(metric).rlike(s.glob_regex(r.metric_pattern)).alias("fits"),
         ) for r in enabled
     ])
-    names = df.select(metric).distinct()
-    matched = names.select(metric, F.inline(candidates)).filter("fits").drop("fits")
-    return df.join(sized(matched), metric)
+    fitting = F.filter(candidates, lambda r: r["fits"])
+    return df.drop(*columns).select("*", F.inline(fitting)).drop("fits")
 
 
 def apply_rules(detections: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
@@ -301,11 +299,10 @@ def dedupe_key(server: Column, metric: Column) -> Column:
 
 
 def dedupe_for_paging(alerts: DataFrame, minutes: int = DEFAULTS.dedup_minutes) -> DataFrame:
-    """First alert per paging key and stretch of ``minutes``."""
-    key = dedupe_key(F.col("server_id"), F.col("metric_name")).alias("dedup_key")
-    slot = F.window("timestamp", f"{minutes} minutes").start.alias("slot")
-    first = F.min_by(F.struct(*alerts.columns), F.struct("timestamp", "seq"))
-    return alerts.groupBy(key, slot).agg(first.alias("a")).select("dedup_key", "slot", "a.*")
+    """Alerts that page: none within ``minutes`` of the last one sent under the same key."""
+    keyed = alerts.withColumn("dedup_key", dedupe_key(F.col("server_id"), F.col("metric_name")))
+    never = ceil(60 / minutes)  # as many as the span itself lets through in an hour
+    return suppress(keyed, minutes, never, keys=("dedup_key",))
 
 
 def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log2
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,6 @@ from pulsewarden.operators.percentiles import exact_percentile
 from pulsewarden.session import materialize, spread
 
 _HASH_SPACE = 1 << 31
-_OVERSAMPLE = 1.5  # 128 spare rows per tree of 256: more than six standard deviations
 _NODE = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 
 
@@ -31,27 +30,23 @@ def average_path(n):
 
 
 def sample_per_tree(df: DataFrame, n_rows: int, id_col: str, n_trees: int, sample: int, seed: int) -> DataFrame:
-    """About ``sample`` rows for each tree, chosen by hashes of the row id.
+    """``sample`` rows for each tree, chosen by hashes of the row id.
 
-    A small table offers each row to every tree; a large one gives each drawn row to
-    a single tree, so a row is hashed once. Either way ``1.5 * sample * n_trees`` rows
-    leave the map side, and exactly the lowest ``sample`` hashes of a tree are kept.
+    A tree is offered each row with the same probability, for some eight standard
+    deviations more rows than it keeps: those with the lowest hashes. A row is first
+    hashed once, to see if any tree may have it, and only then once for each tree, so
+    the cost per row does not depend on the number of trees in a large table.
     """
     i = F.col(id_col)
 
     def draw(*salt) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), *salt, i), F.lit(_HASH_SPACE))
 
-    want = _OVERSAMPLE * sample
-    if n_rows > 4 * n_trees * sample:
-        cut = int(_HASH_SPACE * min(1.0, want * n_trees / n_rows))
-        offered = df.filter(draw(F.lit("row")) < cut).withColumn(
-            "tree", F.pmod(draw(F.lit("tree")), F.lit(n_trees)).cast("int")
-        )
-    else:
-        cut = int(_HASH_SPACE * min(1.0, want / max(n_rows, 1)))
-        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-        offered = df.withColumn("tree", F.explode(F.filter(trees, lambda t: draw(t) < cut)))
+    each = min(1.0, (sample + 8 * sqrt(sample) + 16) / max(n_rows, 1))
+    any_tree = min(1.0, n_trees * each)
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    chosen = F.filter(trees, lambda t: draw(t) < int(_HASH_SPACE * each / any_tree))
+    offered = df.filter(draw(F.lit("row")) < int(_HASH_SPACE * any_tree)).withColumn("tree", F.explode(chosen))
     # trees are few bytes and much work: keep them apart
     offered = offered.withColumn("_h", F.xxhash64(F.lit(seed + 1), "tree", i)).repartition(n_trees, "tree")
     lowest = F.row_number().over(Window.partitionBy("tree").orderBy("_h", id_col))
@@ -162,6 +157,9 @@ class IsolationForest(Detector):
         grown = drawn.select("tree", "_r", "vector").groupBy("tree").applyInPandas(_grow(self.seed, sample), _NODE)
         # at most n_trees * (2 * sample - 1) nodes, whatever the table holds
         nodes = grown.toPandas()
+        roots = nodes[nodes["node"] == 0]["size"]
+        if len(roots) < self.n_trees or (roots < sample).any():  # row ids that repeat, or no luck at all
+            raise ValueError(f"a tree has fewer than {sample} rows; is {self.id_col} unique?")
         depth = spread(rows).select(self._depth(nodes, sample)(F.col("vector")).alias("value"))
         # the percentile reads its input several times; the scores are worked out once
         offset = exact_percentile(materialize(depth), 100.0 * self.contamination).first()["percentile"]

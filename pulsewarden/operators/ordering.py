@@ -94,11 +94,9 @@ def chunked(
     rows, total = _placed(df, keys, order)
     chunk = F.floor(F.col(POS) / size)
     place = F.col(POS) % size
-    # Window work per byte is high, so the number of partitions follows the rows and
-    # is fixed: coalescing by bytes would leave too few.
-    spark = df.sparkSession
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = max(min(wide, -(-total // PARTITION_ROWS)), min(wide, spark.sparkContext.defaultParallelism))
+    # Window work per byte is high, so the number of partitions follows the rows, without
+    # an upper bound: coalescing by bytes would leave too few.
+    spread = max(-(-total // PARTITION_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-total // 1000)), 1)
     targets = F.filter(
         F.array(
             F.lit(0),
@@ -131,17 +129,14 @@ def first_per_key(
 ) -> DataFrame:
     """The first ``n`` rows of each key, so that no key meets in one task.
 
-    Each map task already drops what cannot be among the first n (raising Spark's
-    limit for that if needed). What is left is ranked per key and salt, and only the
-    survivors per key. The salt is the input split, so a task holds one salt.
+    Up to Spark's window group limit each map task already drops what cannot be among
+    the first n. Rows are ranked per key and salt, and only the survivors per key. The
+    salt is the input split, so a task holds one salt.
 
     ``keep_apart`` fixes the number of partitions for costly work per key: coalescing
     by bytes would put many keys in one task.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < n:
-        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(n))
-    salts = int(conf.get("spark.sql.shuffle.partitions"))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
     kept = salted.withColumn("_r", inner).filter(F.col("_r") <= n).drop("_r", "_salt")

@@ -4,74 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pulsewarden.session import sized
+from pulsewarden.session import materialize, sized
 
+#: Cells that a cell is cut into, and cells for each doubling of a value.
 BINS = 4096
+PER_DOUBLING = 4
+#: A cell with no more rows is counted by value.
+FEW = 1 << 16
 
 
-DIRECT_ROWS = 4_000_000  # Spark's own percentile keeps a group's distinct values in one task
+def magnitude_bin(x: Column) -> Column:
+    """Cell of a double: sign and size on a scale of doublings, whatever the range of the data.
 
+    Never falls as ``x`` grows, so a cell holds all values between any two of its own.
+    """
+    size = F.abs(x)
+    step = F.floor((F.log2(size) + 1075) * PER_DOUBLING) + 1
+    step = F.when(size == 0, 0).when(size == float("inf"), 2100 * PER_DOUBLING).otherwise(step)
+    return F.when(x < 0, -step).otherwise(step).cast("long")
+
+
+def _holding(counts: DataFrame, part: list[str], cell: str) -> DataFrame:
+    """The cells of ``counts`` in which an order statistic k0 or k1 lies, and the rows ahead of them."""
+    run = Window.partitionBy(*part).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumn("_ahead", F.col("_base") + F.coalesce(F.sum("_c").over(run), F.lit(0)))
+    return c.filter((F.col("_ahead") <= F.col("_k1")) & (F.col("_ahead") + F.col("_c") > F.col("_k0")))
 
-def exact_percentile(df: DataFrame, q: float, value: str = "value", keys: Sequence[str] = (),
-                     direct_rows: int = DIRECT_ROWS) -> DataFrame:
+
+def exact_percentile(df: DataFrame, q: float, value: str = "value", keys: Sequence[str] = (), few: int = FEW) -> DataFrame:
     """Percentile ``q`` (0–100) with linear interpolation, per key; NaN and null do not count.
 
-    Up to ``direct_rows`` rows Spark's ``percentile`` does it in one step. Beyond,
-    values are first counted in equal-width bins; only the bins holding the two
-    wanted order statistics are counted by value. Both counts are combined on the
-    map side, so repeated values and large groups cost nothing extra. One extra
-    level of bins keeps the last step small for heavily clustered data.
+    Values are counted in cells: first by magnitude, so that no outlier can stretch a
+    cell, then, while a wanted cell still has more than ``few`` rows, in ``BINS`` equal
+    parts of it; at the end by value. All counts are combined on the map side. Of the
+    cells, at most two per key are followed, and only those meet the rows again. What is
+    never cut further is a cell with one distinct value: it is one count.
 
-    Reads ``df`` several times. What travels to the rows between the steps has at
-    most two rows per key.
+    Reads ``df`` once for each step, two steps for most data.
     """
     x = F.col(value).cast("double")
-    key_cols = [F.col(k) for k in keys] or [F.isnan(x).cast("int").alias("_all")]
+    key_cols = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
     keys = list(keys) or ["_all"]
     rows = df.select(*key_cols, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if direct_rows and rows.count() <= direct_rows:
-        return rows.groupBy(*keys).agg(F.percentile("_x", F.lit(q / 100.0)).alias("percentile")).drop("_all")
-    span = rows.groupBy(*keys).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n")
-    )
-    rank = (F.col("_n") - 1) * (q / 100.0)
-    span = sized(span.withColumns({"_k0": F.floor(rank), "_k1": F.ceil(rank), "_w": rank - F.floor(rank)}))
+    size = [F.count("*").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
 
-    width = (F.col("_hi") - F.col("_lo")) / BINS
-    first = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(0)
-    lo1 = F.col("_lo") + F.col("_b1") * width
-    second = F.when(width > 0, F.greatest(F.lit(0), F.least(
-        F.floor((F.col("_x") - lo1) / (width / BINS)), F.lit(BINS - 1)))).otherwise(0)
-
-    binned = rows.join(span, keys).withColumn("_b1", first.cast("int"))
-    binned = binned.withColumn("_b2", second.cast("int"))
+    counts = materialize(rows.groupBy(*keys, magnitude_bin(F.col("_x")).alias("_cell")).agg(*size))
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    rank = (F.col("_n") - 1) * (q / 100.0)
+    total = total.select(*keys, F.floor(rank).alias("_k0"), F.ceil(rank).alias("_k1"), (rank - F.floor(rank)).alias("_w"))
+    counts = counts.join(total, keys).withColumn("_base", F.lit(0).cast("long"))
+    carry = ["_k0", "_k1", "_w"]
+    cells = sized(_holding(counts, keys, "_cell").select(*keys, *carry, "_lo", "_hi", "_c", F.col("_ahead").alias("_base")))
 
-    def wanted(counts: DataFrame, part: list[str], by: list[str]) -> DataFrame:
-        """Groups of ``counts`` that hold order statistic k0 or k1, and the rows ahead of them."""
-        run = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        c = counts.withColumn("_ahead", F.col("_base") + F.coalesce(F.sum("_c").over(run), F.lit(0)))
-        end = F.col("_ahead") + F.col("_c")
-        return c.filter((F.col("_ahead") <= F.col("_k1")) & (end > F.col("_k0")))
+    def inside() -> DataFrame:
+        """Rows in a followed cell. Cells of a key do not overlap."""
+        c = cells.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_c", "_rows")
+        same = [rows[k].eqNullSafe(c[f"_k_{k}"]) for k in keys]
+        within = (rows["_x"] >= c["_lo"]) & (rows["_x"] <= c["_hi"])
+        on = within
+        for s in same:
+            on = s & on
+        return rows.join(c, on).drop(*[f"_k_{k}" for k in keys])
 
-    carry = ["_k0", "_k1", "_w"]
-    level1 = sized(wanted(
-        binned.groupBy(*keys, *carry, "_b1").agg(F.count("*").alias("_c")).withColumn("_base", F.lit(0).cast("bigint")),
-        keys, ["_b1"],
-    ).select(*keys, "_b1", F.col("_ahead").alias("_base")))
-    inside1 = binned.join(level1, [*keys, "_b1"])
-    level2 = sized(wanted(
-        inside1.groupBy(*keys, *carry, "_b1", "_b2").agg(F.count("*").alias("_c"), F.first("_base").alias("_base")),
-        [*keys, "_b1"], ["_b2"],
-    ).select(*keys, "_b1", "_b2", F.col("_ahead").alias("_base")))
-    inside2 = binned.join(level2, [*keys, "_b1", "_b2"])
-    picked = wanted(
-        inside2.groupBy(*keys, *carry, "_b1", "_b2", "_x").agg(F.count("*").alias("_c"), F.first("_base").alias("_base")),
-        [*keys, "_b1", "_b2"], ["_x"],
-    )
-    out = picked.groupBy(*keys).agg(
-        F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.first("_w").alias("_w")
-    ).select(*keys, (F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_w")).alias("percentile"))
-    return out.drop("_all")
+    wide = (F.col("_c") > few) & (F.col("_lo") < F.col("_hi"))
+    while not cells.filter(wide).isEmpty():
+        # a border may round either way; the ends of a part are those of its values
+        part = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * BINS
+        part = F.when(F.col("_lo") < F.col("_hi"), F.least(F.floor(part), F.lit(BINS - 1))).otherwise(0)
+        finer = inside().groupBy(*keys, *carry, "_base", F.col("_lo").alias("_from"), part.alias("_cell")).agg(*size)
+        cells = sized(_holding(finer, [*keys, "_from"], "_cell").select(
+            *keys, *carry, "_lo", "_hi", "_c", F.col("_ahead").alias("_base")))
+    by_value = inside().groupBy(*keys, *carry, "_base", F.col("_lo").alias("_from"), "_x").agg(F.count("*").alias("_c"))
+    picked = _holding(by_value, [*keys, "_from"], "_x")
+    out = picked.groupBy(*keys).agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.first("_w").alias("_w"))
+    between = F.when(F.col("_x0") == F.col("_x1"), F.col("_x0")).otherwise(
+        F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_w"))
+    return out.select(*keys, between.alias("percentile")).drop("_all")

@@ -79,7 +79,17 @@ def ag8(spark, sf_dir):
 
 @query("ag8_percentile_binned", f"WITH {POINTS} SELECT name, {sql6('quantile_cont(value, 0.95)')} AS percentile FROM p GROUP BY name")
 def ag8_binned(spark, sf_dir):
-    d = exact_percentile(points(spark, sf_dir), 95.0, "value", ["name"], direct_rows=0)
+    d = exact_percentile(points(spark, sf_dir), 95.0, "value", ["name"], few=1)
+    return d.select("name", r6("percentile").alias("percentile"))
+
+
+@query("ag8_percentile_outlier", f"""WITH {POINTS}, x AS (SELECT name, value FROM p UNION ALL
+        SELECT name, CASE WHEN seq % 2 = 0 THEN 1e300 ELSE 'Infinity'::DOUBLE END FROM p WHERE seq % 100 = 7)
+    SELECT name, {sql6('quantile_cont(value, 0.95)')} AS percentile FROM x GROUP BY name""")
+def ag8_outlier(spark, sf_dir):
+    p = points(spark, sf_dir)
+    far = p.filter("seq % 100 = 7").select("name", F.when(F.col("seq") % 2 == 0, 1e300).otherwise(float("inf")).alias("value"))
+    d = exact_percentile(p.select("name", "value").unionByName(far), 95.0, "value", ["name"], few=100)
     return d.select("name", r6("percentile").alias("percentile"))
 
 
@@ -132,6 +142,16 @@ def ag10(spark, sf_dir):
     return d.select("model_name", "inference_count", ntz("last_inference_at").alias("last_inference_at"), r6("avg_latency_ms").alias("avg_latency_ms"))
 
 
+@query("ag10_inference_stats_slow", f"""WITH {POINTS}, t AS (SELECT 'all' AS model_name, timestamp, value,
+        row_number() OVER (ORDER BY timestamp DESC, seq DESC) - 1 AS age FROM p)
+    SELECT model_name, count(*) AS inference_count, max(timestamp) AS last_inference_at,
+           {sql6('sum(value * 0.0005 * power(0.9995, age))')} AS avg_latency_ms FROM t GROUP BY model_name""")
+def ag10_slow(spark, sf_dir):
+    calls = points(spark, sf_dir).select(F.lit("all").alias("model_name"), "timestamp", "seq", F.col("value").alias("latency_ms"))
+    d = ag.inference_stats(calls, 0.0005)
+    return d.select("model_name", "inference_count", ntz("last_inference_at").alias("last_inference_at"), r6("avg_latency_ms").alias("avg_latency_ms"))
+
+
 @query("ag11_buffer_status", f"WITH {POINTS} SELECT server_id, least(count(*), 1200) AS n_buffered FROM p GROUP BY server_id")
 def ag11(spark, sf_dir):
     return ag.buffer_status(points(spark, sf_dir), 1200).select("server_id", F.col("n_buffered").cast("bigint").alias("n_buffered"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulsewarden.functions import scalars as s
-from pulsewarden.operators import alerts as al, rolling
+from pulsewarden.operators import alerts as al, rolling, service
 from pulsewarden.operators.detectors.holtwinters import z_score
 from pulsewarden.plans.catalog import GRADED, POINTS, SEVERITY_SQL, VERDICTS, ntz, points, query, r6, sql6, verdicts
 from pulsewarden.plans.source_queries import ACTION, MESSAGE, _channels
+from pulsewarden.session import scratch_dir
 from pulsewarden.sinks import channels as ch
 
 _FRAME = "OVER (PARTITION BY server_id, name ORDER BY timestamp, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
@@ -81,12 +84,18 @@ def al3(spark, sf_dir):
 
 
 @query("al4_process_detections", f"""WITH RECURSIVE {GRADED}, {_fold_sql('g', 30, 50)}, k AS (SELECT g.* FROM g JOIN f USING (server_id, metric_name, severity, seq) WHERE f.emitted),
-    r AS (SELECT severity, unnest(['webhook', 'slack', 'pagerduty', 'email']) AS channel FROM k)
-    SELECT severity, channel, count(*) AS n_payloads FROM r GROUP BY ALL""")
+    a AS (SELECT 'alt_' || substr(sha256(concat_ws('|', server_id, metric_name, severity, epoch_us(timestamp)::VARCHAR, seq::VARCHAR)), 1, 12) AS alert_id,
+                 server_id, metric_name, severity FROM k)
+    SELECT *, unnest(['webhook', 'slack', 'pagerduty', 'email']) AS channel FROM a""")
 def al4(spark, sf_dir):
-    a = al.evaluate(verdicts(spark, sf_dir))
-    routed = ch.route_alerts(a, _channels())
-    return routed.join(a.select("alert_id", "severity"), "alert_id").groupBy("severity", "channel").agg(F.count("*").alias("n_payloads"))
+    """Detections go through the store twice; the second time adds nothing."""
+    store = f"{scratch_dir(spark)}/al4-{uuid.uuid4().hex}"
+    detections = verdicts(spark, sf_dir)
+    service.process_detections(detections, _channels(), store)
+    again = service.process_detections(detections, _channels(), store)
+    stored = spark.read.parquet(store)
+    routed = ch.route_alerts(stored, _channels()).unionByName(again)
+    return stored.select("alert_id", "server_id", "metric_name", "severity").join(routed.select("alert_id", "channel"), "alert_id")
 
 
 @query("al5_acknowledge", f"""WITH {GRADED}, k AS (SELECT obs FROM g WHERE server_id = 'srv-2')
@@ -97,11 +106,11 @@ def al5(spark, sf_dir):
     return al.acknowledge(alerts, acks).select(F.col("seq").alias("obs"), "acknowledged", "acknowledged_by")
 
 
-@query("al7_paging_dedupe", f"""WITH {GRADED} SELECT 'anomaly-' || server_id || '-' || metric_name AS dedup_key, time_bucket(INTERVAL 6 HOUR, timestamp) AS slot,
-    arg_min(seq, (timestamp, seq)) AS seq FROM g GROUP BY ALL""")
+@query("al7_paging_dedupe", f"""WITH RECURSIVE {GRADED}, d AS (SELECT seq, timestamp, server_id, metric_name, '' AS severity FROM g), {_fold_sql('d', 360, 1000)}
+    SELECT 'anomaly-' || server_id || '-' || metric_name AS dedup_key, seq FROM f WHERE emitted""")
 def al7(spark, sf_dir):
     alerts = al.build_alerts(al.grade(verdicts(spark, sf_dir)))
-    return al.dedupe_for_paging(alerts, 360).select("dedup_key", ntz("slot").alias("slot"), "seq")
+    return al.dedupe_for_paging(alerts, 360).select("dedup_key", "seq")
 
 
 @query("al3_metric_attribution", f"""WITH {POINTS}, h AS (SELECT server_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS step, name, max(value) AS score FROM p GROUP BY ALL),

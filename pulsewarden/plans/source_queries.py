@@ -15,7 +15,7 @@ from pulsewarden.plans.catalog import (
 from pulsewarden.schema import WIDE_METRICS
 from pulsewarden.session import shared_dir, spread
 from pulsewarden.sinks import channels as ch, stores
-from pulsewarden.sources import exposition, generate, messages, responses, tables
+from pulsewarden.sources import exposition, messages, responses, tables
 
 # ---- messages ----------------------------------------------------------------
 
@@ -221,21 +221,6 @@ def src7_wide(spark, sf_dir):
     return wide.select("server_id", ntz("timestamp").alias("timestamp"), *[F.col(m).alias(f"m_{m}") for m in _EVENTS])
 
 
-@query("src8_generate_metrics")
-def src8(spark, sf_dir):
-    servers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("server_id"))
-    df = generate.generate_metrics(servers, 288)
-    return df.groupBy("server_id").agg(
-        F.count("*").alias("n"), *[r6(F.avg(m)).alias(f"avg_{m}") for m in WIDE_METRICS])
-
-
-@query("src9_training_matrix")
-def src9(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
-    df = generate.generate_training_matrix(ids, ids.count())
-    return df.select("id", *[r6(m).alias(m) for m in WIDE_METRICS], "is_injected")
-
-
 _LATEST = f"""lm AS (SELECT server_id, name, arg_max(value, (timestamp, seq)) AS value FROM p GROUP BY ALL)"""
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,13 +23,36 @@ def get_spark(app: str = "pulsewarden", master: str | None = None, **conf) -> Sp
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers name it, and a worker need not have it installed.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="pulsewarden-")
+    path = Path(folder) / "pulsewarden.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+
+
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Only a local session, as in tests, may fall back to a folder of its own.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -101,14 +126,14 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Write a reduced table and broadcast it if it has at most ``max_rows`` rows.
+def sized(df: DataFrame) -> DataFrame:
+    """Write a reduced table, so that Spark plans by its written bytes.
 
     Before it has run, Spark can only guess an aggregate's size from its input, and
-    would shuffle the large side of a join with it. A larger table is joined by key.
+    would shuffle the large side of a join with it. Once written, a table below
+    ``spark.sql.autoBroadcastJoinThreshold`` is broadcast and a larger one joined by key.
     """
-    table = materialize(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    return materialize(df)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -79,8 +79,9 @@ class Slack(Channel):
             F.when(F.col("dashboard_url") != "", button),
         )
         head = F.to_json(F.struct(F.lit(self.channel).alias("channel"), F.lit(self.username).alias("username")))
+        # what follows the head takes the place of its closing brace
         return F.concat(
-            F.substring_index(head, "}", 1), F.lit(',"attachments":[{"color":"'), color,
+            head.substr(F.lit(1), F.length(head) - 1), F.lit(',"attachments":[{"color":"'), color,
             F.lit('","blocks":['), blocks, F.lit("]}]}"),
         )
 

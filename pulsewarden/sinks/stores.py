@@ -56,8 +56,8 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
     return dated.dropDuplicates(["alert_id"])
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append the alerts that are not stored yet, so a repeated batch adds nothing.
+def append_alerts(alerts: DataFrame, path: str) -> DataFrame:
+    """Append the alerts that are not stored yet, so a repeated batch adds nothing; returns those.
 
     Only the stored dates the batch touches are read.
     """
@@ -68,10 +68,12 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     if fs.exists(fs_path):
         days = rows.agg(F.min("alert_date"), F.max("alert_date")).first()
         if days[0] is None:
-            return
+            return rows
         stored = spark.read.parquet(path).filter(F.col("alert_date").between(*days))
-        rows = rows.join(stored.select("alert_id", "alert_date"), ["alert_id", "alert_date"], "left_anti")
+        # written before the store grows: what is new must not be asked again
+        rows = materialize(rows.join(stored.select("alert_id", "alert_date"), ["alert_id", "alert_date"], "left_anti"))
     rows.write.mode("append").partitionBy("alert_date").parquet(path)
+    return rows
 
 
 # ---- reports -----------------------------------------------------------------

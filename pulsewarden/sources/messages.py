@@ -72,26 +72,27 @@ def split_bad_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str = "infrastructure-metrics",
-               max_per_trigger: int = 500, starting: str = "latest", **options: str) -> DataFrame:
+               max_per_trigger: int | None = None, starting: str = "latest", **options: str) -> DataFrame:
     """Message stream of a Kafka topic; needs Spark's Kafka package on the classpath."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", starting)
-        .option("maxOffsetsPerTrigger", max_per_trigger)
     )
+    if max_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
 
 
-def read_message_files(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """The same from a folder of text files, one message per line."""
-    return (
-        spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
-        .withColumn("arrived", F.current_timestamp())
-    )
+def read_message_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same from a folder of text files, one message per line. Without a limit a trigger takes all."""
+    reader = spark.readStream.format("text")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path).withColumn("arrived", F.current_timestamp())
 
 
 def read_metric_stream(messages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ this module adds what needs a watermark, a sink or a static side.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -15,43 +15,49 @@ from pulsewarden.config import DEFAULTS, Settings
 from pulsewarden.functions import scalars as s
 from pulsewarden.operators import alerts as al, histograms as dr
 from pulsewarden.operators.detectors.base import Detector
-from pulsewarden.schema import ALERT_SCHEMA
-from pulsewarden.session import materialize, sized
+from pulsewarden.operators.ensemble import EnsembleRegistry, attach_forecast
+from pulsewarden.operators.service import store_and_route
+from pulsewarden.session import sized
 from pulsewarden.sinks import stores
+from pulsewarden.sinks.channels import Channel, write_payloads
 from pulsewarden.sources.messages import split_bad_records
 from pulsewarden.streaming.stateful import stream_features, stream_suppress
 
 
-def file_sink(df: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
+#: Take what there is and stop; pass ``{"processingTime": "10 seconds"}`` to keep running.
+ONCE = {"availableNow": True}
+
+
+def file_sink(df: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (), trigger: Mapping = ONCE) -> StreamingQuery:
     """Append to Parquet; the sink's log keeps a replayed batch from writing twice."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if by:
         writer = writer.partitionBy(*by)
-    return writer.trigger(availableNow=True).start(path)
+    return writer.trigger(**trigger).start(path)
 
 
-def write_split(parsed: DataFrame, good_path: str, bad_path: str, checkpoint: str) -> StreamingQuery:
+def write_split(parsed: DataFrame, good_path: str, bad_path: str, checkpoint: str, trigger: Mapping = ONCE) -> StreamingQuery:
     """Good points to one folder and rejected messages to another, from a single parse.
 
     A batch is written under its number, so a replay replaces it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        good, bad = split_bad_records(materialize(batch))
+        batch.persist()
+        good, bad = split_bad_records(batch)
         good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        batch.unpersist()
 
-    return (
-        parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def on_features(points: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, **kw) -> StreamingQuery:
+def on_features(points: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
+                trigger: Mapping = ONCE, **kw) -> StreamingQuery:
     """Call ``handler(feature rows, batch number)`` for every micro-batch."""
     return (
         stream_features(points, **kw).writeStream.foreachBatch(handler)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
@@ -71,13 +77,14 @@ def score_features(features: DataFrame, detector: Detector, names: Sequence[str]
 
 
 def detect_stream(points: DataFrame, detector: Detector, names: Sequence[str], path: str,
-                  checkpoint: str, **kw) -> StreamingQuery:
+                  checkpoint: str, trigger: Mapping = ONCE, **kw) -> StreamingQuery:
     """First half of live detection: points → features → score → stored detections."""
-    return file_sink(score_features(stream_features(points, **kw), detector, names), path, checkpoint)
+    return file_sink(score_features(stream_features(points, **kw), detector, names), path, checkpoint, trigger=trigger)
 
 
-def alert_stream(detections: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS) -> StreamingQuery:
-    """Second half: stored detections → suppression → alert store.
+def alert_stream(detections: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS,
+                 channels: Sequence[Channel] = (), payloads: str | None = None, trigger: Mapping = ONCE) -> StreamingQuery:
+    """Second half: stored detections → suppression → alert store → payloads of the channels.
 
     Alert ids depend on content only and stored ids are skipped, so a replayed batch
     changes nothing.
@@ -85,12 +92,57 @@ def alert_stream(detections: DataFrame, path: str, checkpoint: str, settings: Se
     passed = stream_suppress(al.grade(detections, settings), settings.cooldown_minutes, settings.max_alerts_per_hour)
 
     def write(batch: DataFrame, _: int) -> None:
-        alerts = al.build_alerts(batch, settings)
-        stores.append_alerts(alerts.select(*ALERT_SCHEMA.fieldNames()), path)
+        routed = store_and_route(al.build_alerts(batch, settings), channels, path)
+        if channels and payloads:
+            write_payloads(routed, payloads)
+
+    return passed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def ensemble_detections(features: DataFrame, registry: EnsembleRegistry, names: Sequence[str],
+                        sequence: DataFrame | None = None, smoothing: DataFrame | None = None) -> DataFrame:
+    """Feature maps of a batch → verdicts of all registered detectors, with forecast and metric.
+
+    Detectors score the vector of ``names``. Forecast tables have server_id, name and
+    forecast. A verdict's metric is the one whose feature lies farthest from the server's
+    mean feature of the same kind in this batch, in deviations.
+    """
+    rows = features.withColumn("vector", s.map_vector(F.col("features"), names)).withColumn(
+        "obs", F.xxhash64("server_id", "timestamp"))
+    verdicts = registry.detect(rows, {n: rows for n in registry.active}, ("obs",)).drop("error")
+    kind = F.regexp_extract("feature", r"_([a-z]+_\d+m)$", 1)
+    parts = rows.select("obs", F.explode("features").alias("feature", "x")).select(
+        "obs", F.regexp_replace("feature", r"_[a-z]+_\d+m$", "").alias("name"), "x", kind.alias("kind"))
+    usual = parts.groupBy("name", "kind").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
+    far = parts.join(usual, ["name", "kind"]).filter("sd > 0").groupBy("obs", "name").agg(
+        F.max(F.abs(F.col("x") - F.col("m")) / F.col("sd")).alias("score"))
+    named = al.attribute_metric(verdicts, far).join(rows.select("obs", "server_id", "timestamp"), "obs")
+    if sequence is not None or smoothing is not None:
+        named = attach_forecast(named.withColumnRenamed("metric_name", "name"), sequence, smoothing).withColumnRenamed("name", "metric_name")
+    return named.withColumnRenamed("obs", "seq")
+
+
+def live_stream(points: DataFrame, registry: EnsembleRegistry, names: Sequence[str], detections: str, checkpoint: str,
+                settings: Settings = DEFAULTS, sequence: DataFrame | None = None, smoothing: DataFrame | None = None,
+                trigger: Mapping = ONCE, **kw) -> StreamingQuery:
+    """First half with the whole ensemble: points → features → verdicts worth dispatching.
+
+    A batch is written under its number, so a replay replaces it; ``alert_stream`` does the
+    rest from there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        found = ensemble_detections(batch, registry, names, sequence, smoothing)
+        found = found.filter(s.dispatch_gate(F.col("is_anomaly"), F.col("anomaly_score")))
+        keep = ["server_id", "metric_name", "timestamp", "seq", "anomaly_score", "is_anomaly"]
+        keep += [c for c in ("prediction_horizon",) if c in found.columns]
+        found.select(*keep).write.mode("overwrite").parquet(f"{detections}/batch={number}")
+        batch.unpersist()
 
     return (
-        passed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        stream_features(points, **kw).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 

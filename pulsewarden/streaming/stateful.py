@@ -46,7 +46,7 @@ def stream_features(points: DataFrame, windows: Sequence[int] = DEFAULTS.windows
         if state.hasTimedOut:
             state.remove()
             return
-        names, rows = state.get if state.exists else ([], [])
+        names, rows, newest = state.get if state.exists else ([], [], 0)
         kept = {n: list(v) for n, v in zip(names, rows)}
         # a trigger may hold many points of a server, so batches are cut to what the
         # windows can still see
@@ -55,14 +55,15 @@ def stream_features(points: DataFrame, windows: Sequence[int] = DEFAULTS.windows
         for pdf in batches:
             start = pdf["timestamp"].min()
             first = start if first is None else min(first, start)
+            newest = max(newest, int(pdf["timestamp"].max().timestamp() * 1000))
             pending = pdf if pending is None else pd.concat([pending, pdf])
             pending = pending.sort_values(["timestamp", "seq"]).groupby("name", sort=False).tail(size)
         if pending is not None:
             for name, part in pending.groupby("name", sort=True):
                 kept[name] = (kept.get(name, []) + part["value"].tolist())[-size:]
-        state.update((list(kept), list(kept.values())))
-        idle = int(first.timestamp() * 1000) + idle_minutes * 60_000
-        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
+        state.update((list(kept), list(kept.values()), newest))
+        # silence counts from the newest point seen, however long a stretch a trigger brings
+        state.setTimeoutTimestamp(max(newest + idle_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         features = {}
         for name, values in kept.items():
             if len(values) < min_points:
@@ -80,7 +81,7 @@ def stream_features(points: DataFrame, windows: Sequence[int] = DEFAULTS.windows
     return rows.groupBy("server_id").applyInPandasWithState(
         step,
         "server_id string, timestamp timestamp, features map<string,double>",
-        "names array<string>, rows array<array<double>>",
+        "names array<string>, rows array<array<double>>, newest bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

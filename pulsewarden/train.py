@@ -10,19 +10,12 @@ from pulsewarden.operators.training import train_all
 from pulsewarden.schema import WIDE_CSV_SCHEMA, WIDE_METRICS
 from pulsewarden.session import get_spark
 from pulsewarden.sinks.stores import write_report
-from pulsewarden.sources.generate import generate_training_matrix
 from pulsewarden.sources.responses import flatten_range_matrix
 from pulsewarden.sources.tables import long_to_wide
 
 
-def load(spark, source: str, path: str | None, samples: int):
+def load(spark, source: str, path: str):
     """Wide training table of one source."""
-    if source == "synthetic":
-        rows = generate_training_matrix(spark.range(samples), samples)
-        stamp = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("id") * 300)
-        return rows.withColumns({"timestamp": stamp, "server_id": F.lit("synthetic")})
-    if not path:
-        raise SystemExit(f"--path is needed for {source}")
     if source == "csv":
         wide = spark.read.csv(path, schema=WIDE_CSV_SCHEMA, header=True)
     else:  # saved range responses: one JSON row with name and body per metric
@@ -33,15 +26,14 @@ def load(spark, source: str, path: str | None, samples: int):
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Train all detectors")
-    parser.add_argument("--source", choices=["responses", "csv", "synthetic"], default="synthetic")
-    parser.add_argument("--path")
-    parser.add_argument("--samples", type=int, default=5000)
+    parser.add_argument("--source", choices=["responses", "csv"], default="csv")
+    parser.add_argument("--path", required=True)
     parser.add_argument("--model-dir", required=True)
     parser.add_argument("--version", default="1.0.0")
     parser.add_argument("--output")
     args = parser.parse_args(argv)
     spark = get_spark("train")
-    report = train_all(load(spark, args.source, args.path, args.samples), WIDE_METRICS, args.model_dir, args.version)
+    report = train_all(load(spark, args.source, args.path), WIDE_METRICS, args.model_dir, args.version)
     if args.output:
         write_report(report, args.output)
     report.show(100, truncate=False)

@@ -210,13 +210,13 @@ def test_second_moments(spark):
 def test_exact_percentile(spark, values, q):
     df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "value double")
     want = pytest.approx(np.percentile(values, q), rel=1e-12, abs=1e-12)
-    assert exact_percentile(df, q, direct_rows=0).first()["percentile"] == want
+    assert exact_percentile(df, q, few=1).first()["percentile"] == want
     assert exact_percentile(df, q).first()["percentile"] == want
 
 
 def test_percentile_per_key(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("value"))
-    got = {r["k"]: r["percentile"] for r in exact_percentile(df, 50, keys=["k"], direct_rows=0).collect()}
+    got = {r["k"]: r["percentile"] for r in exact_percentile(df, 50, keys=["k"], few=10).collect()}
     assert got == {k: float(np.percentile(np.arange(k, 1000, 3), 50)) for k in range(3)}
 
 

@@ -11,7 +11,7 @@ from pulsewarden.functions import scalars as s
 from pulsewarden.operators import aggregates as ag, histograms as dr, metric_queries as mq
 from pulsewarden.schema import WIDE_METRICS
 from pulsewarden.sinks import stores
-from pulsewarden.sources import exposition, generate, messages, responses, tables
+from pulsewarden.sources import exposition, messages, responses, tables
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -63,33 +63,14 @@ def test_csv_gaps_become_means(spark, tmp_path):
     assert [r["a"] for r in got] == [1.0, 2.5, 2.5, 4.0] and {r["b"] for r in got} == {0.0}
 
 
-def test_wide_and_long_round_trip(spark):
-    servers = spark.createDataFrame([("a",), ("b",)], "server_id string")
-    wide = generate.generate_metrics(servers, 12)
+def test_wide_and_long_round_trip(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").limit(200).withColumn("n", F.monotonically_increasing_id())
+    wide = rows.select(F.timestamp_seconds("n").alias("timestamp"), F.lit("s").alias("server_id"),
+                       *[F.col("l_quantity").alias(m) for m in WIDE_METRICS]).cache()
     back = tables.long_to_wide(tables.wide_to_long(wide))
     assert {tuple(r) for r in back.select(*wide.columns).collect()} == {tuple(r) for r in wide.collect()}
 
 
-def test_generated_metrics_look_right(spark):
-    servers = spark.createDataFrame([(f"s{i}",) for i in range(5)], "server_id string")
-    pdf = generate.generate_metrics(servers, 2880).toPandas()
-    assert len(pdf) == 5 * 2880 and pdf["timestamp"].nunique() == 2880
-    assert (pdf[list(WIDE_METRICS)] >= 0).all().all() and pdf["cpu_usage"].max() <= 100 and pdf["memory_usage"].max() <= 100
-    hours = pdf["timestamp"].dt.hour
-    assert pdf[hours.between(9, 17)]["network_in"].mean() > pdf[~hours.between(9, 17)]["network_in"].mean()
-    again = generate.generate_metrics(servers.repartition(3), 2880).toPandas()
-    key = ["server_id", "timestamp"]
-    assert pdf.sort_values(key, ignore_index=True).equals(again.sort_values(key, ignore_index=True))
-
-
-def test_training_matrix_has_anomalies(spark):
-    pdf = generate.generate_training_matrix(spark.range(3000), 3000).toPandas().sort_values("id")
-    assert len(pdf) == 3000 and (pdf[list(WIDE_METRICS)] >= 0).all().all()
-    assert 0.03 < pdf["is_injected"].mean() < 0.35
-    calm = pdf[~pdf["is_injected"]]
-    assert calm["cpu_usage"].between(0, 100).all() and pdf["cpu_usage"].max() > 100
-
-
 def test_exposition_file(spark, tmp_path):
     latest = spark.createDataFrame([("s1", "cpu", 1.0), ("s2", "cpu", 2.345), ("s1", "mem", 3.0)], "server_id string, name string, value double")
     exposition.write_exposition(latest, str(tmp_path / "out"))
