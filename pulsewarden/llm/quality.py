@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
 from pulsewarden.llm.language import MAX_LANGUAGES
 from pulsewarden.llm.tokens import Words, groups, hashes, ngram_hashes, pair, utf8, words
+from pulsewarden.operators.ordering import first_per_key
+from pulsewarden.session import materialize
 
 #: Words of a language that its histogram tells apart.
 COMMON = 100
@@ -159,15 +160,14 @@ def references(docs: DataFrame, min_words: int = MIN_WORDS, common: int = COMMON
     rows = docs.select("text", "lang").filter("lang IS NOT NULL").mapInArrow(count, "lang string, word long, n long")
     kind = F.when(F.col("word").isNull(), F.col("n") % 16)
     n = F.when(F.col("word").isNull(), F.floor(F.col("n") / 16)).otherwise(F.col("n"))
-    totals = rows.groupBy("lang", "word", kind.alias("kind")).agg(F.sum(n).alias("n"))
-    best = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.col("n").desc(), "word", "kind")
-    top = (
-        totals.withColumn("r", F.row_number().over(best))
-        .withColumn("all", F.sum("n").over(Window.partitionBy("lang", F.col("word").isNull())))
-        .filter(F.col("r") <= max(common, CLASSES)).filter(f"word IS NULL OR r <= {common}")
-    )
+    totals = materialize(rows.groupBy("lang", "word", kind.alias("kind")).agg(F.sum(n).alias("n")))
+    vocabulary = totals.filter("word IS NOT NULL")
+    # each task ranks its own words first, so no language's vocabulary meets in one
+    best = first_per_key(vocabulary, common, ["lang"], [F.col("n").desc(), F.col("word")])
+    best = best.join(vocabulary.groupBy("lang").agg(F.sum("n").alias("all")), "lang")
+    top = best.unionByName(totals.filter("word IS NULL").withColumn("all", F.lit(0).cast("long")))
     found: dict[str, list] = {}
-    for r in top.limit((MAX_LANGUAGES + 1) * (common + CLASSES)).collect():
+    for r in top.limit((MAX_LANGUAGES + 1) * (common + CLASSES)).collect():  # more are an error, raised below
         found.setdefault(r["lang"], []).append(r)
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
