@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.scalars import nan_to_num
 from pulsewarden.operators.detectors.base import Detector
 from pulsewarden.operators.ordering import newest, numbered
+from pulsewarden.session import drop, materialize, sized
 
 KEYS = ("server_id", "name")
 _MODEL = (
@@ -20,53 +22,82 @@ _MODEL = (
 )
 
 
-def _smooth(y: np.ndarray, m: int, params: np.ndarray, keep: bool = False):
-    """Run the recursion for many (α, β, γ) at once; squared error after the first season.
+class Recursion:
+    """The recursion for many (α, β, γ) at once, fed with a series piece by piece.
 
-    Start: level and season of the first season, trend between the first two.
+    Start: level and season of the first season, trend between the first two. Errors
+    count from the second season on. What is kept is one season, whatever the length.
     """
-    a, b, g = params.T
-    first = y[:m]
-    level = np.full(len(params), first.mean())
-    trend = np.full(len(params), (y[m:2 * m].mean() - first.mean()) / m)
-    season = np.repeat((first - first.mean())[:, None], len(params), axis=1)
-    sse, errors = np.zeros(len(params)), []
-    for t, v in enumerate(y):
-        s = season[t % m]
-        base = level + trend
-        e = v - base - s
-        level = base + a * e
-        trend = trend + a * b * e
-        season[t % m] = s + g * e
-        if t >= m:
-            sse += e * e
-            if keep:
-                errors.append(e.copy())
-    return (sse, level, trend, season, np.array(errors)) if keep else sse
+
+    def __init__(self, m: int, params: np.ndarray):
+        self.m, self.params = m, params
+        self.head = np.zeros(0)
+        self.t, self.level = 0, None
+        self.sse, self.errors = np.zeros(len(params)), np.zeros(len(params))
+
+    def feed(self, y: np.ndarray) -> None:
+        if self.level is None:
+            self.head = np.concatenate([self.head, y])
+            if len(self.head) < 2 * self.m:
+                return
+            y, self.head = self.head, np.zeros(0)
+            first = y[: self.m]
+            self.level = np.full(len(self.params), first.mean())
+            self.trend = np.full(len(self.params), (y[self.m: 2 * self.m].mean() - first.mean()) / self.m)
+            self.season = np.repeat((first - first.mean())[:, None], len(self.params), axis=1)
+        a, b, g = self.params.T
+        for v in y:
+            s = self.season[self.t % self.m]
+            base = self.level + self.trend
+            e = v - base - s
+            self.level = base + a * e
+            self.trend = self.trend + a * b * e
+            self.season[self.t % self.m] = s + g * e
+            if self.t >= self.m:
+                self.sse += e * e
+                self.errors += e
+            self.t += 1
+
+    @property
+    def residual_std(self) -> np.ndarray:
+        n = self.t - self.m
+        return np.sqrt(np.maximum(self.sse / n - (self.errors / n) ** 2, 0.0))
+
+
+def season_of(n: int, seasonal_periods: int) -> int | None:
+    """Length of the season for ``n`` points; None if there are too few for two."""
+    m = seasonal_periods if n >= 2 * seasonal_periods else max(2, n // 2)
+    return m if n >= 2 * m else None
+
+
+ROUNDS, STEPS = 4, 5
+
+
+def grid(centre: np.ndarray, reach: float) -> np.ndarray:
+    axis = np.linspace(-reach, reach, STEPS)
+    return np.clip(centre + np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3), 0.0, 1.0)
 
 
 def fit_series(y: np.ndarray, seasonal_periods: int) -> dict | None:
-    """Smallest squared error over a coarse grid, refined around the best point."""
+    """Smallest squared error over a coarse grid, refined around the best point; for a series in memory."""
     y = np.nan_to_num(np.asarray(y, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
-    n = len(y)
-    m = seasonal_periods if n >= 2 * seasonal_periods else max(2, n // 2)
-    if n < 2 * m:
+    m = season_of(len(y), seasonal_periods)
+    if m is None:
         return None
-    centre, reach = np.array([0.5, 0.5, 0.5]), 0.49
-    best, best_sse = None, np.inf
-    for _ in range(4):
-        axis = np.linspace(-reach, reach, 5)
-        grid = centre + np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3)
-        grid = np.clip(grid, 0.0, 1.0)
-        sse = np.nan_to_num(_smooth(y, m, grid), nan=np.inf)
+    best, best_sse, reach = np.full(3, 0.5), np.inf, 0.49
+    for _ in range(ROUNDS):
+        r = Recursion(m, grid(best, reach))
+        r.feed(y)
+        sse = np.nan_to_num(r.sse, nan=np.inf)
         k = int(np.argmin(sse))
         if sse[k] < best_sse:
-            best, best_sse = grid[k], float(sse[k])
-        centre, reach = best, reach / 3
-    _, level, trend, season, errors = _smooth(y, m, best[None, :], keep=True)
+            best, best_sse = r.params[k], float(sse[k])
+        reach /= 3
+    r = Recursion(m, best[None, :])
+    r.feed(y)
     return {
-        "level": float(level[0]), "trend": float(trend[0]), "season": season[:, 0].tolist(),
-        "n": n, "m": m, "resid_std": float(np.std(errors[:, 0])), "sse": best_sse,
+        "level": float(r.level[0]), "trend": float(r.trend[0]), "season": r.season[:, 0].tolist(),
+        "n": len(y), "m": m, "resid_std": float(r.residual_std[0]), "sse": best_sse,
         "alpha": float(best[0]), "beta": float(best[1]), "gamma": float(best[2]),
     }
 
@@ -78,35 +109,80 @@ def forecast_at(h: Column) -> Column:
 
 
 class HoltWinters(Detector):
-    """Trained per series on its newest ``history`` points (the training buffer)."""
+    """Trained per series on all its points, or on its newest ``history`` (a training buffer)."""
 
     model_name = "holt_winters"
 
-    def __init__(self, seasonal_periods: int = DEFAULTS.seasonal_periods,
-                 history: int = 2 * DEFAULTS.min_samples, keys: Sequence[str] = KEYS,
-                 order: Sequence[str] = ("timestamp", "seq"), value: str = "value"):
+    def __init__(self, seasonal_periods: int = DEFAULTS.seasonal_periods, history: int | None = None,
+                 keys: Sequence[str] = KEYS, order: Sequence[str] = ("timestamp", "seq"), value: str = "value"):
         self.seasonal_periods, self.history = seasonal_periods, history
         self.keys, self.order, self.value = list(keys), list(order), value
         self.model = None
 
     def train(self, df: DataFrame) -> DataFrame:
-        keys, order, periods = self.keys, self.order, self.seasonal_periods
-        types = dict(df.dtypes)
+        """Refine (α, β, γ) in rounds; each is one pass over the series, in order of time.
+
+        A series passes through a task batch by batch, the recursion's state carried
+        along, so its length does not matter for memory. The points of a round's grid are
+        dealt over ``STEPS`` tasks for each series, so that few long series still use the
+        cluster.
+        """
+        keys, order, types = self.keys, self.order, dict(df.dtypes)
         key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
         rows = df.select(*keys, *order, nan_to_num(F.col(self.value)).alias("_y"))
-        buffer = newest(rows, self.history, keys, order, keep_apart=True)
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order)
-            found = fit_series(pdf["_y"].to_numpy(), periods)
-            columns = {k: [pdf[k].iloc[0]] for k in keys}
-            if found is None:
-                return pd.DataFrame({**columns, **{c.split()[0]: [None] for c in _MODEL.split(", ")}}).iloc[:0]
-            return pd.DataFrame({**columns, **{k: [v] for k, v in found.items()}})
-
-        self.model = buffer.groupBy(*keys).applyInPandas(fit, f"{key_ddl}, {_MODEL}")
+        if self.history is not None:
+            rows = newest(rows, self.history, keys, order, keep_apart=True)
+        rows = materialize(rows)
+        periods = F.lit(self.seasonal_periods)
+        m = F.when(F.col("n") >= 2 * periods, periods).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
+        best = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).withColumn("m", m.cast("int"))
+        best = best.filter("n >= 2 * m").select(
+            *keys, "n", "m", *[F.lit(0.5).alias(c) for c in ("alpha", "beta", "gamma")], F.lit(float("inf")).alias("sse"))
+        reach = 0.49
+        for _ in range(ROUNDS):
+            best = sized(best)
+            tried = self._pass(rows, best, reach, f"{key_ddl}, alpha double, beta double, gamma double, sse double")
+            both = best.select(*keys, "alpha", "beta", "gamma", "sse").unionByName(tried)
+            choice = both.groupBy(*keys).agg(F.min_by(
+                F.struct("alpha", "beta", "gamma", "sse"), F.struct("sse", "alpha", "beta", "gamma")).alias("_b"))
+            best = best.select(*keys, "n", "m").join(choice, keys).select(*keys, "n", "m", "_b.*")
+            reach /= 3
+        self.model = materialize(self._pass(rows, sized(best), None, f"{key_ddl}, {_MODEL}"))
+        drop(rows)
         return self.model
 
+    def _pass(self, rows: DataFrame, best: DataFrame, reach: float | None, ddl: str) -> DataFrame:
+        """Each series once through the recursion: the best of every part of the grid around
+        ``best``, or (without ``reach``) the model at ``best`` itself."""
+        keys, order = self.keys, self.order
+        parts = range(STEPS if reach else 1)
+        names = [c.strip().split()[0].strip("`") for c in ddl.split(",")]
+        todo = rows.join(best, keys).withColumn("_part", F.explode(F.array(*map(F.lit, parts))))
+        todo = todo.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", *order)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r, first = None, None
+            for batch in batches:
+                if r is None:
+                    first = batch.slice(0, 1).to_pylist()[0]
+                    params = np.array([[first["alpha"], first["beta"], first["gamma"]]])
+                    if reach:
+                        params = np.array_split(grid(params[0], reach), len(parts))[first["_part"]]
+                    r = Recursion(first["m"], params)
+                r.feed(batch.column("_y").to_numpy(zero_copy_only=False))
+            if r is None or r.level is None:
+                return
+            sse = np.nan_to_num(r.sse, nan=np.inf)
+            k = int(np.argmin(sse))
+            found = dict(zip(("alpha", "beta", "gamma"), map(float, r.params[k]))) | {"sse": float(sse[k])}
+            if not reach:
+                found |= {"level": float(r.level[k]), "trend": float(r.trend[k]), "season": r.season[:, k].tolist(),
+                          "n": first["n"], "m": first["m"], "resid_std": float(r.residual_std[k])}
+            yield pa.RecordBatch.from_pylist([{n: found.get(n, first.get(n)) for n in names}], schema=out)
+
+        out = to_arrow_schema(T.StructType.fromDDL(ddl))
+        return todo.groupBy(*keys, "_part").applyInArrow(run, ddl)
+
     def train_univariate(self, df: DataFrame, server: str, metric: str) -> DataFrame:
         """Fit a single series; the filter reaches the scan."""
         return self.train(df.filter((F.col("server_id") == server) & (F.col("name") == metric)))

@@ -33,7 +33,7 @@ def train_all(table: DataFrame, features: Sequence[str], base: str, version: str
     points = wide_to_long(table, ("timestamp", "server_id", "id"), features).withColumnRenamed("id", "seq")
 
     forest = IsolationForest(features, "id", settings.n_trees, settings.max_samples, settings.contamination, settings.seed)
-    smoothing = HoltWinters(seasonal_periods or settings.seasonal_periods, 2 * settings.min_samples)
+    smoothing = HoltWinters(seasonal_periods or settings.seasonal_periods)
     sequence = SequenceReconstruction(settings.sequence_length, percentile=settings.threshold_percentile)
     report = {}
     if forest.train(table) is not None:

@@ -116,7 +116,9 @@ def test_holt_winters_recovers_a_season():
     got = [m["level"] + h * m["trend"] + m["season"][(240 + h - 1) % 12] for h in range(1, 13)]
     assert np.abs(got - want).max() < 3
     coarse = np.array([[a, b, g] for a in (0.1, 0.5, 0.9) for b in (0.1, 0.5) for g in (0.1, 0.5)])
-    assert m["sse"] <= hw._smooth(y, 12, coarse).min() * 1.05
+    tried = hw.Recursion(12, coarse)
+    tried.feed(y)
+    assert m["sse"] <= tried.sse.min() * 1.05
 
 
 def test_holt_winters_short_and_flat_series():
@@ -152,6 +154,30 @@ def test_holt_winters_trains_on_the_newest_points(spark):
     assert d.model.first()["resid_std"] < 1
 
 
+def test_holt_winters_sees_every_point(spark):
+    """A season only in the old part of a long series; the series comes in several batches."""
+    t = np.arange(5000)
+    y = np.where(t < 2500, 50 + 10 * np.sin(2 * np.pi * t / 10), 50.0)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    m = hw.HoltWinters(10).train(points(spark, {"a": y, "b": y[::-1]}))
+    got = {r["server_id"]: r for r in m.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got["a"]["n"] == got["b"]["n"] == 5000
+    for name, values in (("a", y), ("b", y[::-1])):
+        want = hw.fit_series(values, 10)
+        for c in ("sse", "level", "trend", "resid_std", "alpha", "beta", "gamma"):
+            assert got[name][c] == pytest.approx(want[c], rel=1e-6, abs=1e-9)
+
+
+@pytest.mark.parametrize("sample", [8, 16, 64, 256])
+def test_every_tree_has_its_rows(spark, sample):
+    df = spark.range(3000).select("id", F.rand(1).alias("x"))
+    nodes = IsolationForest(["x"], "id", n_trees=50, max_samples=sample).train(df).toPandas()
+    roots = nodes[(nodes["tree"] >= 0) & (nodes["node"] == 0)]
+    assert len(roots) == 50 and (roots["size"] == sample).all()
+
+
 def test_z_border(spark):
     df = spark.createDataFrame([(2.8, 0.0, 1.0), (2.8001, 0.0, 1.0), (9.0, 0.0, 0.0)], "value double, forecast double, resid_std double")
     got = hw.z_score(df).collect()
