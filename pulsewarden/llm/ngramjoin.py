@@ -16,10 +16,16 @@ the first two shared tokens are either both frequent, a common pair, or one is r
 common token. The number of pairs of a set is bounded by indexing long sets by single
 tokens, with an overlap of lengths, so that any two that may link meet either way.
 
-Verification. Sets with a common key form a star around the one with the smallest id, and
-each is compared with that centre only. What it shares with the centre is kept as bits over
-the centre's tokens, what else it has as a list, so that any two sets of a star can be
-compared exactly from these. Those that link with the centre are one group. Only the
+Stars. The sets of a key are covered by stars, a centre and others, so that any two that may
+link are in one star. Whether they may is said by their prefixes alone: up to the smaller
+of their last tokens both are known, so the shared tokens so far, and the shorter of the
+rests, bound what they share. Most keys hold two sets that can't link, and end here. First
+the set with the smallest id is tried as the centre; keys where it leaves some out are
+then covered by as many stars as it takes, in tasks of bounded size.
+
+Verification. Each set of a star is compared with its centre. What it shares is kept as bits
+over the centre's tokens, what else it has as a list, so that any two sets of a star can
+be compared exactly from these. Those that link with the centre are one group. Only the
 others need more: they are compared with all others of their star, in blocks of bounded
 size against blocks, and links that join two groups are all that is emitted. So no link
 between groups is lost, and no list of pairs within a group is ever made.
@@ -53,6 +59,8 @@ FREQUENT = 256
 PAIRED = 65
 #: Sets in a block that is compared with another.
 BLOCK = 1024
+#: Sets of a key that are covered by stars at once.
+COVER = 256
 
 #: Slots that tokens are counted in, and those sent as one row.
 SLOT_BITS, ROW_BITS = 20, 14
@@ -104,7 +112,7 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = sum(c.values.to_numpy().reshape(-1, size).sum(0) for c in
                     (x for b in table.to_batches() for x in [b["counts"].slice(0)]) if len(c))
-        classes = np.ceil(np.log2(total + 1)).astype(np.int8)
+        classes = np.minimum(np.ceil(np.log2(total + 1)), 31).astype(np.int8)  # tokens stay positive longs
         return pa.table([table["part"][:1], pa.array([classes.tobytes()], pa.binary())], ["part", "classes"])
 
     out = np.zeros(1 << SLOT_BITS, np.int8)
@@ -167,7 +175,7 @@ def index_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> Dat
     overlap = percent * longest // 100
     index = sets.select("class", "size", F.explode("prefix").alias("token"))
     common = index.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    index = materialize(index.join(common, "token").withColumn("frequent", F.col("n") > frequent).drop("n"))
+    index = index.join(common, "token").withColumn("frequent", F.col("n") > frequent).drop("n")
     single = index.filter(~F.col("frequent") | (F.col("size") > overlap)).select(
         F.xxhash64("token").alias("key"), "class")
     many = (
@@ -179,10 +187,107 @@ def index_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> Dat
     return single.unionByName(many.select(F.explode(pairs).alias("key"), "class"))
 
 
-def stars(keys: DataFrame) -> DataFrame:
-    """Distinct centre and class, each centre with itself as well."""
-    centre = keys.groupBy("key").agg(F.min("class").alias("centre"), F.max("class").alias("last")).filter("centre < last")
-    return keys.join(centre.drop("last"), "key").select("centre", "class").distinct()
+def sketches(sets: DataFrame) -> DataFrame:
+    """class, size, last token and sketch (the upper halves of the tokens) of the prefixes."""
+    return sets.select("class", "size", F.element_at("prefix", F.lit(-1)).alias("last"),
+                       F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int")).alias("sketch"))
+
+
+def may_share(both: np.ndarray, size: tuple, last: tuple, length: tuple, below: tuple) -> np.ndarray:
+    """Upper bound of the tokens that two sets share.
+
+    ``both``: at least as many as their prefixes share. ``below``: at most as many of each
+    prefix as lie before the other's last token; all, if it is the longer.
+    """
+    known = [np.where(mine <= other, n, m) for mine, other, n, m in zip(last, last[::-1], length, below)]
+    return both + np.minimum(size[0] - known[0], size[1] - known[1])
+
+
+def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """centre, class and ``may`` (link) of pairs with size, last and sketch of both (``c_…`` the centre's)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, c_size, last, c_last = (batch.column(c).to_numpy().astype(np.int64) for c in ("size", "c_size", "last", "c_last"))
+            both, n, m, below, c_below = np.zeros((5, batch.num_rows), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("sketch"), batch.column("c_sketch"))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                at = np.searchsorted(y, x)
+                both[i] = (y[np.minimum(at, len(y) - 1)] == x).sum()
+                n[i], m[i] = len(x), len(y)
+                below[i], c_below[i] = np.searchsorted(x, c_last[i] >> 32), np.searchsorted(y, last[i] >> 32)
+            bound = may_share(both, (size, c_size), (last, c_last), (n, m), (below, c_below))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("centre"), batch.column("class"), pa.array(bound >= need(size, c_size, percent))],
+                ["centre", "class", "may"])
+
+    return pairs.mapInArrow(run, "centre long, class long, may boolean")
+
+
+def _cover(name: np.ndarray, size: np.ndarray, last: np.ndarray, sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Centre and member of stars that hold every two sets that may link."""
+    length = np.array([len(x) for x in sketch])
+    values, place = np.unique(np.concatenate(sketch), return_inverse=True)
+    counts = np.zeros((len(name), len(values)), np.float32)
+    np.add.at(counts, (np.repeat(np.arange(len(name)), length), place), 1)
+    both = np.rint(counts @ counts.T).astype(np.int64)
+    below = np.stack([np.searchsorted(x, last >> 32) for x in sketch])
+    bound = may_share(both, (size[:, None], size[None, :]), (last[:, None], last[None, :]),
+                      (length[:, None], length[None, :]), (below, below.T))
+    may = bound >= need(size[:, None], size[None, :], percent)
+    np.fill_diagonal(may, False)
+    open_, out = may.copy(), []
+    while open_.any():
+        centre = int(open_.sum(1).argmax())
+        star = np.append(np.flatnonzero(may[centre]), centre)
+        open_[np.ix_(star, star)] = False
+        out += [(int(name[centre]), int(name[k])) for k in star]
+    return out
+
+
+def cover_keys(rows: DataFrame, percent: int, shards: int) -> DataFrame:
+    """centre and class of stars over each (key, a, b) of ``rows``, which has class, size, last, sketch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, a, b, name, size, last = (table[c].to_numpy() for c in ("key", "a", "b", "class", "size", "last"))
+        by = np.lexsort((b, a, key))
+        key, a, b = key[by], a[by], b[by]
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        sketch = table["sketch"].combine_chunks()
+        sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
+        found: list[tuple[int, int]] = []
+        for i, j in zip(cuts, np.append(cuts[1:], len(by))):
+            own = by[i:j]
+            found += _cover(name[own], size[own].astype(np.int64), last[own], [sketch[int(k)].values.to_numpy() for k in own], percent)
+        found = sorted(set(found))
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["centre", "class"])
+
+    return rows.groupBy(F.pmod(F.xxhash64("key", "a", "b"), F.lit(shards)).alias("shard")).applyInArrow(run, "centre long, class long")
+
+
+def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) -> DataFrame:
+    """Distinct centre and class: any two classes with a common key that may link are in one star.
+
+    Each centre is in its star as well. ``keys``: key, class. ``sets``: class, size, prefix.
+    """
+    marks = materialize(sketches(sets))
+    lists = keys.groupBy("key").agg(F.min("class").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    rows = materialize(keys.join(lists, "key"))
+    pairs = rows.filter("class <> centre").select("centre", "class").distinct().join(marks, "class").join(
+        marks.select(F.col("class").alias("centre"), *[F.col(c).alias(f"c_{c}") for c in ("size", "last", "sketch")]), "centre")
+    tried = materialize(possible_pairs(pairs, percent))
+    # keys of three and more where someone can't link with the centre
+    left = rows.filter("n > 2").join(tried.filter("NOT may"), ["centre", "class"]).select("key").distinct()
+    again = rows.join(left, "key").withColumn("blocks", F.ceil(F.col("n") / cover).cast("int"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "class", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    shards = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cover_keys(again.join(marks, "class"), percent, shards)
+    star = materialize(tried.filter("may").select("centre", "class").unionByName(found).distinct())
+    drop(marks, rows, tried)
+    centres = star.select("centre").distinct().select("centre", F.col("centre").alias("class"))
+    return star.unionByName(centres).distinct()
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame, n: int, classes: Broadcast) -> DataFrame:
@@ -312,16 +417,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, classes: Broadcast,
-                   frequent: int = FREQUENT, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+                   frequent: int = FREQUENT, paired: int = PAIRED, block: int = BLOCK, cover: int = COVER) -> DataFrame:
     """class and root of all classes that link with another. ``sets``: class, rid, size, prefix."""
-    star = materialize(stars(index_keys(sets.filter(F.size("prefix") > 0).select("class", "size", "prefix"), percent, frequent, paired)))
+    some = sets.filter(F.size("prefix") > 0).select("class", "size", "prefix")
+    keys = materialize(index_keys(some, percent, frequent, paired))
+    star = materialize(stars(keys, some, percent, cover))
     wanted = star.groupBy("class").agg(F.collect_list("centre").alias("centres")).join(sets.select("class", "rid"), "class")
     tokens = materialize(_tokens(docs, wanted, n, classes))
     middle = tokens.filter(F.array_contains("centres", F.col("class"))).select(
         F.col("class").alias("centre"), F.col("tokens").alias("middle"))
     members = tokens.select(F.explode("centres").alias("centre"), "class", "tokens")
     compared = materialize(compare_with_centre(members, middle, percent))
-    drop(star, tokens)
+    drop(keys, star, tokens)
     more = link_blocks(blocks(compared, block), percent)
     links = compared.filter("linked AND class <> centre").select(F.col("centre").alias("x"), F.col("class").alias("y"))
     return components(materialize(links.unionByName(more)))

@@ -61,8 +61,9 @@ def near_copies(seed, families, size, vocabulary=60):
 
 @pytest.mark.parametrize("seed, words, percent, limits", [
     (1, 3, 90, {}),
-    (2, 3, 90, {"frequent": 2, "paired": 6, "block": 4}),
-    (3, 3, 80, {"frequent": 3, "paired": 12, "block": 3}),
+    (6, 3, 90, {"cover": 5}),
+    (2, 3, 90, {"frequent": 2, "paired": 6, "block": 4, "cover": 3}),
+    (3, 3, 80, {"frequent": 3, "paired": 12, "block": 3, "cover": 2}),
     (4, 5, 80, {"frequent": 1, "paired": 30, "block": 8}),
     (5, 3, 90, {"frequent": 2, "paired": 100, "block": 5}),
 ])
