@@ -112,7 +112,7 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
 def _gather(batches: Iterator[pa.RecordBatch], order: int, size: int, keys_only: bool):
     """About ``size`` tokens at a time: the texts' rids, text of each token, then arrays for each token.
 
-    Those are the keys of its n-grams by level, or the token and its contexts from level 2 on.
+    Those are the key of its n-gram of the highest order, or the token and its contexts from level 2 on.
     """
     held, rids, total, texts = [], [], 0, 0
     for batch in batches:
@@ -120,7 +120,7 @@ def _gather(batches: Iterator[pa.RecordBatch], order: int, size: int, keys_only:
         for i, j in groups(data, offsets, min(GROUP, 4 * size)):
             base = offsets[i]
             token, contexts, doc = tokens(data[base: offsets[j]], offsets[i: j + 1] - base, order)
-            columns = [gram_key(c, token, n) for n, c in enumerate(contexts, 1)] if keys_only else [token, *contexts[1:]]
+            columns = [gram_key(contexts[-1], token, order)] if keys_only else [token, *contexts[1:]]
             held.append([(doc + texts).astype(np.int32), *columns])
             rids.append(batch.column(1).slice(i, j - i).to_numpy())
             total, texts = total + len(token), texts + j - i
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
     size = total + vocabulary + 1
     table = [lower.select(
         F.lit(1).alias("n"), "ctx", "word", F.log10("p").alias("score"), F.log10((F.col("c") + 1) / size).alias("base"))]
-    alphas, start = [], 0.0
+    alphas, used, start = [], [], 0.0
     for n in range(2, order + 1):
         own = grams.filter(F.col("n") == n).withColumn("d", discounted(n))
         totals = (
@@ -289,6 +289,7 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
         )
         lower = own.join(left, "ctx").select("ctx", "word", "c", "q", "alpha", (F.col("d") / F.col("all")).alias("p"))
         lower = materialize(lower) if n < order else lower
+        used += [own, left, *([lower] if n < order else [])]
         table.append(lower.select(F.lit(n).alias("n"), "ctx", "word",
                                   (F.log10("p") - F.col("alpha") - F.log10("q")).alias("score"), F.lit(0.0).alias("base")))
         opening = left.filter(F.col("ctx") == _signed(begin_context(n))).first()
@@ -309,73 +310,68 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
     for part in done[1:]:
         model = model.unionByName(part)
     model = materialize(model, "n")
-    drop(grams)
+    drop(grams, *used)
     left_over = 1 - t["d"] / whole
     return Katz(model, order, shards, total, float(np.log10(left_over)), float(start), float(-np.log10(size)))
 
 
-REQUEST = "shard int, n int, rid long, texts int, key array<long>, runs array<int>, doc array<int>"
+REQUEST = "shard int, rid long, texts int, key array<long>, runs array<int>, doc array<int>"
 
 
-def request_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
+def request_blocks(docs: DataFrame, n: int, shards: int) -> DataFrame:
     """Each task's distinct n-grams by shard, with the texts that they lie in. ``docs``: text, rid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rid, doc, *keys in _gather(batches, order, TOKENS, keys_only=True):
-            for n in range(1, order + 1):
-                key, keys[n - 1] = keys[n - 1], None
-                by = np.argsort(key, kind="stable")
-                by = by[np.argsort((key % _U(shards)).astype(np.int32)[by], kind="stable")]
-                key, lies = key[by], doc[by]
-                del by
-                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                runs = np.diff(np.append(new, len(key))).astype(np.int32)
-                shard = key[new] % _U(shards)
-                ids, cuts = np.unique(shard, return_index=True)
-                cuts = np.append(cuts, len(new))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), n, np.int32)),
-                    pa.array(np.full(len(ids), rid[0])), pa.array(np.full(len(ids), len(rid), np.int32)),
-                    _lists(key[new], cuts), _lists(runs, cuts), _lists(lies, np.append(new, len(key))[cuts])],
-                    ["shard", "n", "rid", "texts", "key", "runs", "doc"])
+        for rid, doc, key in _gather(batches, n, TOKENS, keys_only=True):
+            by = np.argsort(key, kind="stable")
+            by = by[np.argsort((key % _U(shards)).astype(np.int32)[by], kind="stable")]
+            key, lies = key[by], doc[by]
+            del by
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            runs = np.diff(np.append(new, len(key))).astype(np.int32)
+            shard = key[new] % _U(shards)
+            ids, cuts = np.unique(shard, return_index=True)
+            cuts = np.append(cuts, len(new))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids.astype(np.int32)),
+                pa.array(np.full(len(ids), rid[0])), pa.array(np.full(len(ids), len(rid), np.int32)),
+                _lists(key[new], cuts), _lists(runs, cuts), _lists(lies, np.append(new, len(key))[cuts])],
+                ["shard", "rid", "texts", "key", "runs", "doc"])
 
     return docs.mapInArrow(run, REQUEST)
 
 
-def score(docs: DataFrame, model: Katz) -> DataFrame:
-    """rid, n_tokens, n_known, base_score, score of ``docs`` (text, rid; rids follow each other in a partition)."""
-    order, unknown, unknown_base = model.order, model.unknown, model.unknown_base
+SUMS = "rid long, score double, base_score double, n_tokens long, n_known long"
+
+
+def level_sums(docs: DataFrame, model: Katz, n: int) -> DataFrame:
+    """What the n-grams of one order add to each text: a row for each text and shard."""
     shards = model.shards
+    unknown, unknown_base = (model.unknown, model.unknown_base) if n == 1 else (0.0, 0.0)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for n in range(1, order + 1):
-            own = known.filter(pa.compute.equal(known["n"], n))
-            keys = own["key"].to_numpy().view(_U)
-            by = np.argsort(keys)
-            keys = keys[by]
-            values = [own[c].to_numpy()[by] for c in ("score", "base")]
-            part = asked.filter(pa.compute.equal(asked["n"], n))
-            for row in part.to_batches():
-                for i in range(row.num_rows):
-                    rid, texts = row["rid"][i].as_py(), row["texts"][i].as_py()
-                    key, runs, doc = (row[c][i].values.to_numpy() for c in ("key", "runs", "doc"))
-                    key = key.view(_U)
-                    at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                    found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                    s = np.where(found, values[0][at] if len(keys) else 0.0, unknown if n == 1 else 0.0)
-                    total = sums.setdefault((rid, texts), np.zeros((4, texts)))
-                    total[0] += np.bincount(doc, np.repeat(s, runs), texts)
-                    if n == 1:
-                        b = np.where(found, values[1][at] if len(keys) else 0.0, unknown_base)
-                        total[1] += np.bincount(doc, np.repeat(b, runs), texts)
-                        total[2] += np.bincount(doc, minlength=texts)
-                        total[3] += np.bincount(doc, np.repeat(found.astype(float), runs), texts)
+        keys = known["key"].to_numpy().view(_U)
+        by = np.argsort(keys)
+        keys = keys[by]
+        values = [known[c].to_numpy()[by] for c in ("score", "base")]
         rids, rows = [np.zeros(0, np.int64)], [np.zeros((4, 0))]
-        for (rid, texts), total in sums.items():
-            some = np.flatnonzero(total.any(0))
-            rids.append(rid + some)
-            rows.append(total[:, some])
+        for row in asked.to_batches():
+            for i in range(row.num_rows):
+                rid, texts = row["rid"][i].as_py(), row["texts"][i].as_py()
+                key, runs, doc = (row[c][i].values.to_numpy() for c in ("key", "runs", "doc"))
+                key = key.view(_U)
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                total = np.zeros((4, texts))
+                for k, other in ((0, unknown), (1, unknown_base))[: 2 if n == 1 else 1]:
+                    x = np.where(found, values[k][at] if len(keys) else 0.0, other)
+                    total[k] = np.bincount(doc, np.repeat(x, runs), texts)
+                if n == 1:
+                    total[2] = np.bincount(doc, minlength=texts)
+                    total[3] = np.bincount(doc, np.repeat(found.astype(float), runs), texts)
+                some = np.flatnonzero(total.any(0))
+                rids.append(rid + some)
+                rows.append(total[:, some])
         rid, total = np.concatenate(rids), np.concatenate(rows, 1)
         return pa.table([pa.array(rid), pa.array(total[0]), pa.array(total[1]), pa.array(total[2].astype(np.int64)),
                          pa.array(total[3].astype(np.int64))], ["rid", "score", "base_score", "n_tokens", "n_known"])
@@ -385,13 +381,24 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
         import pandas as pd
         return pd.Series((key.to_numpy().view(_U) % _U(shards)).astype(np.int32))
 
-    asked = request_blocks(docs, order, shards)
-    values = model.table.select(shard("key").alias("shard"), "n", "key", "score", "base")
-    parts = asked.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(
-        answer, "rid long, score double, base_score double, n_tokens long, n_known long")
+    asked = request_blocks(docs, n, shards)
+    known = model.table.filter(F.col("n") == n).select(shard("key").alias("shard"), "key", "score", "base")
+    parts = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, SUMS)
     return parts.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens", "n_known")])
 
 
+def score(docs: DataFrame, model: Katz) -> DataFrame:
+    """rid, n_tokens, n_known, base_score, score of ``docs`` (text, rid; rids follow each other in a partition).
+
+    One level after the other, so that the n-grams of one order are on disk at a time.
+    """
+    total = None
+    for n in range(1, model.order + 1):
+        sums = materialize(level_sums(docs, model, n))
+        total = sums if total is None else total.unionByName(sums)
+    return total.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens", "n_known")])
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k: int = K, parts: int = 7,
               held: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without its text, with held_out, n_tokens, n_known, train_tokens, base_score, score.
