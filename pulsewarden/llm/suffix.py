@@ -50,6 +50,9 @@ LENGTH = 200
 Q = 64
 #: Starts looked at together.
 PIECE = 1 << 16
+#: Parts, by their identifiers, in which strings are counted one after the other: all of
+#: them, but what is shuffled for a part is gone before the next.
+PARTS = 2
 
 _U = np.uint64
 
@@ -200,21 +203,26 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "bucket", "one.rid", "one.lo", "one.hi", (F.col("n") > 1).alias("done")))
     drop(found, covers)
     strings = materialize(_edges(docs, edges.select("rid", "lo", "hi", "bucket"), length))
-    again = strings.groupBy("bucket", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    single = strings.join(again, ["bucket", "string"]).select(
-        "rid", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    spans = materialize(single)
+    spans = []
+    for part in range(PARTS):
+        own = strings.filter(F.pmod("string", F.lit(PARTS)) == part)
+        again = own.groupBy("bucket", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        spans.append(materialize(own.join(again, ["bucket", "string"]).select(
+            "rid", F.col("at").alias("a"), (F.col("at") + length).alias("b"))))
     drop(strings)
     w = Window.partitionBy("rid").orderBy("a", "b")
     new = F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    every = whole
+    for part in spans:
+        every = every.unionByName(part)
     runs = (
-        whole.unionByName(spans).withColumn("_new", new.cast("int"))
+        every.withColumn("_new", new.cast("int"))
         .withColumn("_run", F.sum("_new").over(w))
         .groupBy("rid", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
         .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
     )
     runs = materialize(runs)
-    drop(whole, spans, edges)
+    drop(whole, *spans, edges)
     return runs
 
 
