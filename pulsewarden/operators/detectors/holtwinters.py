@@ -133,10 +133,7 @@ class HoltWinters(Detector):
         if self.history is not None:
             rows = newest(rows, self.history, keys, order, keep_apart=True)
         rows = materialize(rows)
-        periods = F.lit(self.seasonal_periods)
-        m = F.when(F.col("n") >= 2 * periods, periods).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
-        best = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).withColumn("m", m.cast("int"))
-        best = best.filter("n >= 2 * m").select(
+        best = self._lengths(rows).select(
             *keys, "n", "m", *[F.lit(0.5).alias(c) for c in ("alpha", "beta", "gamma")], F.lit(float("inf")).alias("sse"))
         reach = 0.49
         for _ in range(ROUNDS):
@@ -151,6 +148,23 @@ class HoltWinters(Detector):
         drop(rows)
         return self.model
 
+    def train_at(self, df: DataFrame, alpha: float, beta: float, gamma: float) -> DataFrame:
+        """The model with given smoothing parameters: one pass."""
+        keys, types = self.keys, dict(df.dtypes)
+        rows = df.select(*keys, *self.order, nan_to_num(F.col(self.value)).alias("_y"))
+        best = self._lengths(rows).select("*", *[F.lit(float(x)).alias(c) for c, x in (
+            ("alpha", alpha), ("beta", beta), ("gamma", gamma))])
+        key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+        self.model = materialize(self._pass(rows, sized(best), None, f"{key_ddl}, {_MODEL}"))
+        return self.model
+
+    def _lengths(self, rows: DataFrame) -> DataFrame:
+        """Points and season (n, m) of the series that have two seasons."""
+        periods = F.lit(self.seasonal_periods)
+        m = F.when(F.col("n") >= 2 * periods, periods).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
+        n = rows.groupBy(*self.keys).agg(F.count("*").cast("int").alias("n"))
+        return n.withColumn("m", m.cast("int")).filter("n >= 2 * m")
+
     def _pass(self, rows: DataFrame, best: DataFrame, reach: float | None, ddl: str) -> DataFrame:
         """Each series once through the recursion: the best of every part of the grid around
         ``best``, or (without ``reach``) the model at ``best`` itself."""

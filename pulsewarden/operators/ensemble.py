@@ -65,12 +65,14 @@ def any_flag(detections: DataFrame, obs: Sequence[str] = ("obs",)) -> DataFrame:
     )
 
 
+#: What the methods tell besides the verdict.
+DETAILS = ("models", "total_weight", "anomaly_count", "flagging_models")
 METHODS = {"weighted": weighted, "majority": majority, "any": any_flag}
 
 
 def ensemble(observations: DataFrame, detections: DataFrame, method: str = DEFAULTS.ensemble_method,
              obs: Sequence[str] = ("obs",), **kw) -> DataFrame:
-    """Verdict for every observation; one no model scored gets 0 and an error note."""
+    """Verdict for every observation, with the method's details; one no model scored gets 0 and an error note."""
     verdict = METHODS.get(method, weighted)(detections, obs=obs, **kw)
     known = observations.select(*obs).distinct()
     joined = known.join(verdict, list(obs), "left")
@@ -80,6 +82,7 @@ def ensemble(observations: DataFrame, detections: DataFrame, method: str = DEFAU
         F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"),
         F.lit(method if method in METHODS else "weighted").alias("method"),
         F.coalesce("n_models", F.lit(0)).alias("n_models"),
+        *[c for c in DETAILS if c in verdict.columns],
         F.when(F.col("n_models").isNull(), "no trained models in ensemble").alias("error"),
     )
 

@@ -11,14 +11,14 @@ from pulsewarden.operators import ordering as o
 
 
 def counter_rate(samples: DataFrame, span: str = "5 minutes", keys: Sequence[str] = o.KEYS,
-                 order: Sequence[str] = o.ORDER) -> DataFrame:
+                 order: Sequence[str] = o.ORDER, chunk_rows: int = 1 << 16) -> DataFrame:
     """Per-second increase of a counter in each stretch of ``span``.
 
     A drop is a reset and counts from zero. The rate is the increase divided by the
     time between the first and last sample; one sample alone gives no rate.
     """
     rows = samples.select(*keys, *order, "value").withColumn("_w", F.window(order[0], span).start)
-    chunks = o.chunked(rows, 1, 0, keys, order)
+    chunks = o.chunked(rows, 1, 0, keys, order, chunk_rows)
     w = o.chunk_window(keys)
     before, slot = F.lag("value").over(w), F.lag("_w").over(w)
     step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
@@ -41,17 +41,27 @@ def rate_by_label(samples: DataFrame, label: str, span: str = "5 minutes", how:
     return rates.groupBy("window_start", F.col("_l").alias(label)).agg(fn("rate").alias(f"{how}_rate"))
 
 
-def by_label(samples: DataFrame, label: str, how: str = "sum", value: str = "value") -> DataFrame:
+def instants(samples: DataFrame, step: str = "5 minutes", value: str = "value") -> DataFrame:
+    """The newest sample of each series in each step. A series is a server, a name and its labels."""
+    series = F.to_json(F.array_sort(F.map_entries("labels")))
+    last = samples.groupBy("server_id", "name", series.alias("_s"), F.window("timestamp", step).start.alias("step")).agg(
+        F.max_by(value, F.struct("timestamp", "seq")).alias(value), F.first("labels").alias("labels"))
+    return last.drop("_s")
+
+
+def by_label(samples: DataFrame, label: str, how: str = "sum", value: str = "value", step: str = "5 minutes") -> DataFrame:
+    """Sum (or another aggregate) over the series with the same label, at each step."""
     fn = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[how]
-    return samples.groupBy(F.col("labels")[label].alias(label)).agg(fn(value).alias(f"{how}_{value}"))
+    rows = instants(samples, step, value)
+    return rows.groupBy("step", F.col("labels")[label].alias(label)).agg(fn(value).alias(f"{how}_{value}"))
 
 
 def ratio(samples: DataFrame, part: Column, whole: Column, by: Sequence[str], value: str = "value",
-          scale: float = 1.0) -> DataFrame:
-    """Sum over the ``part`` rows divided by the sum over the ``whole`` rows, in one pass."""
+          scale: float = 1.0, step: str = "5 minutes") -> DataFrame:
+    """At each step, the sum over the ``part`` series divided by that over the ``whole`` ones, in one pass."""
     top = F.sum(F.when(part, F.col(value)).otherwise(0.0))
     base = F.sum(F.when(whole, F.col(value)).otherwise(0.0))
-    return samples.groupBy(*by).agg((F.try_divide(top, base) * scale).alias("ratio"))
+    return instants(samples, step, value).groupBy("step", *by).agg((F.try_divide(top, base) * scale).alias("ratio"))
 
 
 def gauge(samples: DataFrame, name: str) -> DataFrame:

@@ -266,13 +266,13 @@ def readiness(points: DataFrame, ready: int = DEFAULTS.ready_points,
 
 def sequences(points: DataFrame, length: int, value: str = "value",
               keys: Sequence[str] = o.KEYS, order: Sequence[str] = o.ORDER,
-              horizon: int = 0) -> DataFrame:
+              horizon: int = 0, chunk_rows: int = 1 << 16) -> DataFrame:
     """Overlapping windows of ``length`` values ending at each point (stride 1).
 
     With ``horizon`` the next values are attached as ``target``; only complete
     windows and targets are kept.
     """
-    chunks = o.chunked(points.select(*keys, *order, value), length - 1, horizon, keys, order)
+    chunks = o.chunked(points.select(*keys, *order, value), length - 1, horizon, keys, order, chunk_rows)
     spec = o.chunk_window(keys)
     df = chunks.withColumn("sequence", F.collect_list(value).over(spec.rowsBetween(-(length - 1), 0)))
     keep = F.size("sequence") == length

@@ -234,8 +234,8 @@ def en3(spark, sf_dir):
 
 
 @query("en4_dispatch", f"""WITH {DETECTIONS}, k AS (SELECT * FROM d WHERE model_name IN ('lstm_autoencoder', 'custom_model')),
-    a AS (SELECT obs, avg(anomaly_score) AS s, sum(is_anomaly::INT) > count(*) / 2 AS f, count(*) AS n FROM k GROUP BY obs)
-    SELECT p.seq AS obs, {sql6('coalesce(s, 0.0)')} AS anomaly_score, coalesce(f, false) AS is_anomaly, 'majority' AS method, coalesce(n, 0) AS n_models,
+    a AS (SELECT obs, avg(anomaly_score) AS s, sum(is_anomaly::INT) > count(*) / 2 AS f, sum(is_anomaly::INT) AS c, count(*) AS n FROM k GROUP BY obs)
+    SELECT p.seq AS obs, {sql6('coalesce(s, 0.0)')} AS anomaly_score, coalesce(f, false) AS is_anomaly, 'majority' AS method, coalesce(n, 0) AS n_models, c AS anomaly_count,
            CASE WHEN n IS NULL THEN 'no trained models in ensemble' END AS error FROM p LEFT JOIN a ON p.seq = a.obs""")
 def en4(spark, sf_dir):
     seen = points(spark, sf_dir).select(F.col("seq").alias("obs"))
@@ -369,22 +369,30 @@ def _labelled(spark, sf_dir):
         F.when(F.col("name") == "error", "500").otherwise("200")))
 
 
-@query("pq2_sum_by_label", f"WITH {POINTS} SELECT 'i-' || (user_id % 50) AS instance, {sql6('sum(value)')} AS sum_value FROM p GROUP BY ALL")
+_INSTANTS = """i AS (SELECT server_id, name, 'i-' || (user_id % 50) AS instance, time_bucket(INTERVAL 1 DAY, timestamp) AS step,
+    arg_max(value, (timestamp, seq)) AS value FROM p GROUP BY ALL)"""
+
+
+@query("pq2_sum_by_label", f"WITH {POINTS}, {_INSTANTS} SELECT step, instance, {sql6('sum(value)')} AS sum_value FROM i GROUP BY ALL")
 def pq2(spark, sf_dir):
-    return mq.by_label(_labelled(spark, sf_dir), "instance", "sum").withColumn("sum_value", r6("sum_value"))
+    d = mq.by_label(_labelled(spark, sf_dir), "instance", "sum", step="1 day")
+    return d.select(ntz("step").alias("step"), "instance", r6("sum_value").alias("sum_value"))
 
 
-@query("pq2_avg_by_label", f"WITH {POINTS} SELECT 'i-' || (user_id % 50) AS instance, {sql6('avg(value)')} AS avg_value FROM p GROUP BY ALL")
+@query("pq2_avg_by_label", f"WITH {POINTS}, {_INSTANTS} SELECT step, instance, {sql6('avg(value)')} AS avg_value FROM i GROUP BY ALL")
 def pq2_avg(spark, sf_dir):
-    return mq.by_label(_labelled(spark, sf_dir), "instance", "avg").withColumn("avg_value", r6("avg_value"))
+    d = mq.by_label(_labelled(spark, sf_dir), "instance", "avg", step="1 day")
+    return d.select(ntz("step").alias("step"), "instance", r6("avg_value").alias("avg_value"))
 
 
-@query("pq3_error_ratio", f"WITH {POINTS} SELECT server_id, {sql6('''100 * sum(value) FILTER (name = 'error') / sum(value)''')} AS ratio FROM p GROUP BY ALL")
+@query("pq3_error_ratio", f"""WITH {POINTS}, {_INSTANTS} SELECT step, server_id,
+    {sql6('100 * coalesce(sum(value) FILTER (name = \'error\'), 0) / sum(value)')} AS ratio FROM i GROUP BY ALL""")
 def pq3(spark, sf_dir):
     from pulsewarden.functions.scalars import label_filter
 
     failed = label_filter(F.col("labels"), matches={"status": "5.."})
-    return mq.ratio(_labelled(spark, sf_dir), failed, F.lit(True), ["server_id"], scale=100.0).withColumn("ratio", r6("ratio"))
+    d = mq.ratio(_labelled(spark, sf_dir), failed, F.lit(True), ["server_id"], scale=100.0, step="1 day")
+    return d.select(ntz("step").alias("step"), "server_id", r6("ratio").alias("ratio"))
 
 
 @query("pq4_gauge", f"WITH {POINTS} SELECT server_id, seq, value FROM p WHERE name = 'view'")

@@ -58,17 +58,19 @@ def _dense(spark, sf_dir):
     return v.select("seq", "timestamp", F.lit("all").alias("server_id"), "metric_name", s.severity(F.col("anomaly_score")).alias("severity"))
 
 
-def _emitted(name: str, minutes: int, cap: int):
+def _emitted(name: str, minutes: int, cap: int, **kw):
     @query(name, f"WITH RECURSIVE {_DENSE}, {_fold_sql('c', minutes, cap)} SELECT seq, metric_name, severity FROM f WHERE emitted")
     def run(spark, sf_dir):
-        return al.suppress(_dense(spark, sf_dir), minutes, cap).select("seq", "metric_name", "severity")
+        return al.suppress(_dense(spark, sf_dir), minutes, cap, **kw).select("seq", "metric_name", "severity")
 
     return run
 
 
 _emitted("al1_cooldown", 30, 50)
 _emitted("al1_long_cooldown", 240, 50)
+_emitted("al1_cooldown_levels", 30, 50, fan=2)
 _emitted("al2_hourly_cap", 5, 2)
+_emitted("al2_cap_levels", 5, 2, fan=3)
 _emitted("al2_cap_without_cooldown", 0, 3)
 
 

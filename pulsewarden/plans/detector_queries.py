@@ -131,34 +131,170 @@ def sq4(spark, sf_dir):
     return rows.select("server_id", "name", "step", r6("x").alias("forecast"))
 
 
-@query("en6_registry_detect")
-def en6(spark, sf_dir):
-    """Forest over line items and a z-score per part, registered and combined."""
-    f, lines = forest(spark, sf_dir)
+# ---- the arithmetic at fixed models ---------------------------------------------------
+
+@query("if1_forest_invariants", """WITH n AS (SELECT least(256, count(*))::INT AS n FROM lineitem)
+    SELECT i::INT AS tree, n AS n_rows, n::BIGINT AS n_in_leaves, true AS shallow, true AS binary FROM n, range(100) t(i)""")
+def if1_invariants(spark, sf_dir):
+    f, _ = forest(spark, sf_dir)
+    nodes = f.model.filter("tree >= 0")
+    leaf = F.col("feature") < 0
+    return nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).alias("n_rows"),
+        F.sum(F.when(leaf, F.col("size"))).cast("long").alias("n_in_leaves"),
+        (F.max("depth") <= 8).alias("shallow"),
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary"))
 
-    class ByQuantity:
-        model = True
 
-        @staticmethod
-        def score(df):
-            s = F.least(F.lit(1.0), F.col("l_quantity") / 50.0)
-            return df.withColumns({"anomaly_score": s, "is_anomaly": s > 0.7})
+@query("if1_contamination", "SELECT round(0.05 * count(*)) AS n_expected, true AS near FROM lineitem")
+def if1_contamination(spark, sf_dir):
+    f, lines = forest(spark, sf_dir, contamination=0.05)
+    n = f.score(lines).agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("hit"))
+    want = F.round(F.col("n") * 0.05)
+    return n.select(want.alias("n_expected"), (F.abs(F.col("hit") - want) <= 0.02 * F.col("n")).alias("near"))
+
+
+# tree, node, feature, threshold, left, right, size, depth; the first row has offset and sample size
+_NODES = [
+    (-1, 0, -1, -0.5, -1, -1, 256, 0),
+    (0, 0, 0, 25.0, 1, 2, 256, 0), (0, 1, -1, 0.0, -1, -1, 100, 1), (0, 2, 1, 30000.0, 3, 4, 156, 1),
+    (0, 3, -1, 0.0, -1, -1, 150, 2), (0, 4, -1, 0.0, -1, -1, 6, 2),
+    (1, 0, 2, 0.05, 1, 2, 256, 0), (1, 1, 3, 0.03, 3, 4, 254, 1), (1, 2, -1, 0.0, -1, -1, 2, 1),
+    (1, 3, -1, 0.0, -1, -1, 1, 2), (1, 4, -1, 0.0, -1, -1, 253, 2),
+]
+
+
+def _path_sql(n: int) -> str:
+    return "0.0" if n <= 1 else "1.0" if n == 2 else f"(2 * (ln({n - 1}.0) + 0.57721566490153286) - 2.0 * {n - 1} / {n})"
+
+
+def _descent_sql(tree: int, names) -> str:
+    """Path length of a row in a tree of ``_NODES``, as nested CASE."""
+    nodes = {r[1]: r for r in _NODES if r[0] == tree}
+
+    def at(k: int) -> str:
+        _, _, feature, cut, left, right, size, depth = nodes[k]
+        return f"{depth} + {_path_sql(size)}" if feature < 0 else f"CASE WHEN {names[feature]} <= {cut} THEN {at(left)} ELSE {at(right)} END"
+
+    return f"({at(0)})"
+
+
+_RAW = f"(0.5 - power(2.0, -({_descent_sql(0, LINE_FEATURES)} + {_descent_sql(1, LINE_FEATURES)}) / (2 * {_path_sql(256)})))"
 
-    registry = en.EnsembleRegistry()
-    registry.register("isolation_forest", f)
-    registry.register("by_quantity", ByQuantity(), 0.3)
-    out = registry.detect(lines, {n: lines for n in registry.active}, obs=("id",))
-    return out.select("id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "method", "n_models")
 
+def fixed_forest(spark, features=LINE_FEATURES, id_col="id"):
+    f = IsolationForest(features, id_col)
+    f.model = spark.createDataFrame(_NODES, "tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
+    return f
 
-@query("en6_active_models", "SELECT ps.p_partkey, 'isolation_forest' AS active FROM part ps")
-def en6_active(spark, sf_dir):
+
+@query("if2_fixed_forest", f"""SELECT l_orderkey, l_linenumber, l_partkey, {sql6(_RAW)} AS raw_score,
+    {sql6(f'least(1.0, greatest(0.0, 0.5 - {_RAW}))')} AS anomaly_score, {_RAW} < 0 AS is_anomaly FROM lineitem""")
+def if2_fixed(spark, sf_dir):
+    scored = fixed_forest(spark).score(_lines(spark, sf_dir))
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", r6("raw_score").alias("raw_score"),
+                         r6("anomaly_score").alias("anomaly_score"), "is_anomaly")
+
+
+_A, _B, _G = 0.3, 0.1, 0.2
+_SMOOTH = f"""y AS MATERIALIZED (SELECT server_id, name, value, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY server_id, name) AS n
+        FROM p WINDOW w AS (PARTITION BY server_id, name ORDER BY timestamp, seq)),
+    q AS (SELECT *, CASE WHEN n >= 48 THEN 24 ELSE greatest(2, n // 2) END AS m FROM y),
+    i AS (SELECT server_id, name, n, m, avg(value) FILTER (t < m) AS level,
+                 (avg(value) FILTER (t >= m AND t < 2 * m) - avg(value) FILTER (t < m)) / m AS trend,
+                 list(value ORDER BY t) FILTER (t < m) AS first FROM q WHERE n >= 2 * m GROUP BY server_id, name, n, m),
+    r AS (SELECT server_id, name, n, m, 0::BIGINT AS t, level, trend, list_transform(first, lambda x: x - level) AS season, 0.0::DOUBLE AS sse, 0.0::DOUBLE AS es FROM i
+      UNION ALL
+      SELECT r.server_id, r.name, r.n, r.m, r.t + 1, level + trend + {_A} * e, trend + {_A} * {_B} * e,
+             season[1:r.t % r.m] || [season[r.t % r.m + 1] + {_G} * e] || season[r.t % r.m + 2:],
+             sse + CASE WHEN r.t >= r.m THEN e * e ELSE 0 END, es + CASE WHEN r.t >= r.m THEN e ELSE 0 END
+      FROM (SELECT r.*, y.value - r.level - r.trend - r.season[r.t % r.m + 1] AS e
+            FROM r JOIN y ON y.server_id = r.server_id AND y.name = r.name AND y.t = r.t) r)"""
+_FITTED = f"""SELECT server_id, name, n::INT AS n, m::INT AS m, {sql6('level')} AS level, {sql6('trend')} AS trend, {sql6('season[1]')} AS first_season,
+    {sql6('sse')} AS sse, {sql6('sqrt(greatest(0, sse / (n - m) - power(es / (n - m), 2)))')} AS resid_std FROM r WHERE t = n"""
+
+
+def _fitted(m):
+    return m.select("server_id", "name", "n", "m", r6("level").alias("level"), r6("trend").alias("trend"),
+                    r6(F.element_at("season", 1)).alias("first_season"), r6("sse").alias("sse"), r6("resid_std").alias("resid_std"))
+
+
+@query("hw1_fixed_smoothing", f"WITH RECURSIVE {POINTS}, {_SMOOTH} {_FITTED}")
+def hw1_fixed(spark, sf_dir):
+    return _fitted(HoltWinters(24).train_at(points(spark, sf_dir), _A, _B, _G))
+
+
+@query("hw4_fixed_smoothing", f"WITH RECURSIVE {POINTS}, {_SMOOTH} {_FITTED} AND server_id = 'srv-1' AND name = 'view'")
+def hw4_fixed(spark, sf_dir):
+    one = points(spark, sf_dir).filter("server_id = 'srv-1' AND name = 'view'")
+    return _fitted(HoltWinters(24).train_at(one, _A, _B, _G))
+
+
+_MEAN, _SCALE = (40.0, 45.0, 50.0, 55.0), (10.0, 20.0, 30.0, 40.0)
+_LAGS = f"""g AS (SELECT server_id, name, seq, row_number() OVER w AS rn, {', '.join(f'lag(value, {3 - i}) OVER w AS v{i}' for i in range(4))}
+    FROM p WINDOW w AS (PARTITION BY server_id, name ORDER BY timestamp, seq)),
+    z AS (SELECT *, {', '.join(f'(v{i} - {_MEAN[i]}) / {_SCALE[i]} AS z{i}' for i in range(4))} FROM g WHERE rn >= 4),
+    b AS (SELECT *, (z0 + z1 + z2 + z3) / 2 AS a, (z0 - z1 + z2 - z3) / 2 AS d FROM z),
+    e AS (SELECT *, (power(z0 - (a + d) / 2, 2) + power(z1 - (a - d) / 2, 2) + power(z2 - (a + d) / 2, 2) + power(z3 - (a - d) / 2, 2)) / 4 AS err FROM b)"""
+
+
+@query("sq2_fixed_reconstruction", f"""WITH {POINTS}, {_LAGS} SELECT server_id, name, seq, {sql6('err')} AS reconstruction_error,
+    {sql6('least(1.0, err / 1.4)')} AS anomaly_score, err > 0.7 AS is_anomaly FROM e""")
+def sq2_fixed(spark, sf_dir):
+    d = SequenceReconstruction(4, 2)
+    basis = [0.5, 0.5, 0.5, -0.5, 0.5, 0.5, 0.5, -0.5]
+    d.model = spark.createDataFrame([(list(_MEAN), list(_SCALE), basis, 1, 0.7)],
+                                    "mean array<double>, scale array<double>, basis array<double>, n_sequences long, threshold double")
+    scored = d.score(d.windows(points(spark, sf_dir)))
+    return scored.select("server_id", "name", "seq", r6("reconstruction_error").alias("reconstruction_error"),
+                         r6("anomaly_score").alias("anomaly_score"), "is_anomaly")
+
+
+@query("sq4_fixed_forecast", f"""WITH {POINTS}, g AS (SELECT server_id, name, row_number() OVER (PARTITION BY server_id, name ORDER BY timestamp DESC, seq DESC) AS k, value FROM p),
+    x AS (SELECT server_id, name, coalesce(max(value) FILTER (k = 3), 0) - 50 AS a, coalesce(max(value) FILTER (k = 2), 0) - 50 AS b,
+                 max(value) FILTER (k = 1) - 50 AS c FROM g GROUP BY ALL)
+    SELECT server_id, name, 0 AS step, {sql6('51 + 0.5 * a + 0.3 * b + 0.2 * c')} AS forecast FROM x
+    UNION ALL SELECT server_id, name, 1, {sql6('52 + 0.1 * a + 0.2 * b + 0.7 * c')} FROM x""")
+def sq4_fixed(spark, sf_dir):
+    f = SequenceForecaster(3, 2)
+    f.model = spark.createDataFrame([([1.0, 2.0, 0.5, 0.1, 0.3, 0.2, 0.2, 0.7], 50.0)], "weights array<double>, pivot double")
+    rows = f.forecast(points(spark, sf_dir)).select("server_id", "name", F.posexplode("forecast").alias("step", "x"))
+    return rows.select("server_id", "name", "step", r6("x").alias("forecast"))
+
+
+_POINT_NODES = ("value", "hour", "value", "hour")
+_POINT_RAW = f"(0.5 - power(2.0, -({_descent_sql(0, _POINT_NODES)} + {_descent_sql(1, _POINT_NODES)}) / (2 * {_path_sql(256)})))"
+
+
+@query("en6_two_detectors", f"""WITH {POINTS}, {MODELS}, h AS (SELECT *, hour(timestamp)::DOUBLE AS hour FROM p),
+    f AS (SELECT seq, least(1.0, greatest(0.0, 0.5 - {_POINT_RAW})) AS s FROM h),
+    j AS (SELECT p.seq, coalesce(least(1.0, CASE WHEN resid_std > 0 THEN abs(value - {_FORECAST.format(h=1)}) / resid_std END / 4), 0.0) AS s FROM p JOIN hm USING (server_id, name))
+    SELECT f.seq, {sql6('(0.7 * f.s + 0.2 * j.s) / 0.9')} AS anomaly_score, 2 AS n_models, {sql6('0.9')} AS total_weight FROM f JOIN j USING (seq)""")
+def en6_two(spark, sf_dir):
+    """A forest and a smoothing model, one weight overridden on registration; an untrained one has no say."""
+    p = points(spark, sf_dir).withColumn("hour", F.hour("timestamp").cast("double"))
+    smoothing = HoltWinters()
+    smoothing.model = hour_models(p)
     registry = en.EnsembleRegistry()
-    trained, untrained = IsolationForest(["p_retailprice"], "p_partkey"), HoltWinters()
-    trained.model = table(spark, sf_dir, "part")
-    registry.register("isolation_forest", trained)
-    registry.register("holt_winters", untrained)
-    return table(spark, sf_dir, "part").select("p_partkey", F.lit(",".join(registry.active)).alias("active"))
+    registry.register("isolation_forest", fixed_forest(spark, _POINT_NODES, "seq"), 0.7)
+    registry.register("holt_winters", smoothing)
+    registry.register("lstm_autoencoder", SequenceReconstruction())
+    out = registry.detect(p, {n: p for n in registry.active}, obs=("seq",))
+    return out.select("seq", r6("anomaly_score").alias("anomaly_score"), F.col("n_models").cast("int").alias("n_models"),
+                      r6("total_weight").alias("total_weight"))
+
+
+@query("snk5_fixed_report", f"""WITH RECURSIVE {POINTS}, {_SMOOTH}, w AS ({_FITTED}),
+    f AS (SELECT count(*)::DOUBLE AS n, avg({_RAW}) AS m, stddev_pop({_RAW}) AS sd, avg(({_RAW} < 0)::INT) AS rate FROM lineitem),
+    k AS (SELECT count(*)::DOUBLE AS n, avg(resid_std) AS sd FROM w)
+    SELECT 'isolation_forest' AS model, unnest(['n_samples', 'n_features', 'score_mean', 'score_std', 'anomaly_rate']) AS metric,
+           unnest([{', '.join(sql6(x) for x in ('n', '4.0', 'm', 'sd', 'rate'))}]) AS value FROM f
+    UNION ALL SELECT 'holt_winters', unnest(['n_series', 'residual_std']), unnest([{sql6('n')}, {sql6('sd')}]) FROM k""")
+def snk5_fixed(spark, sf_dir):
+    summary = ag.training_metrics(fixed_forest(spark).score(_lines(spark, sf_dir)), len(LINE_FEATURES))
+    hw = _fitted(HoltWinters(24).train_at(points(spark, sf_dir), _A, _B, _G)).agg(
+        F.count("*").alias("n_series"), F.avg("resid_std").alias("residual_std"))
+    return report_rows(isolation_forest=summary, holt_winters=hw).withColumn("value", r6("value"))
 
 
 @query("snk5_training_report")

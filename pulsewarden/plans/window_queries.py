@@ -64,6 +64,14 @@ def w1_default(spark, sf_dir):
                      *[r6(n).alias(n) for n in _names((5, 15, 60))])
 
 
+@query("w1_across_chunks", f"WITH {POINTS} {_features_sql((12, 36, 144), 1)}")
+def w1_chunks(spark, sf_dir):
+    """Frames that fill, in chunks that end inside a series."""
+    df = rolling.rolling_features(points(spark, sf_dir), (12, 36, 144), points_per_minute=1, chunk_rows=200)
+    return df.select("server_id", "name", ntz("timestamp").alias("timestamp"), "seq", "value",
+                     *[r6(n).alias(n) for n in _names((12, 36, 144))])
+
+
 @query("w2_rate", f"""WITH {POINTS} SELECT server_id, name, seq,
     {sql6(f"CASE WHEN count(*) {_frame_sql(10**9)} >= 5 THEN value - first_value(value) {_frame_sql(60)} END")} AS rate_5m FROM p""")
 def w2(spark, sf_dir):
@@ -146,6 +154,13 @@ def w9(spark, sf_dir):
     return df.select("server_id", "name", "seq", _text("sequence").alias("sequence"), _text("target").alias("target"))
 
 
+@query("w9_pairs_across_chunks", f"""WITH {POINTS}, {_SEQ} SELECT server_id, name, seq, {_TEXT_SQL.format('xs')} AS sequence,
+    {_TEXT_SQL.format('ys')} AS target FROM s WHERE len(xs) = 12 AND len(ys) = 4""")
+def w9_chunks(spark, sf_dir):
+    df = rolling.sequences(points(spark, sf_dir), 12, horizon=4, chunk_rows=50)
+    return df.select("server_id", "name", "seq", _text("sequence").alias("sequence"), _text("target").alias("target"))
+
+
 @query("sc4_feature_names", f"""WITH {POINTS}, {_LAST}, u AS ({_UNPIVOT})
     SELECT feature, count(*) AS n FROM u GROUP BY feature""")
 def sc4(spark, sf_dir):
