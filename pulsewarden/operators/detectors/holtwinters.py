@@ -123,9 +123,8 @@ class HoltWinters(Detector):
         """Refine (α, β, γ) in rounds; each is one pass over the series, in order of time.
 
         A series passes through a task batch by batch, the recursion's state carried
-        along, so its length does not matter for memory. The points of a round's grid are
-        dealt over ``STEPS`` tasks for each series, so that few long series still use the
-        cluster.
+        along, so its length does not matter for memory. Where series are fewer than cores,
+        the points of a round's grid are dealt over several tasks for each series.
         """
         keys, order, types = self.keys, self.order, dict(df.dtypes)
         key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
@@ -135,16 +134,19 @@ class HoltWinters(Detector):
         rows = materialize(rows)
         best = self._lengths(rows).select(
             *keys, "n", "m", *[F.lit(0.5).alias(c) for c in ("alpha", "beta", "gamma")], F.lit(float("inf")).alias("sse"))
-        reach = 0.49
+        reach, parts = 0.49, None
         for _ in range(ROUNDS):
             best = sized(best)
-            tried = self._pass(rows, best, reach, f"{key_ddl}, alpha double, beta double, gamma double, sse double")
+            if parts is None:  # as many tasks as keep the cores busy
+                cores = df.sparkSession.sparkContext.defaultParallelism
+                parts = min(STEPS, max(1, -(-2 * cores // max(1, best.count()))))
+            tried = self._pass(rows, best, reach, parts, f"{key_ddl}, alpha double, beta double, gamma double, sse double")
             both = best.select(*keys, "alpha", "beta", "gamma", "sse").unionByName(tried)
             choice = both.groupBy(*keys).agg(F.min_by(
                 F.struct("alpha", "beta", "gamma", "sse"), F.struct("sse", "alpha", "beta", "gamma")).alias("_b"))
             best = best.select(*keys, "n", "m").join(choice, keys).select(*keys, "n", "m", "_b.*")
             reach /= 3
-        self.model = materialize(self._pass(rows, sized(best), None, f"{key_ddl}, {_MODEL}"))
+        self.model = materialize(self._pass(rows, sized(best), None, 1, f"{key_ddl}, {_MODEL}"))
         drop(rows)
         return self.model
 
@@ -155,7 +157,7 @@ class HoltWinters(Detector):
         best = self._lengths(rows).select("*", *[F.lit(float(x)).alias(c) for c, x in (
             ("alpha", alpha), ("beta", beta), ("gamma", gamma))])
         key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-        self.model = materialize(self._pass(rows, sized(best), None, f"{key_ddl}, {_MODEL}"))
+        self.model = materialize(self._pass(rows, sized(best), None, 1, f"{key_ddl}, {_MODEL}"))
         return self.model
 
     def _lengths(self, rows: DataFrame) -> DataFrame:
@@ -165,11 +167,11 @@ class HoltWinters(Detector):
         n = rows.groupBy(*self.keys).agg(F.count("*").cast("int").alias("n"))
         return n.withColumn("m", m.cast("int")).filter("n >= 2 * m")
 
-    def _pass(self, rows: DataFrame, best: DataFrame, reach: float | None, ddl: str) -> DataFrame:
+    def _pass(self, rows: DataFrame, best: DataFrame, reach: float | None, n_parts: int, ddl: str) -> DataFrame:
         """Each series once through the recursion: the best of every part of the grid around
         ``best``, or (without ``reach``) the model at ``best`` itself."""
         keys, order = self.keys, self.order
-        parts = range(STEPS if reach else 1)
+        parts = range(n_parts)
         names = [c.strip().split()[0].strip("`") for c in ddl.split(",")]
         todo = rows.join(best, keys).withColumn("_part", F.explode(F.array(*map(F.lit, parts))))
         todo = todo.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", *order)

@@ -72,6 +72,18 @@ def _merge(a: str, b: str, out: str, stats: set[str]) -> list[Column]:
     return [c.alias(f"{out}_{f}") for f, c in merged.items()]
 
 
+def _nested(frames: dict[int, int]) -> list[list[int]]:
+    """Windows in chains, the longest first, in which each frame divides the one before."""
+    chains: list[list[int]] = []
+    for w in sorted(frames, key=frames.get, reverse=True):
+        fits = [c for c in chains if frames[c[-1]] % frames[w] == 0]
+        if fits:
+            fits[0].append(w)
+        else:
+            chains.append([w])
+    return chains
+
+
 def rolling_features(
     points: DataFrame,
     windows: Sequence[int] = DEFAULTS.windows,
@@ -92,7 +104,10 @@ def rolling_features(
 
     Linear in the rows: a frame of ``w`` points is the tail of one block of
     ``w`` points joined to the head of the next, and both are running
-    aggregates.
+    aggregates. Frames that divide each other share one sort for the heads and one
+    for the tails.
+
+    Writes an ordered table when called; filter ``points`` and choose columns before.
     """
     frames = {w: w * points_per_minute for w in windows}
     longest = max(frames.values())
@@ -105,16 +120,27 @@ def rolling_features(
 
     moments = [s for s in stats if s != "rate"]
     need = set(moments)
-    for w, size in frames.items():
-        if not moments:
-            break
-        df = df.withColumn(f"_b{w}", F.floor(F.col("_rn") / size))
-        block = Window.partitionBy(*keys, o.CHUNK, f"_b{w}")
-        rows = (Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumn(f"_p{w}", _moments(value, block.orderBy(o.POS).rowsBetween(*rows), need))
-        df = df.withColumn(
-            f"_s{w}", _moments(value, block.orderBy(F.col(o.POS).desc()).rowsBetween(*rows), need)
-        )
+    if moments:
+        group, rows = [*keys, o.CHUNK], (Window.unboundedPreceding, Window.currentRow)
+        chains = _nested(frames)
+        for w, size in frames.items():
+            block = F.floor(F.col("_rn") / size)
+            df = df.withColumns({f"_b{w}": block, f"_n{w}": -block})
+        df = df.withColumn("_back", -F.col(o.POS))
+        # blocks of a chain lie inside each other, so one sort serves all of its windows: a
+        # window's blocks are its partition, the smaller ones come first in its order
+        for chain in chains:
+            for i, w in enumerate(chain):
+                inner = [f"_n{x}" for x in chain]
+                spec = Window.partitionBy(*group, *inner[: i + 1]).orderBy(*inner[i + 1:], "_back")
+                df = df.withColumn(f"_s{w}", _moments(value, spec.rowsBetween(*rows), need))
+        for chain in chains:
+            for i, w in enumerate(chain):
+                inner = [f"_b{x}" for x in chain]
+                spec = Window.partitionBy(*group, *inner[: i + 1]).orderBy(*inner[i + 1:], o.POS)
+                df = df.withColumn(f"_p{w}", _moments(value, spec.rowsBetween(*rows), need))
+        # blocks rise with the place: the last sort is also one by place
+        spec = Window.partitionBy(*group).orderBy(*[f"_b{x}" for x in chains[-1]], o.POS)
 
     prior, first = [], F.first_value(value).over(spec.rowsBetween(Window.unboundedPreceding, 0))
     for w, size in frames.items():
