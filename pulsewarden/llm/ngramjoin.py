@@ -20,8 +20,8 @@ Stars. The sets of a key are covered by stars, a centre and others, so that any
 link are in one star. Whether they may is said by their prefixes alone: up to the smaller
 of their last tokens both are known, so the shared tokens so far, and the shorter of the
 rests, bound what they share. Most keys hold two sets that can't link, and end here. First
-the set with the smallest id is tried as the centre; keys where it leaves some out are
-then covered by as many stars as it takes, in tasks of bounded size.
+the set with the smallest id is tried as the centre. Those that can't link with it, but may
+with others of the key, get a star of their own or join this one all the same.
 
 Verification. Each set of a star is compared with its centre. What it shares is kept as bits
 over the centre's tokens, what else it has as a list, so that any two sets of a star can
@@ -224,8 +224,13 @@ def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "centre long, class long, may boolean")
 
 
-def _cover(name: np.ndarray, size: np.ndarray, last: np.ndarray, sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Centre and member of stars that hold every two sets that may link."""
+def _left_over(centre: int, name: np.ndarray, free: np.ndarray, size: np.ndarray, last: np.ndarray,
+               sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Centre and member of stars that hold every two sets, one of them ``free``, that may link.
+
+    Those that are not free are in the star of ``centre``. One free set gets a star of its
+    own, with all free ones that may link with it; whatever may link beyond joins ``centre``.
+    """
     length = np.array([len(x) for x in sketch])
     values, place = np.unique(np.concatenate(sketch), return_inverse=True)
     counts = np.zeros((len(name), len(values)), np.float32)
@@ -234,37 +239,62 @@ def _cover(name: np.ndarray, size: np.ndarray, last: np.ndarray, sketch: list[np
     below = np.stack([np.searchsorted(x, last >> 32) for x in sketch])
     bound = may_share(both, (size[:, None], size[None, :]), (last[:, None], last[None, :]),
                       (length[:, None], length[None, :]), (below, below.T))
-    may = bound >= need(size[:, None], size[None, :], percent)
+    may = (bound >= need(size[:, None], size[None, :], percent)) & (free[:, None] | free[None, :])
     np.fill_diagonal(may, False)
-    open_, out = may.copy(), []
-    while open_.any():
-        centre = int(open_.sum(1).argmax())
-        star = np.append(np.flatnonzero(may[centre]), centre)
-        open_[np.ix_(star, star)] = False
-        out += [(int(name[centre]), int(name[k])) for k in star]
-    return out
+    out, among = [], may & free[:, None] & free[None, :]
+    if among.any():
+        own = int(among.sum(1).argmax())
+        star = np.append(np.flatnonzero(among[own]), own)
+        may[np.ix_(star, star)] = False
+        out += [(int(name[own]), int(name[k])) for k in star]
+    return out + [(centre, int(name[k])) for k in np.flatnonzero(may.any(1) & free)]
 
 
 def cover_keys(rows: DataFrame, percent: int, shards: int) -> DataFrame:
-    """centre and class of stars over each (key, a, b) of ``rows``, which has class, size, last, sketch."""
+    """centre and class of the stars that the free sets of ``rows`` need beyond their centre's.
+
+    ``rows``: key, centre, class, ``tied`` (may link with the centre), size, last, sketch, and
+    the blocks a and b that meet.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        key, a, b, name, size, last = (table[c].to_numpy() for c in ("key", "a", "b", "class", "size", "last"))
+        key, a, b, centre, name, size, last = (table[c].to_numpy() for c in ("key", "a", "b", "centre", "class", "size", "last"))
+        free = ~table["tied"].to_numpy(zero_copy_only=False).astype(bool)
         by = np.lexsort((b, a, key))
         key, a, b = key[by], a[by], b[by]
         cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         sketch = table["sketch"].combine_chunks()
         sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
         for i, j in zip(cuts, np.append(cuts[1:], len(by))):
             own = by[i:j]
-            found += _cover(name[own], size[own].astype(np.int64), last[own], [sketch[int(k)].values.to_numpy() for k in own], percent)
-        found = sorted(set(found))
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["centre", "class"])
+            found.update(_left_over(int(centre[own[0]]), name[own], free[own], size[own].astype(np.int64), last[own],
+                                    [sketch[int(k)].values.to_numpy() for k in own], percent))
+        return pa.table([pa.array([f[k] for f in sorted(found)], pa.int64()) for k in (0, 1)], ["centre", "class"])
 
     return rows.groupBy(F.pmod(F.xxhash64("key", "a", "b"), F.lit(shards)).alias("shard")).applyInArrow(run, "centre long, class long")
 
 
+def meet(rows: DataFrame, key: str, tied: str, block: int) -> DataFrame:
+    """Copies of ``rows`` for each pair (a, b) of blocks of their ``key`` that they meet in.
+
+    Rows that are tied need not meet each other: free blocks meet all, tied ones the free.
+    Keys without a free row, or with one row, are left out. ``own`` is a row's block.
+    """
+    counts = rows.groupBy(key).agg(F.count_if(~F.col(tied)).alias("free"), F.count_if(tied).alias("tied"))
+    counts = counts.filter("free > 0 AND free + tied > 1").select(
+        key, F.ceil(F.col("free") / block).cast("int").alias("nf"), F.ceil(F.col("tied") / block).cast("int").alias("nt"))
+    own = F.when(F.col(tied), F.col("nf") + F.pmod(F.xxhash64("class"), F.col("nt"))).otherwise(
+        F.pmod(F.xxhash64("class"), F.col("nf"))).cast("int")
+    others = F.when(F.col(tied), F.sequence(F.lit(0), F.col("nf") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("nf") + F.col("nt") - 1))
+    return (
+        rows.join(counts, key).withColumn("own", own).withColumn("other", F.explode(others))
+        .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+        .drop("nf", "nt", "other")
+    )
+
+
 def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) -> DataFrame:
     """Distinct centre and class: any two classes with a common key that may link are in one star.
 
@@ -277,11 +307,8 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
         marks.select(F.col("class").alias("centre"), *[F.col(c).alias(f"c_{c}") for c in ("size", "last", "sketch")]), "centre")
     tried = materialize(possible_pairs(pairs, percent))
     # keys of three and more where someone can't link with the centre
-    left = rows.filter("n > 2").join(tried.filter("NOT may"), ["centre", "class"]).select("key").distinct()
-    again = rows.join(left, "key").withColumn("blocks", F.ceil(F.col("n") / cover).cast("int"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "class", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    left = rows.filter("n > 2 AND class <> centre").drop("n").join(tried.withColumnRenamed("may", "tied"), ["centre", "class"])
+    again = meet(left, "key", "tied", cover)
     shards = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cover_keys(again.join(marks, "class"), percent, shards)
     star = materialize(tried.filter("may").select("centre", "class").unionByName(found).distinct())
@@ -341,28 +368,6 @@ def _root(up: dict[int, int], x: int) -> int:
     return x
 
 
-def blocks(star: DataFrame, block: int) -> DataFrame:
-    """Members of stars with more than one group, copied to each pair of blocks that they meet in.
-
-    Sets that link with the centre are not compared with each other.
-    """
-    counts = star.groupBy("centre").agg(
-        F.count_if(~F.col("linked")).alias("free"), F.count_if("linked").alias("tied"))
-    counts = counts.filter("free > 0 AND free + tied > 1").select(
-        "centre", F.ceil(F.col("free") / block).cast("int").alias("nf"), F.ceil(F.col("tied") / block).cast("int").alias("nt"))
-    rows = star.join(counts, "centre")
-    own = F.when(F.col("linked"), F.col("nf") + F.pmod(F.xxhash64("class"), F.col("nt"))).otherwise(
-        F.pmod(F.xxhash64("class"), F.col("nf"))).cast("int")
-    # free blocks come first: a free one meets all, a tied one the free ones
-    others = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("nf") - 1)).otherwise(
-        F.sequence(F.lit(0), F.col("nf") + F.col("nt") - 1))
-    return (
-        rows.withColumn("own", own).withColumn("other", F.explode(others))
-        .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-        .drop("nf", "nt", "other")
-    )
-
-
 def link_blocks(pairs: DataFrame, percent: int) -> DataFrame:
     """Links between sets of two blocks, as many as it takes to join their groups."""
 
@@ -429,7 +434,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, class
     members = tokens.select(F.explode("centres").alias("centre"), "class", "tokens")
     compared = materialize(compare_with_centre(members, middle, percent))
     drop(keys, star, tokens)
-    more = link_blocks(blocks(compared, block), percent)
+    more = link_blocks(meet(compared, "centre", "linked", block), percent)
     links = compared.filter("linked AND class <> centre").select(F.col("centre").alias("x"), F.col("class").alias("y"))
     return components(materialize(links.unionByName(more)))
 
