@@ -102,13 +102,6 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
 
 
-def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
-    """All entries of a column of lists of longs."""
-    flat = column.combine_chunks()
-    flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else flat.chunk(0).flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(_U)
-
-
 def _gather(batches: Iterator[pa.RecordBatch], order: int, size: int, keys_only: bool):
     """About ``size`` tokens at a time: the texts' rids, text of each token, then arrays for each token.
 
@@ -141,7 +134,7 @@ def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-BLOCK = "shard int, n int, ctx array<long>, back array<long>, word array<long>, c array<long>"
+BLOCK = "shard int, n int, ctx array<long>, back array<long>, word array<long>, c array<int>"
 GRAM = "n int, ctx long, back long, word long, c long"
 
 
@@ -165,7 +158,7 @@ def count_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
                     pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), n, np.int32)),
                     _lists(ctx[first] if n > 1 else none, cuts if n > 1 else cuts * 0),
                     _lists(back[first] if n > 2 else none, cuts if n > 2 else cuts * 0),
-                    _lists(token[first], cuts), _lists(c, cuts)],
+                    _lists(token[first], cuts), _lists(c.astype(np.int32), cuts)],
                     ["shard", "n", "ctx", "back", "word", "c"])
 
     return docs.mapInArrow(run, BLOCK)
@@ -175,12 +168,18 @@ def merge_blocks(blocks: DataFrame, cutoffs: Sequence[int], k: int) -> DataFrame
     """Counts of n-grams; rows with n < 0 are counts of counts: of ``word`` times there are c."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = []
-        for n in sorted(set(table["n"].to_pylist())):
-            own = table.filter(pa.compute.equal(table["n"], n))
-            word, c = _unsigned(own["word"]), _unsigned(own["c"]).view(np.int64)
-            ctx = _unsigned(own["ctx"]) if n > 1 else np.full(len(word), ROOT)
-            back = _unsigned(own["back"]) if n > 2 else np.full(len(word), ROOT)
+        out, levels = [], table["n"].to_numpy()
+        columns = {k: table[k].combine_chunks() for k in ("ctx", "back", "word", "c")}
+        columns = {k: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for k, x in columns.items()}
+
+        def joined(name: str, n: int) -> np.ndarray:
+            parts = [columns[name][int(i)].values.to_numpy() for i in np.flatnonzero(levels == n)]
+            return np.concatenate(parts)
+
+        for n in sorted(set(levels.tolist())):
+            word, c = joined("word", n).view(_U), joined("c", n)
+            ctx = joined("ctx", n).view(_U) if n > 1 else np.full(len(word), ROOT)
+            back = joined("back", n).view(_U) if n > 2 else np.full(len(word), ROOT)
             _, first, place = np.unique(gram_key(ctx, word, n), return_index=True, return_inverse=True)
             total = np.bincount(place, c).astype(np.int64)
             r, seen = np.unique(total[total <= k + 1], return_counts=True)
@@ -251,7 +250,8 @@ def _key(n: int) -> Column:
 def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k: int = K, shards: int = 1) -> Katz:
     """A model from ``docs`` (text)."""
     rows = docs.select("text", F.lit(0).cast("long").alias("rid"))
-    grams = materialize(merge_blocks(count_blocks(rows, order, shards), cutoffs, k), "n")
+    # a shard's words and contexts are larger than its keys alone
+    grams = materialize(merge_blocks(count_blocks(rows, order, 4 * shards), cutoffs, k), "n")
     seen: dict[int, dict[int, int]] = {}
     for r in grams.filter("n < 0").groupBy("n", "word").agg(F.sum("c").alias("c")).collect():
         seen.setdefault(-r["n"], {})[r["word"]] = r["c"]
