@@ -40,6 +40,7 @@ SUGGESTED_ACTIONS = {
 DEFAULT_ACTION = "Investigate the anomalous metric behavior"
 
 
+# The default settings.
 @dataclass(frozen=True)
 class Settings:
     windows: tuple[int, ...] = (5, 15, 60)

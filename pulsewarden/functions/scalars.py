@@ -58,10 +58,6 @@ def map_vector(features: Column, names: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.try_element_at(features, F.lit(n)), F.lit(0.0)) for n in sorted(names)])
 
 
-def feature_name(metric: Column, stat: str, minutes: int) -> Column:
-    return F.concat(metric, F.lit(f"_{stat}_{minutes}m"))
-
-
 def clip01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
@@ -74,13 +70,6 @@ def severity(score: Column, levels: Sequence[Severity] = DEFAULTS.severity_level
     return out
 
 
-def severity_rank(name: Column, levels: Sequence[Severity] = DEFAULTS.severity_levels) -> Column:
-    out = F.lit(0)
-    for rank, level in enumerate(levels):
-        out = F.when(name == level.name, F.lit(rank)).otherwise(out)
-    return out
-
-
 def counter_severity(score: Column) -> Column:
     """Label of the detection counter; unlike ``severity``, strictly above .85."""
     return F.when(score > 0.85, F.lit("critical")).otherwise(F.lit("warning"))
@@ -95,6 +84,7 @@ def alert_message(server: Column, metric: Column, score: Column, is_predicted: C
                   actual: Column | None = None, forecast: Column | None = None,
                   levels: Sequence[Severity] = DEFAULTS.severity_levels) -> Column:
     """Text of an alert: predicted, off its forecast, or simply anomalous."""
+    # The three message templates.
     grade = F.upper(severity(score, levels))
     shown = fixed(score, 2)
     actual = actual if actual is not None else F.lit(None).cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pulsewarden.plans.catalog import (
     GRADED, POINTS, ntz, points, query, r6, sql6, table, verdicts,
 )
 from pulsewarden.schema import WIDE_METRICS
-from pulsewarden.session import shared_dir, spread
+from pulsewarden.session import scratch_dir, shared_dir, spread
 from pulsewarden.sinks import channels as ch, stores
 from pulsewarden.sources import exposition, messages, responses, tables
 
@@ -266,6 +267,24 @@ def snk1(spark, sf_dir):
     return stores.resolve_version(versions(12), versions(20))
 
 
+@query("snk1_model_info", f"""WITH {POINTS}, m AS (SELECT name, '1.' || (user_id % 3) || '.0' AS version, timestamp AS created_at, seq, value FROM p),
+    n AS (SELECT name, version, arg_max(seq, (created_at, 'models/' || seq)) AS seq, max(created_at) AS created_at FROM m GROUP BY ALL),
+    a AS (SELECT name, arg_max(version, (created_at, version)) AS active FROM m GROUP BY name)
+    SELECT name, version, 'algorithm of ' || name AS algorithm, 'models/' || n.seq AS path, {sql6('p.value')} AS score, n.created_at, version = active AS is_active
+    FROM n JOIN a USING (name) JOIN (SELECT seq, value FROM p) p ON p.seq = n.seq""")
+def snk1_info(spark, sf_dir):
+    """Every event registers a version of its type's model; the table is written, listed by name and read."""
+    p = points(spark, sf_dir, "user_id")
+    path = f"{scratch_dir(spark)}/models-{uuid.uuid4().hex}"
+    stores.register_models(p.select(
+        "name", F.concat(F.lit("1."), (F.col("user_id") % 3).cast("string"), F.lit(".0")).alias("version"),
+        F.concat(F.lit("algorithm of "), "name").alias("algorithm"), F.concat(F.lit("models/"), F.col("seq").cast("string")).alias("path"),
+        F.create_map(F.lit("score"), F.col("value")).alias("metrics"), F.col("timestamp").alias("created_at")), path)
+    both = stores.list_models(spark, path, "view").unionByName(stores.list_models(spark, path).filter("name <> 'view'"))
+    return both.select("name", "version", "algorithm", "path", r6(F.col("metrics")["score"]).alias("score"),
+                       ntz("created_at").alias("created_at"), "is_active")
+
+
 def _alerts(spark, sf_dir):
     """Alerts of every verdict that passes the gate, without suppression."""
     return al.build_alerts(al.grade(verdicts(spark, sf_dir)), al.DEFAULTS.with_(dashboard_base="http://grafana:3000"))

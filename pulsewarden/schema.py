@@ -15,15 +15,6 @@ METRIC_SCHEMA = T.StructType([
     T.StructField("metric_type", T.StringType()),
 ])
 
-#: One detector's verdict about one observation.
-DETECTION_SCHEMA = T.StructType([
-    T.StructField("obs", T.LongType()),
-    T.StructField("model_name", T.StringType()),
-    T.StructField("anomaly_score", T.DoubleType()),
-    T.StructField("is_anomaly", T.BooleanType()),
-    T.StructField("details", T.MapType(T.StringType(), T.DoubleType())),
-])
-
 HORIZON_TYPE = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("values", T.ArrayType(T.DoubleType())),
@@ -48,6 +39,7 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("acknowledged_by", T.StringType()),
 ])
 
+#: A registration; several of one name and version are allowed, the newest counts.
 MODEL_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("version", T.StringType()),
@@ -55,7 +47,6 @@ MODEL_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("created_at", T.TimestampType()),
-    T.StructField("is_active", T.BooleanType()),
 ])
 
 # Columns of the wide sample CSV, in file order.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsewarden.config import DEFAULTS
+from pulsewarden.schema import MODEL_SCHEMA
 from pulsewarden.session import materialize
 
 
@@ -48,6 +49,26 @@ def load_model(spark: SparkSession, base: str, name: str, version: str | None =
     return spark.read.parquet(f"{base}/{name}/version={pick}")
 
 
+def register_models(registrations: DataFrame, path: str) -> None:
+    """Append registrations (``MODEL_SCHEMA``) to the table of models."""
+    names = MODEL_SCHEMA.fieldNames()
+    registrations.select(*names).write.mode("append").parquet(path)
+
+
+def model_info(models: DataFrame) -> DataFrame:
+    """One row per name and version, its newest registration; ``is_active`` marks the version registered last."""
+    rest = [c for c in MODEL_SCHEMA.fieldNames() if c not in ("name", "version")]
+    newest = models.groupBy("name", "version").agg(F.max_by(F.struct(*rest), F.struct("created_at", "path")).alias("r"))
+    active = models.groupBy("name").agg(F.max_by("version", F.struct("created_at", "version")).alias("_active"))
+    return newest.join(active, "name").select("name", "version", "r.*", (F.col("version") == F.col("_active")).alias("is_active"))
+
+
+def list_models(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """``model_info`` of a stored table; the filter on a name reaches the scan."""
+    models = spark.read.schema(MODEL_SCHEMA).parquet(path)
+    return model_info(models.filter(F.col("name") == name) if name else models)
+
+
 # ---- alerts ------------------------------------------------------------------
 
 def alert_rows(alerts: DataFrame) -> DataFrame:

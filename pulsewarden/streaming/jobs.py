@@ -36,6 +36,11 @@ def file_sink(df: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (),
     return writer.trigger(**trigger).start(path)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators dropped as too late, over its recent triggers."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def write_split(parsed: DataFrame, good_path: str, bad_path: str, checkpoint: str, trigger: Mapping = ONCE) -> StreamingQuery:
     """Good points to one folder and rejected messages to another, from a single parse.
 

@@ -58,6 +58,37 @@ def test_features_over_several_triggers_end_as_batch(spark, events, tmp_path):
         assert last[r["server_id"]][r["feature"]] == pytest.approx(r["feature_value"], rel=1e-9)
 
 
+def _minutes(spark, numbers, path):
+    """One point a minute for each number; its value is the number."""
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [("a", "cpu", t0 + dt.timedelta(minutes=i), float(i), i) for i in numbers]
+    df = spark.createDataFrame(rows, "server_id string, name string, timestamp timestamp, value double, seq bigint")
+    df.coalesce(1).write.mode("append").parquet(path)
+    return df
+
+
+def test_history_survives_a_long_trigger_and_a_restart(spark, tmp_path):
+    """300 minutes in one trigger, then ten more after a restart: frames reach back over both; late rows are counted."""
+    path, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    schema = _minutes(spark, range(300), path).schema
+    seen, late = [], 0
+
+    def go():
+        stream = spark.readStream.schema(schema).parquet(path)
+        q = jobs.on_features(stream, lambda df, n: seen.extend(r["features"] for r in df.collect()), cp, windows=(5,), stats=("mean", "min"))
+        q.awaitTermination()
+        return jobs.late_rows(q)
+
+    late += go()
+    _minutes(spark, range(300, 310), path)
+    late += go()
+    frame = np.arange(250, 310)
+    assert seen[-1]["cpu_min_5m"] == 250 and seen[-1]["cpu_mean_5m"] == pytest.approx(frame.mean())
+    assert late == 0
+    _minutes(spark, range(3), path)
+    assert go() == 3
+
+
 @pytest.mark.parametrize("cooldown,cap", [(30, 50), (5, 2)])
 def test_suppression_stream_equals_batch(spark, events, tmp_path, cooldown, cap):
     score = F.least(F.lit(1.0), F.col("value") / 100)
@@ -130,6 +161,34 @@ def test_live_detection_end_to_end(spark, events, tmp_path):
     assert stored.count() == al.evaluate(detections).count() == stored.select("alert_id").distinct().count()
 
 
+def test_live_detection_with_the_ensemble(spark, events, tmp_path):
+    """Features, two detectors, forecasts, metric, store and payloads."""
+    from pulsewarden.operators.detectors.holtwinters import HoltWinters
+    from pulsewarden.operators.ensemble import EnsembleRegistry
+    from pulsewarden.sinks.channels import Slack, Webhook
+
+    names = rolling.feature_names(["click", "view"], (1,), ("mean", "std"))
+    table = rolling.feature_table(rolling.rolling_features(events, (1,), ("mean", "std")), ["click", "view"], "1 hour", (1,), ("mean", "std"))
+    table = table.withColumn("id", F.xxhash64("server_id", "step"))
+    registry = EnsembleRegistry()
+    for i, seed in enumerate((1, 2)):
+        forest = IsolationForest(None, "id", n_trees=20, contamination=0.4, seed=seed)
+        forest.train(table)
+        registry.register(f"forest{i}", forest)
+    smoothing = HoltWinters(12)
+    smoothing.train(events)
+    stream = _as_stream(spark, events, str(tmp_path / "in"), files=3)
+    jobs.live_stream(stream, registry, names, str(tmp_path / "det"), str(tmp_path / "cp1"), smoothing=smoothing.forecast(4),
+                     windows=(1,), stats=("mean", "std")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "det")).drop("batch")
+    assert found.count() > 0 and found.filter("metric_name = 'unknown'").count() < found.count()
+    assert found.filter("prediction_horizon.source = 'holt_winters'").count() > 0
+    jobs.alert_stream(spark.readStream.schema(found.schema).parquet(str(tmp_path / "det") + "/batch=*"), str(tmp_path / "alerts"), str(tmp_path / "cp2"),
+                      channels=[Webhook(), Slack()], payloads=str(tmp_path / "out")).awaitTermination()
+    stored, sent = spark.read.parquet(str(tmp_path / "alerts")), spark.read.json(str(tmp_path / "out"))
+    assert stored.count() > 0 and sent.count() == 2 * stored.count()
+
+
 def test_feature_hook_sees_every_batch(spark, events, tmp_path):
     seen = []
     stream = _as_stream(spark, events, str(tmp_path / "in"), files=2)
