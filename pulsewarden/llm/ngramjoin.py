@@ -448,11 +448,14 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = docs.drop("n_shingles", "component_id", "first", "rid").withColumn("rid", F.monotonically_increasing_id())
     slim = rows.select(F.col(text).alias("text"), "rid")
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(slim, words))
-    sets = materialize(set_table(slim, words, percent, classes))
+    every = materialize(set_table(slim, words, percent, classes))
+    sets = materialize(every.select("rid", "size", "class"))
     one = materialize(
-        sets.filter("size > 0").groupBy("class").agg(F.min(F.struct("rid", "size", "prefix")).alias("one"))
+        every.filter("size > 0").groupBy("class").agg(F.min(F.struct("rid", "size", "prefix")).alias("one"))
         .select("class", "one.rid", "one.size", "one.prefix"))
+    drop(every)  # the prefixes are in the classes' table now
     root = linked_classes(slim, one, words, percent, classes, **limits)
+    drop(one)
     named = (
         sets.select("rid", "size", "class").join(root, "class", "left")
         .select("rid", F.col("size").cast("long").alias("n_shingles"),
