@@ -55,7 +55,7 @@ from pulsewarden.session import drop, materialize
 
 ORDER = 2
 #: Least count of an n-gram in the model, by level.
-CUTOFFS = (1, 2)
+CUTOFFS = (1, 1)
 #: Counts from here on are taken as they are.
 K = 5
 
@@ -260,7 +260,9 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
         d = discounts(seen.get(n, {}), k)
         return F.when(F.col("c") <= k, F.element_at(F.array(*map(F.lit, d)), F.least(F.col("c"), F.lit(k)).cast("int"))).otherwise(1.0) * F.col("c")
 
-    first = grams.filter("n = 1").withColumn("d", discounted(1))
+    # on its own, so that the larger tables can go as soon as the highest order is joined
+    words_seen = materialize(grams.filter("n = 1").drop("n", "back"))
+    first = words_seen.withColumn("d", discounted(1))
     t = first.agg(F.sum("c").alias("all"), F.count("*").alias("v"), F.sum("d").alias("d"),
                   F.sum(F.when(F.col("word") == _signed(END), F.col("c"))).alias("texts")).first()
     total, vocabulary, texts = t["all"] or 0, t["v"], t["texts"] or 0
@@ -274,20 +276,22 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
         F.lit(1).alias("n"), "ctx", "word", F.log10("p").alias("score"), F.log10((F.col("c") + 1) / size).alias("base"))]
     alphas, used, start = [], [], 0.0
     for n in range(2, order + 1):
-        own = grams.filter(F.col("n") == n).withColumn("d", discounted(n))
+        own = grams.filter(F.col("n") == n)
         totals = (
             lower.filter(F.col("word") != _signed(END)).select(_pair("ctx", "word").alias("ctx"), F.col("c").alias("all"))
             .unionByName(docs.sparkSession.createDataFrame([(_signed(begin_context(n)), texts)], "ctx long, all long"))
         )
         below = lower.select(F.col("ctx").alias("back"), "word", F.col("p").alias("q"))
-        own = materialize(own.join(below, ["back", "word"]))
+        own = materialize(own.join(below, ["back", "word"]).select("ctx", "word", "c", "q"))
+        if n == order:
+            drop(grams)
         left = materialize(
-            own.groupBy("ctx").agg(F.sum("d").alias("d"), F.sum("q").alias("q"))
+            own.groupBy("ctx").agg(F.sum(discounted(n)).alias("d"), F.sum("q").alias("q"))
             .join(totals, "ctx")
             .withColumn("all", F.when(F.col("d") < F.col("all") * (1 - 1e-12), F.col("all")).otherwise(F.col("all") + 1))
             .select("ctx", "all", F.log10((1 - F.col("d") / F.col("all")) / F.greatest(1 - F.col("q"), F.lit(1e-15))).alias("alpha"))
         )
-        lower = own.join(left, "ctx").select("ctx", "word", "c", "q", "alpha", (F.col("d") / F.col("all")).alias("p"))
+        lower = own.join(left, "ctx").select("ctx", "word", "c", "q", "alpha", (discounted(n) / F.col("all")).alias("p"))
         lower = materialize(lower) if n < order else lower
         used += [own, left, *([lower] if n < order else [])]
         table.append(lower.select(F.lit(n).alias("n"), "ctx", "word",
@@ -310,7 +314,7 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
     for part in done[1:]:
         model = model.unionByName(part)
     model = materialize(model, "n")
-    drop(grams, *used)
+    drop(grams, words_seen, *used)
     left_over = 1 - t["d"] / whole
     return Katz(model, order, shards, total, float(np.log10(left_over)), float(start), float(-np.log10(size)))
 

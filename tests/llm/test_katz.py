@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from pulsewarden.llm import katz
+from pulsewarden.llm import katz, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {65 + i: 97 + i for i in range(26)}
@@ -119,3 +119,12 @@ def test_clashing_columns(make_docs):
 def test_beats_single_words_on_texts_not_seen(spark, sf):
     got = katz.lm_scores(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]
+
+
+def test_query_keeps_pairs_seen_once(spark, make_docs, tmp_path):
+    rows = corpus(4)
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    model = Brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 2, (1, 1))
+    assert any(c == 1 for c in model.counts[1].values())
+    got = {r["doc_id"]: round(r["score"], 6) for r in queries.op1_lm_scores(spark, str(tmp_path)).collect()}
+    assert got == {i: round(model.score(t), 6) for i, t in rows}
