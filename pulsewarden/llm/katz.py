@@ -24,10 +24,11 @@ over its n-grams of values in the model's table.
 
 Counting: each task counts the n-grams of a few million tokens, cuts them into shards by
 hash, and sends a shard's n-grams as one row of arrays. Shards are merged independently;
-a frequent n-gram is one entry from each task. Scoring: the same way, each distinct n-gram
-with the texts it lies in is sent to the shard that holds its value, and what comes back is
-one partial sum per text and shard. Nothing goes through the driver but counts of counts
-and totals. The model is a table partitioned by level.
+a frequent n-gram is one entry from each task. Scoring: the same way, each block of texts
+sends its distinct n-grams to the shards that hold their values. The values go back to the
+block, where the sums per text are formed: how often an n-gram occurs is known only there,
+so a frequent one is one entry from each block too. Nothing goes through the driver but
+counts of counts and totals. The model is a table partitioned by level.
 
 Words are told apart by 64-bit hashes, and so are n-grams.
 
@@ -319,11 +320,15 @@ def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k
     return Katz(model, order, shards, total, float(np.log10(left_over)), float(start), float(-np.log10(size)))
 
 
-REQUEST = "shard int, rid long, texts int, key array<long>, runs array<int>, doc array<int>"
+REQUEST = "shard int, rid long, key array<long>"
+PLACES = "rid long, texts int, runs array<int>, doc array<int>"
 
 
-def request_blocks(docs: DataFrame, n: int, shards: int) -> DataFrame:
-    """Each task's distinct n-grams by shard, with the texts that they lie in. ``docs``: text, rid."""
+def request_blocks(docs: DataFrame, n: int, shards: int, places: bool) -> DataFrame:
+    """Distinct n-grams of each block of texts, a row for each shard; or where they lie, a row for each block.
+
+    Both in the order of shard and key. ``docs``: text, rid. A block is known by its first rid.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rid, doc, key in _gather(batches, n, TOKENS, keys_only=True):
@@ -332,24 +337,27 @@ def request_blocks(docs: DataFrame, n: int, shards: int) -> DataFrame:
             key, lies = key[by], doc[by]
             del by
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            runs = np.diff(np.append(new, len(key))).astype(np.int32)
-            shard = key[new] % _U(shards)
-            ids, cuts = np.unique(shard, return_index=True)
-            cuts = np.append(cuts, len(new))
+            if places:
+                runs = np.diff(np.append(new, len(key))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rid[:1]), pa.array(np.full(1, len(rid), np.int32)),
+                    _lists(runs, np.array([0, len(runs)])), _lists(lies, np.array([0, len(lies)]))],
+                    ["rid", "texts", "runs", "doc"])
+                continue
+            ids, cuts = np.unique(key[new] % _U(shards), return_index=True)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids.astype(np.int32)),
-                pa.array(np.full(len(ids), rid[0])), pa.array(np.full(len(ids), len(rid), np.int32)),
-                _lists(key[new], cuts), _lists(runs, cuts), _lists(lies, np.append(new, len(key))[cuts])],
-                ["shard", "rid", "texts", "key", "runs", "doc"])
+                pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), rid[0])),
+                _lists(key[new], np.append(cuts, len(new)))], ["shard", "rid", "key"])
 
-    return docs.mapInArrow(run, REQUEST)
+    return docs.mapInArrow(run, PLACES if places else REQUEST)
 
 
+ANSWER = "rid long, shard int, score array<double>, base array<double>, found array<boolean>"
 SUMS = "rid long, score double, base_score double, n_tokens long, n_known long"
 
 
 def level_sums(docs: DataFrame, model: Katz, n: int) -> DataFrame:
-    """What the n-grams of one order add to each text: a row for each text and shard."""
+    """What the n-grams of one order add to each text."""
     shards = model.shards
     unknown, unknown_base = (model.unknown, model.unknown_base) if n == 1 else (0.0, 0.0)
 
@@ -357,38 +365,56 @@ def level_sums(docs: DataFrame, model: Katz, n: int) -> DataFrame:
         keys = known["key"].to_numpy().view(_U)
         by = np.argsort(keys)
         keys = keys[by]
-        values = [known[c].to_numpy()[by] for c in ("score", "base")]
-        rids, rows = [np.zeros(0, np.int64)], [np.zeros((4, 0))]
-        for row in asked.to_batches():
-            for i in range(row.num_rows):
-                rid, texts = row["rid"][i].as_py(), row["texts"][i].as_py()
-                key, runs, doc = (row[c][i].values.to_numpy() for c in ("key", "runs", "doc"))
-                key = key.view(_U)
+        values = [known[c].to_numpy()[by] for c in ("score", "base")[: 2 if n == 1 else 1]]
+        out = []
+        for batch in asked.to_batches():
+            for i in range(batch.num_rows):
+                key = batch["key"][i].values.to_numpy().view(_U)
                 at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
                 found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                lists = [np.where(found, v[at] if len(keys) else 0.0, other) for v, other in zip(values, (unknown, unknown_base))]
+                lists += [found] if n == 1 else [np.zeros(0), np.zeros(0, bool)]
+                out.append(pa.RecordBatch.from_arrays(
+                    [batch["rid"].slice(i, 1), batch["shard"].slice(i, 1), *[_lists(x, np.array([0, len(x)])) for x in lists]],
+                    answers.names))
+        return pa.Table.from_batches(out, answers)
+
+    def add(block: pa.Table, answered: pa.Table) -> pa.Table:
+        by = np.argsort(answered["shard"].to_numpy())
+        joined = lambda name: np.concatenate([
+            answered[name][int(i)].values.to_numpy(zero_copy_only=False) for i in by])
+        out = []
+        for row in block.to_batches():
+            for i in range(row.num_rows):
+                rid, texts = row["rid"][i].as_py(), row["texts"][i].as_py()
+                runs, doc = (row[c][i].values.to_numpy() for c in ("runs", "doc"))
                 total = np.zeros((4, texts))
-                for k, other in ((0, unknown), (1, unknown_base))[: 2 if n == 1 else 1]:
-                    x = np.where(found, values[k][at] if len(keys) else 0.0, other)
-                    total[k] = np.bincount(doc, np.repeat(x, runs), texts)
+                total[0] = np.bincount(doc, np.repeat(joined("score"), runs), texts)
                 if n == 1:
+                    total[1] = np.bincount(doc, np.repeat(joined("base"), runs), texts)
                     total[2] = np.bincount(doc, minlength=texts)
-                    total[3] = np.bincount(doc, np.repeat(found.astype(float), runs), texts)
-                some = np.flatnonzero(total.any(0))
-                rids.append(rid + some)
-                rows.append(total[:, some])
-        rid, total = np.concatenate(rids), np.concatenate(rows, 1)
-        return pa.table([pa.array(rid), pa.array(total[0]), pa.array(total[1]), pa.array(total[2].astype(np.int64)),
-                         pa.array(total[3].astype(np.int64))], ["rid", "score", "base_score", "n_tokens", "n_known"])
+                    total[3] = np.bincount(doc, np.repeat(joined("found").astype(float), runs), texts)
+                out.append(pa.table([
+                    pa.array(rid + np.arange(texts)), pa.array(total[0]), pa.array(total[1]),
+                    pa.array(total[2].astype(np.int64)), pa.array(total[3].astype(np.int64))], sums.names))
+        return pa.concat_tables([sums.empty_table(), *out])
+
+    answers = pa.schema([("rid", pa.int64()), ("shard", pa.int32()), ("score", pa.list_(pa.float64())),
+                         ("base", pa.list_(pa.float64())), ("found", pa.list_(pa.bool_()))])
+    sums = pa.schema([("rid", pa.int64()), ("score", pa.float64()), ("base_score", pa.float64()),
+                      ("n_tokens", pa.int64()), ("n_known", pa.int64())])
 
     @F.pandas_udf("int")
     def shard(key):
         import pandas as pd
         return pd.Series((key.to_numpy().view(_U) % _U(shards)).astype(np.int32))
 
-    asked = request_blocks(docs, n, shards)
-    known = model.table.filter(F.col("n") == n).select(shard("key").alias("shard"), "key", "score", "base")
-    parts = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, SUMS)
-    return parts.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens", "n_known")])
+    asked = request_blocks(docs, n, shards, places=False)
+    known = model.table.filter(F.col("n") == n).select(
+        shard("key").alias("shard"), "key", "score", *(["base"] if n == 1 else []))
+    found = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, ANSWER)
+    blocks = request_blocks(docs, n, shards, places=True)
+    return blocks.groupBy("rid").cogroup(found.groupBy("rid")).applyInArrow(add, SUMS)
 
 
 def score(docs: DataFrame, model: Katz) -> DataFrame:

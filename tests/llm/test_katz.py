@@ -128,3 +128,26 @@ def test_query_keeps_pairs_seen_once(spark, make_docs, tmp_path):
     assert any(c == 1 for c in model.counts[1].values())
     got = {r["doc_id"]: round(r["score"], 6) for r in queries.op1_lm_scores(spark, str(tmp_path)).collect()}
     assert got == {i: round(model.score(t), 6) for i, t in rows}
+
+
+def test_a_frequent_word_is_sent_once_by_each_block(spark, make_docs, monkeypatch):
+    rows = [(i, "the " * 2000 + f"x{i}") for i in range(30)]
+    docs = make_docs(rows, 1).selectExpr("text", "monotonically_increasing_id() AS rid")
+    moved = katz.request_blocks(docs, 1, 2, places=False).toPandas()
+    assert moved["rid"].nunique() == 1
+    assert sum(len(a) for c in moved for a in moved[c] if hasattr(a, "__len__")) == 32  # the, the end, x0 to x29
+    # a block has bounded occurrences, whatever its words
+    monkeypatch.setattr(katz, "TOKENS", 10_000)
+    places = katz.request_blocks(docs, 1, 2, places=True).toPandas()
+    assert len(places) > 3 and places["doc"].map(len).max() <= 2 * 10_000 + 2002 and places["doc"].map(len).sum() == 30 * 2002
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_scores_of_many_blocks_and_shards(make_docs, odd, monkeypatch, shards):
+    monkeypatch.setattr(katz, "TOKENS", 50)
+    rows = corpus(6) + odd
+    docs = make_docs(rows).selectExpr("text", "monotonically_increasing_id() AS rid")
+    fitted = katz.fit(docs, 2, (1, 1), shards=shards)
+    model = Brute([t for _, t in rows], 2, (1, 1))
+    got = {r["rid"]: (r["n_tokens"], round(r["score"] + fitted.start, 6)) for r in katz.score(docs, fitted).collect()}
+    assert got == {r["rid"]: (len(tokens(r["text"])), round(model.score(r["text"]), 6)) for r in docs.collect()}
