@@ -1,6 +1,8 @@
 """Every stage of the pipeline against its brute-force version, each on what the one before kept."""
 
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -114,3 +116,13 @@ def test_odd_rows_and_empty_table(spark, make_docs, odd, sf):
             kept = stage(spark, docs, sf)
             docs = spark.createDataFrame(kept.collect(), kept.schema)
         assert docs.count() <= len(rows)
+
+
+def test_random_letters_go_and_clean_texts_stay(spark, sf):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9))) for _ in range(n))
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = [(-1 - i, text(n), None, "x", 0) for i, n in enumerate([25, 50, 100, 200] * 25)]
+    got = corpus_pipeline.identified(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), sf)
+    assert got.filter("doc_id < 0").count() <= 10
+    assert got.filter("doc_id >= 0").count() == docs.count()  # the shortest has three letters
