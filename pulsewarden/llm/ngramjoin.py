@@ -61,6 +61,10 @@ PAIRED = 65
 BLOCK = 1024
 #: Sets of a key that are covered by stars at once.
 COVER = 256
+#: Tokens that a product of sets by tokens is formed over at once.
+WIDE = 1 << 13
+#: Numbers of sketches in a shard of keys, on average.
+HELD = 1 << 22
 
 #: Slots that tokens are counted in, and those sent as one row.
 SLOT_BITS, ROW_BITS = 20, 14
@@ -233,9 +237,14 @@ def _left_over(centre: int, name: np.ndarray, free: np.ndarray, size: np.ndarray
     """
     length = np.array([len(x) for x in sketch])
     values, place = np.unique(np.concatenate(sketch), return_inverse=True)
-    counts = np.zeros((len(name), len(values)), np.float32)
-    np.add.at(counts, (np.repeat(np.arange(len(name)), length), place), 1)
-    both = np.rint(counts @ counts.T).astype(np.int64)
+    by = np.argsort(place, kind="stable")
+    place, whose = place[by], np.repeat(np.arange(len(name)), length)[by]
+    both = np.zeros((len(name), len(name)), np.int64)
+    for start in range(0, len(values), WIDE):
+        i, j = np.searchsorted(place, (start, start + WIDE))
+        counts = np.zeros((len(name), min(WIDE, len(values) - start)), np.float32)
+        np.add.at(counts, (whose[i:j], place[i:j] - start), 1)
+        both += np.rint(counts @ counts.T).astype(np.int64)
     below = np.stack([np.searchsorted(x, last >> 32) for x in sketch])
     bound = may_share(both, (size[:, None], size[None, :]), (last[:, None], last[None, :]),
                       (length[:, None], length[None, :]), (below, below.T))
@@ -309,7 +318,11 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
     # keys of three and more where someone can't link with the centre
     left = rows.filter("n > 2 AND class <> centre").drop("n").join(tried.withColumnRenamed("may", "tied"), ["centre", "class"])
     again = meet(left, "key", "tied", cover)
-    shards = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the sketches that meet are counted, so that a shard's don't grow with the rows
+    sizes = marks.select("class", F.size("sketch").alias("held"))
+    held = materialize(again.join(sizes, "class").agg(F.sum("held").alias("held")))
+    shards = max(4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(held.first()["held"] or 0) // HELD))
+    drop(held)
     found = cover_keys(again.join(marks, "class"), percent, shards)
     star = materialize(tried.filter("may").select("centre", "class").unionByName(found).distinct())
     drop(marks, rows, tried)
@@ -375,7 +388,6 @@ def link_blocks(pairs: DataFrame, percent: int) -> DataFrame:
         table = table.combine_chunks()
         name, size, own, linked = (table[c].to_numpy() for c in ("class", "size", "own", "linked"))
         bits = np.stack([np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()])
-        bits = np.unpackbits(bits, axis=1).astype(np.float32)
         others = [np.asarray(v.values.to_numpy()) for v in table["others"].chunk(0)]
         a = np.flatnonzero(own == table["a"][0].as_py())
         b = np.flatnonzero(own == table["b"][0].as_py())
@@ -383,7 +395,10 @@ def link_blocks(pairs: DataFrame, percent: int) -> DataFrame:
         up: dict[int, int] = {}
         found = []
         least = need(size[a].astype(np.int64)[:, None], size[b].astype(np.int64)[None, :], percent)
-        both = np.rint(bits[a] @ bits[b].T).astype(np.int64)
+        both = np.zeros((len(a), len(b)), np.int64)
+        for start in range(0, bits.shape[1], WIDE // 8):
+            some = np.unpackbits(bits[:, start: start + WIDE // 8], axis=1).astype(np.float32)
+            both += np.rint(some[a] @ some[b].T).astype(np.int64)
         may = both + np.minimum(extra[a][:, None], extra[b][None, :]) >= least
         for i, j in zip(*np.nonzero(may)):
             x, y = a[i], b[j]

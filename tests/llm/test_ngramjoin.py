@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from pulsewarden.llm import ngramjoin
@@ -86,3 +88,27 @@ def test_empty_table_and_clashing_columns(make_docs):
     got = ngramjoin.link_documents(docs)
     assert sorted(got.columns) == sorted(["doc_id", "lang", "source", "n_chars", "size", "class", "rid", "n_shingles", "component_id", "first"])
     assert sorted(r["component_id"] for r in got.collect()) == [1, 2]
+
+
+def test_products_of_long_sets_are_bounded():
+    sketch = [np.arange(k, 2_560_000, 128) for k in range(128)]  # 20 000 numbers each, none in common
+    sketch[127] = sketch[3].copy()
+    n, last = np.full(128, 20_000), np.array([x[-1] << 32 for x in sketch])
+    tracemalloc.start()
+    found = ngramjoin._left_over(-1, np.arange(128), np.ones(128, bool), n, last, sketch, 90)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {3, 127} <= {member for _, member in found}
+    assert peak < 400 << 20  # 128 sets by all tokens take 1.3 GB
+
+
+def test_shards_follow_the_sketches(make_docs, monkeypatch):
+    rows, seen, cover_keys = near_copies(2, 14, 14), [], ngramjoin.cover_keys
+    monkeypatch.setattr(ngramjoin, "cover_keys", lambda r, p, shards: seen.append(shards) or cover_keys(r, p, shards))
+    limits = {"frequent": 2, "paired": 6, "block": 4, "cover": 3}
+    for held, wide in ((1 << 22, 1 << 13), (10, 16)):
+        monkeypatch.setattr(ngramjoin, "HELD", held)
+        monkeypatch.setattr(ngramjoin, "WIDE", wide)
+        got = ngramjoin.link_documents(make_docs(rows), 3, 90, **limits)
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute(rows, 3, 90)
+    assert seen[1] > 2 * seen[0]
