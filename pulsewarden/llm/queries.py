@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from pulsewarden.llm import classifier, decontam, katz, language, linkgraph, mixing, ngramjoin, quality, suffix, winnow
+from pulsewarden.llm import (
+    classifier, decontam, hardneg, katz, language, linkgraph, mixing, ngramjoin, quality, suffix, winnow,
+)
 from pulsewarden.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +80,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    # every seventh row has a wrong label, as in mined data
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -131,6 +141,24 @@ SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) A
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
 """
 
+# a score is a sum over the components of 64-bit products, in plain integers
+ORACLES["op12_hard_negatives"] = rf"""
+WITH q AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.id AS anchor_id, b.id, b.rid AS other, a.label = b.label AS same,
+             CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+      FROM q a JOIN q b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+p AS (SELECT rid, anchor_id, id AS positive_id, other, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, id NULLS LAST, other) <= {hardneg.POSITIVES})
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.rid = p.rid AND NOT s.same
+WHERE {hardneg.LEAST_PERCENT} * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.id NULLS LAST, s.other)
+QUALIFY row_number() OVER w <= {hardneg.NEGATIVES}
+"""
+
 
 def _url_verdicts_sql() -> str:
     """Each round of trust and distrust is one more table."""
