@@ -351,8 +351,8 @@ def _tokens(docs: DataFrame, wanted: DataFrame, n: int, classes: Broadcast) -> D
 MEMBER = "centre long, class long, size int, shared int, linked boolean, bits binary, others array<long>"
 
 
-def compare_with_centre(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """What each member (centre, class, tokens) shares with its centre (centre, middle)."""
+def compare_with_centre(members: DataFrame, centres: DataFrame, percent: int, on: str | list[str] = "centre") -> DataFrame:
+    """What each member (centre, class, tokens) shares with its centre (centre, middle), joined on ``on``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +370,7 @@ def compare_with_centre(members: DataFrame, centres: DataFrame, percent: int) ->
                 [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())))],
                 ["centre", "class", "size", "shared", "linked", "bits", "others"])
 
-    return members.join(centres, "centre").select("centre", "class", "tokens", "middle").filter(
+    return members.join(centres, on).select("centre", "class", "tokens", "middle").filter(
         F.size("tokens") > 0).mapInArrow(run, MEMBER)
 
 

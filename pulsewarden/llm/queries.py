@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from pulsewarden.llm import (
-    classifier, decontam, hardneg, katz, language, linkgraph, mixing, ngramjoin, quality, suffix, winnow,
+    classifier, decontam, hardneg, katz, language, lexical, linkgraph, mixing, ngramjoin, quality, setsketch, suffix, winnow,
 )
 from pulsewarden.plans.catalog import table
 
@@ -80,6 +80,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return setsketch.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
@@ -88,6 +94,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
 
 
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -127,20 +139,48 @@ SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-ORACLES["op8_jaccard_groups"] = rf"""
-WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), '" + linkgraph.UPPER + "', '" + linkgraph.LOWER + "')")} AS w
-                     FROM documents),
-s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+
+def _groups_sql(words: int, percent: int, more: str = "") -> str:
+    """Groups of documents by all pairs that share a run of words; ``more`` from the id d.doc_id and the group."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    lower = f"translate(coalesce(text, ''), '{linkgraph.UPPER}', '{linkgraph.LOWER}')"
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(lower)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < {words} THEN array_to_string(w, ' ') ELSE {shingle} END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
       JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(na.n) + max(nb.n) - count(*))),
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (max(na.n) + max(nb.n) - count(*))),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id{more}
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
 """
 
+
+ORACLES["op8_jaccard_groups"] = _groups_sql(3, 90)
+ORACLES["op11_near_duplicates"] = _groups_sql(4, 80, ", d.doc_id = min(r.y) AS kept")
+
+ORACLES["op13_lexical_search"] = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, unnest(regexp_extract_all(translate(text, '{linkgraph.UPPER}', '{linkgraph.LOWER}'), '{lexical.TERM}')) AS term
+           FROM documents),
+p AS (SELECT rid, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM t GROUP BY rid, term),
+l AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY rid),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM l),
+m AS (SELECT rid, 10 + (90 * n * docs) // terms AS m FROM l, c),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+q AS (SELECT row_number() OVER () AS qid, item_id, list_distinct(regexp_extract_all(translate(text, '{linkgraph.UPPER}', '{linkgraph.LOWER}'), '{lexical.TERM}')) AS terms
+      FROM benchmark),
+i AS (SELECT qid, item_id, unnest(terms) AS term FROM q),
+s AS (SELECT qid, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY qid, rid)
+SELECT item_id, CAST(row_number() OVER v AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW v AS (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER v <= {lexical.FIRST}
+"""
+
 # a score is a sum over the components of 64-bit products, in plain integers
 ORACLES["op12_hard_negatives"] = rf"""
 WITH q AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

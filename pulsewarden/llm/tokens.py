@@ -109,9 +109,10 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts)])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, blanks: np.ndarray | None = None) -> Words:
+    """Runs of bytes outside ``blanks`` (a table of 256), by default white space."""
     n = len(data)
-    inside = ~space_table()[data]
+    inside = ~(space_table() if blanks is None else blanks)[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
