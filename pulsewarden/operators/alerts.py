@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pulsewarden.config import DEFAULT_ACTION, DEFAULTS, SUGGESTED_ACTIONS, Settings
 from pulsewarden.functions import scalars as s
 from pulsewarden.operators.ordering import first_per_key
+from pulsewarden.operators.suppression import suppress
 from pulsewarden.schema import HORIZON_TYPE
-from pulsewarden.session import materialize
-
-ALERT_KEY = ("server_id", "metric_name", "severity")
-HOUR = 3_600_000_000
+from pulsewarden.session import sized
 
 
 def suggested_action(metric: Column) -> Column:
@@ -31,176 +28,6 @@ def alert_id(*parts: Column) -> Column:
     return F.concat(F.lit("alt_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
-def cap_can_bind(cooldown_minutes: float, cap: int) -> bool:
-    return cooldown_minutes <= 0 or ceil(60 / cooldown_minutes) > cap
-
-
-def _walk(times: np.ndarray, at: np.ndarray, cooldown: int, cap: int | None) -> Iterator[tuple]:
-    """Follow the alerts sent after each start in ``at`` through sorted ``times``.
-
-    Yields ``(walks, places)``: which walks go on and where their next alert is.
-    """
-    walks = np.arange(len(at))
-    sent = np.ones(len(at), dtype=np.int64)
-    while len(at):
-        yield walks, at
-        free = times[at] + cooldown
-        if cap is not None:
-            next_hour = (times[at] // HOUR + 1) * HOUR
-            free = np.where(sent >= cap, np.maximum(free, next_hour), free)
-        step = np.searchsorted(times, free)
-        alive = step < len(times)
-        if cap is not None:
-            same = times[at[alive]] // HOUR == times[step[alive]] // HOUR
-            sent = np.where(same, sent[alive] + 1, 1)
-        walks, at = walks[alive], step[alive]
-
-
-def _entry_table(cooldown: int, cap: int | None, block: int):
-    """Per block: last alert of the block for every possible first alert of the block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            entries, exits = [], []
-            for number, times in zip(pdf["block"], pdf["times"]):
-                times = np.asarray(times, dtype=np.int64)
-                if len(times) == 1:
-                    entries.append(times)
-                    exits.append(times)
-                    continue
-                first_free = np.searchsorted(times, number * block + cooldown)
-                start = np.arange(min(first_free + 1, len(times)))
-                last = times[start]
-                for walks, places in _walk(times, start, cooldown, cap):
-                    last[walks] = times[places]
-                # entries with the same outcome are one step of the table
-                keep = np.append(last[1:] != last[:-1], True)
-                entries.append(times[start][keep])
-                exits.append(last[keep])
-            yield pdf.drop(columns="times").assign(entries=entries, exits=exits)
-
-    return run
-
-
-def _fold_blocks(cooldown: int):
-    """Earliest time an alert may be sent in each block of a group, given the first block's (``since``)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", ignore_index=True)
-        free, out = int(pdf["since"].iloc[0]), []
-        for entries, exits in zip(pdf["entries"], pdf["exits"]):
-            out.append(free)
-            place = np.searchsorted(entries, free)
-            if place < len(entries):
-                free = int(exits[place]) + cooldown
-        return pdf.drop(columns=["entries", "exits", "since"]).assign(free=np.array(out, dtype=np.int64))
-
-    return run
-
-
-def _join_blocks(cooldown: int, fan: int):
-    """The table of ``fan`` neighbouring blocks from the blocks' own tables."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", ignore_index=True)
-        # a start behind the first block's last entry finds the next block untouched
-        first = np.concatenate([pdf["entries"].iloc[0], *[e[:1] for e in pdf["entries"].iloc[1:2]]]).astype(np.int64)
-        free, last = first.copy(), first.copy()
-        for entries, exits in zip(pdf["entries"], pdf["exits"]):
-            place = np.searchsorted(entries, free)
-            hit = place < len(entries)
-            last = np.where(hit, np.asarray(exits)[np.minimum(place, len(entries) - 1)], last)
-            free = np.where(hit, last + cooldown, free)
-        keep = np.append(last[1:] != last[:-1], True)
-        out = pdf.iloc[:1].assign(block=pdf["block"].iloc[0] // fan)
-        return out.assign(entries=[first[keep]], exits=[last[keep]])
-
-    return run
-
-
-def _block_starts(tables: DataFrame, cooldown: int, keys: Sequence[str], key_ddl: str, low: int, high: int, fan: int) -> DataFrame:
-    """Earliest time an alert may be sent in each block (``low`` … ``high``) of each key.
-
-    Blocks are joined level by level, ``fan`` at a time, until a key has one, and resolved
-    back down, so that no task sees more than ``fan`` tables of a key.
-    """
-    fold, ddl = _fold_blocks(cooldown), f"{key_ddl}, block bigint, free bigint"
-    if high == low:
-        begin = F.lit(int(np.iinfo(np.int64).min))
-        return tables.select(*keys, "block", begin.alias("free"))
-    tables = materialize(tables)
-    parent = F.floor(F.col("block") / fan)
-    table_ddl = f"{key_ddl}, block bigint, entries array<bigint>, exits array<bigint>"
-    joined = tables.groupBy(*keys, parent.alias("_up")).applyInPandas(
-        lambda pdf: _join_blocks(cooldown, fan)(pdf), table_ddl)
-    above = _block_starts(joined, cooldown, keys, key_ddl, low // fan, high // fan, fan)
-    above = above.withColumnRenamed("block", "_up").withColumnRenamed("free", "since")
-    below = tables.withColumn("_up", parent).join(above, [*keys, "_up"])
-    return below.groupBy(*keys, "_up").applyInPandas(lambda pdf: fold(pdf.drop(columns="_up")), ddl)
-
-
-def _sent_in_block(cooldown: int, cap: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sent = []
-            for free, times in zip(pdf["free"], pdf["times"]):
-                times = np.asarray(times, dtype=np.int64)
-                start = np.searchsorted(times, np.array([free]))
-                start = start[start < len(times)]
-                sent.append([int(times[p[0]]) for _, p in _walk(times, start, cooldown, cap)])
-            yield pdf.drop(columns=["times", "free"]).assign(sent=sent)
-
-    return run
-
-
-def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_minutes,
-             max_per_hour: int = DEFAULTS.max_alerts_per_hour, keys: Sequence[str] = ALERT_KEY,
-             order: Sequence[str] = ("timestamp", "seq"), fan: int = 64) -> DataFrame:
-    """Candidates that pass the cooldown and the hourly cap of their key.
-
-    An alert is held back while the last *sent* alert of its key is younger than
-    the cooldown, or when the key already sent ``max_per_hour`` alerts in the hour.
-
-    Exact without walking a key from end to end in one task: times of a key are cut
-    into blocks of at least a day. A block only needs to know when the next alert may
-    be sent, so each block is first reduced to a table "first alert → last alert",
-    the tables of a key are chained (``fan`` at a time), and then every block is
-    resolved on its own.
-    """
-    if max_per_hour <= 0:
-        return candidates.limit(0)
-    ts = F.unix_micros(order[0])
-    if cooldown_minutes <= 0:
-        hour = candidates.withColumn("_hour", F.floor(ts / HOUR))
-        return first_per_key(hour, max_per_hour, [*keys, "_hour"], [F.col(c) for c in order]).drop("_hour")
-
-    cooldown = int(cooldown_minutes * 60_000_000)
-    cap = max_per_hour if cap_can_bind(cooldown_minutes, max_per_hour) else None
-    block = ceil(max(24 * HOUR, 24 * cooldown) / HOUR) * HOUR
-    key_ddl = ", ".join(f"`{k}` string" for k in keys)
-    # of several candidates at one instant the first may be sent; the others are
-    # gone before the shuffle, so a run of copies costs nothing after it
-    rest = [c for c in candidates.columns if c not in keys]
-    first = materialize(
-        candidates.withColumn("_us", ts).withColumns({k: F.col(k).cast("string") for k in keys})
-        .groupBy(*keys, "_us").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    )
-    blocks = first.groupBy(*keys, F.floor(F.col("_us") / block).alias("block")).agg(
-        F.sort_array(F.collect_list("_us")).alias("times")
-    )
-    tables = blocks.mapInPandas(
-        _entry_table(cooldown, cap, block),
-        f"{key_ddl}, block bigint, entries array<bigint>, exits array<bigint>",
-    )
-    ends = first.agg(F.min("_us"), F.max("_us")).first()
-    low, high = (0, 0) if ends[0] is None else (ends[0] // block, ends[1] // block)
-    starts = _block_starts(tables, cooldown, keys, key_ddl, low, high, fan)
-    sent = blocks.join(starts, [*keys, "block"]).mapInPandas(
-        _sent_in_block(cooldown, cap), f"{key_ddl}, block bigint, sent array<bigint>"
-    ).select(*keys, F.explode("sent").alias("_us"))
-    return first.join(sent, [*keys, "_us"], "left_semi").select(*keys, "_r.*").select(*candidates.columns)
-
-
 def _column(df: DataFrame, name: str, dtype) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
@@ -268,16 +95,62 @@ class AlertRule:
     enabled: bool = True
 
 
-def match_rules(df: DataFrame, rules: Sequence[AlertRule], metric: str = "metric_name") -> DataFrame:
+RULE = "name string, metric_pattern string, threshold double, severity string, condition_type string, cooldown_min int, enabled boolean"
+#: Characters that a shell pattern may begin a wildcard with.
+_WILD = r"[*?\[]"
+
+
+def rule_table(spark: SparkSession, rules: Sequence[AlertRule]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.metric_pattern, float(r.threshold), r.severity, r.condition_type, r.cooldown_min, r.enabled)
+                                  for r in rules], RULE)
+
+
+@F.pandas_udf(T.StringType())
+def _regex_of(patterns: pd.Series) -> pd.Series:
+    return patterns.map(s.glob_regex, na_action="ignore")
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Enabled rules by the longer of the literal ends of their patterns.
+
+    ``side`` says which end (0 the beginning), ``literal`` what it is, ``regex`` verifies. A
+    pattern without a wildcard is its own beginning.
+    """
+    pattern = F.col("metric_pattern")
+    before = F.regexp_extract(pattern, rf"(?s)\A(.*?)(?:{_WILD}|\z)", 1)
+    # behind a set's end any character may still belong to the set, so only what follows * or ? is literal
+    after = F.when(pattern.rlike(r"\["), "").otherwise(F.regexp_extract(pattern, r"(?s)([^*?]*)\z", 1))
+    side = (F.length(after) > F.length(before)).cast("int")
+    return rules.filter(F.coalesce("enabled", F.lit(True))).select(
+        F.col("name").alias("rule"), "threshold", F.col("severity").alias("rule_severity"),
+        side.alias("side"), F.when(side == 1, after).otherwise(before).alias("literal"), _regex_of(pattern).alias("regex"))
+
+
+def match_rules(df: DataFrame, rules: Sequence[AlertRule] | DataFrame, metric: str = "metric_name") -> DataFrame:
     """Rows with every enabled rule whose pattern fits the metric.
 
-    The rules are a short configured list, so each row tries them in passing: one pass
-    over the rows, no join.
+    A short configured list is tried in passing: one pass over the rows, no join. A table of
+    rules is looked up: the distinct metrics probe ``rule_index`` with their own beginnings
+    and ends, of the lengths that occur there, by equal literals; the pattern only verifies
+    what is found, and rows meet the rules of their metric.
     """
     columns = ("rule", "threshold", "rule_severity")
+    if isinstance(rules, DataFrame):
+        index = sized(rule_index(rules))
+        lengths = index.groupBy("side").agg(F.collect_set(F.length("literal")).alias("n")).collect()  # no longer than patterns are
+        probes = [F.struct(F.lit(r["side"]).alias("side"), literal.alias("literal"))
+                  for r in lengths for n in sorted(r["n"])
+                  for literal in [F.when(F.length("_m") >= n, F.substring("_m", 1, n) if r["side"] == 0 else F.expr(f"right(_m, {n})"))]]
+        if not probes:
+            return match_rules(df, ())
+        names = df.select(F.col(metric).alias("_m")).distinct()
+        asked = names.select("_m", F.inline(F.array(*probes))).filter("literal IS NOT NULL")
+        fits = sized(asked.join(index, ["side", "literal"]).filter(F.expr("_m RLIKE regex")).select("_m", *columns))
+        kept = df.drop(*columns)
+        return kept.join(fits, kept[metric] == fits["_m"]).drop("_m")
     enabled = [r for r in rules if r.enabled]
     if not enabled:
-        return df.limit(0).withColumns({c: F.lit(None).cast("string") for c in columns})
+        return df.limit(0).withColumns({c: F.lit(None).cast("double" if c == "threshold" else "string") for c in columns})
     candidates = F.array(*[
         F.struct(
             F.lit(r.name).alias("rule"), F.lit(float(r.threshold)).alias("threshold"),
@@ -289,7 +162,7 @@ def match_rules(df: DataFrame, rules: Sequence[AlertRule], metric: str = "metric
     return df.drop(*columns).select("*", F.inline(fitting)).drop("fits")
 
 
-def apply_rules(detections: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
+def apply_rules(detections: DataFrame, rules: Sequence[AlertRule] | DataFrame) -> DataFrame:
     """Detections that reach the threshold of a fitting rule."""
     return match_rules(detections, rules).filter(F.col("anomaly_score") >= F.col("threshold"))
 

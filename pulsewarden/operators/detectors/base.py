@@ -6,7 +6,7 @@ from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame
 
-from pulsewarden.sinks.stores import load_model, save_model
+from pulsewarden.sinks.stores import load_model, store_model
 
 
 class StoredModel(ABC):
@@ -22,10 +22,12 @@ class StoredModel(ABC):
     def is_trained(self) -> bool:
         return self.model is not None
 
-    def save(self, base: str, version: str = "1.0.0") -> str:
-        return save_model(self.model, base, self.model_name, version)
+    def save(self, base: str, version: str = "1.0.0", metrics: dict[str, float] | None = None) -> str:
+        """Store the model table and register it; the version is the active one from then on."""
+        return store_model(self.model, base, self.model_name, version, type(self).__name__, metrics)
 
     def load(self, spark, base: str, version: str | None = None) -> "StoredModel":
+        """Of the given version, else the active one."""
         self.model = load_model(spark, base, self.model_name, version)
         return self
 

@@ -11,6 +11,7 @@ from pulsewarden.operators import aggregates as ag, histograms as dr
 from pulsewarden.operators.detectors.holtwinters import HoltWinters
 from pulsewarden.operators.detectors.iforest import IsolationForest
 from pulsewarden.operators.detectors.sequence import SequenceReconstruction
+from pulsewarden.session import materialize
 from pulsewarden.sinks import stores
 from pulsewarden.sources.tables import impute_numeric, wide_to_long
 
@@ -37,17 +38,19 @@ def train_all(table: DataFrame, features: Sequence[str], base: str, version: str
     sequence = SequenceReconstruction(settings.sequence_length, percentile=settings.threshold_percentile)
     report = {}
     if forest.train(table) is not None:
-        forest.save(base, version)
         report["isolation_forest"] = ag.training_metrics(forest.score(table), len(features))
     smoothing.train(points)
-    smoothing.save(base, version)
-    smoothing.load(spark, base, version)
     report["holt_winters"] = smoothing.model.agg(
         F.count("*").alias("n_series"), F.sum("n").alias("n_samples"),
         F.avg("resid_std").alias("residual_std"), F.sum("sse").alias("sse"),
     )
     if sequence.train(points) is not None:
-        sequence.save(base, version)
         report["lstm_autoencoder"] = sequence.model.select("n_sequences", "threshold")
-    stores.save_model(dr.set_reference(long_matrix(table, features)), base, "drift_reference", version)
+    for model in (forest, smoothing, sequence):
+        if model.model_name in report:
+            summary = materialize(report[model.model_name])  # one row: the report and the registration take it
+            report[model.model_name] = summary
+            model.save(base, version, summary.first().asDict())
+            model.load(spark, base, version)
+    stores.store_model(dr.set_reference(long_matrix(table, features)), base, "drift_reference", version, "histogram")
     return stores.report_rows(**report)

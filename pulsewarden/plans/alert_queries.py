@@ -11,8 +11,9 @@ from pulsewarden.operators import alerts as al, rolling, service
 from pulsewarden.operators.detectors.holtwinters import z_score
 from pulsewarden.plans.catalog import GRADED, POINTS, SEVERITY_SQL, VERDICTS, ntz, points, query, r6, sql6, verdicts
 from pulsewarden.plans.source_queries import ACTION, MESSAGE, _channels
+from pulsewarden.schema import ALERT_SCHEMA
 from pulsewarden.session import scratch_dir
-from pulsewarden.sinks import channels as ch
+from pulsewarden.sinks.outbox import Outbox
 
 _FRAME = "OVER (PARTITION BY server_id, name ORDER BY timestamp, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 _SEEN = "count(*) OVER (PARTITION BY server_id, name ORDER BY timestamp, seq)"
@@ -68,9 +69,9 @@ def _emitted(name: str, minutes: int, cap: int, **kw):
 
 _emitted("al1_cooldown", 30, 50)
 _emitted("al1_long_cooldown", 240, 50)
-_emitted("al1_cooldown_levels", 30, 50, fan=2)
+_emitted("al1_cooldown_levels", 30, 50, fan=2, block_rows=16)
 _emitted("al2_hourly_cap", 5, 2)
-_emitted("al2_cap_levels", 5, 2, fan=3)
+_emitted("al2_cap_levels", 5, 2, fan=3, block_rows=16)
 _emitted("al2_cap_without_cooldown", 0, 3)
 
 
@@ -85,21 +86,44 @@ def al3(spark, sf_dir):
                     "message", "suggested_action", "is_predicted", ntz("timestamp").alias("timestamp"))
 
 
-@query("al4_process_detections", f"""WITH RECURSIVE {GRADED}, {_fold_sql('g', 30, 50)}, k AS (SELECT g.* FROM g JOIN f USING (server_id, metric_name, severity, seq) WHERE f.emitted),
+_AL4 = f"""WITH RECURSIVE {GRADED}, {_fold_sql('g', 30, 50)}, k AS (SELECT g.* FROM g JOIN f USING (server_id, metric_name, severity, seq) WHERE f.emitted),
     a AS (SELECT 'alt_' || substr(sha256(concat_ws('|', server_id, metric_name, severity, epoch_us(timestamp)::VARCHAR, seq::VARCHAR)), 1, 12) AS alert_id,
                  server_id, metric_name, severity FROM k)
-    SELECT *, unnest(['webhook', 'slack', 'pagerduty', 'email']) AS channel FROM a""")
+    SELECT *, unnest(['webhook', 'slack', 'pagerduty', 'email']) AS channel FROM a"""
+
+
+@query("al4_process_detections", _AL4)
 def al4(spark, sf_dir):
     """Detections go through the store twice; the second time adds nothing."""
     store = f"{scratch_dir(spark)}/al4-{uuid.uuid4().hex}"
     detections = verdicts(spark, sf_dir)
     service.process_detections(detections, _channels(), store)
-    again = service.process_detections(detections, _channels(), store)
-    stored = spark.read.parquet(store)
-    routed = ch.route_alerts(stored, _channels()).unionByName(again)
+    service.process_detections(detections, _channels(), store)
+    stored, routed = service.stored_alerts(spark, store), service.stored_payloads(spark, store)
+    return stored.select("alert_id", "server_id", "metric_name", "severity").join(routed.select("alert_id", "channel"), "alert_id")
+
+
+def _batches(spark, sf_dir, failing=()):
+    """Verdicts in four batches of time through the store; a batch whose number is ``failing`` dies half way first."""
+    store = f"{scratch_dir(spark)}/al4-{uuid.uuid4().hex}"
+    v = verdicts(spark, sf_dir)
+    first, last = v.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    number = F.least(F.floor((F.unix_micros("timestamp") - first) * 4 / F.lit(max(1, last - first))), F.lit(3))
+    for n in range(4):
+        part = v.filter(number == n)
+        if n in failing:
+            Outbox(spark, store).stage("run", n, {service.ALERTS: al.build_alerts(al.grade(part)).select(*ALERT_SCHEMA.fieldNames())})
+        service.process_batch(part, _channels(), store, "run", n)
+        service.process_batch(part, _channels(), store, "run", n)  # a replay
+    stored, routed = service.stored_alerts(spark, store), service.stored_payloads(spark, store)
     return stored.select("alert_id", "server_id", "metric_name", "severity").join(routed.select("alert_id", "channel"), "alert_id")
 
 
+@query("al4_batches_and_replays", _AL4)
+def al4_batches(spark, sf_dir):
+    return _batches(spark, sf_dir, failing=(1, 3))
+
+
 @query("al5_acknowledge", f"""WITH {GRADED}, k AS (SELECT obs FROM g WHERE server_id = 'srv-2')
     SELECT obs, obs IN (SELECT obs FROM k) AS acknowledged, CASE WHEN obs IN (SELECT obs FROM k) THEN 'oncall' ELSE '' END AS acknowledged_by FROM g""")
 def al5(spark, sf_dir):

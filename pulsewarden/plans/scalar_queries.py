@@ -144,6 +144,38 @@ def al6(spark, sf_dir):
     return al.apply_rules(verdicts(spark, sf_dir), RULES).select("obs", "rule", "threshold")
 
 
+# Ten thousand rules for each of several shapes, as a table: most fit nothing.
+_MANY = f"""rt AS (SELECT 'rule-' || i AS rule, CASE i % 7 WHEN 0 THEN 'cpu_' || (i // 7) || '*' WHEN 1 THEN '*_' || (i // 7) WHEN 2 THEN 'mem' || '*' || (i // 7)
+    WHEN 3 THEN 'metric-' || (i // 7) WHEN 4 THEN '?rror_rate' || repeat('?', (i // 7) % 50) WHEN 5 THEN 'disk_io_util' || repeat('*', (i // 7) % 3)
+    ELSE '[cq]' || substr('pu_usage', 1, (i // 7) % 9) || '*' END AS pattern, (i % 10) / 10.0 AS threshold, i % 11 <> 0 AS enabled FROM range(10000) t(i))"""
+
+
+def _many_rules(spark):
+    i = F.col("id")
+    k = F.floor(i / 7)
+    text = k.cast("string")
+    pattern = (
+        F.when(i % 7 == 0, F.concat(F.lit("cpu_"), text, F.lit("*"))).when(i % 7 == 1, F.concat(F.lit("*_"), text))
+        .when(i % 7 == 2, F.concat(F.lit("mem*"), text)).when(i % 7 == 3, F.concat(F.lit("metric-"), text))
+        .when(i % 7 == 4, F.concat(F.lit("?rror_rate"), F.repeat(F.lit("?"), (k % 50).cast("int"))))
+        .when(i % 7 == 5, F.concat(F.lit("disk_io_util"), F.repeat(F.lit("*"), (k % 3).cast("int"))))
+        .otherwise(F.concat(F.lit("[cq]"), F.substring(F.lit("pu_usage"), F.lit(1), (k % 9).cast("int")), F.lit("*"))))
+    return spark.range(10000).select(
+        F.concat(F.lit("rule-"), i.cast("string")).alias("name"), pattern.alias("metric_pattern"), ((i % 10) / 10.0).alias("threshold"),
+        F.lit("warning").alias("severity"), F.lit("anomaly_score").alias("condition_type"), F.lit(30).alias("cooldown_min"), (i % 11 != 0).alias("enabled"))
+
+
+@query("j2_rule_table", f"WITH {VERDICTS}, {_MANY}, m AS (SELECT DISTINCT metric_name FROM v), k AS (SELECT metric_name, rule FROM m JOIN rt ON metric_name GLOB pattern WHERE enabled) SELECT metric_name, rule, count(*) AS n_rows FROM v JOIN k USING (metric_name) GROUP BY ALL")
+def j2_table(spark, sf_dir):
+    fits = al.match_rules(verdicts(spark, sf_dir), _many_rules(spark))
+    return fits.groupBy("metric_name", "rule").agg(F.count("*").alias("n_rows"))
+
+
+@query("al6_rule_table", f"WITH {VERDICTS}, {_RULES} SELECT obs, rule, threshold FROM v JOIN r ON metric_name GLOB pattern WHERE anomaly_score >= threshold")
+def al6_table(spark, sf_dir):
+    return al.apply_rules(verdicts(spark, sf_dir), al.rule_table(spark, RULES)).select("obs", "rule", "threshold")
+
+
 _WEIGHT = "CASE model_name WHEN 'isolation_forest' THEN 0.4 WHEN 'lstm_autoencoder' THEN 0.4 WHEN 'holt_winters' THEN 0.2 ELSE 1.0 / n END"
 
 

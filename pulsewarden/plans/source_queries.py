@@ -279,12 +279,24 @@ def snk1_info(spark, sf_dir):
     stores.register_models(p.select(
         "name", F.concat(F.lit("1."), (F.col("user_id") % 3).cast("string"), F.lit(".0")).alias("version"),
         F.concat(F.lit("algorithm of "), "name").alias("algorithm"), F.concat(F.lit("models/"), F.col("seq").cast("string")).alias("path"),
-        F.create_map(F.lit("score"), F.col("value")).alias("metrics"), F.col("timestamp").alias("created_at")), path)
+        F.create_map(F.lit("score"), F.col("value")).alias("metrics"), F.col("timestamp").alias("created_at")), path, replace=True)
     both = stores.list_models(spark, path, "view").unionByName(stores.list_models(spark, path).filter("name <> 'view'"))
     return both.select("name", "version", "algorithm", "path", r6(F.col("metrics")["score"]).alias("score"),
                        ntz("created_at").alias("created_at"), "is_active")
 
 
+@query("snk1_active_model", f"WITH {POINTS} SELECT 'active' AS loaded, name, max(value) AS top FROM p WHERE user_id % 3 = 1 GROUP BY name UNION ALL SELECT 'wanted', name, max(value) FROM p WHERE user_id % 3 = 2 GROUP BY name")
+def snk1_active(spark, sf_dir):
+    """Three versions of a model table; an earlier one is made active again, and one is asked for by name."""
+    p, base = points(spark, sf_dir, "user_id"), f"{scratch_dir(spark)}/models-{uuid.uuid4().hex}"
+    for k in range(3):
+        top = p.filter(F.col("user_id") % 3 == k).groupBy("name").agg(F.max("value").alias("top"))
+        stores.store_model(top, base, "tops", f"1.{k}.0", "maximum", {"part": k})
+    stores.activate_model(spark, base, "tops", "1.1.0")
+    active, wanted = stores.load_model(spark, base, "tops"), stores.load_model(spark, base, "tops", "1.2.0")
+    return active.select(F.lit("active").alias("loaded"), "name", "top").unionByName(wanted.select(F.lit("wanted").alias("loaded"), "name", "top"))
+
+
 def _alerts(spark, sf_dir):
     """Alerts of every verdict that passes the gate, without suppression."""
     return al.build_alerts(al.grade(verdicts(spark, sf_dir)), al.DEFAULTS.with_(dashboard_base="http://grafana:3000"))
@@ -378,3 +390,16 @@ def snk6_down(spark, sf_dir):
     d = stores.downsample(points(spark, sf_dir), "1 hour")
     return d.select("server_id", "name", ntz("step").alias("step"), r6("avg_value").alias("avg_value"),
                     "min_value", "max_value", "n_points")
+
+
+@query("snk6_incremental", f"""WITH {POINTS} SELECT server_id, name, time_bucket(INTERVAL 1 HOUR, timestamp) AS step,
+    {sql6('avg(value)')} AS avg_value, min(value) AS min_value, max(value) AS max_value, count(value) AS n_points FROM p GROUP BY ALL""")
+def snk6_incremental(spark, sf_dir):
+    """The days one after the other, then points that come late, then the rest of a day."""
+    p, path = points(spark, sf_dir), f"{scratch_dir(spark)}/summaries-{uuid.uuid4().hex}"
+    late = F.col("seq") % 50 == 7
+    half = F.dayofmonth("timestamp") <= 15
+    for part in (p.filter(half & ~late), p.filter(~half & ~late), p.filter(late)):
+        stores.add_points(part, path)
+    d = stores.read_summaries(spark, path)
+    return d.select("server_id", "name", ntz("step").alias("step"), r6("avg_value").alias("avg_value"), "min_value", "max_value", "n_points")

@@ -125,6 +125,10 @@ class Email(Channel):
         ))
 
 
+#: Rows of ``route_alerts``.
+PAYLOAD = "alert_id string, channel string, payload string"
+
+
 def route_alerts(alerts: DataFrame, channels: Sequence[Channel]) -> DataFrame:
     """One row per alert and channel. The channels are a short configured list."""
     if not channels:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsewarden.config import DEFAULTS
@@ -41,18 +43,71 @@ def _versions(spark: SparkSession, base: str, name: str) -> list[str]:
     return sorted(f.split("=", 1)[1] for f in found if f.startswith("version="))
 
 
+def _registry(base: str) -> str:
+    return f"{base}/_registry"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def store_model(table: DataFrame, base: str, name: str, version: str = "1.0.0", algorithm: str = "unknown",
+                metrics: dict[str, float] | None = None, replace: bool = True) -> str:
+    """``save_model``, and the registration that makes this version the active one."""
+    spark = table.sparkSession
+    path = save_model(table, base, name, version)
+    values = {k: float(v) for k, v in (metrics or {}).items() if v is not None}
+    row = spark.createDataFrame([(name, version, algorithm, path, values)], "name string, version string, algorithm string, path string, metrics map<string,double>")
+    register_models(row.withColumn("created_at", F.current_timestamp()), _registry(base), replace)
+    return path
+
+
+def active_version(spark: SparkSession, base: str, name: str) -> str | None:
+    """The version that the registry of ``base`` marks active."""
+    if not _exists(spark, _registry(base)):
+        return None
+    found = list_models(spark, _registry(base), name).filter("is_active").select("version").first()
+    return found["version"] if found else None
+
+
+def activate_model(spark: SparkSession, base: str, name: str, version: str) -> None:
+    """Make an earlier version the active one: it is registered anew, as it was."""
+    rows = list_models(spark, _registry(base), name).filter(F.col("version") == version).drop("is_active").collect()
+    if not rows:
+        raise LookupError(f"no model {name} in version {version}")
+    again = spark.createDataFrame(rows, MODEL_SCHEMA).withColumn("created_at", F.current_timestamp())
+    register_models(again, _registry(base), replace=True)
+
+
 def load_model(spark: SparkSession, base: str, name: str, version: str | None = None) -> DataFrame:
+    """The table of ``version``; without one, of the active version; if it isn't stored, of the last by name order."""
     versions = _versions(spark, base, name)
     if not versions:
         raise LookupError(f"no stored model named {name}")
-    pick = version if version in versions else versions[-1]
+    wanted = version or active_version(spark, base, name)
+    pick = wanted if wanted in versions else versions[-1]
     return spark.read.parquet(f"{base}/{name}/version={pick}")
 
 
-def register_models(registrations: DataFrame, path: str) -> None:
-    """Append registrations (``MODEL_SCHEMA``) to the table of models."""
+def register_models(registrations: DataFrame, path: str, replace: bool = False) -> None:
+    """Append registrations (``MODEL_SCHEMA``) to the table of models.
+
+    A name and version can be registered once; ``replace`` lets a newer registration take the
+    place of an older one.
+    """
     names = MODEL_SCHEMA.fieldNames()
-    registrations.select(*names).write.mode("append").parquet(path)
+    rows = registrations.select(*names)
+    if not replace:
+        spark, key = rows.sparkSession, ["name", "version"]
+        rows = materialize(rows)
+        taken = rows.groupBy(*key).count().filter("count > 1").select(*key)
+        if _exists(spark, path):
+            taken = taken.unionByName(rows.select(*key).join(spark.read.schema(MODEL_SCHEMA).parquet(path).select(*key), key, "left_semi"))
+        first = taken.first()
+        if first:
+            raise ValueError(f"model {first['name']} is registered in version {first['version']} already")
+    rows.write.mode("append").parquet(path)
 
 
 def model_info(models: DataFrame) -> DataFrame:
@@ -131,3 +186,58 @@ def downsample(points: DataFrame, step: str = DEFAULTS.downsample) -> DataFrame:
     return per.withColumn("step", F.col("_w.start")).select(
         "server_id", "name", "step", "avg_value", "min_value", "max_value", "n_points"
     )
+
+
+#: Steps of stored summaries, the finest first; each is summed up from the one before.
+LEVELS = ("5 minutes", "1 hour")
+_SUMS = {"value_sum": F.sum, "n_points": F.sum, "min_value": F.min, "max_value": F.max}
+
+
+def partial_sums(points: DataFrame, step: str) -> DataFrame:
+    """What two parts of a step's points can be put together from, per series, step and day."""
+    per = points.groupBy("server_id", "name", F.window("timestamp", step).start.alias("step")).agg(
+        F.sum("value").alias("value_sum"), F.count("value").alias("n_points"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    return per.withColumn("day", F.to_date("step"))
+
+
+def merge_sums(parts: DataFrame, step: str | None = None) -> DataFrame:
+    """Partial sums of the same steps, or (with ``step``) of finer ones, as one."""
+    if step:
+        parts = parts.withColumn("step", F.window("step", step).start).withColumn("day", F.to_date("step"))
+    return parts.groupBy("server_id", "name", "step", "day").agg(*[how(c).alias(c) for c, how in _SUMS.items()])
+
+
+def _level(path: str, step: str) -> str:
+    return f"{path}/step={step.replace(' ', '_')}"
+
+
+def add_points(points: DataFrame, path: str, levels: Sequence[str] = LEVELS) -> list[str]:
+    """Take new points, late ones too, into the stored summaries; the days that were rewritten.
+
+    Points are summed up on their own and merged with the stored sums of the days that they
+    touch. Only those days are read and written again, on every level. Steps must divide a day
+    and each other. A batch must come once: stage it (``sinks.outbox``) where it may be repeated.
+    """
+    spark = points.sparkSession
+    new = materialize(partial_sums(points, levels[0]))
+    days = [r["day"] for r in new.select("day").distinct().collect()]
+    if not days:
+        return []
+    fresh = new
+    for i, step in enumerate(levels):
+        place = _level(path, step)
+        if i:
+            fresh = merge_sums(fresh, step)
+        elif _exists(spark, place):
+            stored = spark.read.parquet(place).filter(F.col("day").isin(days)).select(*new.columns)
+            fresh = merge_sums(new.unionByName(stored))
+        # read before the same days are written
+        fresh = materialize(fresh.select(*new.columns))
+        fresh.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(place)
+    return sorted(map(str, days))
+
+
+def read_summaries(spark: SparkSession, path: str, step: str = LEVELS[-1]) -> DataFrame:
+    """The rows of ``downsample`` from the stored sums."""
+    rows = spark.read.parquet(_level(path, step))
+    return rows.select("server_id", "name", "step", F.try_divide("value_sum", "n_points").alias("avg_value"), "min_value", "max_value", "n_points")

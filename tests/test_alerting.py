@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions import scalars as s
-from pulsewarden.operators import alerts as al
+from pulsewarden.operators import alerts as al, suppression as sup
 from pulsewarden.schema import ALERT_SCHEMA
 from pulsewarden.sinks import channels as ch, stores
 
@@ -85,7 +85,62 @@ def test_nothing_passes_a_zero_cap(spark):
 
 
 def test_cap_binding():
-    assert not al.cap_can_bind(30, 50) and al.cap_can_bind(0, 50) and al.cap_can_bind(1, 50)
+    assert not sup.cap_can_bind(30, 50) and sup.cap_can_bind(0, 50) and sup.cap_can_bind(1, 50)
+
+
+def test_tables_compose_to_the_sequential_rule():
+    """Any cut of a history into blocks and any tree over them gives the alerts of the plain walk."""
+    r = np.random.default_rng(4)
+    for trial in range(300):
+        minute = 60_000_000
+        cooldown = int(r.choice([1, 7, 25, 90])) * minute
+        cap = int(r.choice([1, 2, 5, 1 << 61]))
+        rule = sup.Rule(cooldown, cap, max(cooldown, sup.HOUR) if cap < 100 else cooldown)
+        times = np.unique((r.exponential(r.choice([0.2, 2, 30]), r.integers(1, 150)).cumsum() * minute).astype(np.int64))
+        cuts = np.unique(np.append(0, r.integers(0, len(times), r.integers(0, 30))))
+        blocks = np.split(times, cuts[1:])
+        tables = [sup.Table.of_rows(b, rule) for b in blocks]
+        want = {int(times[p]) for p in sup._sent(times.tolist(), *[int(x[0]) for x in vars(sup.begin()).values()], rule)}
+
+        def resolve(tables, blocks, state, fan):
+            if len(tables) == 1:
+                return {int(blocks[0][p]) for p in sup._sent(blocks[0].tolist(), *[int(x[0]) for x in vars(state).values()], rule)}
+            size, out = max(1, -(-len(tables) // fan)), set()
+            for i in range(0, len(tables), size):
+                out |= resolve(tables[i: i + size], blocks[i: i + size], state, fan)
+                whole = sup.compose(tables[i: i + size], rule)
+                assert len(whole.t) <= 1 + (times < whole.t[0] + rule.reach).sum()
+                state = whole.advance(state, rule)
+            return out
+
+        assert resolve(tables, blocks, sup.begin(), int(r.integers(2, 5))) == want
+
+
+@pytest.mark.parametrize("cooldown,cap,rows,fan,gap", [(30, 50, 16, 2, 4), (5, 2, 16, 3, 2), (1, 5, 3, 2, 0.4), (600, 50, 5, 3, 20), (2, 3, 1, 4, 3)])
+def test_blocks_of_few_rows(spark, cooldown, cap, rows, fan, gap):
+    rng = np.random.default_rng(rows)
+    cand = []
+    for k, key in enumerate([("s", "a", "warning"), ("s", None, "warning"), ("s", "", "warning"), ("s", "b", "info")]):
+        cand += candidates(spark, np.round(rng.exponential(gap, 180 if k < 2 else 4).cumsum(), 2), key, 1000 * k)
+    df = spark.createDataFrame(cand, CAND).repartition(3)
+    got = {r["seq"] for r in al.suppress(df, cooldown, cap, fan=fan, block_rows=rows).collect()}
+    assert got == sequential(cand, cooldown, cap)
+
+
+def test_no_array_is_longer_than_a_block(spark, monkeypatch):
+    """A key whose alerts all lie inside one cooldown: tables stay in pieces."""
+    seen, write = [], sup.materialize
+
+    def watched(df, *by):
+        out = write(df, *by)
+        seen.extend(out.select(F.max(F.size(c)).alias("n")).first()["n"] for c, kind in out.dtypes if kind.startswith("array"))
+        return out
+
+    monkeypatch.setattr(sup, "materialize", watched)
+    cand = candidates(spark, np.arange(1000) / 50)
+    got = al.suppress(spark.createDataFrame(cand, CAND), 30, 50, fan=4, block_rows=16)
+    assert [r["seq"] for r in got.collect()] == [0]
+    assert len(seen) > 10 and max(seen) == 16
 
 
 def detection(spark, score, flag, **extra):
