@@ -23,8 +23,10 @@ ORDER = ("timestamp", "seq")
 CHUNK = "_chunk"
 HOME = "_home"
 POS = "_g"
+PART = "_part"
 
-PARTITION_ROWS = 20_000
+#: Bytes of the rows of a partition, before compression.
+PARTITION_BYTES = 96 << 20
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in the low 33 bits
 
@@ -34,10 +36,10 @@ def ordered(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = OR
 
     Rows of one key are contiguous in ``_g``.
     """
-    return _placed(df, keys, order)[0]
+    return placed(df, keys, order)[0]
 
 
-def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
     """Rows with their place, and how many there are.
 
     The range-partitioned rows are written once, so that the partition sizes and the
@@ -59,13 +61,13 @@ def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[D
     for r in sizes:
         starts.append((r["p"], total))
         total += r["n"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    offsets = df.sparkSession.createDataFrame(starts, "_file long, _start long")
     place = F.col("_mid").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     rows = (
-        written.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        written.withColumn("_file", part)
+        .join(F.broadcast(offsets), "_file")
         .withColumn(POS, F.col("_start") + place)
-        .drop("_part", "_start", "_mid")
+        .drop("_file", "_start", "_mid")
     )
     return rows, total
 
@@ -78,6 +80,18 @@ def numbered(df: DataFrame, name: str = "rn", keys: Sequence[str] = KEYS,
     return rows.join(starts, list(keys)).withColumn(name, F.col(POS) - F.col("_first") + 1).drop(POS, "_first")
 
 
+def layout(total: int, width: int, cores: int, least: int, chunk_rows: int) -> tuple[int, int, int]:
+    """Rows of a chunk, chunks of a partition, and partitions, for ``total`` rows of ``width`` bytes.
+
+    Chunks are small enough to give each core two, down to 1024 rows or ``least``; partitions
+    hold ``PARTITION_BYTES``, or less where the cores would run out of work.
+    """
+    size = max(least, min(chunk_rows, max(1024, -(-total // (2 * cores)))))
+    chunks = max(1, -(-total // size))
+    per = max(1, min(PARTITION_BYTES // (max(1, width) * size), chunks // (2 * cores)))
+    return size, per, -(-chunks // per)
+
+
 def chunked(
     df: DataFrame,
     before: int = 0,
@@ -88,20 +102,23 @@ def chunked(
 ) -> DataFrame:
     """Add ``_chunk`` and ``_home``; rows near a chunk border appear in both chunks.
 
-    Evaluate windows over ``chunk_window(keys)`` and keep only ``_home`` rows.
+    Chunks are stretches of the global order, and a partition holds neighbouring ones, so all
+    partitions hold the same number of rows and none is empty. Evaluate windows over
+    ``chunk_window(keys)`` and keep only ``_home`` rows.
     """
-    size = max(chunk_rows, 4 * (before + after) + 1)
-    rows, total = _placed(df, keys, order)
-    chunk = F.floor(F.col(POS) / size)
-    place = F.col(POS) % size
-    # Window work per byte is high, so the number of partitions follows the rows, without
-    # an upper bound: coalescing by bytes would leave too few.
-    spread = max(-(-total // PARTITION_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-total // 1000)), 1)
+    return chunks_of(*placed(df, keys, order), before, after, chunk_rows)
+
+
+def chunks_of(rows: DataFrame, total: int, before: int, after: int, chunk_rows: int) -> DataFrame:
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size, per, parts = layout(total, rows._jdf.schema().defaultSize(), cores, 4 * (before + after) + 1, chunk_rows)
+    place, chunk = F.col(POS) % size, F.floor(F.col(POS) / size)
+    last = max(0, (total - 1) // size)
     targets = F.filter(
         F.array(
             F.lit(0),
-            F.when(place >= size - before, F.lit(1)),
-            F.when(place < after, F.lit(-1)),
+            F.when((place >= size - before) & (chunk < last), F.lit(1)),
+            F.when((place < after) & (chunk > 0), F.lit(-1)),
         ),
         lambda t: t.isNotNull(),
     )
@@ -109,18 +126,20 @@ def chunked(
         rows.withColumn("_to", F.explode(targets))
         .withColumn(CHUNK, chunk + F.col("_to"))
         .withColumn(HOME, F.col("_to") == 0)
+        .withColumn(PART, F.floor(F.col(CHUNK) / per).cast("int"))
         .drop("_to")
-        .repartition(spread, *keys, CHUNK)
+        .repartitionById(parts, PART)
     )
 
 
 def chunk_window(keys: Sequence[str] = KEYS) -> WindowSpec:
-    return Window.partitionBy(*keys, CHUNK).orderBy(POS)
+    # the partition is part of the grouping, so that the rows need not move again
+    return Window.partitionBy(PART, *keys, CHUNK).orderBy(POS)
 
 
 def home(df: DataFrame) -> DataFrame:
     """Keep each row's own chunk and drop the helper columns."""
-    return df.filter(HOME).drop(CHUNK, HOME, POS)
+    return df.filter(HOME).drop(CHUNK, HOME, POS, PART)
 
 
 def first_per_key(

@@ -4,84 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.scalars import nan_to_num
 from pulsewarden.operators import ordering as o
+from pulsewarden.operators.frames import Features, back_by_rows, back_by_time, frame_moments, last_of_time, over_chunks
 from pulsewarden.session import sized
 
 STATS = ("mean", "std", "min", "max", "skew", "kurtosis", "rate")
 
 
-def _moments(value: str, spec, stats: set[str]) -> Column:
-    """Count, mean, central moment sums and extremes of ``value`` over ``spec``, as far as ``stats`` need them.
+def _column_names(windows: Sequence[int], stats: Sequence[str]) -> list[str]:
+    return [f"{x}_{w}m" for w in windows for x in [*[x for x in stats if x != "rate"], "rate"]]
 
-    Spark reports no skew or kurtosis for a constant part; there the third and
-    fourth moment sums are zero.
-    """
-    n = F.count(value).over(spec).cast("double")
-    fields = {"n": n, "m": F.avg(value).over(spec)}
-    if stats & {"std", "skew", "kurtosis"}:
-        var = F.var_pop(value).over(spec)
-        fields["m2"] = n * var
-    if stats & {"skew", "kurtosis"}:
-        fields["m3"] = n * F.coalesce(F.skewness(value).over(spec), F.lit(0.0)) * F.pow(var, 1.5)
-    if "kurtosis" in stats:
-        fields["m4"] = n * (F.coalesce(F.kurtosis(value).over(spec), F.lit(-3.0)) + 3.0) * var * var
-    if "min" in stats:
-        fields["lo"] = F.min(value).over(spec)
-    if "max" in stats:
-        fields["hi"] = F.max(value).over(spec)
-    return F.struct(*[c.alias(f) for f, c in fields.items()])
-
-
-def _merge(a: str, b: str, out: str, stats: set[str]) -> list[Column]:
-    """Pairwise update of central moments (Chan et al., Pébay); ``a`` may be null."""
-    na = F.coalesce(F.col(f"{a}.n"), F.lit(0.0))
-    nb = F.col(f"{b}.n")
-    n = na + nb
-    ma, mb = F.coalesce(F.col(f"{a}.m"), F.col(f"{b}.m")), F.col(f"{b}.m")
-    d = mb - ma
-
-    def part(field: str) -> tuple[Column, Column]:
-        return F.coalesce(F.col(f"{a}.{field}"), F.lit(0.0)), F.coalesce(F.col(f"{b}.{field}"), F.lit(0.0))
-
-    merged = {"n": n, "mean": ma + d * nb / n}
-    if stats & {"std", "skew", "kurtosis"}:
-        a2, b2 = part("m2")
-        merged["m2"] = a2 + b2 + d * d * na * nb / n
-    if stats & {"skew", "kurtosis"}:
-        a3, b3 = part("m3")
-        merged["m3"] = (
-            a3 + b3 + F.pow(d, 3) * na * nb * (na - nb) / (n * n) + 3.0 * d * (na * b2 - nb * a2) / n
-        )
-    if "kurtosis" in stats:
-        a4, b4 = part("m4")
-        merged["m4"] = (
-            a4 + b4
-            + F.pow(d, 4) * na * nb * (na * na - na * nb + nb * nb) / F.pow(n, 3)
-            + 6.0 * d * d * (na * na * b2 + nb * nb * a2) / (n * n)
-            + 4.0 * d * (na * b3 - nb * a3) / n
-        )
-    if "min" in stats:
-        merged["min"] = F.least(f"{a}.lo", f"{b}.lo")
-    if "max" in stats:
-        merged["max"] = F.greatest(f"{a}.hi", f"{b}.hi")
-    return [c.alias(f"{out}_{f}") for f, c in merged.items()]
-
-
-def _nested(frames: dict[int, int]) -> list[list[int]]:
-    """Windows in chains, the longest first, in which each frame divides the one before."""
-    chains: list[list[int]] = []
-    for w in sorted(frames, key=frames.get, reverse=True):
-        fits = [c for c in chains if frames[c[-1]] % frames[w] == 0]
-        if fits:
-            fits[0].append(w)
-        else:
-            chains.append([w])
-    return chains
+
+def _frame_features(table: pa.Table, starts: np.ndarray, frames: dict[int, tuple[np.ndarray, np.ndarray]], stats: Sequence[str],
+                    ready: dict[int, np.ndarray], value: str) -> Features:
+    """Features of one frame per row and window, from a column with nulls; a frame without values has none."""
+    column = table.column(value).combine_chunks().cast(pa.float64())
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    y = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+    moments = [x for x in stats if x != "rate"]
+    if null.any():  # frames over the values that there are
+        seen = np.append(0, np.cumsum(~null))
+        of = {w: (seen[a], seen[b + 1] - 1) for w, (a, b) in frames.items()}
+        sums = frame_moments(y[~null], list(of.values()), moments) if moments else []
+    else:
+        sums = frame_moments(y, list(frames.values()), moments) if moments else []
+    out = {}
+    for k, (w, (a, _)) in enumerate(frames.items()):
+        for x in moments:
+            found, undefined = sums[k].stat(x)
+            out[f"{x}_{w}m"] = found, undefined | ~ready[w]
+        out[f"rate_{w}m"] = y - y[a], null | null[a] | ~ready[w]
+    return out
 
 
 def rolling_features(
@@ -100,78 +59,23 @@ def rolling_features(
     Deviation is the population form, skew and kurtosis are biased (excess)
     forms, ``rate`` is last minus first value and always included. All are null
     until ``min_points`` points of the series were seen; skew and kurtosis are
-    also null while the frame is constant.
+    also null while the frame is constant. Null values are left out of the moments.
 
-    Linear in the rows: a frame of ``w`` points is the tail of one block of
-    ``w`` points joined to the head of the next, and both are running
-    aggregates. Frames that divide each other share one sort for the heads and one
-    for the tails.
-
-    Writes an ordered table when called; filter ``points`` and choose columns before.
+    Chunks of ordered rows go through Arrow batches, all frames of all windows at once
+    (``frames``). Writes an ordered table when called; filter ``points`` and choose columns before.
     """
-    frames = {w: w * points_per_minute for w in windows}
-    longest = max(frames.values())
+    sizes = {w: w * points_per_minute for w in windows}
     columns = [*dict.fromkeys([*keys, *order, value, *points.columns])]
-    chunks = o.chunked(
-        points.select(*columns), max(longest - 1, min_points - 1), 0, keys, order, chunk_rows
-    )
-    spec = o.chunk_window(keys)
-    df = chunks.withColumn("_rn", F.row_number().over(spec) - 1)
-
-    moments = [s for s in stats if s != "rate"]
-    need = set(moments)
-    if moments:
-        group, rows = [*keys, o.CHUNK], (Window.unboundedPreceding, Window.currentRow)
-        chains = _nested(frames)
-        for w, size in frames.items():
-            block = F.floor(F.col("_rn") / size)
-            df = df.withColumns({f"_b{w}": block, f"_n{w}": -block})
-        df = df.withColumn("_back", -F.col(o.POS))
-        # blocks of a chain lie inside each other, so one sort serves all of its windows: a
-        # window's blocks are its partition, the smaller ones come first in its order
-        for chain in chains:
-            for i, w in enumerate(chain):
-                inner = [f"_n{x}" for x in chain]
-                spec = Window.partitionBy(*group, *inner[: i + 1]).orderBy(*inner[i + 1:], "_back")
-                df = df.withColumn(f"_s{w}", _moments(value, spec.rowsBetween(*rows), need))
-        for chain in chains:
-            for i, w in enumerate(chain):
-                inner = [f"_b{x}" for x in chain]
-                spec = Window.partitionBy(*group, *inner[: i + 1]).orderBy(*inner[i + 1:], o.POS)
-                df = df.withColumn(f"_p{w}", _moments(value, spec.rowsBetween(*rows), need))
-        # blocks rise with the place: the last sort is also one by place
-        spec = Window.partitionBy(*group).orderBy(*[f"_b{x}" for x in chains[-1]], o.POS)
-
-    prior, first = [], F.first_value(value).over(spec.rowsBetween(Window.unboundedPreceding, 0))
-    for w, size in frames.items():
-        if moments:
-            spans = (F.col("_rn") >= size) & (F.col("_rn") % size != size - 1)
-            prior.append(F.when(spans, F.lag(f"_s{w}", size - 1).over(spec)).alias(f"_a{w}"))
-        oldest = F.when(F.col("_rn") >= size - 1, F.lag(value, size - 1).over(spec)).otherwise(first)
-        prior.append((F.col(value) - oldest).alias(f"_rate{w}"))
-    df = df.select("*", *prior).filter(o.HOME)
-
-    if moments:
-        merged = [c for w in frames for c in _merge(f"_a{w}", f"_p{w}", f"_m{w}", need)]
-        df = df.select(*columns, "_rn", *[f"_rate{w}" for w in frames], *merged)
-
-    ready = F.col("_rn") >= min_points - 1
-    out = []
-    for w in frames:
-        m = f"_m{w}"
-        n, m2 = F.col(f"{m}_n"), F.col(f"{m}_m2")
-        forms = {
-            "mean": F.col(f"{m}_mean"),
-            "std": F.sqrt(m2 / n),
-            "min": F.col(f"{m}_min"),
-            "max": F.col(f"{m}_max"),
-            "skew": F.when(m2 > 0, F.sqrt(n) * F.col(f"{m}_m3") / F.pow(m2, 1.5)),
-            "kurtosis": F.when(m2 > 0, n * F.col(f"{m}_m4") / (m2 * m2) - 3.0),
-            "rate": F.col(f"_rate{w}"),
-        }
-        for stat in [*moments, "rate"]:
-            out.append(F.when(ready, forms[stat]).alias(f"{stat}_{w}m"))
-    return df.select(*columns, *out)
+    before = max([min_points, *sizes.values()]) - 1
+    chunks = o.chunked(points.select(*columns), before, 0, keys, order, chunk_rows)
+
+    def work(table: pa.Table, starts: np.ndarray) -> Features:
+        here = np.arange(len(starts))
+        frames = {w: (back_by_rows(starts, size), here) for w, size in sizes.items()}
+        ready = here - starts >= min_points - 1
+        return _frame_features(table, starts, frames, stats, dict.fromkeys(sizes, ready), value)
+
+    return over_chunks(chunks, keys, columns, work, _column_names(windows, stats), [value])
 
 
 def rolling_features_by_time(
@@ -181,30 +85,56 @@ def rolling_features_by_time(
     min_points: int = DEFAULTS.min_points,
     keys: Sequence[str] = o.KEYS,
     value: str = "value",
+    order: Sequence[str] = o.ORDER,
+    chunk_rows: int = 1 << 16,
 ) -> DataFrame:
-    """Frames of the last ``w`` minutes instead of a number of points.
+    """Frames of the last ``w`` minutes instead of a number of points; a time's points are in one frame.
 
-    Rows are hashed by (key, stretch of time), each stretch being as long as the
-    longest frame and preceded by a copy of the stretch before it; a frame spans
-    at most two of them.
+    ``rate`` is the point's value minus that of the frame's first point. Features are null in
+    frames of fewer than ``min_points`` values.
+
+    Chunks are counted in rows here too. How many rows ahead of a chunk its frames can reach is
+    found first, from one row of summary for each small stretch of the order; a chunk is at least
+    four times as long, so copies stay a quarter of the rows, and a frame of many rows makes
+    long chunks, not large copies.
+    """
+    spans = {w: w * 60_000_000 for w in windows}
+    columns = [*dict.fromkeys([*keys, *order, value, *points.columns])]
+    us = F.coalesce(F.unix_micros(order[0]), F.lit(-(1 << 60)))  # points without a time are of one time, before all others
+    rows, total = o.placed(points.select(*columns).withColumn("_us", us), keys, order)
+    before, after = _reach(rows, keys, max(spans.values()), max(16, chunk_rows >> 6))
+    chunks = o.chunks_of(rows, total, before, after, chunk_rows)
+
+    def work(table: pa.Table, starts: np.ndarray) -> Features:
+        times = table.column("_us").to_numpy()
+        null = table.column(value).is_null().to_numpy()
+        seen = np.append(0, np.cumsum(~null))
+        last = last_of_time(starts, times)
+        frames = {w: (back_by_time(starts, times, span), last) for w, span in spans.items()}
+        ready = {w: seen[b + 1] - seen[a] >= min_points for w, (a, b) in frames.items()}
+        return _frame_features(table, starts, frames, stats, ready, value)
+
+    return over_chunks(chunks, keys, columns, work, _column_names(windows, stats), [value, "_us"])
+
+
+def _reach(rows: DataFrame, keys: Sequence[str], span: int, cell: int) -> tuple[int, int]:
+    """Rows that a frame can reach back over, and rows of one time that can follow, at most.
+
+    From the first and last time of stretches of ``cell`` rows; a stretch counts whole.
     """
-    longest = max(windows) * 60
-    secs = F.unix_micros("timestamp")
-    span = F.floor(secs / (longest * 1_000_000))
-    df = points.withColumn("_us", secs).withColumn(
-        "_span", F.explode(F.array(span, span + 1))
-    ).withColumn(o.HOME, F.col("_span") == span)
-    fns = {
-        "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max,
-        "skew": F.skewness, "kurtosis": F.kurtosis,
-    }
-    base = Window.partitionBy(*keys, "_span").orderBy("_us")
-    cols = []
-    for w in windows:
-        frame = base.rangeBetween(-w * 60_000_000, 0)
-        ready = F.count(value).over(frame) >= min_points
-        cols += [F.when(ready, fns[s](value).over(frame)).alias(f"{s}_{w}m") for s in stats if s in fns]
-    return df.select("*", *cols).filter(o.HOME).drop("_us", "_span", o.HOME)
+    cells = rows.groupBy(*keys, F.floor(F.col(o.POS) / cell).alias("_cell")).agg(
+        F.min("_us").alias("first"), F.max("_us").alias("last"), F.min(o.POS).alias("low"), F.max(o.POS).alias("high"))
+
+    def run(table: pa.Table) -> pa.Table:
+        by = np.argsort(table.column("low").to_numpy())
+        first, last, low, high = (table.column(c).to_numpy()[by] for c in ("first", "last", "low", "high"))
+        # the oldest stretch that still holds a row of a frame, and the last one with a row of the same time
+        back = high - low[np.searchsorted(last, first - span)]
+        ahead = high[np.searchsorted(first, last, "right") - 1] - low
+        return pa.table({"back": [int(back.max())], "ahead": [int(ahead.max())]})
+
+    found = cells.groupBy(*keys).applyInArrow(run, "back long, ahead long").agg(F.max("back"), F.max("ahead")).first()
+    return int(found[0] or 0), int(found[1] or 0)
 
 
 def long_features(
@@ -290,19 +220,24 @@ def readiness(points: DataFrame, ready: int = DEFAULTS.ready_points,
     return o.home(chunks.withColumn("is_ready", n >= ready))
 
 
-def sequences(points: DataFrame, length: int, value: str = "value",
+def sequences(points: DataFrame, length: int, value: str | Sequence[str] = "value",
               keys: Sequence[str] = o.KEYS, order: Sequence[str] = o.ORDER,
               horizon: int = 0, chunk_rows: int = 1 << 16) -> DataFrame:
     """Overlapping windows of ``length`` values ending at each point (stride 1).
 
     With ``horizon`` the next values are attached as ``target``; only complete
-    windows and targets are kept.
+    windows and targets are kept. ``value`` may name several columns: a window is then
+    the flat array of its points' values, and the target that of the first column.
     """
-    chunks = o.chunked(points.select(*keys, *order, value), length - 1, horizon, keys, order, chunk_rows)
+    several = not isinstance(value, str)
+    columns = list(value) if several else [value]
+    chunks = o.chunked(points.select(*keys, *order, *columns), length - 1, horizon, keys, order, chunk_rows)
     spec = o.chunk_window(keys)
-    df = chunks.withColumn("sequence", F.collect_list(value).over(spec.rowsBetween(-(length - 1), 0)))
-    keep = F.size("sequence") == length
+    rows = F.array(*columns) if several else F.col(value)
+    last = F.collect_list(rows).over(spec.rowsBetween(-(length - 1), 0))
+    df = chunks.withColumn("sequence", F.flatten(last) if several else last)
+    keep = F.size("sequence") == length * len(columns)
     if horizon:
-        df = df.withColumn("target", F.collect_list(value).over(spec.rowsBetween(1, horizon)))
+        df = df.withColumn("target", F.collect_list(columns[0]).over(spec.rowsBetween(1, horizon)))
         keep &= F.size("target") == horizon
     return o.home(df.filter(keep))

@@ -92,22 +92,32 @@ def w3(spark, sf_dir):
     return df.select("server_id", "feature", r6("feature_value").alias("feature_value"))
 
 
-def _time_sql() -> str:
+def _time_sql(windows=(60, 360)) -> str:
     cols = []
-    for w in (60, 360):
+    for w in windows:
         frame = f"OVER (PARTITION BY server_id, name ORDER BY timestamp RANGE BETWEEN INTERVAL {w} MINUTES PRECEDING AND CURRENT ROW)"
         for name, x in _stat_sql(w, frame).items():
-            if not name.startswith("rate"):
-                x = f"CASE WHEN count(*) {frame} >= 5 THEN {x} END"
-                cols.append(f"{sql6(x)} AS {name}")
+            if name.startswith("rate"):
+                x = f"value - arg_min(value, (timestamp, seq)) {frame}"
+            x = f"CASE WHEN count(*) {frame} >= 5 THEN {x} END"
+            cols.append(f"{sql6(x)} AS {name}")
     return f"WITH {POINTS} SELECT server_id, name, seq, {', '.join(cols)} FROM p"
 
 
+def _time_features(spark, sf_dir, windows, **kw):
+    df = rolling.rolling_features_by_time(points(spark, sf_dir), windows, **kw)
+    return df.select("server_id", "name", "seq", *[r6(n).alias(n) for n in _names(windows)])
+
+
 @query("w4_time_frames", _time_sql())
 def w4(spark, sf_dir):
-    df = rolling.rolling_features_by_time(points(spark, sf_dir), (60, 360))
-    return df.select("server_id", "name", "seq", *[
-        r6(f"{s}_{w}m").alias(f"{s}_{w}m") for w in (60, 360) for s in STATS])
+    return _time_features(spark, sf_dir, (60, 360))
+
+
+@query("w4_frames_across_chunks", _time_sql((360, 2880)))
+def w4_chunks(spark, sf_dir):
+    """Frames of more rows than a chunk is given."""
+    return _time_features(spark, sf_dir, (360, 2880), chunk_rows=20)
 
 
 @query("w5_readiness", f"""WITH {POINTS} SELECT server_id, name, seq,

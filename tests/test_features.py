@@ -146,3 +146,67 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert rolling.rolling_features(empty, (5,)).count() == 0
     assert METRIC_SCHEMA.fieldNames()[:2] == ["server_id", "name"]
+
+
+def test_frames_equal_plain_statistics():
+    from pulsewarden.operators.frames import back_by_rows, back_by_time, frame_moments, last_of_time
+
+    r = np.random.default_rng(11)
+    y = np.round(r.normal(50, 10, 700), 1)
+    y[100:130] = 7.0
+    starts = np.repeat([0, 250, 251], [250, 1, 449])
+    us = np.sort(r.integers(0, 400, 700))
+    us[250] = 5
+    here = np.arange(700)
+    frames = [(back_by_rows(starts, 13), here), (back_by_rows(starts, 400), here), (back_by_time(starts, us, 20), last_of_time(starts, us))]
+    for (a, b), m in zip(frames, frame_moments(y, frames, ("mean", "std", "min", "max", "skew", "kurtosis"))):
+        for i in range(700):
+            f = y[a[i]: b[i] + 1]
+            d, m2 = f - f.mean(), f.var()
+            want = [f.mean(), f.std(), f.min(), f.max()]
+            assert [m.stat(s)[0][i] for s in ("mean", "std", "min", "max")] == pytest.approx(want, abs=1e-9) and m.n[i] == len(f)
+            for s, x in (("skew", lambda: (d**3).mean() / m2**1.5), ("kurtosis", lambda: (d**4).mean() / m2**2 - 3)):
+                value, none = m.stat(s)
+                assert none[i] == (f.min() == f.max())
+                if not none[i]:
+                    assert value[i] == pytest.approx(x(), abs=1e-7)
+    assert all((starts[a] == starts[b]).all() for a, b in frames)
+    a, b = frames[2]
+    assert all(us[a[i]] >= us[i] - 20 and (a[i] == starts[i] or us[a[i] - 1] < us[i] - 20) and us[b[i]] == us[i] for i in range(700))
+
+
+def test_time_frames_longer_than_chunks(spark):
+    """A dense series: frames of more rows than a chunk was to have; equal times and nulls."""
+    t0, r = dt.datetime(2026, 1, 1), np.random.default_rng(2)
+    seconds = np.sort(r.integers(0, 3000, 1500))
+    rows = [("a", "m", t0 + dt.timedelta(seconds=int(s)), float(i % 37), i) for i, s in enumerate(seconds)]
+    rows += [("b", "m", t0 + dt.timedelta(days=i), None if i % 3 else float(i), i) for i in range(20)]
+    df = spark.createDataFrame(rows, "server_id string, name string, timestamp timestamp, value double, seq bigint")
+    got = rolling.rolling_features_by_time(df, (10, 40), ("mean", "max"), min_points=2, chunk_rows=64).collect()
+    assert len(got) == len(rows)
+    for x in (x for x in got if x["server_id"] == "a" and x["seq"] % 97 == 0):
+        now = seconds[x["seq"]]
+        frame = np.flatnonzero((seconds >= now - 600) & (seconds <= now))
+        if len(frame) >= 2:
+            assert x["mean_10m"] == pytest.approx(np.mean(frame % 37)) and x["rate_10m"] == x["seq"] % 37 - frame[0] % 37
+    assert all(x["mean_40m"] is None for x in got if x["server_id"] == "b")
+
+
+def test_layout_of_chunks():
+    from pulsewarden.operators.ordering import layout
+
+    size, per, parts = layout(10**10, 60, 8, 2877, 1 << 16)
+    assert size == 1 << 16 and parts < 10_000 and 64 << 20 < size * per * 60 <= 96 << 20
+    for total in (0, 1, 5000, 300_000, 10**7):
+        size, per, parts = layout(total, 60, 8, 20, 1 << 16)
+        assert parts * per * size >= total and (parts - 1) * per * size < max(total, 1)
+
+
+def test_no_partition_of_chunks_is_empty(spark):
+    df = spark.range(30_000).selectExpr("'a' AS server_id", "'m' AS name", "timestamp_seconds(id) AS timestamp", "id * 1.0 AS value", "id AS seq")
+    chunks = rolling.o.chunked(df, 5, 5, chunk_rows=1000)
+    sizes = [r[1] for r in chunks.groupBy("_part").count().collect()]
+    assert len(sizes) == chunks.rdd.getNumPartitions() and min(sizes) > 900 and max(sizes) < 3100
+    w = chunks.withColumn("n", rolling.F.count("*").over(rolling.o.chunk_window()))
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1  # windows move no row
