@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsewarden.config import DEFAULTS
 from pulsewarden.functions.scalars import nan_to_num
 from pulsewarden.operators.detectors.base import Detector
-from pulsewarden.operators.ordering import newest, numbered
+from pulsewarden.operators.detectors.smoothing import Homogeneous, Smooth, back, padded, run
+from pulsewarden.operators.ordering import POS, newest, numbered, ordered
 from pulsewarden.session import drop, materialize, sized
 
 KEYS = ("server_id", "name")
@@ -22,48 +24,6 @@ _MODEL = (
 )
 
 
-class Recursion:
-    """The recursion for many (α, β, γ) at once, fed with a series piece by piece.
-
-    Start: level and season of the first season, trend between the first two. Errors
-    count from the second season on. What is kept is one season, whatever the length.
-    """
-
-    def __init__(self, m: int, params: np.ndarray):
-        self.m, self.params = m, params
-        self.head = np.zeros(0)
-        self.t, self.level = 0, None
-        self.sse, self.errors = np.zeros(len(params)), np.zeros(len(params))
-
-    def feed(self, y: np.ndarray) -> None:
-        if self.level is None:
-            self.head = np.concatenate([self.head, y])
-            if len(self.head) < 2 * self.m:
-                return
-            y, self.head = self.head, np.zeros(0)
-            first = y[: self.m]
-            self.level = np.full(len(self.params), first.mean())
-            self.trend = np.full(len(self.params), (y[self.m: 2 * self.m].mean() - first.mean()) / self.m)
-            self.season = np.repeat((first - first.mean())[:, None], len(self.params), axis=1)
-        a, b, g = self.params.T
-        for v in y:
-            s = self.season[self.t % self.m]
-            base = self.level + self.trend
-            e = v - base - s
-            self.level = base + a * e
-            self.trend = self.trend + a * b * e
-            self.season[self.t % self.m] = s + g * e
-            if self.t >= self.m:
-                self.sse += e * e
-                self.errors += e
-            self.t += 1
-
-    @property
-    def residual_std(self) -> np.ndarray:
-        n = self.t - self.m
-        return np.sqrt(np.maximum(self.sse / n - (self.errors / n) ** 2, 0.0))
-
-
 def season_of(n: int, seasonal_periods: int) -> int | None:
     """Length of the season for ``n`` points; None if there are too few for two."""
     m = seasonal_periods if n >= 2 * seasonal_periods else max(2, n // 2)
@@ -71,35 +31,58 @@ def season_of(n: int, seasonal_periods: int) -> int | None:
 
 
 ROUNDS, STEPS = 4, 5
+#: Points of a block, and numbers of a matrix that series are fitted in together.
+BLOCK, IN_STEP = 1 << 16, 1 << 22
 
 
 def grid(centre: np.ndarray, reach: float) -> np.ndarray:
+    """Points around ``centre`` (…, 3)."""
     axis = np.linspace(-reach, reach, STEPS)
     return np.clip(centre + np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3), 0.0, 1.0)
 
 
+def fit_group(series: list[np.ndarray], m: int) -> list[dict]:
+    """The models of some series with seasons of ``m`` points, fitted in step.
+
+    The smallest squared error over a coarse grid, refined around each series' best point.
+    """
+    y, lengths, by = padded(series)
+    n = len(y)
+    best, least, reach = np.full((n, 3), 0.5), np.full(n, np.inf), 0.49
+    for _ in range(ROUNDS):
+        params = grid(best[:, None], reach)
+        sse = _sums(y, lengths, params, m).sse
+        k = sse.argmin(1)
+        own = sse[np.arange(n), k]
+        better = own < least
+        best[better], least[better] = params[np.arange(n), k][better], own[better]
+        reach /= 3
+    end = _sums(y, lengths, best[:, None], m)
+    out: list[dict] = [{}] * n
+    for i, place in enumerate(by):
+        out[place] = _model(int(lengths[i]), m, best[i], end.level[i, 0], end.trend[i, 0], end.season[i, :, 0], end.sse[i, 0], end.errors[i, 0])
+    return out
+
+
+def _sums(y: np.ndarray, lengths: np.ndarray, params: np.ndarray, m: int) -> Smooth:
+    state = Smooth.start(y[:, : 2 * m], m, params.shape[1])
+    run(y, lengths, params, state, m)
+    state.sse = np.nan_to_num(state.sse, nan=np.inf)
+    return state
+
+
+def _model(n: int, m: int, params: np.ndarray, level: float, trend: float, season: np.ndarray, sse: float, errors: float) -> dict:
+    spread = sse / (n - m) - (errors / (n - m)) ** 2 if np.isfinite(sse) else np.inf
+    return {"level": float(level), "trend": float(trend), "season": season.tolist(), "n": n, "m": m,
+            "resid_std": float(np.sqrt(max(spread, 0.0))), "sse": float(sse),
+            **dict(zip(("alpha", "beta", "gamma"), map(float, params)))}
+
+
 def fit_series(y: np.ndarray, seasonal_periods: int) -> dict | None:
-    """Smallest squared error over a coarse grid, refined around the best point; for a series in memory."""
+    """The model of a series in memory."""
     y = np.nan_to_num(np.asarray(y, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
     m = season_of(len(y), seasonal_periods)
-    if m is None:
-        return None
-    best, best_sse, reach = np.full(3, 0.5), np.inf, 0.49
-    for _ in range(ROUNDS):
-        r = Recursion(m, grid(best, reach))
-        r.feed(y)
-        sse = np.nan_to_num(r.sse, nan=np.inf)
-        k = int(np.argmin(sse))
-        if sse[k] < best_sse:
-            best, best_sse = r.params[k], float(sse[k])
-        reach /= 3
-    r = Recursion(m, best[None, :])
-    r.feed(y)
-    return {
-        "level": float(r.level[0]), "trend": float(r.trend[0]), "season": r.season[:, 0].tolist(),
-        "n": len(y), "m": m, "resid_std": float(r.residual_std[0]), "sse": best_sse,
-        "alpha": float(best[0]), "beta": float(best[1]), "gamma": float(best[2]),
-    }
+    return None if m is None else fit_group([y], m)[0]
 
 
 def forecast_at(h: Column) -> Column:
@@ -108,56 +91,106 @@ def forecast_at(h: Column) -> Column:
     return F.col("level") + h * F.col("trend") + F.get("season", place)
 
 
+def fit_at(y: np.ndarray, m: int, params: np.ndarray) -> dict:
+    end = _sums(y[None], np.array([len(y)]), params[None, None], m)
+    return _model(len(y), m, params, end.level[0, 0], end.trend[0, 0], end.season[0, :, 0], end.sse[0, 0], end.errors[0, 0])
+
+
+def _series(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict, int, np.ndarray]]:
+    """Key, season and points of each series of sorted rows: an id, ``k`` key columns, m, y."""
+    now, key, parts = None, {}, []
+    for batch in batches:
+        ids, m = batch.column(0).to_numpy(), batch.column(k + 1).to_numpy()
+        y = batch.column(k + 2).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else []
+        for i, j in zip(cuts, np.append(cuts[1:], len(ids))):
+            if parts and ids[i] != now:
+                yield key, season, np.concatenate(parts)
+                parts = []
+            if not parts:
+                now, season = ids[i], int(m[i])
+                key = dict(zip(batch.schema.names[1: k + 1], (batch.column(c)[int(i)].as_py() for c in range(1, k + 1))))
+            parts.append(y[i:j])
+    if parts:
+        yield key, season, np.concatenate(parts)
+
+
+def block_sums(y: np.ndarray, m: int, params: np.ndarray, first: bool) -> np.ndarray:
+    """What ``Joined`` needs of a block, a column for each of ``params``: the state behind it, sums of
+    (squared) errors and, for a block that isn't the first, how they change with the state before it."""
+    n, p, whole = len(y), len(params), np.array([len(y)])
+    if first:
+        state = Smooth.start(y[None, : 2 * m], m, p)
+        run(y[None], whole, params[None], state, m)
+        return np.vstack([state.vector()[0], state.sse, state.errors])
+    state, kept = Smooth.zero(1, m, p), np.zeros((n, 1, p))
+    run(y[None], whole, params[None], state, 0, kept)
+    return np.vstack([state.vector()[0], state.sse, state.errors, back(kept, whole, params[None], m)[0]])
+
+
+class Joined:
+    """Blocks of a series, one after the other, for some parameters."""
+
+    def __init__(self, params: np.ndarray, m: int):
+        self.params, self.m = params, m
+        self.maps: dict[int, Homogeneous] = {}
+
+    def add(self, sums: np.ndarray, size: int, first: bool) -> None:
+        d = self.m + 2
+        z, sse, errors = sums[:d], sums[d], sums[d + 1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            if first:
+                self.x, self.sse, self.errors = z.copy(), sse.copy(), errors.copy()
+            else:
+                if size not in self.maps:  # all blocks but the last have one size
+                    self.maps[size] = Homogeneous.points(self.params, self.m, size)
+                h, g, x = self.maps[size], sums[d + 2:], self.x
+                square = np.einsum("ip,pij,jp->p", x, h.q, x)
+                self.sse = self.sse + sse + 2 * (g * x).sum(0) + square
+                self.errors = self.errors + errors + np.einsum("pi,ip->p", h.r, x)
+                self.x = np.einsum("pij,jp->ip", h.a, x) + z
+            self.sse = np.nan_to_num(self.sse, nan=np.inf)
+
+
 class HoltWinters(Detector):
-    """Trained per series on all its points, or on its newest ``history`` (a training buffer)."""
+    """Trained per series on all its points, or on its newest ``history`` (a training buffer).
+
+    Series of up to ``block`` points are fitted whole, many in step in one task. Longer ones
+    are packed into blocks of that size, and their blocks are spread over the tasks.
+    """
 
     model_name = "holt_winters"
 
     def __init__(self, seasonal_periods: int = DEFAULTS.seasonal_periods, history: int | None = None,
-                 keys: Sequence[str] = KEYS, order: Sequence[str] = ("timestamp", "seq"), value: str = "value"):
-        self.seasonal_periods, self.history = seasonal_periods, history
+                 keys: Sequence[str] = KEYS, order: Sequence[str] = ("timestamp", "seq"), value: str = "value",
+                 block: int = BLOCK):
+        self.seasonal_periods, self.history, self.block = seasonal_periods, history, block
         self.keys, self.order, self.value = list(keys), list(order), value
         self.model = None
 
     def train(self, df: DataFrame) -> DataFrame:
-        """Refine (α, β, γ) in rounds; each is one pass over the series, in order of time.
+        """Fit (α, β, γ) of each series by rounds of a grid, refined around the best point."""
+        return self._fit(df, None)
 
-        A series passes through a task batch by batch, the recursion's state carried
-        along, so its length does not matter for memory. Where series are fewer than cores,
-        the points of a round's grid are dealt over several tasks for each series.
-        """
+    def train_at(self, df: DataFrame, alpha: float, beta: float, gamma: float) -> DataFrame:
+        """The model with given smoothing parameters: one pass."""
+        return self._fit(df, (float(alpha), float(beta), float(gamma)))
+
+    def _fit(self, df: DataFrame, fixed: tuple[float, float, float] | None) -> DataFrame:
         keys, order, types = self.keys, self.order, dict(df.dtypes)
-        key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
         rows = df.select(*keys, *order, nan_to_num(F.col(self.value)).alias("_y"))
         if self.history is not None:
             rows = newest(rows, self.history, keys, order, keep_apart=True)
         rows = materialize(rows)
-        best = self._lengths(rows).select(
-            *keys, "n", "m", *[F.lit(0.5).alias(c) for c in ("alpha", "beta", "gamma")], F.lit(float("inf")).alias("sse"))
-        reach, parts = 0.49, None
-        for _ in range(ROUNDS):
-            best = sized(best)
-            if parts is None:  # as many tasks as keep the cores busy
-                cores = df.sparkSession.sparkContext.defaultParallelism
-                parts = min(STEPS, max(1, -(-2 * cores // max(1, best.count()))))
-            tried = self._pass(rows, best, reach, parts, f"{key_ddl}, alpha double, beta double, gamma double, sse double")
-            both = best.select(*keys, "alpha", "beta", "gamma", "sse").unionByName(tried)
-            choice = both.groupBy(*keys).agg(F.min_by(
-                F.struct("alpha", "beta", "gamma", "sse"), F.struct("sse", "alpha", "beta", "gamma")).alias("_b"))
-            best = best.select(*keys, "n", "m").join(choice, keys).select(*keys, "n", "m", "_b.*")
-            reach /= 3
-        self.model = materialize(self._pass(rows, sized(best), None, 1, f"{key_ddl}, {_MODEL}"))
-        drop(rows)
-        return self.model
-
-    def train_at(self, df: DataFrame, alpha: float, beta: float, gamma: float) -> DataFrame:
-        """The model with given smoothing parameters: one pass."""
-        keys, types = self.keys, dict(df.dtypes)
-        rows = df.select(*keys, *self.order, nan_to_num(F.col(self.value)).alias("_y"))
-        best = self._lengths(rows).select("*", *[F.lit(float(x)).alias(c) for c, x in (
-            ("alpha", alpha), ("beta", beta), ("gamma", gamma))])
-        key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-        self.model = materialize(self._pass(rows, sized(best), None, 1, f"{key_ddl}, {_MODEL}"))
+        lengths = sized(self._lengths(rows))
+        ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+        long = lengths.filter(F.col("n") > self.block)
+        few = lengths.filter(F.col("n") <= self.block)
+        models = self._whole(rows, few, fixed, ddl)
+        if not long.isEmpty():
+            models = models.unionByName(self._by_blocks(rows, long, fixed, ddl))
+        self.model = materialize(models)
+        drop(rows, lengths)
         return self.model
 
     def _lengths(self, rows: DataFrame) -> DataFrame:
@@ -167,37 +200,108 @@ class HoltWinters(Detector):
         n = rows.groupBy(*self.keys).agg(F.count("*").cast("int").alias("n"))
         return n.withColumn("m", m.cast("int")).filter("n >= 2 * m")
 
-    def _pass(self, rows: DataFrame, best: DataFrame, reach: float | None, n_parts: int, ddl: str) -> DataFrame:
-        """Each series once through the recursion: the best of every part of the grid around
-        ``best``, or (without ``reach``) the model at ``best`` itself."""
+    def _whole(self, rows: DataFrame, lengths: DataFrame, fixed: tuple | None, ddl: str) -> DataFrame:
+        """Series of up to a block: one shuffle, then a task fits its series in step, all rounds."""
         keys, order = self.keys, self.order
-        parts = range(n_parts)
-        names = [c.strip().split()[0].strip("`") for c in ddl.split(",")]
-        todo = rows.join(best, keys).withColumn("_part", F.explode(F.array(*map(F.lit, parts))))
-        todo = todo.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", *order)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r, first = None, None
+        series, points = lengths.agg(F.count("*"), F.sum("n")).first()
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        # work per byte is high: tasks by points, not by bytes
+        tasks = max(1, min(series, max(cores, (points or 0) >> 20)))
+        todo = rows.join(lengths, keys).withColumn("_id", F.xxhash64(*keys)).repartition(tasks, *keys).sortWithinPartitions("_id", *keys, *order)
+        ddl = f"{ddl}, {_MODEL}"
+        schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+        k = len(keys)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: dict[int, list[tuple[dict, np.ndarray]]] = {}
+
+            def done(m: int) -> pa.RecordBatch:
+                own = waiting.pop(m)
+                if fixed is None:
+                    found = fit_group([y for _, y in own], m)
+                else:
+                    found = [fit_at(y, m, np.array(fixed)) for _, y in own]
+                return pa.RecordBatch.from_pylist([{**key, **model} for (key, _), model in zip(own, found)], schema=schema)
+
+            for key, m, y in _series(batches, k):
+                own = waiting.setdefault(m, [])
+                own.append((key, y))
+                widest = max(len(x) for _, x in own)
+                if len(own) * max(widest, m * STEPS**3) >= IN_STEP or sum(map(len, waiting.values())) >= IN_STEP >> 12:
+                    yield done(m if len(own) > 1 else max(waiting, key=lambda x: len(waiting[x])))
+            for m in list(waiting):
+                yield done(m)
+
+        return todo.select("_id", *keys, "m", "_y").mapInArrow(fit, ddl)
+
+    def _by_blocks(self, rows: DataFrame, lengths: DataFrame, fixed: tuple | None, ddl: str) -> DataFrame:
+        """Long series: packed into blocks once, each round a pass over the blocks and a join of what they give."""
+        keys = self.keys
+        places = ordered(rows.join(lengths, keys), keys, self.order)
+        first = sized(places.groupBy(*keys).agg(F.min(POS).alias("_first")))
+        place = F.col(POS) - F.col("_first")
+        # blocks are whole seasons, and two at least
+        size = F.col("m") * F.greatest(F.lit(2), F.ceil(F.lit(self.block) / F.col("m")))
+        blocks = places.join(first, keys).withColumn("_place", place).withColumn("_block", F.floor(F.col("_place") / size))
+        packed = materialize(blocks.groupBy(*keys, "n", "m", "_block").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("_place", "_y"))), lambda r: r["_y"]).alias("y")))
+        names = ("alpha", "beta", "gamma")
+        start = fixed or (0.5, 0.5, 0.5)
+        best = lengths.select(*keys, *[F.lit(x).alias(c) for c, x in zip(names, start)], F.lit(float("inf")).alias("sse"))
+        reach = 0.49
+        for _ in range(ROUNDS if fixed is None else 0):
+            best = sized(best)
+            tried = self._pass(packed, best, reach, f"{ddl}, alpha double, beta double, gamma double, sse double")
+            choice = best.unionByName(tried).groupBy(*keys).agg(F.min_by(
+                F.struct(*names, "sse"), F.struct("sse", *names)).alias("_b"))
+            best = choice.select(*keys, "_b.*")
+            reach /= 3
+        out = materialize(self._pass(packed, sized(best), None, f"{ddl}, {_MODEL}"))
+        drop(packed)
+        return out
+
+    def _pass(self, packed: DataFrame, best: DataFrame, reach: float | None, ddl: str) -> DataFrame:
+        """The best of every part of the grid around ``best``, or (without ``reach``) the model at ``best`` itself."""
+        keys = self.keys
+        parts = STEPS if reach else 1
+        todo = packed.join(best, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        columns = [*keys, "_part", "_block", "n", "m", "alpha", "beta", "gamma"]
+
+        def params_of(row: dict) -> np.ndarray:
+            centre = np.array([row["alpha"], row["beta"], row["gamma"]])
+            return np.array_split(grid(centre, reach), parts)[row["_part"]] if reach else centre[None]
+
+        def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if r is None:
-                    first = batch.slice(0, 1).to_pylist()[0]
-                    params = np.array([[first["alpha"], first["beta"], first["gamma"]]])
-                    if reach:
-                        params = np.array_split(grid(params[0], reach), len(parts))[first["_part"]]
-                    r = Recursion(first["m"], params)
-                r.feed(batch.column("_y").to_numpy(zero_copy_only=False))
-            if r is None or r.level is None:
+                sums = []
+                for row, y in zip(batch.select(columns).to_pylist(), batch.column("y")):
+                    y = y.values.to_numpy()
+                    sums.append(block_sums(y, row["m"], params_of(row), row["_block"] == 0).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in columns], pc.list_value_length(batch.column("y")), pa.array(sums, pa.binary())],
+                    [*columns, "size", "sums"])
+
+        types = {**dict(packed.dtypes), **dict(best.dtypes), "_part": "int"}
+        reduced = todo.select(*columns, "y").mapInArrow(
+            reduce, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", size int, sums binary")
+        schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            joined, row = None, None
+            for batch in batches:
+                for row, size, sums in zip(batch.select(columns).to_pylist(), batch.column("size").to_pylist(), batch.column("sums").to_pylist()):
+                    if joined is None:
+                        joined = Joined(params_of(row), row["m"])
+                    joined.add(np.frombuffer(sums).reshape(-1, len(joined.params)), size, row["_block"] == 0)
+            if joined is None:
                 return
-            sse = np.nan_to_num(r.sse, nan=np.inf)
-            k = int(np.argmin(sse))
-            found = dict(zip(("alpha", "beta", "gamma"), map(float, r.params[k]))) | {"sse": float(sse[k])}
-            if not reach:
-                found |= {"level": float(r.level[k]), "trend": float(r.trend[k]), "season": r.season[:, k].tolist(),
-                          "n": first["n"], "m": first["m"], "resid_std": float(r.residual_std[k])}
-            yield pa.RecordBatch.from_pylist([{n: found.get(n, first.get(n)) for n in names}], schema=out)
-
-        out = to_arrow_schema(T.StructType.fromDDL(ddl))
-        return todo.groupBy(*keys, "_part").applyInArrow(run, ddl)
+            k = int(joined.sse.argmin())
+            x = joined.x[:, k]
+            found = _model(row["n"], row["m"], joined.params[k], x[0], x[1], x[2:], joined.sse[k], joined.errors[k])
+            yield pa.RecordBatch.from_pylist([{c: found.get(c, row.get(c)) for c in schema.names}], schema=schema)
+
+        shuffled = reduced.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", "_block")
+        return shuffled.groupBy(*keys, "_part").applyInArrow(join, ddl)
 
     def train_univariate(self, df: DataFrame, server: str, metric: str) -> DataFrame:
         """Fit a single series; the filter reaches the scan."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import ceil, log2, sqrt
 
 import numpy as np
@@ -29,13 +30,15 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, out))
 
 
-def sample_per_tree(df: DataFrame, n_rows: int, id_col: str, n_trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows for each tree, chosen by hashes of the row id.
+def rank_per_tree(df: DataFrame, n_rows: int, id_col: str, n_trees: int, sample: int, seed: int) -> DataFrame:
+    """Rows that may be among the first ``sample`` of each tree, with their rank ``_w`` in it.
 
-    A tree is offered each row with the same probability, for some eight standard
-    deviations more rows than it keeps: those with the lowest hashes. A row is first
-    hashed once, to see if any tree may have it, and only then once for each tree, so
-    the cost per row does not depend on the number of trees in a large table.
+    A rank depends on the row's id alone, so the first rows of a union are the first of
+    the parts' first rows. One hash says where a row stands among the rows of a tree, another
+    which share of the trees see it there; in the other trees it stands behind all such rows.
+    A row is hashed once, to see if any tree may have it, and only then once for each
+    tree, so the cost per row does not depend on the number of trees in a large table. Some
+    eight standard deviations more rows are offered than a tree keeps.
     """
     i = F.col(id_col)
 
@@ -44,13 +47,24 @@ def sample_per_tree(df: DataFrame, n_rows: int, id_col: str, n_trees: int, sampl
 
     each = min(1.0, (sample + 8 * sqrt(sample) + 16) / max(n_rows, 1))
     any_tree = min(1.0, n_trees * each)
+    seen = _HASH_SPACE // n_trees
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    chosen = F.filter(trees, lambda t: draw(t) < int(_HASH_SPACE * each / any_tree))
-    offered = df.filter(draw(F.lit("row")) < int(_HASH_SPACE * any_tree)).withColumn("tree", F.explode(chosen))
+    row = draw(F.lit("row"))
+
+    def rank(t: Column) -> Column:
+        return F.when(draw(t) < seen, row).otherwise(_HASH_SPACE + draw(t))
+
+    offered = seen if any_tree < 1 else max(seen, int(_HASH_SPACE * each))
+    chosen = F.filter(trees, lambda t: draw(t) < offered)
+    found = df.filter(row < int(_HASH_SPACE * any_tree)).withColumn("tree", F.explode(chosen))
+    return found.withColumn("_w", rank(F.col("tree")))
+
+
+def first_per_tree(ranked: DataFrame, id_col: str, n_trees: int, sample: int) -> DataFrame:
+    """The first ``sample`` rows of each tree, numbered by ``_r``."""
     # trees are few bytes and much work: keep them apart
-    offered = offered.withColumn("_h", F.xxhash64(F.lit(seed + 1), "tree", i)).repartition(n_trees, "tree")
-    lowest = F.row_number().over(Window.partitionBy("tree").orderBy("_h", id_col))
-    return offered.withColumn("_r", lowest).filter(F.col("_r") <= sample)
+    lowest = F.row_number().over(Window.partitionBy("tree").orderBy("_w", id_col))
+    return ranked.repartition(n_trees, "tree").withColumn("_r", lowest).filter(F.col("_r") <= sample)
 
 
 def _grow(seed: int, sample: int):
@@ -120,6 +134,14 @@ class _Forest:
         return -np.power(2.0, -total / self.scale)
 
 
+@dataclass(frozen=True)
+class ForestState:
+    """Mergeable training state: rows (tree, _w, id, vector), at most trees * samples, and how many rows they stand for."""
+
+    rows: DataFrame
+    n: int
+
+
 class IsolationForest(Detector):
     """Rows with the columns ``features`` (or one ``vector`` array) and a unique ``id_col``.
 
@@ -152,14 +174,45 @@ class IsolationForest(Detector):
         if n < self.min_rows:
             return None
         sample = min(self.max_samples, n)
-        drawn = sample_per_tree(rows, n, self.id_col, self.n_trees, sample, self.seed)
-        spark = df.sparkSession
+        ranked = rank_per_tree(rows, n, self.id_col, self.n_trees, sample, self.seed)
+        nodes = self._grown(first_per_tree(ranked, self.id_col, self.n_trees, sample), sample)
+        return self._with_offset(nodes, sample, rows)
+
+    def sample_state(self, df: DataFrame) -> ForestState:
+        """What training needs to know of ``df``: for each tree its first ``max_samples`` rows, and the number of rows."""
+        rows = df.select(self.id_col, self._vector().alias("vector"))
+        n = rows.count()
+        ranked = rank_per_tree(rows, n, self.id_col, self.n_trees, self.max_samples, self.seed)
+        kept = first_per_tree(ranked, self.id_col, self.n_trees, self.max_samples)
+        return ForestState(materialize(kept.select("tree", "_w", self.id_col, "vector")), n)
+
+    def merged(self, *states: ForestState) -> ForestState:
+        """The state of all rows together: day after day, only the new day is read."""
+        rows = states[0].rows
+        for other in states[1:]:
+            rows = rows.unionByName(other.rows)
+        kept = first_per_tree(rows, self.id_col, self.n_trees, self.max_samples)
+        return ForestState(materialize(kept.drop("_r")), sum(s.n for s in states))
+
+    def train_from(self, state: ForestState, recent: DataFrame) -> DataFrame | None:
+        """The trees of ``train`` on all rows behind ``state``; the offset comes from ``recent`` rows."""
+        if state.n < self.min_rows:
+            return None
+        sample = min(self.max_samples, state.n)
+        nodes = self._grown(first_per_tree(state.rows, self.id_col, self.n_trees, sample), sample)
+        return self._with_offset(nodes, sample, recent.select(self.id_col, self._vector().alias("vector")))
+
+    def _grown(self, drawn: DataFrame, sample: int) -> pd.DataFrame:
         grown = drawn.select("tree", "_r", "vector").groupBy("tree").applyInPandas(_grow(self.seed, sample), _NODE)
         # at most n_trees * (2 * sample - 1) nodes, whatever the table holds
         nodes = grown.toPandas()
         roots = nodes[nodes["node"] == 0]["size"]
         if len(roots) < self.n_trees or (roots < sample).any():  # row ids that repeat, or no luck at all
             raise ValueError(f"a tree has fewer than {sample} rows; is {self.id_col} unique?")
+        return nodes
+
+    def _with_offset(self, nodes: pd.DataFrame, sample: int, rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
         depth = spread(rows).select(self._depth(nodes, sample)(F.col("vector")).alias("value"))
         # the percentile reads its input several times; the scores are worked out once
         offset = exact_percentile(materialize(depth), 100.0 * self.contamination).first()["percentile"]

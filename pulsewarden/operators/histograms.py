@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewarden.config import DEFAULTS
@@ -120,3 +121,43 @@ def check_buffer(features: DataFrame, reference: DataFrame, min_rows: int = 10,
     """Drift of the buffered features ``(server_id, step, name, value)``; fewer than ``min_rows`` rows give nothing."""
     enough = features.groupBy("name").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
     return check_drift(features.join(sized(enough.select("name")), "name", "left_semi"), reference, **kw)
+
+
+# ---- from drift to retraining -----------------------------------------------------
+
+#: Windows in a row that raise a retrain event, and calm ones in a row that arm it again.
+RAISE, CALM = 3, 2
+
+
+def retrain_step(state: tuple[int, int, bool], level: str, raise_after: int = RAISE, calm_after: int = CALM) -> tuple[tuple[int, int, bool], bool]:
+    """One window of a name: the state behind it, and whether it raises a retrain event.
+
+    The state counts significant and calm windows in a row and holds whether an event may be
+    raised. After an event none follows, whatever drifts, until ``calm_after`` windows in a
+    row had no drift; a moderate window breaks both runs.
+    """
+    hot, calm, armed = state
+    hot, calm = (hot + 1, 0) if level == "significant" else (0, calm + 1 if level == "none" else 0)
+    armed = armed or calm >= calm_after
+    if armed and hot >= raise_after:
+        return (hot, calm, False), True
+    return (hot, calm, armed), False
+
+
+START = (0, 0, True)
+EVENT = "feature string, window_start timestamp, psi double"
+
+
+def retrain_events(windows: DataFrame, raise_after: int = RAISE, calm_after: int = CALM) -> DataFrame:
+    """The windows (feature, window_start, psi, level) at which a model of the feature is to be trained anew."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = START, []
+        for row in pdf.sort_values("window_start").itertuples():
+            state, event = retrain_step(state, row.level, raise_after, calm_after)
+            if event:
+                out.append((row.feature, row.window_start, row.psi))
+        return pd.DataFrame(out, columns=["feature", "window_start", "psi"])
+
+    # windows are summaries already: a feature has one row for each
+    return windows.select("feature", "window_start", "psi", "level").groupBy("feature").applyInPandas(run, EVENT)

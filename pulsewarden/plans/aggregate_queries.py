@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 from pulsewarden.operators import aggregates as ag, ensemble as en, histograms as dr, joins, metric_queries as mq
-from pulsewarden.operators import alerts as al, ordering as o
+from pulsewarden.operators import alerts as al, ordering as o, percentiles as pc
 from pulsewarden.operators.percentiles import exact_percentile
 from pulsewarden.plans.catalog import (
     DETECTIONS, GRADED, POINTS, VERDICTS, detections, ntz, points, query, r6, sql6, table, verdicts,
@@ -99,6 +99,26 @@ def ag8_all(spark, sf_dir):
     return d.select(r6("percentile").alias("percentile"))
 
 
+# A sketch's percentile is a value that occurred; its rank must lie within the stated error of the wanted one.
+@query("ag8_sketch_within_bound", f"WITH {POINTS} SELECT name, count(*) AS n, true AS within FROM p GROUP BY name")
+def ag8_sketch(spark, sf_dir):
+    p = points(spark, sf_dir)
+    days = pc.quantile_sketches(p, ["name", F.to_date("timestamp").alias("day")])
+    found = pc.sketch_percentile(pc.merge_sketches(days, ["name"]), 95.0).withColumnRenamed("name", "_name")
+    ranked = p.join(found, p["name"] == found["_name"]).groupBy("name").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") <= F.col("percentile")).alias("_below"))
+    return ranked.select("name", "n", (F.abs(F.col("_below") / F.col("n") - 0.95) <= pc.rank_error() + 2 / F.col("n")).alias("within"))
+
+
+@query("ag8_sketch_of_few", f"WITH {POINTS} SELECT server_id, name, CAST(timestamp AS DATE) AS day, quantile_disc(value, 0.5) AS median FROM p GROUP BY ALL HAVING count(*) < 100")
+def ag8_few(spark, sf_dir):
+    """Below its size a sketch holds every value, so its percentiles are exact."""
+    p = points(spark, sf_dir).withColumn("day", F.to_date("timestamp"))
+    few = p.groupBy("server_id", "name", "day").count().filter("count < 100").drop("count")
+    found = pc.sketch_percentile(pc.quantile_sketches(p, ["server_id", "name", "day"]), 50.0, "median")
+    return found.join(few, ["server_id", "name", "day"], "left_semi")
+
+
 def _hist(name: str, src: str) -> str:
     """Reference histogram of ``src(name, value)`` as CTEs e (edges) and ``name`` (counts)."""
     return f"""
@@ -180,14 +200,14 @@ def tk1(spark, sf_dir):
     return d.select("obs", "metric_name", ntz("timestamp").alias("timestamp"))
 
 
-@query("tk2_alert_by_id", f"""WITH {GRADED} SELECT obs, metric_name, severity FROM g WHERE 'alt_' || substr(sha256(concat_ws('|', server_id, metric_name)), 1, 12)
-    = 'alt_' || substr(sha256('srv-1|cpu_usage'), 1, 12)""")
+@query("tk2_alert_by_id", f"""WITH {GRADED} SELECT 'alt_' || substr(sha256(concat_ws('|', server_id, metric_name, severity, epoch_us(timestamp)::VARCHAR, seq::VARCHAR)), 1, 12) AS alert_id,
+    server_id, metric_name, severity FROM g WHERE server_id = 'srv-1' ORDER BY timestamp, seq LIMIT 1""")
 def tk2(spark, sf_dir):
-    import hashlib
-
-    g = al.grade(verdicts(spark, sf_dir)).withColumn("alert_id", al.alert_id(F.col("server_id"), F.col("metric_name")))
-    wanted = "alt_" + hashlib.sha256(b"srv-1|cpu_usage").hexdigest()[:12]
-    return al.alert_by_id(g, wanted).select("obs", "metric_name", "severity")
+    """The alert whose id a user has from the first message of a server."""
+    alerts = al.build_alerts(al.grade(verdicts(spark, sf_dir)))
+    wanted = alerts.filter("server_id = 'srv-1'").orderBy("timestamp", "seq").select("alert_id").first()
+    found = al.alert_by_id(alerts, wanted["alert_id"] if wanted else "")
+    return found.select("alert_id", "server_id", "metric_name", "severity")
 
 
 @query("tk3_history_cap", f"WITH {GRADED} SELECT obs, severity FROM g ORDER BY timestamp DESC, seq DESC LIMIT 1000")
@@ -339,6 +359,25 @@ def dr5(spark, sf_dir):
     return dr.check_buffer(steps.filter(F.col("step") >= cut), reference).select("feature", r6("psi").alias("psi"), "level")
 
 
+# Six-hour averages graded by their distance from 50, as drift windows would be.
+_GRADES = f"""{POINTS.rstrip()}, st AS (SELECT name AS feature, time_bucket(INTERVAL 6 HOUR, timestamp) AS window_start, abs(avg(value) - 50) / 100 AS psi FROM p GROUP BY ALL),
+wd AS MATERIALIZED (SELECT *, {_LEVEL} AS level, row_number() OVER (PARTITION BY feature ORDER BY window_start) AS rn FROM st)"""
+_HOT = "CASE WHEN w.level = 'significant' THEN f.hot + 1 ELSE 0 END"
+_COLD = "CASE WHEN w.level = 'none' THEN f.calm + 1 ELSE 0 END"
+_ARMED = f"(f.armed OR {_COLD} >= {dr.CALM})"
+_RAISED = f"({_ARMED} AND {_HOT} >= {dr.RAISE})"
+
+
+@query("dr6_retrain_events", f"""WITH RECURSIVE {_GRADES},
+    f AS (SELECT feature, 0::BIGINT AS rn, NULL::TIMESTAMP AS window_start, NULL::DOUBLE AS psi, 0 AS hot, 0 AS calm, true AS armed, false AS event FROM wd GROUP BY feature
+      UNION ALL SELECT w.feature, w.rn, w.window_start, w.psi, {_HOT}, {_COLD}, {_ARMED} AND NOT {_RAISED}, {_RAISED} FROM f JOIN wd w ON w.feature = f.feature AND w.rn = f.rn + 1)
+    SELECT feature, window_start, {sql6('psi')} AS psi FROM f WHERE event""")
+def dr6(spark, sf_dir):
+    steps = points(spark, sf_dir).groupBy(F.col("name").alias("feature"), F.window("timestamp", "6 hours").start.alias("window_start"))
+    w = steps.agg((F.abs(F.avg("value") - 50) / 100).alias("psi")).withColumn("level", dr.drift_level(F.col("psi")))
+    return dr.retrain_events(w).select("feature", ntz("window_start").alias("window_start"), r6("psi").alias("psi"))
+
+
 @query("j5_histogram_join", f"""WITH {_LINES}, {_psi_sql('late')} SELECT name, bin, n, c AS n_now FROM now""")
 def j5(spark, sf_dir):
     early, late = lines(spark, sf_dir)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from pulsewarden.functions.linalg import second_moments, stretches
 from pulsewarden.functions.scalars import feature_vector
 from pulsewarden.operators import aggregates as ag, ensemble as en, rolling
 from pulsewarden.operators.detectors.holtwinters import HoltWinters, forecast_at
 from pulsewarden.operators.detectors.iforest import IsolationForest
-from pulsewarden.operators.detectors.sequence import SequenceForecaster, SequenceReconstruction, error_score
+from pulsewarden.operators.detectors.sequence import SequenceForecaster, SequenceReconstruction, error_score, window_state
 from pulsewarden.plans.catalog import POINTS, ntz, points, query, r6, sql6, table
 from pulsewarden.plans.scalar_queries import MODELS, hour_models
 from pulsewarden.session import materialize
@@ -119,7 +121,7 @@ def sq2_score(spark, sf_dir):
 @query("sq3_forecaster_train")
 def sq3(spark, sf_dir):
     m = SequenceForecaster(24, 6).train(points(spark, sf_dir))
-    return m.select(F.size("weights").alias("n_weights"), r6("pivot").alias("pivot"))
+    return m.select(F.size("weights").alias("n_weights"), r6(F.element_at("pivot", 1)).alias("pivot"))
 
 
 @query("sq4_forecast")
@@ -131,6 +133,117 @@ def sq4(spark, sf_dir):
     return rows.select("server_id", "name", "step", r6("x").alias("forecast"))
 
 
+# ---- several metrics of a server at once ----------------------------------------------
+
+_WIDE = """w AS (SELECT 'srv-' || (user_id % 8) AS server_id, ts AS timestamp, event_id AS seq, value, value / 2 + (event_id * 37) % 101 AS load FROM events)"""
+_METRICS = ("value", "load")
+
+
+def _wide(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    load = F.col("value") / 2 + (F.col("event_id") * 37) % 101
+    return e.select(F.concat(F.lit("srv-"), (F.col("user_id") % 8).cast("string")).alias("server_id"),
+                    F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"), "value", load.alias("load"))
+
+
+_PLACES = [f"{m}{i}" for i in range(3) for m in _METRICS]
+_SHIFTED = ", ".join(f"lag({m}, {2 - i}) OVER s - 50 AS {m}{i}" for i in range(3) for m in _METRICS)
+_MOMENTS = f"""WITH {_WIDE}, g AS (SELECT {_SHIFTED}, row_number() OVER s AS rn FROM w WINDOW s AS (PARTITION BY server_id ORDER BY timestamp, seq)),
+    h AS (SELECT * FROM g WHERE rn >= 3)
+    {' UNION ALL '.join(f"SELECT {i} AS i, {j} AS j, {sql6(f'avg({a} * {b})')} AS moment, count(*) AS n FROM h" for i, a in enumerate(_PLACES) for j, b in enumerate(_PLACES))}"""
+
+
+def _moment_rows(spark, sf_dir, **kw):
+    chunks = stretches(_wide(spark, sf_dir), _METRICS, 3, ["server_id"], **kw)
+    m = second_moments(chunks, 3, [50.0, 50.0])
+    n = int(m[0, 0])
+    rows = [(i, j, float(m[1 + i, 1 + j]) / n, n) for i in range(6) for j in range(6)]
+    return spark.createDataFrame(rows, "i int, j int, moment double, n long").withColumn("moment", r6("moment"))
+
+
+@query("sq1_multi_moments", _MOMENTS)
+def sq1_moments(spark, sf_dir):
+    return _moment_rows(spark, sf_dir)
+
+
+@query("sq1_multi_moments_chunks", _MOMENTS)
+def sq1_moments_chunks(spark, sf_dir):
+    return _moment_rows(spark, sf_dir, chunk_rows=50)
+
+
+@query("sq1_merged_moments", _MOMENTS)
+def sq1_merged(spark, sf_dir):
+    """Three spans of time one after the other, each read alone."""
+    w = _wide(spark, sf_dir)
+    first, last = w.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    span = F.floor((F.unix_micros("timestamp") - first) * 3 / F.lit(last - first + 1))
+    state = None
+    for k in range(3):
+        state = window_state(w.filter(span == k), _METRICS, 3, ["server_id"], ["timestamp", "seq"], state)
+    # around 50 as in the SQL, whatever the sums were centred on
+    d, n = np.tile(np.array(state.pivot) - 50.0, 3), int(state.moments[0, 0])
+    sums = state.moments[0, 1:]
+    m = state.moments[1:, 1:] + np.outer(d, sums) + np.outer(sums, d) + n * np.outer(d, d)
+    rows = [(i, j, float(m[i, j]) / n, n) for i in range(6) for j in range(6)]
+    return spark.createDataFrame(rows, "i int, j int, moment double, n long").withColumn("moment", r6("moment"))
+
+
+@query("st4_merged_forest", "WITH n AS (SELECT least(256, count(*))::INT AS n FROM lineitem) SELECT i::INT AS tree, n AS n_rows, true AS same_trees FROM n, range(100) t(i)")
+def st4_forest(spark, sf_dir):
+    """A forest from the merged samples of three parts against one trained on all rows."""
+    whole, lines = forest(spark, sf_dir)
+    parts = IsolationForest(LINE_FEATURES, "id")
+    states = [parts.sample_state(lines.filter(F.pmod(F.col("l_orderkey"), F.lit(3)) == k)) for k in range(3)]
+    parts.train_from(parts.merged(*states), lines.limit(1000))
+    columns = ["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]
+
+    def trees(model):
+        rows = model.filter("tree >= 0").select(columns)
+        return rows.groupBy("tree").agg(F.max(F.when(F.col("node") == 0, F.col("size"))).alias("n_rows"),
+                                        F.sort_array(F.collect_list(F.struct(*columns))).alias("nodes"))
+
+    other = trees(parts.model).withColumnRenamed("nodes", "others").drop("n_rows")
+    return trees(whole.model).join(other, "tree").select("tree", "n_rows", (F.col("nodes") == F.col("others")).alias("same_trees"))
+
+
+# Two standardised metrics that fall together have (1, 1) / sqrt(2) as their first component, else (1, -1).
+@query("sq1_multi", f"""WITH {_WIDE}, a AS (SELECT count(*) AS n, avg(value) AS mv, avg(load) AS ml, stddev_pop(value) AS sv, stddev_pop(load) AS sl, corr(value, load) AS c FROM w),
+    e AS (SELECT power((value - mv) / sv - sign(c) * (load - ml) / sl, 2) / 4 AS err FROM w, a)
+    SELECT n AS n_sequences, {sql6('mv')} AS mean_value, {sql6('ml')} AS mean_load, {sql6('sv')} AS scale_value, {sql6('sl')} AS scale_load,
+           {sql6('(SELECT quantile_cont(err, 0.95) FROM e)')} AS threshold FROM a""")
+def sq1_multi(spark, sf_dir):
+    m = SequenceReconstruction(1, 1, keys=["server_id"], value=_METRICS).train(_wide(spark, sf_dir))
+    at = {f"{c}_{m}": r6(F.element_at(c, i)).alias(f"{c}_{m}") for c in ("mean", "scale") for i, m in enumerate(_METRICS, 1)}
+    return m.select("n_sequences", *at.values(), r6("threshold").alias("threshold"))
+
+
+# Ridge regression on two inputs, from the normal equations around the averages.
+@query("sq3_multi", f"""WITH {_WIDE}, a AS (SELECT avg(value) AS pv, avg(load) AS pl FROM w),
+    g AS (SELECT value - pv AS x, load - pl AS y, lead(value, 1) OVER s - pv AS t1, lead(value, 2) OVER s - pv AS t2
+          FROM w, a WINDOW s AS (PARTITION BY server_id ORDER BY timestamp, seq)),
+    k AS (SELECT * FROM g WHERE t2 IS NOT NULL),
+    l AS (SELECT count(*) AS n, 1e-3 * (sum(x * x) + sum(y * y)) / 2 AS ridge, avg(x) AS mx, avg(y) AS my FROM k),
+    c AS (SELECT unnest([1, 2]) AS step, sum((x - mx) * (x - mx)) + any_value(ridge) AS xx, sum((y - my) * (y - my)) + any_value(ridge) AS yy, sum((x - mx) * (y - my)) AS xy,
+                 unnest([sum((x - mx) * t1), sum((x - mx) * t2)]) AS xt, unnest([sum((y - my) * t1), sum((y - my) * t2)]) AS yt,
+                 unnest([avg(t1), avg(t2)]) AS mt, any_value(mx) AS mx, any_value(my) AS my FROM k, l),
+    b AS (SELECT step, (xt * yy - yt * xy) / (xx * yy - xy * xy) AS wx, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS wy, mt, mx, my FROM c)
+    SELECT step, {sql6('mt - wx * mx - wy * my')} AS intercept, {sql6('wx')} AS w_value, {sql6('wy')} AS w_load FROM b""")
+def sq3_multi(spark, sf_dir):
+    m = SequenceForecaster(1, 2, keys=["server_id"], value=_METRICS).train(_wide(spark, sf_dir))
+    at = lambda k: F.element_at("weights", F.col("step") + 2 * k)
+    steps = m.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("step"), "weights")
+    return steps.select("step", *[r6(at(k)).alias(c) for k, c in enumerate(("intercept", "w_value", "w_load"))])
+
+
+@query("w9_multi_pairs", f"""WITH {_WIDE} SELECT seq, {', '.join(f'lag({m}, {2 - i}) OVER s AS {m}{i}' for i in range(3) for m in _METRICS)},
+    lead(value, 1) OVER s AS t1, lead(value, 2) OVER s AS t2 FROM w WINDOW s AS (PARTITION BY server_id ORDER BY timestamp, seq)
+    QUALIFY row_number() OVER s >= 3 AND lead(value, 2) OVER s IS NOT NULL""")
+def w9_multi(spark, sf_dir):
+    p = rolling.sequences(_wide(spark, sf_dir), 3, _METRICS, ["server_id"], ["timestamp", "seq"], horizon=2, chunk_rows=50)
+    return p.select("seq", *[F.element_at("sequence", k + 1).alias(c) for k, c in enumerate(_PLACES)],
+                    F.element_at("target", 1).alias("t1"), F.element_at("target", 2).alias("t2"))
+
+
 # ---- the arithmetic at fixed models ---------------------------------------------------
 
 @query("if1_forest_invariants", """WITH n AS (SELECT least(256, count(*))::INT AS n FROM lineitem)
@@ -224,6 +337,11 @@ def hw1_fixed(spark, sf_dir):
     return _fitted(HoltWinters(24).train_at(points(spark, sf_dir), _A, _B, _G))
 
 
+@query("hw1_fixed_smoothing_blocks", f"WITH RECURSIVE {POINTS}, {_SMOOTH} {_FITTED}")
+def hw1_fixed_blocks(spark, sf_dir):
+    return _fitted(HoltWinters(24, block=100).train_at(points(spark, sf_dir), _A, _B, _G))
+
+
 @query("hw4_fixed_smoothing", f"WITH RECURSIVE {POINTS}, {_SMOOTH} {_FITTED} AND server_id = 'srv-1' AND name = 'view'")
 def hw4_fixed(spark, sf_dir):
     one = points(spark, sf_dir).filter("server_id = 'srv-1' AND name = 'view'")
@@ -257,7 +375,7 @@ def sq2_fixed(spark, sf_dir):
     UNION ALL SELECT server_id, name, 1, {sql6('52 + 0.1 * a + 0.2 * b + 0.7 * c')} FROM x""")
 def sq4_fixed(spark, sf_dir):
     f = SequenceForecaster(3, 2)
-    f.model = spark.createDataFrame([([1.0, 2.0, 0.5, 0.1, 0.3, 0.2, 0.2, 0.7], 50.0)], "weights array<double>, pivot double")
+    f.model = spark.createDataFrame([([1.0, 2.0, 0.5, 0.1, 0.3, 0.2, 0.2, 0.7], [50.0])], "weights array<double>, pivot array<double>")
     rows = f.forecast(points(spark, sf_dir)).select("server_id", "name", F.posexplode("forecast").alias("step", "x"))
     return rows.select("server_id", "name", "step", r6("x").alias("forecast"))
 

@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pulsewarden.functions.linalg import over_windows, second_moments, stretches
 from pulsewarden.operators import ensemble as en
 from pulsewarden.operators.detectors import holtwinters as hw
 from pulsewarden.operators.detectors.iforest import IsolationForest, _Forest, average_path
 from pulsewarden.operators.detectors.sequence import SequenceForecaster, SequenceReconstruction, left_pad
 from pulsewarden.operators.percentiles import exact_percentile
-from pulsewarden.functions.linalg import second_moments
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -116,9 +116,59 @@ def test_holt_winters_recovers_a_season():
     got = [m["level"] + h * m["trend"] + m["season"][(240 + h - 1) % 12] for h in range(1, 13)]
     assert np.abs(got - want).max() < 3
     coarse = np.array([[a, b, g] for a in (0.1, 0.5, 0.9) for b in (0.1, 0.5) for g in (0.1, 0.5)])
-    tried = hw.Recursion(12, coarse)
-    tried.feed(y)
-    assert m["sse"] <= tried.sse.min() * 1.05
+    assert m["sse"] <= min(hw.fit_at(y, 12, p)["sse"] for p in coarse) * 1.05
+
+
+def plain_smoothing(y, m, a, b, g):
+    """One point after the other."""
+    level, season = y[:m].mean(), list(y[:m] - y[:m].mean())
+    trend, errors = (y[m: 2 * m].mean() - y[:m].mean()) / m, []
+    for t, v in enumerate(y):
+        e = v - level - trend - season[t % m]
+        level, trend, season[t % m] = level + trend + a * e, trend + a * b * e, season[t % m] + g * e
+        errors.append(e)
+    e = np.array(errors[m:])
+    return {"level": level, "trend": trend, "season": season, "sse": (e**2).sum(), "resid_std": e.std()}
+
+
+def test_series_in_step_and_by_blocks_equal_the_plain_recursion():
+    rng = np.random.default_rng(5)
+    for m, lengths, size in ((7, [14, 100, 65, 333], 21), (4, [50, 50, 9], 8), (24, [700], 48)):
+        series = [10 + rng.normal(0, 2, n).cumsum() + 5 * np.sin(np.arange(n)) for n in lengths]
+        params = np.array([[0.3, 0.1, 0.2], [0.9, 0.05, 0.6], [0.02, 0.5, 0.01]])
+        for y in series:
+            for k, p in enumerate(params):
+                want = plain_smoothing(y, m, *p)
+                got = hw.fit_at(y, m, p)
+                joined = hw.Joined(params, m)
+                for i in range(0, len(y), size):
+                    joined.add(hw.block_sums(y[i: i + size], m, params, i == 0), len(y[i: i + size]), i == 0)
+                assert got["season"] == pytest.approx(want["season"]) and joined.x[2:, k] == pytest.approx(np.array(want["season"]), rel=1e-6, abs=1e-8)
+                assert joined.sse[k] == pytest.approx(want["sse"], rel=1e-8) and joined.x[0, k] == pytest.approx(want["level"], rel=1e-8)
+                for c in ("level", "trend", "sse", "resid_std"):
+                    assert got[c] == pytest.approx(want[c], rel=1e-8, abs=1e-10)
+        together = hw.fit_group(series, m)
+        for y, got in zip(series, together):
+            alone = hw.fit_group([y], m)[0]
+            assert got["sse"] == pytest.approx(alone["sse"]) and got["n"] == len(y)
+
+
+def test_parameters_that_diverge_are_not_chosen():
+    y = 1e150 * (-1.0) ** np.arange(3000)
+    with np.errstate(all="raise"):
+        assert np.isfinite(hw.fit_series(y, 3)["alpha"])
+
+
+def test_long_series_are_fitted_by_blocks(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(900)
+    series = {"a": 50 + 10 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 1, 900), "b": rng.normal(0, 1, 100), "c": rng.normal(5, 2, 301)}
+    whole = {r["server_id"]: r for r in hw.HoltWinters(12).train(points(spark, series)).collect()}
+    blocks = {r["server_id"]: r for r in hw.HoltWinters(12, block=100).train(points(spark, series)).collect()}
+    assert set(whole) == set(blocks) == {"a", "b", "c"}
+    for k in series:
+        for c in ("n", "m", "alpha", "beta", "gamma", "sse", "level", "trend", "resid_std", "season"):
+            assert blocks[k][c] == pytest.approx(whole[k][c], rel=1e-6, abs=1e-9)
 
 
 def test_holt_winters_short_and_flat_series():
@@ -220,12 +270,57 @@ def test_forecaster_follows_a_wave(spark):
     assert np.abs(np.array(got["a"]) - wave[295:300]).max() < 0.5
 
 
-def test_second_moments(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(200, 3))
-    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(5)
-    full = np.hstack([np.ones((200, 1)), x - 1.0])
-    assert np.allclose(second_moments(df, "v", 3, 1.0), full.T @ full)
+def wide(spark, series):
+    """Rows (server_id, timestamp, seq, m0, m1 …) of some series, each an array of points by metrics."""
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=i), i, *map(float, v)) for k, x in series.items() for i, v in enumerate(x)]
+    f = len(next(iter(series.values()))[0])
+    return spark.createDataFrame(rows, "server_id string, timestamp timestamp, seq long, " + ", ".join(f"m{i} double" for i in range(f)))
+
+
+def flat_windows(series, w):
+    views = [np.lib.stride_tricks.sliding_window_view(x, w, axis=0).transpose(0, 2, 1).reshape(-1, w * x.shape[1]) for x in series.values() if len(x) >= w]
+    return np.vstack(views)
+
+
+@pytest.mark.parametrize("w,f,chunk", [(1, 1, 1 << 16), (4, 1, 20), (5, 3, 40), (7, 2, 1 << 16), (12, 2, 60)])
+def test_moments_of_windows_from_lags(spark, w, f, chunk):
+    rng = np.random.default_rng(w)
+    series = {f"s{k}": rng.normal(3, 2, size=(n, f)) for k, n in enumerate([300, w, w - 1 or 1, w + 1, 2 * w, 1])}
+    v = flat_windows(series, w) - np.tile(np.arange(f), w)
+    full = np.hstack([np.ones((len(v), 1)), v])
+    chunks = stretches(wide(spark, series).repartition(4), [f"m{i}" for i in range(f)], w, ["server_id"], chunk_rows=chunk)
+    assert np.allclose(second_moments(chunks, w, list(range(f))), full.T @ full, rtol=1e-10)
+    got = over_windows(chunks, w, lambda x: x @ np.arange(1, w * f + 1.0)).toPandas()["value"]
+    want = flat_windows(series, w) @ np.arange(1, w * f + 1.0)
+    assert np.allclose(np.sort(got), np.sort(want))
+
+
+def test_sequences_of_several_metrics(spark):
+    rng = np.random.default_rng(8)
+    t = np.arange(400)[:, None]
+    series = {"a": 10 * np.sin(2 * np.pi * (t + [[0, 3, 5]]) / 20) + rng.normal(0, 0.1, (400, 3)), "b": rng.normal(0, 1, (50, 3))}
+    df, names = wide(spark, series), ["m0", "m1", "m2"]
+    windows = flat_windows(series, 6)
+    d = SequenceReconstruction(6, 5, keys=["server_id"], value=names)
+    d.train(df, chunk_rows=64)
+    z = (windows - windows.mean(0)) / windows.std(0)
+    _, v = np.linalg.eigh(z.T @ z / len(z))
+    b = v[:, ::-1][:, :5]
+    err = ((z - z @ b @ b.T) ** 2).mean(1)
+    m = d.model.first()
+    assert m["n_sequences"] == len(windows) and m["threshold"] == pytest.approx(np.percentile(err, 95), rel=1e-6)
+    scored = d.score(d.windows(df)).toPandas()["reconstruction_error"]
+    assert np.allclose(np.sort(scored), np.sort(err), rtol=1e-6)
+    f = SequenceForecaster(6, 2, ridge=0.0, keys=["server_id"], value=names)
+    f.train(df, chunk_rows=64)
+    pairs = flat_windows(series, 8)
+    x, y = np.hstack([np.ones((len(pairs), 1)), pairs[:, :18]]), pairs[:, [18, 21]]
+    best, *_ = np.linalg.lstsq(x, y, rcond=None)
+    got = {r["server_id"]: r["forecast"] for r in f.forecast(df).collect()}
+    for k, s in series.items():
+        assert np.allclose(got[k], np.append(1, s[-6:].ravel()) @ best, atol=1e-6)
+    assert SequenceReconstruction(500, keys=["server_id"], value=names).train(df) is None
 
 
 @pytest.mark.parametrize("values", [
