@@ -13,11 +13,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Setting and value: the state store that stateful processors with several variables need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def get_spark(app: str = "pulsewarden", master: str | None = None, **conf) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(*STATE_STORE)
     )
     if master:
         builder = builder.master(master)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsewarden.schema import METRIC_TYPES
+from pulsewarden.sources import log
 
 # Spark also reads a bare year or a time of day; a message must give a full date.
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
@@ -87,6 +88,15 @@ def read_kafka(spark: SparkSession, servers: str, topic: str = "infrastructure-m
     return reader.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
 
 
+def read_message_log(spark: SparkSession, path: str, starting: str = "earliest", max_per_trigger: int | None = None) -> DataFrame:
+    """The same from a segmented message log (``sources.log``), with offsets like those of a topic."""
+    log.register(spark)
+    reader = spark.readStream.format("message_log").option("startingOffsets", starting)
+    if max_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
+    return reader.load(path).select("value", "arrived")
+
+
 def read_message_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same from a folder of text files, one message per line. Without a limit a trigger takes all."""
     reader = spark.readStream.format("text")

@@ -6,22 +6,28 @@ this module adds what needs a watermark, a sink or a static side.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsewarden.config import DEFAULTS, Settings
 from pulsewarden.functions import scalars as s
-from pulsewarden.operators import alerts as al, histograms as dr
+from pulsewarden.operators import alerts as al, histograms as dr, percentiles as pc
 from pulsewarden.operators.detectors.base import Detector
 from pulsewarden.operators.ensemble import EnsembleRegistry, attach_forecast
-from pulsewarden.operators.service import store_and_route
+from pulsewarden.operators.service import process_batch
 from pulsewarden.session import sized
 from pulsewarden.sinks import stores
-from pulsewarden.sinks.channels import Channel, write_payloads
+from pulsewarden.sinks.channels import Channel
+from pulsewarden.sinks.outbox import run_id
 from pulsewarden.sources.messages import split_bad_records
-from pulsewarden.streaming.stateful import stream_features, stream_suppress
+from pulsewarden.streaming.stateful import stream_features
 
 
 #: Take what there is and stop; pass ``{"processingTime": "10 seconds"}`` to keep running.
@@ -36,9 +42,34 @@ def file_sink(df: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (),
     return writer.trigger(**trigger).start(path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query's stateful operators dropped as too late, over its recent triggers."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful operators drop as too late, per query, over every trigger.
+
+    Add it with ``spark.streams.addListener`` before the query starts. A query's own
+    ``recentProgress`` forgets all but its last triggers.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.triggers: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        """Counts begin with the first trigger."""
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.dropped[str(p.id)] = self.dropped.get(str(p.id), 0) + late
+        self.triggers[str(p.id)] = self.triggers.get(str(p.id), 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing came, nothing was dropped."""
+
+    def onQueryTerminated(self, event) -> None:
+        """The counts stay: a query started again under the same id goes on with them."""
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.dropped.get(str(query.id), 0)
 
 
 def write_split(parsed: DataFrame, good_path: str, bad_path: str, checkpoint: str, trigger: Mapping = ONCE) -> StreamingQuery:
@@ -88,61 +119,92 @@ def detect_stream(points: DataFrame, detector: Detector, names: Sequence[str], p
 
 
 def alert_stream(detections: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS,
-                 channels: Sequence[Channel] = (), payloads: str | None = None, trigger: Mapping = ONCE) -> StreamingQuery:
-    """Second half: stored detections → suppression → alert store → payloads of the channels.
+                 channels: Sequence[Channel] = (), trigger: Mapping = ONCE) -> StreamingQuery:
+    """Second half: stored detections → suppression → alerts and payloads of the channels, in the store at ``path``.
 
-    Alert ids depend on content only and stored ids are skipped, so a replayed batch
-    changes nothing.
+    A batch's alerts, payloads and what suppression has to remember become visible together
+    (``service.stored_alerts``, ``stored_payloads``), however often the batch is tried. Late
+    detections can't pass an alert that was sent after them.
     """
-    passed = stream_suppress(al.grade(detections, settings), settings.cooldown_minutes, settings.max_alerts_per_hour)
+    otherwise = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        process_batch(batch, channels, path, run_id(batch.sparkSession, otherwise), number, settings)
+        batch.unpersist()
+
+    return detections.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def feature_kinds(rows: DataFrame) -> DataFrame:
+    """Feature maps as rows: name of the metric, kind (statistic and window) and x."""
+    kind = F.regexp_extract("feature", r"_([a-z]+_\d+m)$", 1)
+    keep = [c for c in rows.columns if c != "features"]
+    return rows.select(*keep, F.explode("features").alias("feature", "x")).select(
+        *keep, F.regexp_replace("feature", r"_[a-z]+_\d+m$", "").alias("name"), kind.alias("kind"), "x")
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        routed = store_and_route(al.build_alerts(batch, settings), channels, path)
-        if channels and payloads:
-            write_payloads(routed, payloads)
+def usual_features(rows: DataFrame) -> DataFrame:
+    """Mean and deviation of every feature over all servers and times: what verdicts are explained by.
 
-    return passed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    ``rows`` has feature maps, as stored while training; the result is a small table to keep with the models.
+    """
+    return feature_kinds(rows).groupBy("name", "kind").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
 
 
 def ensemble_detections(features: DataFrame, registry: EnsembleRegistry, names: Sequence[str],
-                        sequence: DataFrame | None = None, smoothing: DataFrame | None = None) -> DataFrame:
-    """Feature maps of a batch → verdicts of all registered detectors, with forecast and metric.
+                        sequence: DataFrame | None = None, smoothing: DataFrame | None = None,
+                        usual: DataFrame | None = None) -> DataFrame:
+    """Feature maps of a batch → verdicts of all registered detectors, with forecast, metric and each model's score.
 
     Detectors score the vector of ``names``. Forecast tables have server_id, name and
-    forecast. A verdict's metric is the one whose feature lies farthest from the server's
-    mean feature of the same kind in this batch, in deviations.
+    forecast. A verdict's metric is the one whose feature lies farthest from ``usual``
+    (``usual_features`` of the training data), in deviations; unknown without that table.
     """
     rows = features.withColumn("vector", s.map_vector(F.col("features"), names)).withColumn(
         "obs", F.xxhash64("server_id", "timestamp"))
     verdicts = registry.detect(rows, {n: rows for n in registry.active}, ("obs",)).drop("error")
-    kind = F.regexp_extract("feature", r"_([a-z]+_\d+m)$", 1)
-    parts = rows.select("obs", F.explode("features").alias("feature", "x")).select(
-        "obs", F.regexp_replace("feature", r"_[a-z]+_\d+m$", "").alias("name"), "x", kind.alias("kind"))
-    usual = parts.groupBy("name", "kind").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
-    far = parts.join(usual, ["name", "kind"]).filter("sd > 0").groupBy("obs", "name").agg(
-        F.max(F.abs(F.col("x") - F.col("m")) / F.col("sd")).alias("score"))
-    named = al.attribute_metric(verdicts, far).join(rows.select("obs", "server_id", "timestamp"), "obs")
+    if "models" in verdicts.columns:
+        scores = F.transform("models", lambda m: F.struct(m["model_name"], m["score"]))
+        verdicts = verdicts.withColumn("model_details", F.map_from_entries(scores)).drop("models")
+    if usual is None:
+        named = verdicts.drop("metric_name").withColumn("metric_name", F.lit("unknown"))
+    else:
+        far = feature_kinds(rows.select("obs", "features")).join(sized(usual), ["name", "kind"]).filter("sd > 0").groupBy("obs", "name").agg(
+            F.max(F.abs(F.col("x") - F.col("m")) / F.col("sd")).alias("score"))
+        named = al.attribute_metric(verdicts, far)
+    named = named.join(rows.select("obs", "server_id", "timestamp"), "obs")
     if sequence is not None or smoothing is not None:
         named = attach_forecast(named.withColumnRenamed("metric_name", "name"), sequence, smoothing).withColumnRenamed("name", "metric_name")
     return named.withColumnRenamed("obs", "seq")
 
 
+#: Columns of detections that alerts are made from; those a detection lacks are left out.
+DETECTION = ("server_id", "metric_name", "timestamp", "seq", "anomaly_score", "is_anomaly",
+             "prediction_horizon", "model_details", "actual", "forecast", "correlation_id")
+
+
 def live_stream(points: DataFrame, registry: EnsembleRegistry, names: Sequence[str], detections: str, checkpoint: str,
                 settings: Settings = DEFAULTS, sequence: DataFrame | None = None, smoothing: DataFrame | None = None,
-                trigger: Mapping = ONCE, **kw) -> StreamingQuery:
+                usual: DataFrame | None = None, inference: str | None = None, trigger: Mapping = ONCE, **kw) -> StreamingQuery:
     """First half with the whole ensemble: points → features → verdicts worth dispatching.
 
     A batch is written under its number, so a replay replaces it; ``alert_stream`` does the
-    rest from there.
+    rest from there. ``inference`` names a folder for one row per batch and model: the calls
+    that ``aggregates.inference_stats`` summarises, with the time a verdict took on average.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        found = ensemble_detections(batch, registry, names, sequence, smoothing)
+        n, newest = batch.agg(F.count("*"), F.max("timestamp")).first()
+        began = time.perf_counter()
+        found = ensemble_detections(batch, registry, names, sequence, smoothing, usual)
         found = found.filter(s.dispatch_gate(F.col("is_anomaly"), F.col("anomaly_score")))
-        keep = ["server_id", "metric_name", "timestamp", "seq", "anomaly_score", "is_anomaly"]
-        keep += [c for c in ("prediction_horizon",) if c in found.columns]
-        found.select(*keep).write.mode("overwrite").parquet(f"{detections}/batch={number}")
+        found.select(*[c for c in DETECTION if c in found.columns]).write.mode("overwrite").parquet(f"{detections}/batch={number}")
+        if inference and n:
+            each = (time.perf_counter() - began) * 1000 / n
+            calls = [(m, newest, number, each, n) for m in registry.active]
+            batch.sparkSession.createDataFrame(calls, INFERENCE).write.mode("overwrite").parquet(f"{inference}/batch={number}")
         batch.unpersist()
 
     return (
@@ -151,6 +213,9 @@ def live_stream(points: DataFrame, registry: EnsembleRegistry, names: Sequence[s
     )
 
 
+INFERENCE = "model_name string, timestamp timestamp, seq long, latency_ms double, n_rows long"
+
+
 def stream_downsample(points: DataFrame, step: str = DEFAULTS.downsample, watermark: str = "10 minutes") -> DataFrame:
     return stores.downsample(points.withWatermark("timestamp", watermark), step)
 
@@ -173,6 +238,42 @@ def stream_drift(points: DataFrame, reference: DataFrame, window: str = "1 hour"
     ).withColumn("level", dr.drift_level(F.col("psi"), threshold))
 
 
+def stream_retrain(windows: DataFrame, watermark: str = "0 seconds", raise_after: int = dr.RAISE, calm_after: int = dr.CALM) -> DataFrame:
+    """``retrain_events`` of a stream of drift windows, as ``file_sink`` stores them; one small state per feature.
+
+    Windows of a feature must come in order, as a watermark lets them out.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else dr.START
+        rows = pd.concat(list(batches)).sort_values("window_start")
+        out = []
+        for row in rows.itertuples():
+            now, event = dr.retrain_step((int(now[0]), int(now[1]), bool(now[2])), row.level, raise_after, calm_after)
+            if event:
+                out.append((key[0], row.window_start, row.psi))
+        state.update(now)
+        yield pd.DataFrame(out, columns=["feature", "window_start", "psi"])
+
+    rows = windows.select("feature", "window_start", "psi", "level").withWatermark("window_start", watermark)
+    return rows.groupBy("feature").applyInPandasWithState(
+        step, dr.EVENT, "hot int, calm int, armed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_thresholds(points: DataFrame, q: float, window: str = "1 hour", watermark: str = "10 minutes",
+                      keys: Sequence[str] = ("server_id", "name"), value: str = "value") -> DataFrame:
+    """Percentile of every key and tumbling window, from a sketch: state is a few kilobytes for each.
+
+    A window's sketch is kept in the result, so that longer spans can be merged from it
+    (``percentiles.merge_sketches``); the percentile lies within ``percentiles.rank_error`` of
+    the exact one's rank.
+    """
+    rows = points.withWatermark("timestamp", watermark)
+    sketches = pc.quantile_sketches(rows, [*keys, F.window("timestamp", window).alias("w")], value)
+    kept = sketches.select(*keys, F.col("w.start").alias("window_start"), "sketch")
+    return kept.withColumn("percentile", F.kll_sketch_get_quantile_double("sketch", F.lit(q / 100.0)))
+
+
 def train_when_ready(features: DataFrame, detector: Detector, min_samples: int = DEFAULTS.min_samples) -> DataFrame | None:
     """Train once the feature table holds ``min_samples`` rows; repeating is the scheduler's part."""
     # take() stops reading as soon as it has enough rows
