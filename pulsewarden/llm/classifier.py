@@ -10,7 +10,9 @@ score is a sparse dot product with them.
 Features are made in the tasks that hold the texts, for training as for scoring. FTRL takes
 examples one after the other, so training is one task over a bounded number of labelled
 rows: the ``max_rows`` with the smallest hash of their id, a sample that every rerun draws
-again. Scoring covers all rows; the model is ``SLOTS`` numbers.
+again. The sample is settled before a text is read; its features come to the task batch by
+batch, once for each epoch, so their size doesn't matter. Scoring covers all rows; the model is
+``SLOTS`` numbers.
 
 Defined results
     null or empty text: no features, the score is that of the bias.
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsewarden.llm.language import held_out
 from pulsewarden.llm.tokens import Words, groups, hashes, mix, ngram_hashes, pair, utf8, words
+from pulsewarden.session import drop, materialize
 
 SLOTS = 1 << 18
 ORDER = 2
@@ -100,33 +102,50 @@ class Model:
         return 1 / (1 + np.exp(-(out + self.bias)))
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Weights after ``epochs`` passes over the examples (slots, values) in the order given.
+class Ftrl:
+    """Follow-the-regularised-leader, an example (slots, values, label) at a time.
 
     The bias is one more slot, so a text with few features gets about the share of label 1.
     """
-    z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
 
-    def leader(s: np.ndarray) -> np.ndarray:
-        shrunk = np.sign(z[s]) * np.maximum(np.abs(z[s]) - L1, 0)
-        return -shrunk / ((BETA + np.sqrt(n[s])) / ALPHA + L2)
+    def __init__(self) -> None:
+        self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+
+    def leader(self, s: np.ndarray) -> np.ndarray:
+        shrunk = np.sign(self.z[s]) * np.maximum(np.abs(self.z[s]) - L1, 0)
+        return -shrunk / ((BETA + np.sqrt(self.n[s])) / ALPHA + L2)
+
+    def learn(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
+        s, x = np.append(slots, SLOTS), np.append(values, 0.2)
+        w = self.leader(s)
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        g = (p - label) * x
+        self.z[s] += g - (np.sqrt(self.n[s] + g * g) - np.sqrt(self.n[s])) / ALPHA * w
+        self.n[s] += g * g
+
+    def model(self) -> Model:
+        w = self.leader(np.arange(SLOTS + 1))
+        return Model(w[:-1], float(w[-1] * 0.2))
 
+
+def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Weights after ``epochs`` passes over the examples (slots, values) in the order given."""
+    learner = Ftrl()
     for _ in range(epochs):
         for (slots, values), y in zip(examples, labels):
-            s, x = np.append(slots, SLOTS), np.append(values, 0.2)
-            w = leader(s)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            g = (p - y) * x
-            z[s] += g - (np.sqrt(n[s] + g * g) - np.sqrt(n[s])) / ALPHA * w
-            n[s] += g * g
-    w = leader(np.arange(SLOTS + 1))
-    return Model(w[:-1], float(w[-1] * 0.2))
+            learner.learn(slots, values, y)
+    return learner.model()
 
 
-def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(rows: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> Model:
     """A model from ``rows`` (doc_id, text, label 0 or 1)."""
     ready = rows.filter("label IN (0, 1)").select(
         F.xxhash64("doc_id", "text").alias("order"), F.col("label").cast("int").alias("label"), "text")
+    # the sample is settled by two numbers of a row
+    last = ready.select("order", "label").orderBy("order", "label").limit(max_rows).agg(F.max(F.struct("order", "label")).alias("m")).first()["m"]
+    if last is None:
+        return Model(np.zeros(SLOTS, np.float32), 0.0)
+    ready = ready.filter(F.struct("order", "label") <= F.struct(F.lit(last["order"]), F.lit(last["label"])))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,22 +159,25 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                     pa.ListArray.from_arrays(at, pa.array(s)), pa.ListArray.from_arrays(at, pa.array(v))],
                     ["order", "label", "slots", "vals"])
 
-    examples = ready.mapInArrow(extract, "order long, label int, slots array<int>, vals array<float>")
-    # the smallest hashes; each task keeps its own first rows
-    examples = examples.orderBy("order", "label").limit(max_rows)
+    examples = materialize(ready.mapInArrow(extract, "order long, label int, slots array<int>, vals array<float>"))
+    passes = examples.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "label"], kind="stable")
-        model = ftrl(list(zip(pdf["slots"], pdf["vals"])), pdf["label"].to_numpy())
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Ftrl()
+        for batch in batches:
+            for slots, values, y in zip(batch.column("slots"), batch.column("vals"), batch.column("label").to_pylist()):
+                learner.learn(slots.values.to_numpy(), values.values.to_numpy(), y)
+        model = learner.model()
         used = np.flatnonzero(model.weights)
-        return pd.DataFrame({"slot": [*used, SLOTS], "w": [*model.weights[used], model.bias]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, SLOTS), pa.int32()), pa.array(np.append(model.weights[used], model.bias))], ["slot", "w"])
 
     weights, bias = np.zeros(SLOTS), 0.0
-    for r in examples.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "slot int, w double").collect():
+    for r in passes.repartition(1).sortWithinPartitions("epoch", "order", "label").mapInArrow(fit, "slot int, w double").collect():
         if r["slot"] == SLOTS:
             bias = r["w"]
         else:
             weights[r["slot"]] = r["w"]
+    drop(examples)
     return Model(weights.astype(np.float32), bias)
 
 

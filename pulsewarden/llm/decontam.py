@@ -8,13 +8,17 @@ Aho-Corasick automaton), and only the surroundings of a hit, the item's length p
 error budget to both sides, are verified: Myers' algorithm keeps a column of the edit
 matrix in the bits of one integer, a few operations for each character.
 
+Items under ``MIN_CHARS`` characters have no edits to spare and lie in many texts by chance;
+they are found verbatim only, between word borders.
+
 Documents are not shuffled. Items come in blocks of bounded size, each broadcast and
 searched for in one pass, so the benchmark may be of any size; equal items are searched
-for once. Each pass adds to the documents' list of leaks.
+for once. With several blocks each pass writes what it has found, and the documents get their
+lists in the end.
 
 Defined results
-    null or empty text: no leaks. null or empty items, and items under ``MIN_CHARS``
-    characters (any text has those): never found. Empty tables: no leaks, or no rows.
+    null or empty text: no leaks. null or empty items: never found. Empty tables: no leaks,
+    or no rows.
     Repeated documents are searched each; repeated items are all reported.
     Ties: an item found several times is reported once, with its least distance.
     Other columns are kept; one named ``leaks`` is replaced.
@@ -24,12 +28,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pulsewarden.llm.rows import with_rid
+from pulsewarden.session import materialize
+
 #: Edits for each character of an item.
 RATE = 0.05
 MIN_CHARS = 20
@@ -82,7 +90,8 @@ class Finder:
 
     def __init__(self, items: list[Item], rate: float):
         self.items = items
-        self.edits = [int(rate * len(t)) for t, _ in items]
+        self.edits = [int(rate * len(t)) if len(t) >= MIN_CHARS else 0 for t, _ in items]
+        self.short = [len(t) < MIN_CHARS for t, _ in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (text, _) in enumerate(items):
             for at, piece in pieces(text, self.edits[k]):
@@ -106,6 +115,10 @@ class Finder:
                     continue
                 item, edits = self.items[k][0], self.edits[k]
                 start = end + 1 - n - at
+                if self.short[k]:
+                    if not (text[start - 1: start].isalnum() or text[end + 1: end + 2].isalnum()):
+                        best[k] = 0
+                    continue
                 if start >= 0 and text.startswith(item, start):
                     best[k] = 0
                     continue
@@ -141,8 +154,6 @@ def blocks(items: DataFrame, item_id: str, text: str, size: int = BLOCK) -> Iter
     held = 0
     for r in rows.toLocalIterator():
         key = normal(r["text"])
-        if len(key) < MIN_CHARS:
-            continue
         if key not in block and held + len(key) > size and block:
             yield list(block.items())
             block, held = {}, 0
@@ -155,24 +166,36 @@ def blocks(items: DataFrame, item_id: str, text: str, size: int = BLOCK) -> Iter
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text",
                item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` with ``leaks``: array of item_id and distance, in order."""
-    if "leaks" in docs.columns:
-        docs = docs.drop("leaks")
-    out = docs.withColumn("leaks", F.array().cast(LEAK))
-    at, last = docs.columns.index(text), len(docs.columns)
-    for number, found in enumerate(blocks(items, item_id, item_text, block)):
-        shared = docs.sparkSession.sparkContext.broadcast(found)
-
-        def run(batches: Iterator[pa.RecordBatch], number: int = number, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            finder = _finder(number, shared, rate)
-            for batch in batches:
-                leaks = [
-                    (old.as_py() or []) + [{"item_id": i, "distance": d} for k, d in finder.leaks(t.as_py()) for i in finder.items[k][1]]
-                    for t, old in zip(batch.column(at), batch.column(last))
-                ]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-                columns = [*batch.columns]
-                columns[last] = pa.array(leaks, kind)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out.withColumn("leaks", F.array_sort("leaks"))
+    docs = docs.drop("leaks")
+    every = blocks(items, item_id, item_text, block)
+    first, second = next(every, None), next(every, None)
+    if first is None:
+        return docs.withColumn("leaks", F.array().cast(LEAK))
+    if second is None:
+        return _searched(docs, text, 0, first, rate)
+    rows = with_rid(docs, "_rid")
+    slim = rows.select("_rid", F.col(text).alias("text"))
+    tables = []
+    for number, found in enumerate(chain((first, second), every)):
+        hits = _searched(slim, "text", number, found, rate).select("_rid", F.inline("leaks"))
+        tables.append(materialize(hits))
+    folders = sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()})
+    hits = docs.sparkSession.read.schema(tables[0].schema).parquet(*folders) if folders else tables[0]
+    leaks = hits.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("item_id", "distance"))).alias("leaks"))
+    return rows.join(leaks, "_rid", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAK))).drop("_rid")
+
+
+def _searched(docs: DataFrame, text: str, number: int, found: list[Item], rate: float) -> DataFrame:
+    """``docs`` with the leaks of one block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("leaks", LEAK)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(number, shared, rate)
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+        for batch in batches:
+            leaks = [[{"item_id": i, "distance": d} for k, d in finder.leaks(t.as_py()) for i in finder.items[k][1]] for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], [*batch.schema.names, "leaks"])
+
+    return docs.mapInArrow(run, schema).withColumn("leaks", F.array_sort("leaks"))

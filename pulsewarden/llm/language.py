@@ -6,14 +6,16 @@ follow; a text is the bundle (sum) of its n-grams, and a language the bundle of
 each scaled to length one. A text is given the language with the closest prototype by
 cosine.
 
-Since a bundle is a sum, a batch counts its n-grams, makes the vectors of the distinct ones
-once, and multiplies counts by vectors. Prototypes are sums per language that every task
-adds up itself: languages times dimensions, whatever the number of texts.
+Since a bundle is a sum, n-grams are counted, the vectors of the distinct ones made once, and
+counts multiplied by vectors: a bounded number of n-grams at a time, however long a text and
+however many letters it has. Prototypes are sums per language that every task adds up
+itself. They are a table; texts meet them in blocks of ``BLOCK`` languages, one broadcast each,
+so any number of languages will do.
 
 Defined results
     null text, and text without a letter: ``und``, score 0.
     No row to learn from: every text ``und``. Ties: the language first by code point.
-    Null languages and languages of more than ``MAX_LANGUAGES``: see ``learn``.
+    Null languages are not learned. Any other value is a language, however many there are.
     Empty table: empty result. Repeated rows count and are judged each.
     Other columns are kept; those named like a result column are replaced.
 """
@@ -23,20 +25,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pulsewarden.llm.rows import with_rid
 from pulsewarden.llm.tokens import mix
+from pulsewarden.session import drop, materialize
 
 DIMENSIONS = 1024
 N = 3
 UND = "und"
-#: Languages are few; more distinct values than this are an error in the data and raise one.
-MAX_LANGUAGES = 1000
-#: Code points whose n-grams are counted at once.
-GROUP = 1 << 19
+#: Languages whose prototypes are held at once: 4 KiB each.
+BLOCK = 1000
+#: Code points whose n-grams are counted at once, and n-grams that vectors are made of at once.
+GROUP, SLICE = 1 << 19, 1 << 12
 #: Texts in a counting matrix.
 TEXTS = 256
 
@@ -76,20 +81,32 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points[keep], whose[keep]
 
 
-def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams as rows of code points; then text, n-gram and count of each pair."""
+def count_ngrams(texts: list[str]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """N-grams per text, and slices of: distinct n-grams as rows of code points; text, n-gram and count of pairs."""
     points, whose = _code_points(texts)
     m = max(0, len(points) - N + 1)
-    same = whose[:m] == whose[N - 1:]
-    code = np.zeros(m, np.uint64)
-    for i in range(N):
-        code = (code << np.uint64(21)) | points[i: m + i].astype(np.uint64)
-    code, whose = code[same], whose[:m][same]
-    grams, place = np.unique(code, return_inverse=True)
-    cells, n = np.unique(whose * max(1, len(grams)) + place, return_counts=True)
-    rows, cols = np.divmod(cells, max(1, len(grams)))
-    split = np.stack([(grams >> np.uint64(21 * (N - 1 - i))) & np.uint64(0x1FFFFF) for i in range(N)], 1)
-    return split, rows, cols, n
+    inside = whose[:m] == whose[N - 1:]
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for start in range(0, m, GROUP):
+            end = min(m, start + GROUP)
+            code = np.zeros(end - start, np.uint64)
+            for i in range(N):
+                code = (code << np.uint64(21)) | points[start + i: end + i].astype(np.uint64)
+            same = inside[start:end]
+            grams, place = np.unique(code[same], return_inverse=True)
+            if not len(grams):
+                continue
+            # by n-gram, so that a slice of them is a slice of the pairs
+            cells, n = np.unique(place * len(texts) + whose[start:end][same], return_counts=True)
+            cols, rows = np.divmod(cells, len(texts))
+            for a in range(0, len(grams), SLICE):
+                i, j = np.searchsorted(cols, (a, a + SLICE))
+                own = grams[a: a + SLICE]
+                split = np.stack([(own >> np.uint64(21 * (N - 1 - k))) & np.uint64(0x1FFFFF) for k in range(N)], 1)
+                yield split, rows[i:j], cols[i:j] - a, n[i:j]
+
+    return np.bincount(whose[:m][inside], minlength=len(texts)), slices()
 
 
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -106,13 +123,12 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def profiles(texts: list[str]) -> np.ndarray:
     """The bundle of each text, one row each; zero for a text without letters."""
-    grams, rows, cols, n = count_ngrams(texts)
-    if not len(grams):
-        return np.zeros((len(texts), DIMENSIONS), np.float32)
-    lettered = np.bincount(rows, (grams[cols] != _GAP).any(1), len(texts)) > 0
-    counts = np.zeros((len(texts), len(grams)), np.float32)
-    counts[rows, cols] = n
-    out = counts @ ngram_vectors(grams)
+    out, lettered = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
+    for grams, rows, cols, n in count_ngrams(texts)[1]:
+        lettered[rows[(grams[cols] != _GAP).any(1)]] = True
+        counts = np.zeros((len(texts), len(grams)), np.float32)
+        counts[rows, cols] = n
+        out += counts @ ngram_vectors(grams)
     out[~lettered] = 0
     return out
 
@@ -123,18 +139,18 @@ class Prototypes:
     vectors: np.ndarray  # a row of length one for each language
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
+        """The closest language of each text and its cosine; -1 for a text without letters."""
+        names, scores = [], np.full(len(texts), -1.0)
         for i, j in _batches(texts):
-            p = profiles(texts[i:j])
-            norm = np.linalg.norm(p, axis=1)
             if not self.languages:
                 names += [UND] * (j - i)
                 continue
+            p = profiles(texts[i:j])
+            norm = np.linalg.norm(p, axis=1)
             cosine = (p @ self.vectors.T.astype(np.float32)) / np.maximum(norm, 1e-30)[:, None]
             best = cosine.argmax(1)
-            seen = norm > 0
-            names += [self.languages[b] if s else UND for b, s in zip(best, seen)]
-            scores[i:j] = np.where(seen, cosine.max(1).clip(0, 1), 0)
+            names += [self.languages[b] if s else UND for b, s in zip(best, norm > 0)]
+            scores[i:j] = np.where(norm > 0, cosine.max(1), -1.0)
         return names, scores
 
 
@@ -142,50 +158,57 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def learn(rows: DataFrame) -> Prototypes:
-    """Prototypes from ``rows`` (text, lang); null languages don't count.
-
-    What reaches the driver is one vector for each language.
-    """
+def learn(rows: DataFrame) -> DataFrame:
+    """Prototypes (lang, v) from ``rows`` (text, lang); null languages don't count. A written table."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.string()),
+                 pa.array([v.astype(float).tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
+            total.clear()
+            return rows
+
         for batch in batches:
             texts, langs = _texts(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
             for i, j in _batches(texts):
-                grams, r, c, n = count_ngrams(texts[i:j])
-                if not len(grams):
-                    continue
-                # scale each text by its number of n-grams, so that long ones don't drown the others
-                share = n / np.bincount(r, n, j - i)[r]
-                vectors = ngram_vectors(grams)
-                own = langs[i:j][r]
-                for lang in set(own):
-                    pick = own == lang
-                    counts = np.bincount(c[pick], share[pick], len(grams))
-                    total[lang] = total.get(lang, 0) + counts.astype(np.float32) @ vectors
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()),
-             pa.array([v.astype(float).tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
+                sizes, slices = count_ngrams(texts[i:j])
+                for grams, r, c, n in slices:
+                    # scale each text by its number of n-grams, so that long ones don't drown the others
+                    share, vectors, own = n / sizes[r], ngram_vectors(grams), langs[i:j][r]
+                    for lang in set(own):
+                        pick = own == lang
+                        counts = np.bincount(c[pick], share[pick], len(grams))
+                        total[lang] = total.get(lang, 0) + counts.astype(np.float32) @ vectors
+                if len(total) > BLOCK:
+                    yield out()
+        yield out()
 
     parts = rows.select("text", "lang").filter("lang IS NOT NULL").mapInArrow(bundle, "lang string, v array<double>")
-    total = (
+    return materialize(
         parts.select("lang", F.posexplode("v").alias("i", "x"))
         .groupBy("lang", "i").agg(F.sum("x").alias("x"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-        .select("lang", "v.x").limit(MAX_LANGUAGES + 1).collect()
+        .select("lang", F.col("v.x").alias("v"))
     )
-    if len(total) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    total.sort()
-    vectors = np.array([r[1] for r in total]).reshape(-1, DIMENSIONS)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
-    return Prototypes(tuple(r[0] for r in total), vectors)
 
 
-def predict(docs: DataFrame, model: Prototypes, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the cosine, 0 to 1)."""
-    docs = docs.drop("lang_pred", "score")
+def prototypes(table: DataFrame, block: int = BLOCK) -> Iterator[Prototypes]:
+    """Blocks of languages, in order; one is on the driver at a time. At least one, maybe without languages."""
+    rows, seen = table.orderBy("lang").toLocalIterator(), False
+    while own := list(islice(rows, block)):
+        vectors = np.array([r["v"] for r in own])
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+        seen = True
+        yield Prototypes(tuple(r["lang"] for r in own), vectors)
+    if not seen:
+        yield Prototypes((), np.zeros((0, DIMENSIONS)))
+
+
+def _closest(docs: DataFrame, model: Prototypes, text: str) -> DataFrame:
+    """``docs`` with lang_pred and score (the cosine, -1 for a text without letters) by one block of languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
@@ -199,14 +222,33 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text") -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
+def predict(docs: DataFrame, table: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` with lang_pred and score (the cosine, 0 to 1)."""
+    docs = docs.drop("lang_pred", "score")
+    models = prototypes(table, block)
+    first, second = next(models), next(models, None)
+    if second is None:
+        found = _closest(docs, first, text)
+    else:
+        rows = with_rid(docs, "_rid")
+        slim, tables = rows.select("_rid", F.col(text).alias("text")), []
+        for number, model in enumerate(chain((first, second), models)):
+            own = _closest(slim, model, "text").select("_rid", F.struct("score", F.lit(-number).alias("block"), "lang_pred").alias("_best"))
+            own = own if not tables else own.unionByName(tables[-1]).groupBy("_rid").agg(F.max("_best").alias("_best"))
+            tables.append(materialize(own))
+            drop(*tables[-2:-1])
+        found = rows.join(tables[-1], "_rid").select(*docs.columns, "_best.lang_pred", "_best.score")
+    return found.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
+
+
 def held_out(doc_id: Column, parts: int, held: int) -> Column:
     """Rows never learned from: by the checksum of the id as text (null: as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == held
 
 
 def identify(docs: DataFrame, parts: int = 3, held: int = 1, doc_id: str = "doc_id", text: str = "text",
-             lang: str = "lang") -> DataFrame:
+             lang: str = "lang", block: int = BLOCK) -> DataFrame:
     """``docs`` with held_out, lang_pred and score; learned from the rows not held out."""
     docs = docs.drop("held_out").withColumn("held_out", held_out(F.col(doc_id), parts, held))
-    model = learn(docs.filter("NOT held_out").select(F.col(text).alias("text"), F.col(lang).alias("lang")))
-    return predict(docs, model, text)
+    table = learn(docs.filter("NOT held_out").select(F.col(text).alias("text"), F.col(lang).alias("lang")))
+    return predict(docs, table, text, block)

@@ -4,9 +4,10 @@ Rules name a host (with its subdomains) and the start of a path; the longest tha
 decides. For the other pages the hosts' links decide. Trust starts at hosts with allowed
 pages and flows along links (personalised PageRank); distrust starts at hosts with blocked
 pages and flows against them: who links to a blocked host gains some of its distrust.
-Both are fixed points of ``x = (1 - a) * seed + a * spread(x)``, reached by iterating; each
-iteration is one join and one sum over the table of distinct host links. A host is
-blocked if its distrust reaches a threshold and exceeds its trust.
+Both are fixed points of ``x = (1 - a) * seed + a * spread(x)``, reached by iterating until no
+host moves by ``TOLERANCE`` in four rounds (a round shrinks what is missing by a at least); each
+round is one join and one sum over the table of distinct host links. A host is blocked if its
+distrust reaches a threshold and exceeds its trust.
 
 Links are counted per pair of hosts where the pages lie, so a host with a third of all
 pages adds one row for each host that it links to.
@@ -39,7 +40,7 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
 
 DAMPING = 0.85
-ROUNDS = 20
+TOLERANCE = 1e-7
 THRESHOLD = 0.1
 
 
@@ -76,7 +77,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """trust and distrust of every host in ``seeds`` (host, trust, distrust) or ``links``."""
     along = links.select(F.col("src").alias("host"), F.col("dst").alias("to"),
                          F.col("share").alias("t"), F.lit(0.0).alias("d"))
@@ -89,23 +90,28 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     )
     if steps.isEmpty():
         return base
-    state, old = base, []
-    for i in range(rounds):
-        moved = (
-            steps.join(state, "host")
-            .select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"),
-                    (F.col("d") * F.col("distrust") * damping).alias("distrust"))
-        )
-        state = base.unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 4 == 3:  # a plan that grows with each round costs more than a table
-            state = materialize(state)
-            drop(*old)
-            old = [state]
-    return state
+    state = base
+    while True:
+        before = state
+        for _ in range(4):  # a plan that grows with each round costs more than a table
+            moved = (
+                steps.join(state, "host")
+                .select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"),
+                        (F.col("d") * F.col("distrust") * damping).alias("distrust"))
+            )
+            state = base.unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        state = materialize(state)
+        apart = state.unionByName(before.select("host", *[(-F.col(c)).alias(c) for c in ("trust", "distrust")]))
+        apart = apart.groupBy("host").agg(*[F.abs(F.sum(c)).alias(c) for c in ("trust", "distrust")])
+        moved_by = apart.agg(F.max(F.greatest("trust", "distrust"))).first()[0]
+        if before is not base:
+            drop(before)
+        if moved_by <= tolerance:
+            return state
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING,
-                rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+                tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` (url, html, …) with host, path, rule, verdict, and the host's trust and distrust."""
     results = ("host", "path", "rule", "verdict", "trust", "distrust")
     pages = pages.drop(*results)
@@ -117,7 +123,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     share = lambda v: F.avg(F.coalesce(F.col("_rule.verdict") == v, F.lit(False)).cast("double"))
     seeds = rows.filter("host <> ''").groupBy("host").agg(
         share("allow").alias("trust"), share("block").alias("distrust"))
-    hosts = propagate(seeds, host_links(rows.select("host", "html")), damping, rounds)
+    hosts = propagate(seeds, host_links(rows.select("host", "html")), damping, tolerance)
     known = sized(hosts.select(F.col("host").alias("_host"), "trust", "distrust"))
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return (

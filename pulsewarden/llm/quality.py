@@ -9,8 +9,9 @@ of few words are mostly chance, so documents under ``min_words`` words are not j
 them.
 
 The references are sums over all documents of a language with enough words. Word counts
-are added up per task before they are shuffled by word; what reaches the driver is a
-histogram of classes and ``COMMON`` words for each language.
+are added up per task before they are shuffled by word; what is kept is a histogram of
+classes and ``COMMON`` words for each language. Texts meet the languages in blocks of
+``BLOCK``, one broadcast each, so any number of languages will do.
 
 Defined results
     null or empty text: no words, hence ``base_failed``.
@@ -24,12 +25,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsewarden.llm.language import MAX_LANGUAGES
+from pulsewarden.llm.language import BLOCK
+from pulsewarden.llm.rows import with_rid
 from pulsewarden.llm.tokens import Words, groups, hashes, ngram_hashes, pair, utf8, words
 from pulsewarden.operators.ordering import first_per_key
 from pulsewarden.session import materialize
@@ -132,8 +135,8 @@ class Reference:
         return js_distance(classes, self.classes), js_distance(histogram, self.counts)
 
 
-def references(docs: DataFrame, min_words: int = MIN_WORDS, common: int = COMMON) -> list[Reference]:
-    """One for each language of ``docs`` (text, lang)."""
+def references(docs: DataFrame, min_words: int = MIN_WORDS, common: int = COMMON, block: int = BLOCK) -> Iterator[list[Reference]]:
+    """One for each language of ``docs`` (text, lang), in blocks; one block is on the driver at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, np.ndarray] = {}
@@ -166,36 +169,55 @@ def references(docs: DataFrame, min_words: int = MIN_WORDS, common: int = COMMON
     best = first_per_key(vocabulary, common, ["lang"], [F.col("n").desc(), F.col("word")])
     best = best.join(vocabulary.groupBy("lang").agg(F.sum("n").alias("all")), "lang")
     top = best.unionByName(totals.filter("word IS NULL").withColumn("all", F.lit(0).cast("long")))
-    found: dict[str, list] = {}
-    for r in top.limit((MAX_LANGUAGES + 1) * (common + CLASSES)).collect():  # more are an error, raised below
-        found.setdefault(r["lang"], []).append(r)
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out = []
-    for lang in sorted(found):
-        classes = np.zeros(CLASSES - 1)
-        for r in found[lang]:
-            if r["word"] is None:
-                classes[r["kind"]] = r["n"]
-        ranked = sorted((np.int64(r["word"]).astype(np.uint64), r["n"], r["all"]) for r in found[lang] if r["word"] is not None)
-        n = np.array([x[1] for x in ranked], float)
-        out.append(Reference(lang, classes, np.array([x[0] for x in ranked], np.uint64),
-                             np.append(n, ranked[0][2] - n.sum() if ranked else 0)))
-    return out
+    rows = materialize(top).orderBy("lang").toLocalIterator()
+    for _, own in groupby(enumerate(groupby(rows, key=lambda r: r["lang"])), key=lambda x: x[0] // block):
+        yield [_reference(lang, list(held)) for _, (lang, held) in own]
+
+
+def _reference(lang: str, rows: list) -> Reference:
+    classes = np.zeros(CLASSES - 1)
+    for r in rows:
+        if r["word"] is None:
+            classes[r["kind"]] = r["n"]
+    ranked = sorted((np.int64(r["word"]).astype(np.uint64), r["n"], r["all"]) for r in rows if r["word"] is not None)
+    n = np.array([x[1] for x in ranked], float)
+    return Reference(lang, classes, np.array([x[0] for x in ranked], np.uint64),
+                     np.append(n, ranked[0][2] - n.sum() if ranked else 0))
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_distance: tuple[float, float] = MAX_DISTANCE,
-          text: str = "text", lang: str = "lang") -> DataFrame:
+          text: str = "text", lang: str = "lang", block: int = BLOCK) -> DataFrame:
     """``docs`` with the counts, base_failed, class_distance, word_distance, kept."""
     results = [*COUNTS, "base_failed", "class_distance", "word_distance", "kept"]
     docs = docs.drop(*results)
-    known = docs.sparkSession.sparkContext.broadcast(
-        references(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), min_words))
+    every = references(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), min_words, block=block)
+    first, second = next(every, []), next(every, None)
+    if second is None:
+        found = _measured(docs, first, text)
+    else:
+        rows = with_rid(docs, "_rid")
+        slim, best = rows.select("_rid", F.col(text).alias("text")), None
+        far = F.struct((F.col("class_distance") + F.col("word_distance")).alias("sum"), "class_distance", "word_distance")
+        for own in chain((first, second), every):
+            found = _measured(slim, own, "text").select("_rid", *COUNTS, far.alias("_far"))
+            if best is not None:
+                found = found.unionByName(best).groupBy("_rid").agg(*[F.first(c).alias(c) for c in COUNTS], F.min("_far").alias("_far"))
+            best = materialize(found)
+        found = rows.join(best, "_rid").select(*docs.columns, *COUNTS, "_far.class_distance", "_far.word_distance")
+    n = F.col("n_words")
+    failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
+    a, b = (F.col(c) for c in ("class_distance", "word_distance"))
+    odd = (n >= min_words) & F.coalesce((a >= max_distance[0]) | (b >= max_distance[1]), F.lit(False))
+    return found.withColumns({"base_failed": failed, "kept": ~failed & ~odd}).select(*docs.columns, *results)
+
+
+def _measured(docs: DataFrame, known: list[Reference], text: str) -> DataFrame:
+    """``docs`` with the counts, and the distances from the closest of ``known`` (null without one)."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     at = docs.columns.index(text)
     schema = T.StructType([
-        *docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("base_failed", T.BooleanType()),
-        T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()),
-        T.StructField("kept", T.BooleanType())])
+        *docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS],
+        T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,18 +226,16 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_distance: tuple[float
                 base = offsets[i]
                 d, o = data[base: offsets[j]], offsets[i: j + 1] - base
                 w, n = count_text(d, o)
-                failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
                 chars, others = np.full((2, j - i), np.inf)
-                if known.value:
+                if shared.value:
                     h, kinds = hashes(d, w), class_histograms(d, o)
-                    for ref in known.value:
+                    for ref in shared.value:
                         a, b = ref.distance(kinds, h, w)
                         closer = a + b < chars + others
                         chars, others = np.where(closer, a, chars), np.where(closer, b, others)
-                odd = (n["n_words"] >= min_words) & np.isfinite(chars) & ((chars >= max_distance[0]) | (others >= max_distance[1]))
                 shown = [pa.array(x, mask=~np.isfinite(x)) for x in (chars, others)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(i, j - i) for c in batch.columns], *[pa.array(n[c].astype(np.int64)) for c in COUNTS],
-                     pa.array(failed), *shown, pa.array(~failed & ~odd)], [*batch.schema.names, *results])
+                    [*[c.slice(i, j - i) for c in batch.columns], *[pa.array(n[c].astype(np.int64)) for c in COUNTS], *shown],
+                    [*batch.schema.names, *COUNTS, "class_distance", "word_distance"])
 
     return docs.mapInArrow(run, schema)

@@ -29,3 +29,26 @@ def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
     """
     rows = df if is_scan(df) else materialize(df)
     return rows.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Bits of the filter of ``maybe_in`` (1 MiB), as rows of 4 KiB.
+FILTER_BITS, ROW_BITS = 23, 15
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``ids`` (one column).
+
+    For a join that would otherwise move wide rows only to lose them: all rows with an id stay,
+    a few others may. The filter has a fixed size whatever the number of ids, and is broadcast;
+    the more ids, the more others stay.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
+    hashed, row, bits = "_filter_hash", "_filter_row", "_filter_bits"  # not names that a caller would have
+    named = ids.select(h(ids.columns[0]).alias(hashed))
+    filled = materialize(named.groupBy(F.shiftright(hashed, ROW_BITS).alias(row)).agg(
+        F.bitmap_construct_agg(F.col(hashed).bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("long")).alias(bits)))
+    place = F.col(hashed).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr(f"1 << (({hashed} & {(1 << ROW_BITS) - 1}) % 8)")
+    kept = rows.withColumn(hashed, h(column)).withColumn(row, F.shiftright(hashed, ROW_BITS)).join(F.broadcast(filled), row)
+    return kept.filter(byte.bitwiseAND(bit) != 0).select(*rows.columns)

@@ -5,10 +5,11 @@ A window is the shortest run of lines from a line onwards (or back from it) with
 ``min_words`` words, so it depends on nothing but its own lines. The smallest line hash of
 a window is its fingerprint (the first, if equal): every repeated run of ``min_words`` words
 or more holds a whole window, hence the same fingerprint at the same line. Fingerprints
-that lie at one position only are dropped; the others are extended both ways to the lines
-of their windows, and equal extensions meet in one row. All but the first in document
-order are later repeats, and overlapping ones make up the maximal repeated runs, whose
-lines are deleted.
+that lie at one position only are dropped, in the tasks that count them and behind; documents
+without any other are done. In what is left the fingerprints' positions are joined to the
+windows around them, which extends a match both ways from the fingerprint to the window's ends;
+windows with equal lines meet in one row. All but the first in document order are later
+repeats, and overlapping ones make up the maximal repeated runs, whose lines are deleted.
 
 So a line goes if and only if it is part of a run of at least ``min_words`` words that
 also occurs earlier: in a document with a smaller id, or further up in the same one.
@@ -20,7 +21,6 @@ Defined results
     null text: kept null, 0 lines. Null ids come last; equal ids follow each other by text.
     Empty table: empty result. Repeated rows: all but one lose their runs.
     Other columns are kept; those named like a result column are replaced.
-The rows of ``docs`` must come in the same order when read again, as a table's do.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from pulsewarden.llm.mixing import word_count
+from pulsewarden.llm.rows import maybe_in, with_rid
 from pulsewarden.session import materialize
 
 MIN_WORDS = 50
@@ -66,23 +67,35 @@ def _windows(min_words: int) -> tuple[WindowSpec, WindowSpec]:
     return onwards, back
 
 
-def window_table(lines: DataFrame, min_words: int) -> DataFrame:
-    """Two rows per line at most: the windows, with fingerprint, its position, and both ends."""
+def _windowed(lines: DataFrame, min_words: int, **wanted: Column) -> DataFrame:
+    """Windows from both of their ends: _row, place, w (fingerprint and its position, and ``wanted`` over the lines)."""
     out = lines
-    for name, w in zip(("f", "b"), _windows(min_words)):
+    for name, w in zip(("_f", "_b"), _windows(min_words)):
         out = out.withColumn(name, F.when(F.sum("words").over(w) >= min_words, F.struct(
-            F.min(F.struct("h", "pos")).over(w).alias("finger"),
-            F.min("pos").over(w).alias("a"), F.max("pos").over(w).alias("b"),
-            F.min("nth").over(w).alias("from_nth"), F.max("nth").over(w).alias("to_nth"),
-            F.collect_list("g").over(w).alias("lines"))))
-    return (
-        out.select("_row", "place", F.explode(F.array("f", "b")).alias("w"))
-        .filter("w IS NOT NULL")
-        .select("_row", "place", "w.a", "w.b", "w.from_nth", "w.to_nth", F.col("w.finger.h").alias("finger"), F.col("w.finger.pos").alias("at"),
-                F.xxhash64("w.lines").alias("extension"))
-        # a window may be found from both of its ends
-        .distinct()
-    )
+            F.min(F.struct("h", "pos")).over(w).alias("finger"), *[c.over(w).alias(k) for k, c in wanted.items()])))
+    return out.select("_row", "place", F.explode(F.array("_f", "_b")).alias("w")).filter("w IS NOT NULL")
+
+
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """The selected positions, each once: _row, at, finger. Fewer than the lines."""
+    chosen = _windowed(lines, min_words).select("_row", F.col("w.finger.pos").alias("at"), F.col("w.finger.h").alias("finger"))
+    return chosen.distinct()
+
+
+def repeated(positions: DataFrame) -> DataFrame:
+    """The positions whose fingerprint lies at another one too."""
+    several = positions.groupBy("finger").agg(F.count("*").alias("n")).filter("n > 1").select("finger")
+    return positions.join(several, "finger")
+
+
+def window_table(lines: DataFrame, positions: DataFrame, min_words: int) -> DataFrame:
+    """The windows around ``positions``: fingerprint, both ends, and a hash of the lines."""
+    windows = _windowed(
+        lines, min_words, a=F.min("pos"), b=F.max("pos"), from_nth=F.min("nth"), to_nth=F.max("nth"), run=F.collect_list("g"))
+    windows = windows.select("_row", "place", "w.a", "w.b", "w.from_nth", "w.to_nth", F.col("w.finger.h").alias("finger"),
+                             F.col("w.finger.pos").alias("at"), F.xxhash64("w.run").alias("extension"))
+    # a window may be found from both of its ends
+    return windows.join(positions, ["_row", "at", "finger"], "left_semi").distinct()
 
 
 def repeats(windows: DataFrame) -> DataFrame:
@@ -117,9 +130,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
 
     Blank lines between deleted ones go with them.
     """
-    docs = docs.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id())
+    docs = with_rid(docs.drop("n_lines", "n_removed"), "_row")
     slim = docs.select("_row", F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    windows = materialize(window_table(line_table(slim), min_words))
+    positions = materialize(repeated(materialize(fingerprints(line_table(slim), min_words))))
+    some = maybe_in(slim, positions.select("_row").distinct(), "_row")  # others have no position to be joined to
+    windows = materialize(window_table(line_table(some), positions, min_words))
     cut = runs(repeats(windows))
     lines = _lines(F.col(text))
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["b"] + 1))

@@ -1,5 +1,6 @@
 """Profiles against bundles made letter by letter, and languages on held-out texts."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -66,3 +67,27 @@ def test_no_language_known_empty_table_and_clashing_columns(make_docs):
 def test_very_long_text(make_docs):
     got = language.identify(make_docs([(i, "der die das und " * n, "de") for i, n in enumerate([100_000, 1, 2, 3])]))
     assert {r["lang_pred"] for r in got.collect()} == {"de"}
+
+
+def test_many_distinct_letters_stay_within_bounds():
+    """Vectors are made of a bounded number of n-grams, of which this text has 60 000."""
+    r = np.random.default_rng(1)
+    text = "".join(map(chr, r.integers(0x4E00, 0x9000, 60_000)))
+    language.profiles(["warm up"])
+    tracemalloc.start()
+    got = language.profiles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20  # all vectors at once take 240 MB for each copy
+    assert np.allclose(language.profiles([text[:3000]]), [bundle(text[:3000])])
+    assert got.any()
+
+
+def test_any_number_of_languages(make_docs, monkeypatch):
+    rows = [(3 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * (5 + j), f"l{i:03d}") for i in range(60) for j in range(3)]
+    rows += [(1000, None), (1001, "12"), (1002, "aa aa aa")]
+    whole = sorted(tuple(r) for r in language.identify(make_docs(rows)).select("doc_id", "lang_pred", "score").collect())
+    monkeypatch.setattr(language, "BLOCK", 11)  # tasks hand on what they have
+    blocks = sorted(tuple(r) for r in language.identify(make_docs(rows), block=7).select("doc_id", "lang_pred", "score").collect())
+    assert [r[:2] for r in whole] == [r[:2] for r in blocks] and np.allclose([r[2] for r in whole], [r[2] for r in blocks])
+    assert dict(r[:2] for r in whole)[1000] == "und" and dict(r[:2] for r in whole)[1002] == "l000"

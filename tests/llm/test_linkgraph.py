@@ -56,14 +56,14 @@ def test_propagation_equals_plain_iteration(spark):
     everyone = set(seeds) | {d for _, d in n}
     base = {h: [0.15 * (seeds.get(h, [0, 0, 1])[k] / seeds.get(h, [0, 0, 1])[2]) for k in (0, 1)] for h in everyone}
     x = {h: list(v) for h, v in base.items()}
-    for _ in range(linkgraph.ROUNDS):
+    for _ in range(300):
         new = {h: list(v) for h, v in base.items()}
         for (s, d), c in n.items():
             new[d][0] += 0.85 * c / out[s] * x[s][0]
             new[s][1] += 0.85 * c / out[s] * x[d][1]
         x = new
     for g in got:
-        assert abs(g["trust"] - x[g["host"]][0]) < 1e-9 and abs(g["distrust"] - x[g["host"]][1]) < 1e-9
+        assert abs(g["trust"] - x[g["host"]][0]) < 1e-5 and abs(g["distrust"] - x[g["host"]][1]) < 1e-5
         bad = x[g["host"]][1] >= linkgraph.THRESHOLD and x[g["host"]][1] > x[g["host"]][0]
         if g["rule"] is None:
             assert g["verdict"] == ("block" if bad else "allow")
@@ -74,3 +74,12 @@ def test_empty_table_and_clashing_columns(spark):
     assert linkgraph.judge_pages(pages_of(spark, [("http://a.org/", "")]).limit(0)).count() == 0
     got = linkgraph.judge_pages(pages_of(spark, [("http://a.net/", "")]).selectExpr("*", "1 AS host", "2 AS verdict", "3 AS trust"))
     assert got.first()["host"] == "a.net" and len(set(got.columns)) == len(got.columns)
+
+
+def test_slow_distrust_reaches_its_fixed_point(spark):
+    """A cycle that takes a hundred rounds: 0.099 after twenty of them, 0.115 in the end."""
+    link = lambda *to: "".join(f"<a href='http://{h}/'>" for h in to)
+    rows = [("http://bad.net/", link("worse.net")), ("http://worse.net/", link("bad.net")),
+            ("http://a.com/", link(*["b.com"] * 19, "bad.net")), ("http://b.com/", link("a.com"))]
+    got = {r["host"]: r for r in linkgraph.judge_pages(pages_of(spark, rows)).collect()}
+    assert abs(got["b.com"]["distrust"] - 0.1152) < 1e-3 and got["b.com"]["verdict"] == "block"

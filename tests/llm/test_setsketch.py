@@ -100,3 +100,27 @@ def test_cover_holds_every_pair():
         for c, m in found:
             star[c].add(m)
         assert all(any(x in s and y in s for s in star.values()) for x, y in zip(*np.nonzero(may)))
+
+
+def test_the_filter_keeps_every_row_with_an_id(spark, monkeypatch):
+    from pulsewarden.llm import rows
+
+    df = spark.range(5000).selectExpr("id AS k", "id * 2 AS v")
+    got = {r["k"] for r in rows.maybe_in(df, df.filter("k % 50 = 0").select("k"), "k").collect()}
+    assert {k for k in range(0, 5000, 50)} <= got and len(got) < 150
+    monkeypatch.setattr(rows, "FILTER_BITS", 16)
+    got = {r["k"] for r in rows.maybe_in(df, df.filter("k >= 10").select("k"), "k").collect()}
+    assert set(range(10, 5000)) <= got
+    assert rows.maybe_in(df, df.limit(0).select("k"), "k").count() == 0
+
+
+def test_ids_of_rows_stay(spark, make_docs):
+    from pulsewarden.llm import rows
+
+    docs = make_docs([(i, "x") for i in range(30)])
+    assert rows.is_scan(docs) and rows.is_scan(docs.selectExpr("doc_id", "upper(text) AS text"))
+    assert not any(rows.is_scan(d) for d in (docs.limit(5), docs.repartition(2), docs.distinct(), docs.selectExpr("rand() AS r"),
+                                             docs.join(docs.select("doc_id"), "doc_id"), spark.range(3)))
+    mixed = rows.with_rid(docs.repartition(5).orderBy("lang").limit(25))
+    assert {tuple(r) for r in mixed.select("rid", "doc_id").collect()} == {tuple(r) for r in mixed.select("rid", "doc_id").collect()}
+    assert rows.is_scan(mixed.drop("rid")) and mixed.select("rid").distinct().count() == 25
