@@ -12,25 +12,23 @@ words, the end, and one unknown word:
 The lowest level backs off to the unknown word, which gets what the discounts leave. A
 context whose counts are all too high to be discounted counts one occurrence more, so that
 something is always left. n-grams seen less than ``cutoffs[n - 1]`` times are not in the
-model; their share is in their context's alpha.
+model; their share is in their context's alpha. The base model knows every word.
 
-The recursion for a token, seen from below, is a sum of terms that depend on one n-gram:
+Blocks and shards. Texts are read once, into blocks of a few million tokens: the block's distinct
+words, and the places of its tokens among them. Level by level each block sends its distinct
+n-grams, packed, to shards, a shard merges the counts and packs them as one row of the level's
+table, and the answers go back to the blocks: an n-gram's count, a context's alpha. So what is
+shuffled is one entry for each distinct n-gram of a block, and tokens stay in their blocks,
+where a text's probabilities are worked out by the recursion, from the lowest level up.
 
-    log P(w | h) = log P(w) + sum over n > 1 of log alpha(h_n) + [(h_n, w) in the model] delta(h_n, w)
-    delta(h, w)  = log P(w | h) - log alpha(h) - log P(w | h')
+Words are numbered by the shard that counts them, and n-grams on the level below the highest
+too, so an n-gram is its context's number and its word's. n-grams are sharded by context, whose
+alpha then needs one shard. A context with more occurrences than a shard should hold is split by
+the word instead; its sums are added up over the shards, and its alpha is answered by one of
+them. Only counts of counts, totals, and the sums of such contexts go through the driver; these
+are no more than a few for each shard.
 
-for whatever is in the model on level n is on the levels below. So a text's score is a sum
-over its n-grams of values in the model's table.
-
-Counting: each task counts the n-grams of a few million tokens, cuts them into shards by
-hash, and sends a shard's n-grams as one row of arrays. Shards are merged independently;
-a frequent n-gram is one entry from each task. Scoring: the same way, each block of texts
-sends its distinct n-grams to the shards that hold their values. The values go back to the
-block, where the sums per text are formed: how often an n-gram occurs is known only there,
-so a frequent one is one entry from each block too. Nothing goes through the driver but
-counts of counts and totals. The model is a table partitioned by level.
-
-Words are told apart by 64-bit hashes, and so are n-grams.
+Words are told apart by 64-bit hashes: of v distinct ones some v^2 / 2^65 pairs are taken for one.
 
 Defined results
     null text: as empty, that is the end alone. Nothing to learn from: every token has
@@ -38,20 +36,20 @@ Defined results
     Repeated rows (or ids) are texts of their own, learned from and scored each.
     Empty table: empty result. Other columns are kept; those named like a result column
     are replaced.
-The rows of ``docs`` must come in the same order when read again, as a table's do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulsewarden.llm.language import held_out
-from pulsewarden.llm.tokens import GROUP, groups, hashes, mix, pair, utf8, words
+from pulsewarden.llm.rows import with_rid
+from pulsewarden.llm.tokens import GROUP, groups, hashes, mix, utf8, words
 from pulsewarden.session import drop, materialize
 
 ORDER = 2
@@ -60,373 +58,588 @@ CUTOFFS = (1, 1)
 #: Counts from here on are taken as they are.
 K = 5
 
-#: Tokens whose n-grams a task counts at once.
+#: Tokens of a block.
 TOKENS = 1 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 24 << 20
+#: A context is split if it has more than this part of the tokens of a shard.
+HOT = 0.25
 
 _U = np.uint64
-ROOT, BEGIN, END = _U(0), _U(0xB5297A4D3F84D5A3), _U(0xE7037ED1A0B428DB)
-
-
-def begin_context(n: int) -> np.uint64:
-    """Context on level n at the start of a text."""
-    c = np.array([ROOT])
-    for _ in range(n - 1):
-        c = pair(c, np.array([BEGIN]))
-    return c[0]
-
-
-def tokens(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Hash of every token (words, then one end, of each text), its contexts by level, and its text."""
-    w = words(data, offsets)
-    texts = len(offsets) - 1
-    token = np.full(len(w.starts) + texts, END)
-    token[np.arange(len(w.starts)) + w.doc] = hashes(data, w)
-    doc = np.repeat(np.arange(texts), w.counts + 1)
-    starts = w.first[:-1] + np.arange(texts)
-    contexts = [np.full(len(token), ROOT)]
-    for n in range(2, order + 1):
-        c = np.empty_like(token)
-        c[1:] = pair(contexts[-1][:-1], token[:-1])
-        c[starts] = begin_context(n)
-        contexts.append(c)
-    return token, contexts, doc
+END = _U(0xE7037ED1A0B428DB)
+#: Numbers of the contexts at the start of a text, by level (from 2 on): beyond all others.
+BEGIN = 1 << 62
+
+
+def discounts(seen: dict[int, int], k: int) -> list[float]:
+    """Good-Turing discounts of counts 1 to ``k``; those that make no sense are 1."""
+    if not seen.get(1):
+        return [1.0] * k
+    common = (k + 1) * seen.get(k + 1, 0) / seen[1]
+    out = []
+    for r in range(1, k + 1):
+        d = 1.0
+        if seen.get(r) and common < 1:
+            d = ((r + 1) * seen.get(r + 1, 0) / (r * seen[r]) - common) / (1 - common)
+        out.append(d if 0 < d < 1 else 1.0)
+    return out
 
 
-def gram_key(context: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    return token if n == 1 else mix(pair(context, token) + _U(n))
+@dataclass
+class Level:
+    """What all tasks know of a level: discounts of counts, least count, and sums of split contexts."""
 
+    discount: list[float]
+    cutoff: int
+    #: For contexts split over shards: sums of discounted counts and of lower probabilities, and all their occurrences.
+    split: dict[int, tuple[float, float, int]] = field(default_factory=dict)
 
-def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
-    values = values.view(np.int64) if values.dtype == _U else values
-    return pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
+    def discounted(self, c: np.ndarray) -> np.ndarray:
+        """Discounted counts; 0 for what is not in the model."""
+        d = np.array([0.0, *self.discount, 1.0])
+        return np.where(c >= max(self.cutoff, 1), d[np.minimum(c, len(d) - 1)] * c, 0.0)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], order: int, size: int, keys_only: bool):
-    """About ``size`` tokens at a time: the texts' rids, text of each token, then arrays for each token.
+@dataclass
+class Totals:
+    """Of the lowest level: training tokens, what their counts are divided by, and what is left for unknown words."""
+
+    tokens: int = 0
+    vocabulary: int = 0
+    texts: int = 0
+    whole: int = 0
+    left: float = 1.0
+
+    @property
+    def size(self) -> int:
+        return self.tokens + self.vocabulary + 1
 
-    Those are the key of its n-gram of the highest order, or the token and its contexts from level 2 on.
-    """
-    held, rids, total, texts = [], [], 0, 0
-    for batch in batches:
-        data, offsets = utf8(batch.column(0))
-        for i, j in groups(data, offsets, min(GROUP, 4 * size)):
-            base = offsets[i]
-            token, contexts, doc = tokens(data[base: offsets[j]], offsets[i: j + 1] - base, order)
-            columns = [gram_key(contexts[-1], token, order)] if keys_only else [token, *contexts[1:]]
-            held.append([(doc + texts).astype(np.int32), *columns])
-            rids.append(batch.column(1).slice(i, j - i).to_numpy())
-            total, texts = total + len(token), texts + j - i
-            if total >= size:
-                yield np.concatenate(rids), *_joined(held)
-                held, rids, total, texts = [], [], 0, 0
-    if held:
-        yield np.concatenate(rids), *_joined(held)
-
-
-def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Columns of several parts as one; a part's memory goes as soon as it is copied."""
-    out = []
-    for k in range(len(held[0])):
-        out.append(np.concatenate([h[k] for h in held]))
-        for h in held:
-            h[k] = None
-    return out
 
+# ---- blocks of texts -----------------------------------------------------------------
 
-BLOCK = "shard int, n int, ctx array<long>, back array<long>, word array<long>, c array<int>"
-GRAM = "n int, ctx long, back long, word long, c long"
+BLOCK = "block long, lens array<int>, train array<boolean>, key array<long>, seq array<int>"
+
+
+def _lists(values: np.ndarray, cuts: Sequence[int] | None = None) -> pa.ListArray:
+    values = values.view(np.int64) if values.dtype == _U else values
+    cuts = np.array([0, len(values)] if cuts is None else cuts, np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.array(values))
 
 
-def count_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """n-grams of ``docs`` (text, rid) counted by task."""
+def _by_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """Places of sorted keys in order of shard and key."""
+    return np.argsort((key % _U(shards)).astype(np.int32), kind="stable")
+
+
+def read_blocks(shards: int) -> Callable:
+    """Texts (text, rid, train) → ``BLOCK``: distinct words by shard and hash, and the place of each token among them."""
+
+    def block(rid: int, tokens: list[np.ndarray], lens: list[np.ndarray], train: list[np.ndarray]) -> pa.RecordBatch:
+        key, seq = np.unique(np.concatenate(tokens), return_inverse=True)
+        by = _by_shard(key, shards)
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([rid]), *map(_lists, (np.concatenate(lens).astype(np.int32), np.concatenate(train), key[by], place[seq]))],
+            ["block", "lens", "train", "key", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, token, *contexts in _gather(batches, order, TOKENS, keys_only=False):
-            for n in range(1, order + 1):
-                ctx = contexts[n - 2] if n > 1 else None
-                back = contexts[n - 3] if n > 2 else None
-                key = gram_key(ctx, token, n)
-                key, first, c = np.unique(key, return_index=True, return_counts=True)
-                shard = key % _U(shards)
-                by = np.argsort(shard, kind="stable")
-                first, c = first[by], c[by]
-                ids, cuts = np.unique(shard[by], return_index=True)
-                cuts = np.append(cuts, len(by))
-                none = np.zeros(0, _U)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), n, np.int32)),
-                    _lists(ctx[first] if n > 1 else none, cuts if n > 1 else cuts * 0),
-                    _lists(back[first] if n > 2 else none, cuts if n > 2 else cuts * 0),
-                    _lists(token[first], cuts), _lists(c.astype(np.int32), cuts)],
-                    ["shard", "n", "ctx", "back", "word", "c"])
+        first, tokens, lens, train, held = None, [], [], [], 0
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            rid, learn = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j in groups(data, offsets, min(GROUP, 4 * TOKENS)):
+                base = offsets[i]
+                d, o = data[base: offsets[j]], offsets[i: j + 1] - base
+                w = words(d, o)
+                token = np.full(len(w.starts) + j - i, END)
+                token[np.arange(len(w.starts)) + w.doc] = hashes(d, w)
+                first = rid[i] if first is None else first
+                tokens.append(token)
+                lens.append(w.counts + 1)
+                train.append(learn[i:j])
+                held += len(token)
+                if held >= TOKENS:
+                    yield block(int(first), tokens, lens, train)
+                    first, tokens, lens, train, held = None, [], [], [], 0
+        if tokens:
+            yield block(int(first), tokens, lens, train)
+
+    return run
+
+
+# ---- the lowest level ------------------------------------------------------------------
+
+WORD_REQUEST = "shard int, block long, key array<long>, c array<long>"
+
+
+def ask_words(shards: int) -> Callable:
+    """``BLOCK`` → the block's words with their training counts, a row for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, seq, lens, train = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("key", "seq", "lens", "train"))
+                c = np.bincount(seq[np.repeat(train, lens)], minlength=len(key))
+                ids, cuts = np.unique(key.view(_U) % _U(shards), return_index=True)
+                cuts = np.append(cuts, len(key))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids.astype(np.int32)), batch.column("block").take(pa.array(np.full(len(ids), i))), _lists(key, cuts), _lists(c, cuts)],
+                    ["shard", "block", "key", "c"])
 
-    return docs.mapInArrow(run, BLOCK)
+    return run
 
 
-def merge_blocks(blocks: DataFrame, cutoffs: Sequence[int], k: int) -> DataFrame:
-    """Counts of n-grams; rows with n < 0 are counts of counts: of ``word`` times there are c."""
+#: ``kind`` 0: a block's answers. 1: counts of counts (``key`` are counts, ``c`` how often). 2: the shard's words.
+WORD_ANSWER = "kind int, shard int, block long, key array<long>, id array<int>, c array<long>"
+
+
+def _joined(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of a column end to end, and where each begins."""
+    parts = [x.values.to_numpy() for x in table.column(column).combine_chunks()] if table.num_rows else []
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+
+
+def merge_words(shards: int, k: int) -> Callable:
+    """All requests of a shard → numbers and counts of the words for each block; the lowest level of the model."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, levels = [], table["n"].to_numpy()
-        columns = {k: table[k].combine_chunks() for k in ("ctx", "back", "word", "c")}
-        columns = {k: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for k, x in columns.items()}
-
-        def joined(name: str, n: int) -> np.ndarray:
-            parts = [columns[name][int(i)].values.to_numpy() for i in np.flatnonzero(levels == n)]
-            return np.concatenate(parts)
-
-        for n in sorted(set(levels.tolist())):
-            word, c = joined("word", n).view(_U), joined("c", n)
-            ctx = joined("ctx", n).view(_U) if n > 1 else np.full(len(word), ROOT)
-            back = joined("back", n).view(_U) if n > 2 else np.full(len(word), ROOT)
-            _, first, place = np.unique(gram_key(ctx, word, n), return_index=True, return_inverse=True)
-            total = np.bincount(place, c).astype(np.int64)
-            r, seen = np.unique(total[total <= k + 1], return_counts=True)
-            keep = total >= cutoffs[n - 1]
-            first, total = first[keep], total[keep]
-            zero = np.zeros(len(r), np.int64)
-            cols = [np.concatenate([a.view(np.int64)[first] if a.dtype == _U else a, b]) for a, b in (
-                (ctx, zero), (back, zero), (word, r), (total, seen))]
-            out.append(pa.table([pa.array(np.repeat(np.array([n, -n], np.int32), [len(total), len(r)])),
-                                 *map(pa.array, cols)], ["n", "ctx", "back", "word", "c"]))
+        shard = table["shard"][0].as_py()
+        keys, cuts = _joined(table, "key")
+        counts, _ = _joined(table, "c")
+        word, place = np.unique(keys.view(_U), return_inverse=True)
+        total = np.bincount(place, counts, len(word)).astype(np.int64)
+        number = (np.arange(len(word)) * shards + shard).astype(np.int32)
+        r, seen = np.unique(total[(total > 0) & (total <= k + 1)], return_counts=True)
+        end = total[word == END]
+        # besides counts of counts: -1 tokens, -2 distinct words, -3 texts
+        r = np.concatenate([r, [-1, -2, -3]])
+        seen = np.concatenate([seen, [total.sum(), (total > 0).sum(), end.sum()]]).astype(np.int64)
+        n = table.num_rows
+        ends = cuts[-1] + np.array([0, len(r), len(r) + len(word)])
+        return pa.table([
+            pa.array(np.concatenate([np.zeros(n), [1, 2]]).astype(np.int32)), pa.array(np.full(n + 2, shard, np.int32)),
+            pa.array([*table["block"].to_pylist(), -1, -1], pa.int64()),
+            _lists(np.concatenate([r, word.view(np.int64)]), np.concatenate([np.zeros(n + 1, int), ends[1:] - cuts[-1]])),
+            _lists(np.concatenate([number[place], number]), np.concatenate([cuts, [cuts[-1], cuts[-1] + len(word)]])),
+            _lists(np.concatenate([total[place], seen, total]), np.concatenate([cuts, ends[1:]])),
+        ], ["kind", "shard", "block", "key", "id", "c"])
+
+    return run
+
+
+# ---- blocks with numbers ----------------------------------------------------------------
+
+#: Tokens in order. ``seq``: place of its word in ``id`` and ``c``. From level 2 on ``gram`` and ``gc`` are the number
+#: and count of the highest n-gram that ends in a token (-1 and 0: not seen; a negative count: not in the model), and ``s`` its score.
+STATE = ("block long, lens array<int>, train array<boolean>, base array<double>, known array<int>, seq array<int>, "
+         "id array<int>, c array<long>, gram array<long>, gc array<long>, s array<double>")
+SUMS = "rid long, score double, base_score double, n_tokens long, n_known long"
+
+
+def _state_arrays(schema: list[str], values: list) -> pa.Table:
+    return pa.table([pa.array([values[0]], pa.int64()), *map(_lists, values[1:])], schema)
+
+
+def _sums(rid: int, lens: np.ndarray, s: np.ndarray, base: np.ndarray, known: np.ndarray) -> pa.Table:
+    doc = np.repeat(np.arange(len(lens)), lens)
+    return pa.table([pa.array(rid + np.arange(len(lens))), pa.array(np.bincount(doc, s, len(lens))), pa.array(base.astype(float)),
+                     pa.array(lens.astype(np.int64)), pa.array(known.astype(np.int64))], ["rid", "score", "base_score", "n_tokens", "n_known"])
+
+
+_STATE_NAMES = ["block", "lens", "train", "base", "known", "seq", "id", "c", "gram", "gc", "s"]
+
+
+def unigram_scores(c: np.ndarray, level: Level, totals: Totals) -> np.ndarray:
+    d = level.discounted(c)
+    with np.errstate(divide="ignore"):
+        return np.where(d > 0, np.log10(d / max(totals.whole, 1)), np.log10(totals.left) if totals.left > 0 else 0.0)
+
+
+def take_words(level: Level, totals: Totals, last: bool) -> Callable:
+    """A block and the answers to it → its state; or, if there is no other level, the sums of its texts."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        answers = answers.sort_by("shard")
+        numbers, _ = _joined(answers, "id")
+        counts, _ = _joined(answers, "c")
+        for i in range(block.num_rows):
+            rid = block["block"][i].as_py()
+            lens, train, seq = (block[c].combine_chunks()[i].values.to_numpy(zero_copy_only=False) for c in ("lens", "train", "seq"))
+            doc = np.repeat(np.arange(len(lens)), lens)
+            c = counts[seq]
+            base = np.bincount(doc, np.log10((c + 1) / totals.size), len(lens))
+            known = np.bincount(doc, c > 0, len(lens)).astype(np.int32)
+            if last:
+                out.append(_sums(rid, lens, unigram_scores(c, level, totals), base, known))
+                continue
+            none, number = np.zeros(0, np.int64), np.where(counts > 0, numbers, -1).astype(np.int32)
+            out.append(_state_arrays(_STATE_NAMES, [rid, lens, train, base, known, seq, number, counts.astype(np.int64), none, none, np.zeros(0)]))
         return pa.concat_tables(out)
 
-    return blocks.groupBy("shard").applyInArrow(run, GRAM)
+    return run
 
 
-def discounts(seen: dict[int, int], k: int) -> list[float]:
-    """Good-Turing discounts of counts 1 to ``k``; those that make no sense are 1."""
-    if not seen.get(1):
-        return [1.0] * k
-    common = (k + 1) * seen.get(k + 1, 0) / seen[1]
-    out = []
-    for r in range(1, k + 1):
-        d = 1.0
-        if seen.get(r) and common < 1:
-            d = ((r + 1) * seen.get(r + 1, 0) / (r * seen[r]) - common) / (1 - common)
-        out.append(d if 0 < d < 1 else 1.0)
-    return out
+@dataclass
+class Tokens:
+    """The tokens of a block on their way to level ``n``: word, context, the context's count, and lower score."""
+
+    lens: np.ndarray
+    train: np.ndarray
+    word: np.ndarray
+    ctx: np.ndarray
+    all: np.ndarray
+    lower: np.ndarray
+    #: Whether the lower n-gram was seen, so that this one may have been, and whether it is in the model.
+    seen: np.ndarray
+    kept: np.ndarray
+    #: The lower n-gram's count.
+    count: np.ndarray
+
+    @staticmethod
+    def of(row: Callable[[str], np.ndarray], n: int, below: Level, totals: Totals) -> Tokens:
+        lens, seq, number, c = row("lens"), row("seq"), row("id"), row("c")
+        word = number[seq].astype(np.int64)
+        if n == 2:
+            gram, count, lower = word, np.where(c >= below.cutoff, c, -c)[seq], unigram_scores(c, below, totals)[seq]
+        else:
+            gram, count, lower = row("gram"), row("gc"), row("s")
+        first = np.append(0, np.cumsum(lens)[:-1]).astype(np.int64)
+        ctx, all_ = np.empty(len(seq), np.int64), np.empty(len(seq), np.int64)
+        ctx[1:], all_[1:] = gram[:-1], np.abs(count[:-1])
+        ctx[first], all_[first] = BEGIN + n, totals.texts
+        return Tokens(lens, row("train").astype(bool), word, ctx, all_, lower, gram >= 0, count > 0, np.abs(count))
 
 
 @dataclass
-class Katz:
-    """``table``: level, key, score (log10), base (log10) and whether the word is known."""
-
-    table: DataFrame
-    order: int
-    shards: int
-    tokens: int
-    #: log10 of what an unknown word and the start of a text add to the score, and an unknown word to the base.
-    unknown: float
-    start: float
-    unknown_base: float
-
-
-def _signed(x: np.uint64) -> int:
-    return int(np.array([x], _U).view(np.int64)[0])
-
-
-def _pair(a: str, b: str) -> Column:
-    """``tokens.pair`` of two columns, by the task."""
-
-    @F.pandas_udf("long")
-    def f(x, y):
-        import pandas as pd
-        return pd.Series(pair(x.to_numpy().view(_U), y.to_numpy().view(_U)).view(np.int64))
-
-    return f(a, b)
-
-
-def _key(n: int) -> Column:
-    @F.pandas_udf("long")
-    def f(x, y):
-        import pandas as pd
-        return pd.Series(gram_key(x.to_numpy().view(_U), y.to_numpy().view(_U), n).view(np.int64))
-
-    return f("ctx", "word")
-
-
-def fit(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k: int = K, shards: int = 1) -> Katz:
-    """A model from ``docs`` (text)."""
-    rows = docs.select("text", F.lit(0).cast("long").alias("rid"))
-    # a shard's words and contexts are larger than its keys alone
-    grams = materialize(merge_blocks(count_blocks(rows, order, 4 * shards), cutoffs, k), "n")
-    seen: dict[int, dict[int, int]] = {}
-    for r in grams.filter("n < 0").groupBy("n", "word").agg(F.sum("c").alias("c")).collect():
-        seen.setdefault(-r["n"], {})[r["word"]] = r["c"]
-
-    def discounted(n: int) -> Column:
-        d = discounts(seen.get(n, {}), k)
-        return F.when(F.col("c") <= k, F.element_at(F.array(*map(F.lit, d)), F.least(F.col("c"), F.lit(k)).cast("int"))).otherwise(1.0) * F.col("c")
-
-    # on its own, so that the larger tables can go as soon as the highest order is joined
-    words_seen = materialize(grams.filter("n = 1").drop("n", "back"))
-    first = words_seen.withColumn("d", discounted(1))
-    t = first.agg(F.sum("c").alias("all"), F.count("*").alias("v"), F.sum("d").alias("d"),
-                  F.sum(F.when(F.col("word") == _signed(END), F.col("c"))).alias("texts")).first()
-    total, vocabulary, texts = t["all"] or 0, t["v"], t["texts"] or 0
-    if not total:
-        empty = docs.sparkSession.createDataFrame([], "n int, key long, score double, base double, known boolean")
-        return Katz(empty, order, shards, 0, 0.0, 0.0, 0.0)
-    whole = total if t["d"] < total * (1 - 1e-12) else total + 1
-    lower = first.select("ctx", "word", "c", (F.col("d") / whole).alias("p"))
-    size = total + vocabulary + 1
-    table = [lower.select(
-        F.lit(1).alias("n"), "ctx", "word", F.log10("p").alias("score"), F.log10((F.col("c") + 1) / size).alias("base"))]
-    alphas, used, start = [], [], 0.0
-    for n in range(2, order + 1):
-        own = grams.filter(F.col("n") == n)
-        totals = (
-            lower.filter(F.col("word") != _signed(END)).select(_pair("ctx", "word").alias("ctx"), F.col("c").alias("all"))
-            .unionByName(docs.sparkSession.createDataFrame([(_signed(begin_context(n)), texts)], "ctx long, all long"))
-        )
-        below = lower.select(F.col("ctx").alias("back"), "word", F.col("p").alias("q"))
-        own = materialize(own.join(below, ["back", "word"]).select("ctx", "word", "c", "q"))
-        if n == order:
-            drop(grams)
-        left = materialize(
-            own.groupBy("ctx").agg(F.sum(discounted(n)).alias("d"), F.sum("q").alias("q"))
-            .join(totals, "ctx")
-            .withColumn("all", F.when(F.col("d") < F.col("all") * (1 - 1e-12), F.col("all")).otherwise(F.col("all") + 1))
-            .select("ctx", "all", F.log10((1 - F.col("d") / F.col("all")) / F.greatest(1 - F.col("q"), F.lit(1e-15))).alias("alpha"))
-        )
-        lower = own.join(left, "ctx").select("ctx", "word", "c", "q", "alpha", (discounted(n) / F.col("all")).alias("p"))
-        lower = materialize(lower) if n < order else lower
-        used += [own, left, *([lower] if n < order else [])]
-        table.append(lower.select(F.lit(n).alias("n"), "ctx", "word",
-                                  (F.log10("p") - F.col("alpha") - F.log10("q")).alias("score"), F.lit(0.0).alias("base")))
-        opening = left.filter(F.col("ctx") == _signed(begin_context(n))).first()
-        start += opening["alpha"] if opening else 0.0
-        alphas.append(left.select("ctx", "alpha"))
-    # an n-gram's row also has the alpha of the context that it is for the next level
-    done = []
-    for n, part in enumerate(table, 1):
-        keyed = part.withColumn("key", _key(n))
-        if n < order:
-            next_ctx = alphas[n - 1].withColumnRenamed("ctx", "as_ctx")
-            keyed = (
-                keyed.withColumn("as_ctx", F.when(F.col("word") != _signed(END), _pair("ctx", "word")))
-                .join(next_ctx, "as_ctx", "left").withColumn("score", F.col("score") + F.coalesce("alpha", F.lit(0.0)))
-            )
-        done.append(keyed.select("n", "key", "score", "base", (F.col("n") == 1).alias("known")))
-    model = done[0]
-    for part in done[1:]:
-        model = model.unionByName(part)
-    model = materialize(model, "n")
-    drop(grams, words_seen, *used)
-    left_over = 1 - t["d"] / whole
-    return Katz(model, order, shards, total, float(np.log10(left_over)), float(start), float(-np.log10(size)))
-
-
-REQUEST = "shard int, rid long, key array<long>"
-PLACES = "rid long, texts int, runs array<int>, doc array<int>"
-
-
-def request_blocks(docs: DataFrame, n: int, shards: int, places: bool) -> DataFrame:
-    """Distinct n-grams of each block of texts, a row for each shard; or where they lie, a row for each block.
-
-    Both in the order of shard and key. ``docs``: text, rid. A block is known by its first rid.
-    """
+class Entries:
+    """Distinct contexts (by home shard) and n-grams (by shard, context and word) of a block, and which each token has."""
+
+    ctx: np.ndarray
+    ctx_all: np.ndarray
+    ctx_shard: np.ndarray
+    #: Per token: place of its context, -1 without one.
+    of_ctx: np.ndarray
+    gram_ctx: np.ndarray
+    gram_word: np.ndarray
+    gram_shard: np.ndarray
+    first: np.ndarray
+    #: Per token: place of its n-gram, -1 if it can't be in the model.
+    of_gram: np.ndarray
+
+    @staticmethod
+    def of(t: Tokens, shards: int, hot: float) -> Entries:
+        def home(x: np.ndarray) -> np.ndarray:
+            return (mix(x.view(_U) + _U(0x9E3779B97F4A7C15)) % _U(shards)).astype(np.int32)
+
+        has = np.flatnonzero(t.ctx >= 0)
+        ctx, at, inverse = np.unique(t.ctx[has], return_index=True, return_inverse=True)
+        all_, shard = t.all[has][at], home(ctx)
+        by = np.argsort(shard, kind="stable")
+        place = np.empty(len(ctx), np.int64)
+        place[by] = np.arange(len(ctx))
+        of_ctx = np.full(len(t.ctx), -1)
+        of_ctx[has] = place[inverse]
+        # contexts are in order of their numbers here, words are below 2^31
+        may = t.seen[has]
+        pair, which = (inverse[may].astype(np.int64) << 31) | t.word[has][may], has[may]
+        pair, first, back = np.unique(pair, return_index=True, return_inverse=True)
+        c, w = pair >> 31, pair & ((1 << 31) - 1)
+        own = shard[c]
+        split = all_[c] > hot
+        own[split] = home(ctx[c[split]] * 1_000_003 + w[split])
+        order = np.argsort(own, kind="stable")
+        spot = np.empty(len(pair), np.int64)
+        spot[order] = np.arange(len(pair))
+        of_gram = np.full(len(t.ctx), -1)
+        of_gram[which] = spot[back]
+        return Entries(ctx[by], all_[by], shard[by], of_ctx, ctx[c[order]], w[order], own[order], which[first[order]], of_gram)
+
+
+# ---- a higher level ---------------------------------------------------------------------
+
+#: ``ctx`` and ``all``: contexts at home in the shard. n-grams: runs of ``nw`` words of ``gctx``, with counts and what is in the model below
+#: them: the word's count (level 2, ``low``) or a probability (``q``).
+REQUEST = "shard int, block long, ctx array<long>, all array<long>, gctx array<long>, nw array<int>, word array<int>, c array<int>, low array<int>, q array<double>"
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of each run of equal values, and lengths."""
+    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(sorted_)))
+
+
+def _row(batch, i: int) -> Callable[[str], np.ndarray]:
+    def get(name: str) -> np.ndarray:
+        x = batch.column(name)
+        x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+        return x[i].values.to_numpy(zero_copy_only=False)
+
+    return get
+
+
+def ask_grams(n: int, below: Level, totals: Totals, shards: int, hot: float) -> Callable:
+    """``STATE`` → ``REQUEST``: the block's contexts and n-grams of level ``n``, a row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rid, doc, key in _gather(batches, n, TOKENS, keys_only=True):
-            by = np.argsort(key, kind="stable")
-            by = by[np.argsort((key % _U(shards)).astype(np.int32)[by], kind="stable")]
-            key, lies = key[by], doc[by]
-            del by
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            if places:
-                runs = np.diff(np.append(new, len(key))).astype(np.int32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = Tokens.of(_row(batch, i), n, below, totals)
+                e = Entries.of(t, shards, hot)
+                learn = np.repeat(t.train, t.lens) & (e.of_gram >= 0)
+                c = np.bincount(e.of_gram[learn], minlength=len(e.gram_ctx)).astype(np.int32)
+                held = (c > 0) & t.kept[e.first]
+                low = np.where(held, t.count[e.first], 0).astype(np.int32) if n == 2 else np.zeros(0, np.int32)
+                q = np.where(held, 10.0 ** t.lower[e.first], 0.0) if n > 2 else np.zeros(0)
+                at, nw = _runs(np.cumsum(np.append(0, (np.diff(e.gram_ctx) != 0) | (np.diff(e.gram_shard) != 0)))[: len(e.gram_ctx)])
+                ids = np.union1d(e.ctx_shard, e.gram_shard).astype(np.int32)
+                cut = lambda x: np.append(np.searchsorted(x, ids), len(x))
+                ctx_cut, gram_cut, run_cut = cut(e.ctx_shard), cut(e.gram_shard), cut(e.gram_shard[at])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(rid[:1]), pa.array(np.full(1, len(rid), np.int32)),
-                    _lists(runs, np.array([0, len(runs)])), _lists(lies, np.array([0, len(lies)]))],
-                    ["rid", "texts", "runs", "doc"])
-                continue
-            ids, cuts = np.unique(key[new] % _U(shards), return_index=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), rid[0])),
-                _lists(key[new], np.append(cuts, len(new)))], ["shard", "rid", "key"])
+                    pa.array(ids), batch.column("block").take(pa.array(np.full(len(ids), i))),
+                    _lists(e.ctx, ctx_cut), _lists(e.ctx_all, ctx_cut), _lists(e.gram_ctx[at], run_cut), _lists(nw.astype(np.int32), run_cut),
+                    _lists(e.gram_word.astype(np.int32), gram_cut), _lists(c, gram_cut),
+                    _lists(low, gram_cut if n == 2 else gram_cut * 0), _lists(q, gram_cut if n > 2 else gram_cut * 0)],
+                    ["shard", "block", "ctx", "all", "gctx", "nw", "word", "c", "low", "q"])
 
-    return docs.mapInArrow(run, PLACES if places else REQUEST)
+    return run
 
 
-ANSWER = "rid long, shard int, score array<double>, base array<double>, found array<boolean>"
-SUMS = "rid long, score double, base_score double, n_tokens long, n_known long"
+#: One row for each shard. The model: contexts with all their occurrences; runs of ``nw`` words of ``gctx`` with counts (negative where the lower
+#: n-gram is not in the model), and the sum of the lower probabilities of those in the model. For the answers: what each block asked for, as differences of places.
+TABLE = ("n int, shard int, ctx array<long>, all array<long>, gctx array<long>, nw array<int>, sumq array<double>, word array<int>, c array<int>, "
+         "blocks array<long>, n_ctx array<int>, n_gram array<int>, ctx_at array<int>, gram_at array<int>, seen array<long>")
 
 
-def level_sums(docs: DataFrame, model: Katz, n: int) -> DataFrame:
-    """What the n-grams of one order add to each text."""
-    shards = model.shards
-    unknown, unknown_base = (model.unknown, model.unknown_base) if n == 1 else (0.0, 0.0)
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype(np.int32)
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys = known["key"].to_numpy().view(_U)
-        by = np.argsort(keys)
-        keys = keys[by]
-        values = [known[c].to_numpy()[by] for c in ("score", "base")[: 2 if n == 1 else 1]]
-        out = []
-        for batch in asked.to_batches():
+
+def merge_grams(n: int, cutoff: int, k: int, below: Level, totals: Totals) -> Callable:
+    """All requests of a shard → its row of the level's ``TABLE``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ctxs, ctx_cuts = _joined(table, "ctx")
+        alls, _ = _joined(table, "all")
+        ctx, first, ctx_place = np.unique(ctxs, return_index=True, return_inverse=True)
+        gctx, _ = _joined(table, "gctx")
+        nw, _ = _joined(table, "nw")
+        word, cuts = _joined(table, "word")
+        c, _ = _joined(table, "c")
+        q, _ = _joined(table, "low" if n == 2 else "q")
+        run_ctx, run_place = np.unique(gctx, return_inverse=True)
+        pair = (np.repeat(run_place, nw).astype(np.int64) << 31) | word
+        gram, place = np.unique(pair, return_inverse=True)
+        total = np.bincount(place, c, len(gram)).astype(np.int64)
+        lower = np.zeros(len(gram))
+        np.maximum.at(lower, place, q)  # the same wherever it is counted
+        if n == 2:
+            lower = below.discounted(lower.astype(np.int64)) / max(totals.whole, 1)
+        kept = (total >= max(cutoff, 1)) & (lower > 0)
+        at, runs = _runs(gram >> 31)
+        sumq = np.add.reduceat(np.where(kept, lower, 0.0), at) if len(at) else np.zeros(0)
+        seen = np.bincount(total[(total > 0) & (total <= k + 1)], minlength=k + 2).astype(np.int64)
+        return pa.table([
+            pa.array([n], pa.int32()), table["shard"].combine_chunks().slice(0, 1), _lists(ctx), _lists(alls[first]),
+            _lists(run_ctx[gram[at] >> 31] if len(at) else run_ctx[:0]), _lists(runs.astype(np.int32)), _lists(sumq),
+            _lists((gram & ((1 << 31) - 1)).astype(np.int32)), _lists(np.where(lower > 0, total, -total).astype(np.int32)),
+            _lists(table["block"].to_numpy()), _lists(np.diff(ctx_cuts).astype(np.int32)), _lists(np.diff(cuts).astype(np.int32)),
+            _lists(_steps(ctx_place)), _lists(_steps(place)), _lists(seen)],
+            ["n", "shard", "ctx", "all", "gctx", "nw", "sumq", "word", "c", "blocks", "n_ctx", "n_gram", "ctx_at", "gram_at", "seen"])
+
+    return run
+
+
+def _mass(row: Callable[[str], np.ndarray], level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of the shard's n-grams, with sums of discounted counts and of lower probabilities."""
+    nw = row("nw")
+    d = level.discounted(row("c").astype(np.int64))
+    at = np.append(0, np.cumsum(nw)[:-1]).astype(np.int64)
+    return row("gctx"), (np.add.reduceat(d, at) if len(nw) else np.zeros(0)), row("sumq")
+
+
+ANSWER = "shard int, block long, alpha array<double>, all array<double>, c array<int>, gram array<long>"
+
+
+def alphas(ctx: np.ndarray, all_: np.ndarray, gctx: np.ndarray, d: np.ndarray, q: np.ndarray, split: dict) -> tuple[np.ndarray, np.ndarray]:
+    """log10 alpha and divisor of each context."""
+    at = np.minimum(np.searchsorted(gctx, ctx), max(0, len(gctx) - 1))
+    here = gctx[at] == ctx if len(gctx) else np.zeros(len(ctx), bool)
+    d = np.where(here, d[at], 0.0) if len(gctx) else np.zeros(len(ctx))
+    q = np.where(here, q[at], 0.0) if len(gctx) else np.zeros(len(ctx))
+    for i in np.flatnonzero(np.isin(ctx, list(split))) if split else ():
+        d[i], q[i], _ = split[int(ctx[i])]
+    whole = np.where(d < all_ * (1 - 1e-12), all_, all_ + 1).astype(float)
+    return np.log10((1 - d / np.maximum(whole, 1)) / np.maximum(1 - q, 1e-15)), whole
+
+
+def answer_grams(level: Level, shards: int, last: bool) -> Callable:
+    """``TABLE`` → ``ANSWER``: for each block the alphas and divisors of its contexts, counts of its n-grams and, if there is a next level, their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for i in range(batch.num_rows):
-                key = batch["key"][i].values.to_numpy().view(_U)
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                lists = [np.where(found, v[at] if len(keys) else 0.0, other) for v, other in zip(values, (unknown, unknown_base))]
-                lists += [found] if n == 1 else [np.zeros(0), np.zeros(0, bool)]
-                out.append(pa.RecordBatch.from_arrays(
-                    [batch["rid"].slice(i, 1), batch["shard"].slice(i, 1), *[_lists(x, np.array([0, len(x)])) for x in lists]],
-                    answers.names))
-        return pa.Table.from_batches(out, answers)
-
-    def add(block: pa.Table, answered: pa.Table) -> pa.Table:
-        by = np.argsort(answered["shard"].to_numpy())
-        joined = lambda name: np.concatenate([
-            answered[name][int(i)].values.to_numpy(zero_copy_only=False) for i in by])
+                row, shard = _row(batch, i), batch.column("shard")[i].as_py()
+                alpha, whole = alphas(row("ctx"), row("all"), *_mass(row, level), level.split)
+                c, blocks = row("c"), row("blocks")
+                c = np.where(c >= max(level.cutoff, 1), c, -np.abs(c)).astype(np.int32)  # negative: seen, but not in the model
+                ctx_cut = np.append(0, np.cumsum(row("n_ctx"))).astype(np.int64)
+                gram_cut = np.append(0, np.cumsum(row("n_gram"))).astype(np.int64)
+                ctx_at, gram_at = np.cumsum(row("ctx_at"), dtype=np.int64), np.cumsum(row("gram_at"), dtype=np.int64)
+                for b, name in enumerate(blocks):
+                    own, mine = ctx_at[ctx_cut[b]: ctx_cut[b + 1]], gram_at[gram_cut[b]: gram_cut[b + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard], pa.int32()), pa.array([name], pa.int64()), _lists(alpha[own]), _lists(whole[own]), _lists(c[mine]),
+                         _lists(np.where(c[mine] != 0, mine * shards + shard, -1)[: 0 if last else None])], ["shard", "block", "alpha", "all", "c", "gram"])
+
+    return run
+
+
+def take_grams(n: int, level: Level, below: Level, totals: Totals, shards: int, hot: float, last: bool) -> Callable:
+    """A block's state and the answers to it → the state for the next level, or the sums of its texts."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for row in block.to_batches():
-            for i in range(row.num_rows):
-                rid, texts = row["rid"][i].as_py(), row["texts"][i].as_py()
-                runs, doc = (row[c][i].values.to_numpy() for c in ("runs", "doc"))
-                total = np.zeros((4, texts))
-                total[0] = np.bincount(doc, np.repeat(joined("score"), runs), texts)
-                if n == 1:
-                    total[1] = np.bincount(doc, np.repeat(joined("base"), runs), texts)
-                    total[2] = np.bincount(doc, minlength=texts)
-                    total[3] = np.bincount(doc, np.repeat(joined("found").astype(float), runs), texts)
-                out.append(pa.table([
-                    pa.array(rid + np.arange(texts)), pa.array(total[0]), pa.array(total[1]),
-                    pa.array(total[2].astype(np.int64)), pa.array(total[3].astype(np.int64))], sums.names))
-        return pa.concat_tables([sums.empty_table(), *out])
-
-    answers = pa.schema([("rid", pa.int64()), ("shard", pa.int32()), ("score", pa.list_(pa.float64())),
-                         ("base", pa.list_(pa.float64())), ("found", pa.list_(pa.bool_()))])
-    sums = pa.schema([("rid", pa.int64()), ("score", pa.float64()), ("base_score", pa.float64()),
-                      ("n_tokens", pa.int64()), ("n_known", pa.int64())])
-
-    @F.pandas_udf("int")
-    def shard(key):
-        import pandas as pd
-        return pd.Series((key.to_numpy().view(_U) % _U(shards)).astype(np.int32))
-
-    asked = request_blocks(docs, n, shards, places=False)
-    known = model.table.filter(F.col("n") == n).select(
-        shard("key").alias("shard"), "key", "score", *(["base"] if n == 1 else []))
-    found = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, ANSWER)
-    blocks = request_blocks(docs, n, shards, places=True)
-    return blocks.groupBy("rid").cogroup(found.groupBy("rid")).applyInArrow(add, SUMS)
-
-
-def score(docs: DataFrame, model: Katz) -> DataFrame:
-    """rid, n_tokens, n_known, base_score, score of ``docs`` (text, rid; rids follow each other in a partition).
-
-    One level after the other, so that the n-grams of one order are on disk at a time.
+        answers = answers.sort_by("shard")
+        alpha, whole, count, number = (_joined(answers, c)[0] for c in ("alpha", "all", "c", "gram"))
+        for i in range(block.num_rows):
+            row, rid = _row(block, i), block["block"][i].as_py()
+            t = Tokens.of(row, n, below, totals)
+            e = Entries.of(t, shards, hot)
+            has, may = e.of_ctx >= 0, e.of_gram >= 0
+            a = np.where(has, alpha[e.of_ctx], 0.0) if len(alpha) else np.zeros(len(has))
+            c = np.where(may, count[e.of_gram], 0).astype(np.int64) if len(count) else np.zeros(len(has), np.int64)
+            d = level.discounted(c)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(d > 0, np.log10(d / np.where(has, whole[e.of_ctx], 1.0) if len(whole) else d), a + t.lower)
+            if last:
+                out.append(_sums(rid, t.lens, s, row("base"), row("known")))
+                continue
+            gram = np.where(c != 0, number[e.of_gram], -1) if len(number) else np.full(len(has), -1)
+            out.append(_state_arrays(_STATE_NAMES, [
+                rid, t.lens.astype(np.int32), t.train, row("base"), row("known"), row("seq"), row("id"), row("c"), gram.astype(np.int64), c, s]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+# ---- the operator -----------------------------------------------------------------------
+
+@dataclass
+class Katz:
+    """The model: ``words`` (shard, key, id, c), and ``levels`` by order from 2 on (``TABLE``), with what tasks know of them."""
+
+    words: DataFrame
+    levels: dict[int, DataFrame]
+    known: dict[int, Level]
+    totals: Totals
+
+
+def _counts_of_counts(rows: list) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for keys, counts in rows:
+        for r, c in zip(keys, counts):
+            out[r] = out.get(r, 0) + c
+    return out
+
+
+def evaluate(rows: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k: int = K, shards: int = 1) -> tuple[DataFrame, Katz]:
+    """Sums (``SUMS``) of all ``rows`` (text, rid, train), by a model of those with ``train``.
+
+    Rids follow each other in a partition.
     """
-    total = None
-    for n in range(1, model.order + 1):
-        sums = materialize(level_sums(docs, model, n))
-        total = sums if total is None else total.unionByName(sums)
-    return total.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens", "n_known")])
+    blocks = materialize(rows.select("text", "rid", "train").mapInArrow(read_blocks(shards), BLOCK))
+    asked = blocks.mapInArrow(ask_words(shards), WORD_REQUEST)
+    merged = materialize(asked.groupBy("shard").applyInArrow(merge_words(shards, k), WORD_ANSWER), "kind")
+    stats = _counts_of_counts([(r["key"], r["c"]) for r in merged.filter("kind = 1").select("key", "c").collect()])
+    totals = Totals(stats.get(-1, 0), stats.get(-2, 0), stats.get(-3, 0))
+    level = Level(discounts({r: c for r, c in stats.items() if r > 0}, k), cutoffs[0])
+    vocabulary = merged.filter("kind = 2").select("shard", "key", "id", "c")
+    mass = sum(r["d"] for r in vocabulary.select("c").mapInArrow(_lowest_mass(level), "d double").collect())
+    if totals.tokens:
+        totals.whole = totals.tokens if mass < totals.tokens * (1 - 1e-12) else totals.tokens + 1
+        totals.left = 1 - mass / totals.whole
+    answers = merged.filter("kind = 0").select("shard", "block", "id", "c")
+    state = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        take_words(level, totals, order == 1), SUMS if order == 1 else STATE)
+    state = materialize(state)
+    drop(blocks)
+    model = Katz(vocabulary, {}, {1: level}, totals)
+    hot = HOT * max(totals.tokens, 1) / shards
+    for n in range(2, order + 1):
+        below = level
+        asked = state.mapInArrow(ask_grams(n, below, totals, shards, hot), REQUEST)
+        table = materialize(asked.groupBy("shard").applyInArrow(merge_grams(n, cutoffs[n - 1], k, below, totals), TABLE))
+        seen = _counts_of_counts([(range(len(r["seen"])), r["seen"]) for r in table.select("seen").collect()])
+        level = Level(discounts(seen, k), cutoffs[n - 1])
+        level.split = _split_contexts(table, level, hot)
+        last = n == order
+        answers = table.mapInArrow(answer_grams(level, shards, last), ANSWER)
+        new = materialize(state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+            take_grams(n, level, below, totals, shards, hot, last), SUMS if last else STATE))
+        drop(state)
+        state = new
+        model.levels[n], model.known[n] = table, level
+    return state, model
+
+
+def _lowest_mass(level: Level) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(level.discounted(x.values.to_numpy()).sum()) for x in batch.column(0)], pa.float64())], ["d"])
+
+    return run
+
+
+def _split_contexts(table: DataFrame, level: Level, hot: float) -> dict[int, tuple[float, float, int]]:
+    """Sums over all shards of the contexts that are split: each has more than a part of a shard's tokens, so they are few."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _row(batch, i)
+                pick = row("all") > hot
+                yield pa.RecordBatch.from_arrays([pa.array(row(c)[pick]) for c in ("ctx", "all")], ["ctx", "all"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ctx, d, q = _mass(_row(batch, i), level)
+                pick = np.isin(ctx, split)
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (ctx, d, q)], ["ctx", "d", "q"])
+
+    alls = {r["ctx"]: r["all"] for r in table.select("ctx", "all").mapInArrow(found, "ctx long, all long").distinct().collect()}
+    split = np.array(sorted(alls), np.int64)
+    if not alls:
+        return {}
+    rows = table.select("gctx", "nw", "sumq", "c").mapInArrow(sums, "ctx long, d double, q double").groupBy("ctx").agg(F.sum("d").alias("d"), F.sum("q").alias("q"))
+    known = {r["ctx"]: (r["d"], r["q"]) for r in rows.collect()}
+    return {c: (*known.get(c, (0.0, 0.0)), n) for c, n in alls.items()}
+
+
+def model_rows(model: Katz, n: int) -> DataFrame:
+    """The n-grams of a level from 2 on as rows: ctx and word (their numbers), p, and the context's log10 alpha."""
+    level = model.known[n]
+    split = np.array(sorted(level.split), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _row(batch, i)
+                # a split context's n-grams lie in other shards than itself
+                ctx = np.union1d(row("ctx"), split)
+                all_ = np.array([level.split[int(c)][2] if int(c) in level.split else 0 for c in ctx], np.int64)
+                own = np.searchsorted(ctx, row("ctx"))
+                all_[own] = row("all")
+                alpha, whole = alphas(ctx, all_, *_mass(row, level), level.split)
+                at = np.searchsorted(ctx, np.repeat(row("gctx"), row("nw")))
+                d = level.discounted(row("c").astype(np.int64))
+                keep = d > 0
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ctx[at][keep]), pa.array(row("word")[keep]), pa.array(d[keep] / whole[at][keep]), pa.array(alpha[at][keep])],
+                    ["ctx", "word", "p", "alpha"])
+
+    return model.levels[n].mapInArrow(run, "ctx long, word int, p double, alpha double")
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOFFS, k: int = K, parts: int = 7,
@@ -436,16 +649,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTO
     Learned from the rows not held out.
     """
     results = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    rows = docs.drop(*results).withColumn("rid", F.monotonically_increasing_id()).withColumn(
-        "held_out", held_out(F.col(doc_id), parts, held))
+    rows = with_rid(docs.drop(*results, "rid")).withColumn("held_out", held_out(F.col(doc_id), parts, held))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, min(wide, size >> 16), -(-size // SHARD_BYTES)) if size else 1
-    model = fit(rows.filter("NOT held_out").select(F.col(text).alias("text")), order, cutoffs, k, shards)
-    found = score(rows.select(F.col(text).alias("text"), "rid"), model)
+    found, model = evaluate(rows.select(F.col(text).alias("text"), "rid", (~F.col("held_out")).alias("train")), order, cutoffs, k, shards)
     return (
         rows.drop(text).join(found, "rid")
-        .withColumn("train_tokens", F.lit(model.tokens).cast("long"))
-        .withColumn("score", F.col("score") + F.lit(model.start))
+        .withColumn("train_tokens", F.lit(model.totals.tokens).cast("long"))
         .drop("rid")
     )

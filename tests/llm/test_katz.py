@@ -80,7 +80,7 @@ def corpus(seed, n=60):
                          for _ in range(r.randint(0, 30)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("order, cutoffs", [(1, (1,)), (2, (1, 2)), (2, (1, 1)), (3, (1, 1, 2))])
+@pytest.mark.parametrize("order, cutoffs", [(1, (1,)), (2, (1, 2)), (2, (1, 1)), (3, (1, 1, 2)), (2, (2, 2))])
 def test_scores_equal_the_recursion(make_docs, odd, order, cutoffs):
     rows = corpus(order) + odd
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
@@ -132,22 +132,50 @@ def test_query_keeps_pairs_seen_once(spark, make_docs, tmp_path):
 
 def test_a_frequent_word_is_sent_once_by_each_block(spark, make_docs, monkeypatch):
     rows = [(i, "the " * 2000 + f"x{i}") for i in range(30)]
-    docs = make_docs(rows, 1).selectExpr("text", "monotonically_increasing_id() AS rid")
-    moved = katz.request_blocks(docs, 1, 2, places=False).toPandas()
-    assert moved["rid"].nunique() == 1
-    assert sum(len(a) for c in moved for a in moved[c] if hasattr(a, "__len__")) == 32  # the, the end, x0 to x29
+    docs = make_docs(rows, 1).selectExpr("text", "monotonically_increasing_id() AS rid", "true AS train")
+    blocks = docs.mapInArrow(katz.read_blocks(2), katz.BLOCK)
+    moved = blocks.mapInArrow(katz.ask_words(2), katz.WORD_REQUEST).toPandas()
+    assert moved["block"].nunique() == 1
+    assert moved["key"].map(len).sum() == 32  # the, the end, x0 to x29
     # a block has bounded occurrences, whatever its words
     monkeypatch.setattr(katz, "TOKENS", 10_000)
-    places = katz.request_blocks(docs, 1, 2, places=True).toPandas()
-    assert len(places) > 3 and places["doc"].map(len).max() <= 2 * 10_000 + 2002 and places["doc"].map(len).sum() == 30 * 2002
+    places = docs.mapInArrow(katz.read_blocks(2), katz.BLOCK).toPandas()
+    assert len(places) > 3 and places["seq"].map(len).max() <= 2 * 10_000 + 2002 and places["seq"].map(len).sum() == 30 * 2002
 
 
-@pytest.mark.parametrize("shards", [1, 5])
-def test_scores_of_many_blocks_and_shards(make_docs, odd, monkeypatch, shards):
+@pytest.mark.parametrize("shards, hot, order, cutoffs", [(1, 0.25, 2, (1, 1)), (5, 0.02, 2, (1, 1)), (3, 0.05, 3, (1, 2, 2)), (4, 0.25, 2, (2, 2))])
+def test_scores_of_many_blocks_and_shards(make_docs, odd, monkeypatch, shards, hot, order, cutoffs):
+    """Also with contexts split over shards, and words that are not in the model."""
     monkeypatch.setattr(katz, "TOKENS", 50)
+    monkeypatch.setattr(katz, "HOT", hot)
     rows = corpus(6) + odd
-    docs = make_docs(rows).selectExpr("text", "monotonically_increasing_id() AS rid")
-    fitted = katz.fit(docs, 2, (1, 1), shards=shards)
+    docs = make_docs(rows).selectExpr("text", "monotonically_increasing_id() AS rid", "coalesce(doc_id, 0) % 5 <> 4 AS train")
+    texts = docs.collect()
+    sums, fitted = katz.evaluate(docs, order, cutoffs, shards=shards)
+    model = Brute([r["text"] for r in texts if r["train"]], order, cutoffs)
+    got = {r["rid"]: (r["n_tokens"], round(r["score"], 6), r["n_known"]) for r in sums.collect()}
+    assert got == {r["rid"]: (len(t := tokens(r["text"])), round(model.score(r["text"]), 6), sum(model.counts[0][(w,)] > 0 for w in t)) for r in texts}
+    assert fitted.totals.tokens == model.total and fitted.totals.vocabulary == len(model.counts[0])
+    assert hot > 0.1 or fitted.known[2].split
+
+
+def test_the_stored_model_is_normalised(make_docs):
+    """Probabilities and backoff weights of the table, against the recursion."""
+    rows = [(i, t) for i, t in corpus(3)]
+    docs = make_docs(rows).selectExpr("text", "monotonically_increasing_id() AS rid", "true AS train")
+    _, fitted = katz.evaluate(docs, 2, (1, 1), shards=3)
     model = Brute([t for _, t in rows], 2, (1, 1))
-    got = {r["rid"]: (r["n_tokens"], round(r["score"] + fitted.start, 6)) for r in katz.score(docs, fitted).collect()}
-    assert got == {r["rid"]: (len(tokens(r["text"])), round(model.score(r["text"]), 6)) for r in docs.collect()}
+    table = katz.model_rows(fitted, 2).toPandas()
+    assert len(table) == len(model.kept[1]) and table["p"].sum() == pytest.approx(sum(map(model.star, model.kept[1])))
+    firsts = table.groupby("ctx").agg(p=("p", "sum"), alpha=("alpha", "first"))
+    want = sorted((sum(map(model.star, gs)), math.log10(model.alpha(h))) for h, gs in model.after[1].items() if gs)
+    assert sorted(firsts["p"]) == pytest.approx([p for p, _ in want]) and sorted(firsts["alpha"]) == pytest.approx(sorted(a for _, a in want))
+
+
+def test_very_long_text(make_docs):
+    r = random.Random(2)
+    rows = [(0, " ".join(f"w{r.randrange(50)}" for _ in range(60_000))), (2, "w1 w2 unheard"), (3, "x" * 200_000)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    model = Brute([t for (_, t), h in zip(rows, held) if not h], 2, (1, 1))
+    got = {r["doc_id"]: r["score"] for r in katz.lm_scores(make_docs(rows)).collect()}
+    assert got == pytest.approx({i: model.score(t) for i, t in rows}, rel=1e-9)
