@@ -82,8 +82,6 @@ def test_scans_read_only_what_is_needed(spark, sf):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries())))
 def test_no_cross_joins(spark, sf, name):
-    if name.startswith(("if", "sq", "en6", "snk5", "snk2")):
-        pytest.skip("trains or writes; its joins are those of the operators tested here")
     text = plan(entry.queries()[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
