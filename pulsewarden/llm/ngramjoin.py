@@ -1,8 +1,8 @@
 """N-gram Jaccard join: token-combination prefixes, and groups of linked documents.
 
 A document is the set of its word n-grams (tokens). Two link if their sets' Jaccard
-similarity reaches a threshold t. Documents with equal sets are one class; everything below
-is about classes.
+similarity reaches a threshold t. Documents with equal sets (by 128 bits) are one class, that
+goes by its first row; everything below is about classes.
 
 Prefixes. Tokens are put in one order for all, rare before frequent. If two sets of sizes
 up to n link, they share at least t * n tokens, hence the first k of the shared ones lie
@@ -21,7 +21,8 @@ link are in one star. Whether they may is said by their prefixes alone: up to th
 of their last tokens both are known, so the shared tokens so far, and the shorter of the
 rests, bound what they share. Most keys hold two sets that can't link, and end here. First
 the set with the smallest id is tried as the centre. Those that can't link with it, but may
-with others of the key, get a star of their own or join this one all the same.
+with others of the key, get a star of their own or join this one all the same; for that they
+are dealt by size, as sets that link lie in the same class of sizes or in neighbouring ones.
 
 Verification. Each set of a star is compared with its centre. What it shares is kept as bits
 over the centre's tokens, what else it has as a list, so that any two sets of a star can
@@ -36,11 +37,11 @@ Defined results
     Repeated rows and copies: equal sets, hence one group. Empty table: empty result.
     Null ids come after all others when the smallest of a group is sought.
     Other columns are kept; those named like a result column are replaced.
-The rows of ``docs`` must come in the same order when read again, as a table's do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from pulsewarden.llm.rows import maybe_in, with_rid
 from pulsewarden.llm.tokens import groups, hashes, mix, ngram_hashes, pair, utf8, words
 from pulsewarden.session import drop, materialize
 
@@ -59,6 +61,8 @@ FREQUENT = 256
 PAIRED = 65
 #: Sets in a block that is compared with another.
 BLOCK = 1024
+#: Sets of a star that meet one copy of its centre.
+SPLIT = 512
 #: Sets of a key that are covered by stars at once.
 COVER = 256
 #: Tokens that a product of sets by tokens is formed over at once.
@@ -147,7 +151,7 @@ def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
-    """rid, size, class and prefix of each text of ``docs`` (text, rid)."""
+    """rid, size, name (a, b) and prefix of each text of ``docs`` (text, rid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +162,7 @@ def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> Data
                 size = np.diff(cuts)
                 sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(token), dtype=_U)])
                 other = np.concatenate([np.zeros(1, _U), np.cumsum(mix(token ^ _U(0x5DEECE66D)), dtype=_U)])
-                name = pair(sums[cuts[1:]] - sums[cuts[:-1]], other[cuts[1:]] - other[cuts[:-1]] + size.astype(_U))
+                names = [x[cuts[1:]] - x[cuts[:-1]] for x in (sums, other)]
                 # a set linked with nothing but its equals needs no prefix
                 some = least_shared(size + 1, percent) <= size
                 k = np.where(some & (size > 0), size - least_shared(size, percent) + 2, 0)
@@ -166,11 +170,11 @@ def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> Data
                 ends = np.cumsum(k)
                 at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(cuts[:-1] - ends + k, k)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(1).slice(i, j - i), pa.array(size.astype(np.int32)), pa.array(name.view(np.int64)),
+                    batch.column(1).slice(i, j - i), pa.array(size.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in names],
                     pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(token[at].view(np.int64)))],
-                    ["rid", "size", "class", "prefix"])
+                    ["rid", "size", "a", "b", "prefix"])
 
-    return docs.mapInArrow(run, "rid long, size int, class long, prefix array<long>")
+    return docs.mapInArrow(run, "rid long, size int, a long, b long, prefix array<long>")
 
 
 def index_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> DataFrame:
@@ -304,20 +308,28 @@ def meet(rows: DataFrame, key: str, tied: str, block: int) -> DataFrame:
     )
 
 
+def by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (key, class, size, …) twice, their keys made finer: any two of a key that may link by size still have a common one."""
+    # a little more than the ratio of sizes that link, against rounding
+    band = F.floor(F.log(F.col("size").cast("double")) / (math.log(100 / percent) * 1.0001))
+    return rows.withColumn("_band", F.explode(F.array(band, band - 1))).withColumn("key", F.xxhash64("key", "_band")).drop("_band")
+
+
 def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) -> DataFrame:
     """Distinct centre and class: any two classes with a common key that may link are in one star.
 
     Each centre is in its star as well. ``keys``: key, class. ``sets``: class, size, prefix.
     """
-    marks = materialize(sketches(sets))
     lists = keys.groupBy("key").agg(F.min("class").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     rows = materialize(keys.join(lists, "key"))
+    marks = materialize(sketches(maybe_in(sets, rows.select("class").distinct(), "class")))
     pairs = rows.filter("class <> centre").select("centre", "class").distinct().join(marks, "class").join(
         marks.select(F.col("class").alias("centre"), *[F.col(c).alias(f"c_{c}") for c in ("size", "last", "sketch")]), "centre")
     tried = materialize(possible_pairs(pairs, percent))
     # keys of three and more where someone can't link with the centre
     left = rows.filter("n > 2 AND class <> centre").drop("n").join(tried.withColumnRenamed("may", "tied"), ["centre", "class"])
-    again = meet(left, "key", "tied", cover)
+    left = by_size(left.join(marks.select("class", "size"), "class"), percent) if percent < 100 else left
+    again = meet(left.drop("size"), "key", "tied", cover)
     # the sketches that meet are counted, so that a shard's don't grow with the rows
     sizes = marks.select("class", F.size("sketch").alias("held"))
     held = materialize(again.join(sizes, "class").agg(F.sum("held").alias("held")))
@@ -331,8 +343,10 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame, n: int, classes: Broadcast) -> DataFrame:
-    """class, tokens of the texts named by ``wanted`` (rid, class, centres): a row for each centre."""
-    rows = docs.join(wanted, "rid").select("text", "class", "centres")
+    """class, centres and tokens of the texts named by ``wanted`` (class, centres)."""
+    near = maybe_in(docs, wanted.select("class"), "rid")  # most texts need not move
+    # the same plan at every size: no broadcast of a table that grows
+    rows = near.join(wanted.hint("merge"), F.col("rid") == F.col("class")).select("text", "class", "centres")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,7 +359,26 @@ def _tokens(docs: DataFrame, wanted: DataFrame, n: int, classes: Broadcast) -> D
                     pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(token.view(np.int64)))],
                     ["class", "centres", "tokens"])
 
-    return rows.mapInArrow(run, "class long, centres array<long>, tokens array<long>")
+    return rows.mapInArrow(run, f"class long, centres {CENTRES}, tokens array<long>")
+
+
+#: The stars that a class is in, the part of each, and how many parts that has.
+CENTRES = "array<struct<centre:long,part:int,parts:int>>"
+
+
+def parts_of(star: DataFrame, split: int) -> DataFrame:
+    """class and ``CENTRES``. A star of many sets is compared in parts, each with a copy of the centre."""
+    parts = star.groupBy("centre").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    return star.join(parts, "centre").groupBy("class").agg(F.collect_list(F.struct("centre", part.alias("part"), "parts")).alias("centres"))
+
+
+def members_and_centres(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """centre, part, class, tokens of all members, and centre, part, middle, from a row for each class."""
+    members = tokens.select(F.inline("centres"), "class", "tokens")
+    centres = members.filter("centre = class").select(
+        "centre", F.col("tokens").alias("middle"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return members.drop("parts"), centres.hint("merge")
 
 
 MEMBER = "centre long, class long, size int, shared int, linked boolean, bits binary, others array<long>"
@@ -438,16 +471,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, classes: Broadcast,
                    frequent: int = FREQUENT, paired: int = PAIRED, block: int = BLOCK, cover: int = COVER) -> DataFrame:
-    """class and root of all classes that link with another. ``sets``: class, rid, size, prefix."""
+    """class and root of all classes that link with another. ``sets``: class, size, prefix."""
     some = sets.filter(F.size("prefix") > 0).select("class", "size", "prefix")
     keys = materialize(index_keys(some, percent, frequent, paired))
     star = materialize(stars(keys, some, percent, cover))
-    wanted = star.groupBy("class").agg(F.collect_list("centre").alias("centres")).join(sets.select("class", "rid"), "class")
+    wanted = materialize(parts_of(star, SPLIT))
     tokens = materialize(_tokens(docs, wanted, n, classes))
-    middle = tokens.filter(F.array_contains("centres", F.col("class"))).select(
-        F.col("class").alias("centre"), F.col("tokens").alias("middle"))
-    members = tokens.select(F.explode("centres").alias("centre"), "class", "tokens")
-    compared = materialize(compare_with_centre(members, middle, percent))
+    compared = materialize(compare_with_centre(*members_and_centres(tokens), percent, ["centre", "part"]))
     drop(keys, star, tokens)
     more = link_blocks(meet(compared, "centre", "linked", block), percent)
     links = compared.filter("linked AND class <> centre").select(F.col("centre").alias("x"), F.col("class").alias("y"))
@@ -460,14 +490,14 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     ``component_id`` is the smallest id of the group.
     """
-    rows = docs.drop("n_shingles", "component_id", "first", "rid").withColumn("rid", F.monotonically_increasing_id())
+    rows = with_rid(docs.drop("n_shingles", "component_id", "first", "rid"))
     slim = rows.select(F.col(text).alias("text"), "rid")
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(slim, words))
     every = materialize(set_table(slim, words, percent, classes))
-    sets = materialize(every.select("rid", "size", "class"))
-    one = materialize(
-        every.filter("size > 0").groupBy("class").agg(F.min(F.struct("rid", "size", "prefix")).alias("one"))
-        .select("class", "one.rid", "one.size", "one.prefix"))
+    names = every.filter("size > 0").groupBy("a", "b", "size").agg(F.min("rid").alias("class"))
+    sets = materialize(every.select("rid", "size", "a", "b").join(names, ["a", "b", "size"], "left").select("rid", "size", "class"))
+    firsts = sets.filter("rid = class").select("class")
+    one = materialize(every.select(F.col("rid").alias("class"), "size", "prefix").join(firsts, "class", "left_semi"))
     drop(every)  # the prefixes are in the classes' table now
     root = linked_classes(slim, one, words, percent, classes, **limits)
     drop(one)

@@ -31,8 +31,8 @@ def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
     return rows.withColumn(name, F.monotonically_increasing_id())
 
 
-#: Bits of the filter of ``maybe_in`` (1 MiB), as rows of 4 KiB.
-FILTER_BITS, ROW_BITS = 23, 15
+#: Bits of the filter of ``maybe_in``, in longs: 2^17 rows of two numbers.
+FILTER_BITS = 23
 
 
 def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -45,10 +45,7 @@ def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
     hashed, row, bits = "_filter_hash", "_filter_row", "_filter_bits"  # not names that a caller would have
     named = ids.select(h(ids.columns[0]).alias(hashed))
-    filled = materialize(named.groupBy(F.shiftright(hashed, ROW_BITS).alias(row)).agg(
-        F.bitmap_construct_agg(F.col(hashed).bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("long")).alias(bits)))
-    place = F.col(hashed).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1), F.lit(1))), 16, 10).cast("int")
-    bit = F.expr(f"1 << (({hashed} & {(1 << ROW_BITS) - 1}) % 8)")
-    kept = rows.withColumn(hashed, h(column)).withColumn(row, F.shiftright(hashed, ROW_BITS)).join(F.broadcast(filled), row)
-    return kept.filter(byte.bitwiseAND(bit) != 0).select(*rows.columns)
+    filled = materialize(named.groupBy(F.shiftright(hashed, 6).alias(row)).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, {hashed} & 63)")).alias(bits)))
+    kept = rows.withColumn(hashed, h(column)).withColumn(row, F.shiftright(hashed, 6)).join(F.broadcast(filled), row)
+    return kept.filter(f"shiftright({bits}, {hashed} & 63) & 1 = 1").select(*rows.columns)

@@ -42,8 +42,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsewarden.llm.ngramjoin import compare_with_centre, components, link_blocks, meet, shingles
-from pulsewarden.llm.rows import with_rid
+from pulsewarden.llm.ngramjoin import CENTRES, compare_with_centre, components, link_blocks, meet, members_and_centres, parts_of, shingles
+from pulsewarden.llm.rows import maybe_in, with_rid
 from pulsewarden.llm.tokens import groups, mix, pair, utf8
 from pulsewarden.session import drop, materialize
 
@@ -141,6 +141,11 @@ def may_link(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: np.ndarray,
     return out
 
 
+def moved(wide: DataFrame, narrow: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by key at every size: small tables are not broadcast, so a larger input has the same plan."""
+    return wide.join(narrow.hint("merge"), on, how)
+
+
 def set_table(docs: DataFrame, n: int) -> DataFrame:
     """rid, size, name (128 bits) and sketch of each text of ``docs`` (text, rid)."""
 
@@ -239,22 +244,26 @@ def stars(sets: DataFrame, percent: int, block: int = COVER) -> DataFrame:
     Each centre is in its star as well. ``sets``: class, size, sketch.
     """
     keys = key_rows(sets)
-    lists = keys.groupBy("key").agg(
-        F.min("class").alias("centre"), F.count("*").alias("n"),
-        *[F.sum(F.xxhash64("class", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]).filter("n > 1")
+    shared = materialize(keys.groupBy("key").agg(F.min("class").alias("centre"), F.max("class").alias("last")).filter(
+        "centre < last").select("key", "centre"))
+    rows = materialize(maybe_in(keys, shared.select("key"), "key").join(shared, "key"))
     # keys of the same sets are one
-    lists = materialize(lists.groupBy("centre", "n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "centre", "n"))
-    rows = materialize(keys.join(lists, "key"))
-    drop(lists)
+    members = rows.groupBy("key", "centre").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    one = materialize(members.groupBy("centre", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"))
+    drop(shared)
+    rows, every = materialize(rows.join(one, "key")), rows
+    drop(every, one)
+    # only sets that share a key are looked at from here on
+    sets = materialize(moved(maybe_in(sets, rows.select("class"), "class"), rows.select("class").distinct(), "class", "left_semi"))
     of_centre = sets.select(F.col("class").alias("centre"), F.col("size").alias("c_size"), F.col("sketch").alias("c_sketch"))
-    pairs = rows.filter("class <> centre").select("centre", "class").distinct().join(sets, "class").join(of_centre, "centre")
+    pairs = moved(moved(rows.filter("class <> centre").select("centre", "class").distinct(), sets, "class"), of_centre, "centre")
     tried = materialize(tried_pairs(pairs, percent))
     # keys of three and more where some set may not link with the centre
     left = rows.filter("n > 2 AND class <> centre").select("key", "class", "centre").join(tried, ["centre", "class"])
     again = meet(left.select("key", "class", F.col("may").alias("tied")), "key", "tied", block)
-    found = cover_blocks(again.join(sets, "class"), percent)
+    found = cover_blocks(moved(again, sets, "class"), percent)
     star = materialize(tried.filter("may").select("centre", "class").unionByName(found).distinct())
-    drop(rows, tried)
+    drop(rows, tried, sets)
     return star.unionByName(star.select("centre", F.col("centre").alias("class"))).distinct()
 
 
@@ -271,24 +280,18 @@ def _tokens(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     [*[batch.column(k).slice(i, j - i) for k in (1, 2)],
                      pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(token.view(np.int64)))], ["class", "centres", "tokens"])
 
-    rows = docs.join(wanted, docs["rid"] == wanted["class"]).select("text", "class", "centres")
-    return rows.mapInArrow(run, "class long, centres array<long>, tokens array<long>")
+    near = maybe_in(docs, wanted.select("class"), "rid")  # most texts need not move
+    rows = moved(near.withColumnRenamed("rid", "class"), wanted, "class").select("text", "class", "centres")
+    return rows.mapInArrow(run, f"class long, centres {CENTRES}, tokens array<long>")
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, block: int = BLOCK, cover: int = COVER,
                    split: int = SPLIT) -> DataFrame:
     """class and root of all classes that link with another. ``sets``: class, size, sketch."""
     star = materialize(stars(sets, percent, cover))
-    wanted = star.groupBy("class").agg(F.collect_list("centre").alias("centres"))
+    wanted = materialize(parts_of(star, split))
     tokens = materialize(_tokens(docs, wanted, n))
-    # a star of many sets is compared in parts, each with a copy of the centre
-    parts = star.groupBy("centre").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
-    members = tokens.select(F.explode("centres").alias("centre"), "class", "tokens").join(parts, "centre").withColumn(
-        "part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
-    middle = tokens.filter(F.array_contains("centres", F.col("class"))).select(
-        F.col("class").alias("centre"), F.col("tokens").alias("middle")).join(parts, "centre").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    compared = materialize(compare_with_centre(members, middle, percent, ["centre", "part"]))
+    compared = materialize(compare_with_centre(*members_and_centres(tokens), percent, ["centre", "part"]))
     drop(star, tokens)
     more = link_blocks(meet(compared, "centre", "linked", block), percent)
     links = compared.filter("linked AND class <> centre").select(F.col("centre").alias("x"), F.col("class").alias("y"))
@@ -305,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     names = every.filter("size > 0").groupBy("a", "b", "size").agg(F.min("rid").alias("class"))
     named = materialize(every.select("rid", "size", "a", "b").join(names, ["a", "b", "size"], "left").select("rid", "size", "class"))
     firsts = named.filter("rid = class").select("class")
-    sets = materialize(every.select(F.col("rid").alias("class"), "size", "sketch").join(firsts, "class", "left_semi"))
+    sets = materialize(moved(every.select(F.col("rid").alias("class"), "size", "sketch"), firsts, "class", "left_semi"))
     drop(every)
     root = linked_classes(slim, sets, words, percent, **limits)
     grouped = named.join(root, "class", "left").select(
