@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsewarden.llm import decontam, language, mixing, ngramjoin, winnow
+from pulsewarden.llm.rows import is_scan, with_rid
 from pulsewarden.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -45,10 +46,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link by five-word shingles at a similarity of 0.8, that with the smallest id stays."""
+    docs = docs if is_scan(docs) else materialize(docs)
     groups = ngramjoin.link_documents(docs, words=5, percent=80)
     first = groups.filter("first").select("rid")
     # the rids of link_documents: places in the same table
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(first, "rid", "left_semi").select(*docs.columns)
+    return with_rid(docs).join(first, "rid", "left_semi").select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
