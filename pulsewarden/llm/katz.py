@@ -42,6 +42,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,10 @@ CUTOFFS = (1, 1)
 K = 5
 
 #: Tokens of a block.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
+#: Parts, by shard, in which a level's n-grams are sent one after the other: all of them, but what is shuffled for
+#: a part is gone before the next.
+PARTS = 3
 #: Bytes of text for each shard.
 SHARD_BYTES = 24 << 20
 #: A context is split if it has more than this part of the tokens of a shard.
@@ -379,8 +383,8 @@ def _row(batch, i: int) -> Callable[[str], np.ndarray]:
     return get
 
 
-def ask_grams(n: int, below: Level, totals: Totals, shards: int, hot: float) -> Callable:
-    """``STATE`` → ``REQUEST``: the block's contexts and n-grams of level ``n``, a row for each shard."""
+def ask_grams(n: int, below: Level, totals: Totals, shards: int, hot: float, part: int = 0, parts: int = 1) -> Callable:
+    """``STATE`` → ``REQUEST``: the block's contexts and n-grams of level ``n``, a row for each shard of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,12 +400,13 @@ def ask_grams(n: int, below: Level, totals: Totals, shards: int, hot: float) ->
                 ids = np.union1d(e.ctx_shard, e.gram_shard).astype(np.int32)
                 cut = lambda x: np.append(np.searchsorted(x, ids), len(x))
                 ctx_cut, gram_cut, run_cut = cut(e.ctx_shard), cut(e.gram_shard), cut(e.gram_shard[at])
-                yield pa.RecordBatch.from_arrays([
+                row = pa.RecordBatch.from_arrays([
                     pa.array(ids), batch.column("block").take(pa.array(np.full(len(ids), i))),
                     _lists(e.ctx, ctx_cut), _lists(e.ctx_all, ctx_cut), _lists(e.gram_ctx[at], run_cut), _lists(nw.astype(np.int32), run_cut),
                     _lists(e.gram_word.astype(np.int32), gram_cut), _lists(c, gram_cut),
                     _lists(low, gram_cut if n == 2 else gram_cut * 0), _lists(q, gram_cut if n > 2 else gram_cut * 0)],
                     ["shard", "block", "ctx", "all", "gctx", "nw", "word", "c", "low", "q"])
+                yield row.take(pa.array(np.flatnonzero(ids % parts == part))) if parts > 1 else row
 
     return run
 
@@ -569,8 +574,12 @@ def evaluate(rows: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOF
     hot = HOT * max(totals.tokens, 1) / shards
     for n in range(2, order + 1):
         below = level
-        asked = state.mapInArrow(ask_grams(n, below, totals, shards, hot), REQUEST)
-        table = materialize(asked.groupBy("shard").applyInArrow(merge_grams(n, cutoffs[n - 1], k, below, totals), TABLE))
+        parts = min(PARTS, shards)
+        tables = [
+            materialize(state.mapInArrow(ask_grams(n, below, totals, shards, hot, part, parts), REQUEST)
+                        .groupBy("shard").applyInArrow(merge_grams(n, cutoffs[n - 1], k, below, totals), TABLE))
+            for part in range(parts)]
+        table = reduce(DataFrame.unionByName, tables)
         seen = _counts_of_counts([(range(len(r["seen"])), r["seen"]) for r in table.select("seen").collect()])
         level = Level(discounts(seen, k), cutoffs[n - 1])
         level.split = _split_contexts(table, level, hot)
