@@ -320,7 +320,10 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
 
     Each centre is in its star as well. ``keys``: key, class. ``sets``: class, size, prefix.
     """
-    lists = keys.groupBy("key").agg(F.min("class").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    members = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    lists = keys.groupBy("key").agg(F.min("class").alias("centre"), F.count("*").alias("n"), *members).filter("n > 1")
+    # sets that are much alike share many keys: those of the same sets are one
+    lists = lists.groupBy("centre", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "centre", "n")
     rows = materialize(keys.join(lists, "key"))
     marks = materialize(sketches(maybe_in(sets, rows.select("class").distinct(), "class")))
     pairs = rows.filter("class <> centre").select("centre", "class").distinct().join(marks, "class").join(
