@@ -31,8 +31,11 @@ def season_of(n: int, seasonal_periods: int) -> int | None:
 
 
 ROUNDS, STEPS = 4, 5
-#: Points of a block, and numbers of a matrix that series are fitted in together.
+#: Points of a series that is fitted whole, and numbers of a matrix that series are fitted in together.
 BLOCK, IN_STEP = 1 << 16, 1 << 22
+#: Points, and seasons, that a block of a longer series holds: what is handed on of a block (two
+#: states at each point of the grid) is bounded by its points. Errors kept of blocks in step.
+STRETCH, SEASONS, KEPT = 1 << 12, STEPS**3, 1 << 23
 
 
 def grid(centre: np.ndarray, reach: float) -> np.ndarray:
@@ -118,14 +121,25 @@ def _series(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict, i
 def block_sums(y: np.ndarray, m: int, params: np.ndarray, first: bool) -> np.ndarray:
     """What ``Joined`` needs of a block, a column for each of ``params``: the state behind it, sums of
     (squared) errors and, for a block that isn't the first, how they change with the state before it."""
-    n, p, whole = len(y), len(params), np.array([len(y)])
+    return sums_in_step([y], m, params[None], first)[0]
+
+
+def sums_in_step(blocks: list[np.ndarray], m: int, params: np.ndarray, first: bool) -> list[np.ndarray]:
+    """``block_sums`` of many blocks, of any series, with ``params`` (block, p, 3): all step at once."""
+    y, lengths, by = padded(blocks)
+    params, (s, n), p = params[by], y.shape, params.shape[1]
+    state, parts = (Smooth.start(y[:, : 2 * m], m, p) if first else Smooth.zero(s, m, p)), []
     if first:
-        state = Smooth.start(y[None, : 2 * m], m, p)
-        run(y[None], whole, params[None], state, m)
-        return np.vstack([state.vector()[0], state.sse, state.errors])
-    state, kept = Smooth.zero(1, m, p), np.zeros((n, 1, p))
-    run(y[None], whole, params[None], state, 0, kept)
-    return np.vstack([state.vector()[0], state.sse, state.errors, back(kept, whole, params[None], m)[0]])
+        run(y, lengths, params, state, m)
+    else:
+        kept = np.zeros((n, s, p))
+        run(y, lengths, params, state, 0, kept)
+        parts = [back(kept, lengths, params, m)]
+    sums = np.concatenate([state.vector(), state.sse[:, None], state.errors[:, None], *parts], axis=1)
+    out: list[np.ndarray] = [sums[0]] * s
+    for i, place in enumerate(by):
+        out[place] = sums[i]
+    return out
 
 
 class Joined:
@@ -145,10 +159,11 @@ class Joined:
                 if size not in self.maps:  # all blocks but the last have one size
                     self.maps[size] = Homogeneous.points(self.params, self.m, size)
                 h, g, x = self.maps[size], sums[d + 2:], self.x
-                square = np.einsum("ip,pij,jp->p", x, h.q, x)
+                column = x.T[:, :, None]
+                square = (column * (h.q @ column)).sum((1, 2))
                 self.sse = self.sse + sse + 2 * (g * x).sum(0) + square
-                self.errors = self.errors + errors + np.einsum("pi,ip->p", h.r, x)
-                self.x = np.einsum("pij,jp->ip", h.a, x) + z
+                self.errors = self.errors + errors + (h.r * x.T).sum(1)
+                self.x = (h.a @ column)[:, :, 0].T + z
             self.sse = np.nan_to_num(self.sse, nan=np.inf)
 
 
@@ -156,7 +171,7 @@ class HoltWinters(Detector):
     """Trained per series on all its points, or on its newest ``history`` (a training buffer).
 
     Series of up to ``block`` points are fitted whole, many in step in one task. Longer ones
-    are packed into blocks of that size, and their blocks are spread over the tasks.
+    are packed into smaller blocks, which are spread over the tasks and step side by side there.
     """
 
     model_name = "holt_winters"
@@ -241,10 +256,15 @@ class HoltWinters(Detector):
         first = sized(places.groupBy(*keys).agg(F.min(POS).alias("_first")))
         place = F.col(POS) - F.col("_first")
         # blocks are whole seasons, and two at least
-        size = F.col("m") * F.greatest(F.lit(2), F.ceil(F.lit(self.block) / F.col("m")))
+        wanted = F.least(F.lit(self.block), F.greatest(F.lit(STRETCH), F.col("m") * SEASONS))
+        size = F.col("m") * F.greatest(F.lit(2), F.ceil(wanted / F.col("m")))
         blocks = places.join(first, keys).withColumn("_place", place).withColumn("_block", F.floor(F.col("_place") / size))
-        packed = materialize(blocks.groupBy(*keys, "n", "m", "_block").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("_place", "_y"))), lambda r: r["_y"]).alias("y")))
+        packed = blocks.groupBy(*keys, "n", "m", "_block").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("_place", "_y"))), lambda r: r["_y"]).alias("y"))
+        # work per byte is high: files by points, not by bytes
+        points = lengths.agg(F.sum("n")).first()[0]
+        files = max(4 * rows.sparkSession.sparkContext.defaultParallelism, points >> 20)
+        packed = materialize(packed.repartition(files, *keys, "_block"))
         names = ("alpha", "beta", "gamma")
         start = fixed or (0.5, 0.5, 0.5)
         best = lengths.select(*keys, *[F.lit(x).alias(c) for c, x in zip(names, start)], F.lit(float("inf")).alias("sse"))
@@ -264,34 +284,45 @@ class HoltWinters(Detector):
         """The best of every part of the grid around ``best``, or (without ``reach``) the model at ``best`` itself."""
         keys = self.keys
         parts = STEPS if reach else 1
-        todo = packed.join(best, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        columns = [*keys, "_part", "_block", "n", "m", "alpha", "beta", "gamma"]
+        todo = packed.join(best, keys)
+        columns = [*keys, "_block", "n", "m", "alpha", "beta", "gamma"]
 
         def params_of(row: dict) -> np.ndarray:
             centre = np.array([row["alpha"], row["beta"], row["gamma"]])
-            return np.array_split(grid(centre, reach), parts)[row["_part"]] if reach else centre[None]
+            return grid(centre, reach) if reach else centre[None]
 
         def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sums = []
-                for row, y in zip(batch.select(columns).to_pylist(), batch.column("y")):
-                    y = y.values.to_numpy()
-                    sums.append(block_sums(y, row["m"], params_of(row), row["_block"] == 0).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in columns], pc.list_value_length(batch.column("y")), pa.array(sums, pa.binary())],
-                    [*columns, "size", "sums"])
-
-        types = {**dict(packed.dtypes), **dict(best.dtypes), "_part": "int"}
+                told, y = batch.select(columns).to_pylist(), batch.column("y")
+                alike: dict[tuple, list[int]] = {}
+                for i, row in enumerate(told):
+                    alike.setdefault((row["m"], row["_block"] == 0), []).append(i)
+                sizes = pc.list_value_length(y).to_numpy()
+                for (m, first), own in alike.items():
+                    # as many in step as their errors and states allow
+                    each = (1 if first else int(sizes[own].max())) + 3 * (m + 2)
+                    width = max(1, KEPT // (each * (STEPS**3 if reach else 1)))
+                    for k in range(0, len(own), width):
+                        now = own[k: k + width]
+                        found = sums_in_step([y[i].values.to_numpy() for i in now], m, np.stack([params_of(told[i]) for i in now]), first)
+                        at = pa.array(np.repeat(now, parts))
+                        part = np.tile(np.arange(parts, dtype=np.int32), len(now))
+                        sums = [x.tobytes() for one in found for x in np.array_split(one, parts, axis=1)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*[batch.column(c).take(at) for c in columns], pa.array(part), pa.array(sizes[np.repeat(now, parts)]), pa.array(sums, pa.binary())],
+                            [*columns, "_part", "size", "sums"])
+
+        types = {**dict(packed.dtypes), **dict(best.dtypes)}
         reduced = todo.select(*columns, "y").mapInArrow(
-            reduce, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", size int, sums binary")
+            reduce, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", _part int, size int, sums binary")
         schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined, row = None, None
             for batch in batches:
-                for row, size, sums in zip(batch.select(columns).to_pylist(), batch.column("size").to_pylist(), batch.column("sums").to_pylist()):
+                for row, size, sums in zip(batch.select([*columns, "_part"]).to_pylist(), batch.column("size").to_pylist(), batch.column("sums").to_pylist()):
                     if joined is None:
-                        joined = Joined(params_of(row), row["m"])
+                        joined = Joined(np.array_split(params_of(row), parts)[row["_part"]], row["m"])
                     joined.add(np.frombuffer(sums).reshape(-1, len(joined.params)), size, row["_block"] == 0)
             if joined is None:
                 return

@@ -61,22 +61,24 @@ def run(y: np.ndarray, lengths: np.ndarray, params: np.ndarray, state: Smooth, c
     receives every error. Parameters that diverge end with infinite or undefined sums.
     """
     series, m = len(y), state.season.shape[1]
-    a, b, g = (np.broadcast_to(params[:, :, k], state.level.shape) for k in range(3))
+    a, b, g = (np.ascontiguousarray(np.broadcast_to(params[:, :, k], state.level.shape)) for k in range(3))
     ab = a * b
     base, e, tmp = (np.empty(state.level.shape) for _ in range(3))
+    # what a step reads lies together
+    points, seasons = np.ascontiguousarray(y.T)[:, :, None], state.season.transpose(1, 0, 2).copy()
     k, views = -1, ()
     with np.errstate(over="ignore", invalid="ignore"):
-        for t in range(y.shape[1]):
+        for t in range(len(points)):
             active = series if lengths[-1] > t else int(np.searchsorted(-lengths, -t, "left"))
             if active != k:  # a series has ended
                 k = active
-                views = tuple(x[:k] for x in (base, e, tmp, state.level, state.trend, state.season, state.sse, state.errors, a, ab, g))
+                views = tuple(x[:k] for x in (base, e, tmp, state.level, state.trend, state.sse, state.errors, a, ab, g))
                 if not k:
-                    return
-            vb, ve, vt, level, trend, season, sse, errors, va, vab, vg = views
-            s = season[:, t % m]
+                    break
+            vb, ve, vt, level, trend, sse, errors, va, vab, vg = views
+            s = seasons[t % m, :k]
             np.add(level, trend, out=vb)
-            np.subtract(y[:k, t, None], vb, out=ve)
+            np.subtract(points[t, :k], vb, out=ve)
             ve -= s
             np.multiply(va, ve, out=vt)
             np.add(vb, vt, out=level)
@@ -90,22 +92,29 @@ def run(y: np.ndarray, lengths: np.ndarray, params: np.ndarray, state: Smooth, c
                 errors += ve
             if keep is not None:
                 keep[t, :k] = ve
+    state.season[:] = seasons.transpose(1, 0, 2)
 
 
 def back(errors: np.ndarray, lengths: np.ndarray, params: np.ndarray, m: int) -> np.ndarray:
-    """Σ e_t * ∂e_t/∂x over each block, x the state (s, m + 2, p) before it."""
+    """Σ e_t * ∂e_t/∂x over each block (longest first), x the state (s, m + 2, p) before it."""
     steps, series, p = errors.shape
-    a, b, g = (np.broadcast_to(params[:, :, k], (series, p)) for k in range(3))
-    out = np.zeros((series, m + 2, p))
+    a, b, g = (np.ascontiguousarray(np.broadcast_to(params[:, :, k], (series, p))) for k in range(3))
+    ab, down, tmp = a * b, np.empty((series, p)), np.empty((series, p))
+    out = np.zeros((m + 2, series, p))
     with np.errstate(over="ignore", invalid="ignore"):
         for t in range(steps - 1, -1, -1):
-            k = int(np.searchsorted(-lengths, -t, "left"))
-            level, trend, s = out[:k, 0], out[:k, 1], out[:k, 2 + t % m]
-            down = -(a[:k] * level + a[:k] * b[:k] * trend + g[:k] * s) - errors[t, :k]
-            trend += level + down
-            level += down
-            s += down
-    return out
+            k = series if lengths[-1] > t else int(np.searchsorted(-lengths, -t, "left"))
+            level, trend, s, vd, vt = out[0, :k], out[1, :k], out[2 + t % m, :k], down[:k], tmp[:k]
+            np.multiply(a[:k], level, out=vd)
+            np.multiply(ab[:k], trend, out=vt)
+            vd += vt
+            np.multiply(g[:k], s, out=vt)
+            vd += vt
+            vd += errors[t, :k]
+            level -= vd
+            trend += level
+            s -= vd
+    return out.transpose(1, 0, 2)
 
 
 @dataclass

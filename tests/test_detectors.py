@@ -171,6 +171,29 @@ def test_long_series_are_fitted_by_blocks(spark):
             assert blocks[k][c] == pytest.approx(whole[k][c], rel=1e-6, abs=1e-9)
 
 
+def test_blocks_of_long_series_step_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    blocks = [rng.normal(5, 2, n) for n in (48, 48, 30, 48, 7)]
+    params = rng.uniform(0.05, 0.9, (5, 6, 3))
+    runs, plain = [], hw.run
+    monkeypatch.setattr(hw, "run", lambda *a: (runs.append(len(a[0])), plain(*a)))
+    together = hw.sums_in_step(blocks, 12, params, False)
+    assert runs == [5]
+    for y, p, got in zip(blocks, params, together):
+        assert got == pytest.approx(hw.block_sums(y, 12, p, False), rel=1e-12)
+    monkeypatch.undo()
+    tables, write = [], hw.materialize
+    monkeypatch.setattr(hw, "materialize", lambda df: (tables.append((write(df), df.columns)), tables[-1][0])[1])
+    monkeypatch.setattr(hw, "drop", lambda *t: None)
+    i = F.col("id")
+    rows = spark.range(80_000).select(F.lit("a").alias("server_id"), F.lit("m").alias("name"), F.timestamp_seconds(i).alias("timestamp"),
+                                      (F.sin(i) + i % 24).alias("value"), i.alias("seq"))
+    assert hw.HoltWinters(24).train_at(rows, 0.3, 0.1, 0.2).first()["n"] == 80_000
+    packed = next(t for t, columns in tables if "y" in columns)
+    sizes = [len(r["y"]) for r in packed.collect()]
+    assert sum(sizes) == 80_000 and max(sizes) < 5000 and len(packed.inputFiles()) > 4
+
+
 def test_holt_winters_short_and_flat_series():
     assert hw.fit_series(np.arange(3.0), 12) is None
     assert hw.fit_series(np.arange(10.0), 12)["m"] == 5
