@@ -15,6 +15,9 @@ walk from the first row behind the hour, whichever alert was the last.
 
 Which first alerts a stretch can see: those of a cooldown (or an hour, with a cap) after its
 first row, and one more. A table has as many entries and is kept in pieces of the block size.
+
+Blocks may be tiny and many, so a task never takes them one by one: it holds the tables of many
+stretches behind each other and works on all of them in step, several levels at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewarden.config import DEFAULTS
@@ -36,6 +41,8 @@ ALERT_KEY = ("server_id", "metric_name", "severity")
 HOUR = 3_600_000_000
 #: Rows of a block, and tables composed in one task.
 BLOCK_ROWS, FAN = 4096, 64
+#: Entries of tables that a task works on at once, if they belong to more than one group.
+IN_STEP = 1 << 17
 
 _NEVER = -(1 << 62)
 _TABLE = "_key string, block bigint, piece int, t array<bigint>, w array<bigint>, free array<bigint>, hour array<bigint>, sent array<bigint>"
@@ -61,6 +68,10 @@ class State:
     def take(self, at) -> State:
         return State(*[getattr(self, f.name)[at] for f in fields(State)])
 
+    def put(self, at, other: State) -> None:
+        for f in fields(State):
+            getattr(self, f.name)[at] = getattr(other, f.name)
+
 
 def begin(n: int = 1) -> State:
     return State(np.full(n, _NEVER), np.full(n, _NEVER), np.zeros(n, np.int64))
@@ -74,132 +85,236 @@ class Rule:
     #: How far behind a stretch's first row its first alert can lie, at most.
     reach: int
 
-    def domain(self, times: np.ndarray, first: int) -> int:
-        """Number of rows that can be the first alert of a stretch that begins at ``first``."""
-        return min(len(times), int(np.searchsorted(times, first + self.reach)) + 1)
+    def domain(self, t: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Which rows can be the first alert of their stretch; stretches begin at the places ``heads``."""
+        first = np.repeat(t[heads], np.diff(np.append(heads, len(t))))
+        out = np.append(0, t[:-1]) < first + self.reach
+        out[heads] = True
+        return out
+
+
+def _find(t: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The first place from ``low`` to ``high`` where sorted ``t`` isn't below ``x``, or ``high``."""
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = t[np.where(open_, middle, 0)] < x
+        low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    return low
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
 
 
 @dataclass
 class Table:
-    """From the first alert ``t`` of a stretch to the state behind the stretch.
+    """From the first alert ``t`` of a stretch to the state behind the stretch, for many stretches.
 
-    ``w`` counts the walk's alerts in the stretch's first hour; while a walk is still in that
-    hour at the end (``exit.hour``), its ``sent`` has no meaning and its ``free`` knows no cap.
+    Stretch ``i`` has the entries ``at[i]`` … ``at[i + 1]``. ``w`` counts the walk's alerts in the
+    stretch's first hour; while a walk is still in that hour at the end (``exit.hour``), its ``sent``
+    has no meaning and its ``free`` knows no cap.
     """
 
+    at: np.ndarray
     t: np.ndarray
     w: np.ndarray
     exit: State
 
-    @property
-    def hour(self) -> int:
-        return int(self.t[0] // HOUR)
-
     @staticmethod
-    def of_rows(times: np.ndarray, rule: Rule) -> Table:
-        n, first_hour = len(times), times[0] // HOUR
-        at = np.arange(rule.domain(times, times[0]))
-        walk, sent = at.copy(), np.ones(len(at), np.int64)
+    def of_rows(times: np.ndarray, rule: Rule, starts: np.ndarray | None = None) -> Table:
+        """Of blocks of rows that begin at ``starts``."""
+        starts = np.zeros(1, np.int64) if starts is None else starts
+        ends = np.append(starts[1:], len(times))
+        own = np.repeat(np.arange(len(starts)), ends - starts)
+        entries = np.flatnonzero(rule.domain(times, starts))
+        at, end, first_hour = entries, ends[own[entries]], (times[starts] // HOUR)[own[entries]]
+        sizes = np.bincount(own[entries], minlength=len(starts))
+        walk, sent = np.arange(len(at)), np.ones(len(at), np.int64)
         w = (times[at] // HOUR == first_hour).astype(np.int64)
         out = begin(len(at))
         while len(at):
             hour = times[at] // HOUR
             free = times[at] + rule.cooldown
             free = np.where((hour != first_hour) & (sent >= rule.cap), np.maximum(free, (hour + 1) * HOUR), free)
-            step = np.searchsorted(times, free)
-            ends = step >= n
-            for column, x in ((out.free, free), (out.hour, hour), (out.sent, sent)):
-                column[walk[ends]] = x[ends]
-            walk, at, hour, sent = walk[~ends], step[~ends], hour[~ends], sent[~ends]
+            step = _find(times, at, end, free)
+            ends_here = step >= end
+            out.put(walk[ends_here], State(free, hour, sent).take(ends_here))
+            walk, at, end, first_hour, hour, sent = (x[~ends_here] for x in (walk, step, end, first_hour, hour, sent))
             now = times[at] // HOUR
             sent = np.where(now == hour, sent + 1, 1)
             w[walk] += now == first_hour
-        return Table(times[: len(w)], w, out)
-
-    def advance(self, state: State, rule: Rule) -> State:
-        """States behind the stretch, from those before it."""
-        at = np.searchsorted(self.t, state.free)
-        hit = at < len(self.t)
-        at = np.minimum(at, len(self.t) - 1)
-        found, end = self.exit.take(at), (self.hour + 1) * HOUR
-        inside = self.t[at] // HOUR == self.hour
-        sent = np.where(state.hour == self.hour, state.sent, 0) + self.w[at]
-        stays = inside & (found.hour == self.hour)
+        return Table(_offsets(sizes), times[entries], w, out)
+
+    def advance(self, state: State, rule: Rule, i: np.ndarray | int = 0, at: np.ndarray | None = None) -> State:
+        """States behind the stretches ``i``, from those before them; ``at``: their first alerts, if known."""
+        i = np.broadcast_to(i, state.free.shape)
+        low, high = self.at[i], self.at[i + 1]
+        at = _find(self.t, low, high, state.free) if at is None else at
+        hit = at < high
+        at = np.minimum(at, high - 1)
+        found, hour = self.exit.take(at), self.t[low] // HOUR
+        end = (hour + 1) * HOUR
+        inside = self.t[at] // HOUR == hour
+        sent = np.where(state.hour == hour, state.sent, 0) + self.w[at]
+        stays = inside & (found.hour == hour)
         found.sent = np.where(stays, sent, found.sent)
         found.free = np.where(stays & (sent >= rule.cap), np.maximum(found.free, end), found.free)
         # more than the cap: silent until the hour ends
-        over = inside & (sent > rule.cap)
-        if over.any():
-            k = int(np.searchsorted(self.t, end))
-            silent = self.exit.take([k]) if k < len(self.t) else State(*[np.array([x]) for x in (end, self.hour, rule.cap)])
-            found = found.where(over, silent)
+        over = np.flatnonzero(inside & (sent > rule.cap))
+        if len(over):
+            low, high, end, hour = low[over], high[over], end[over], hour[over]
+            k = _find(self.t, low, high, end)
+            silent = State(end, hour, np.full(len(over), rule.cap))
+            found.put(over, silent.where(k < high, self.exit.take(np.minimum(k, high - 1))))
         return state.where(hit, found)
 
+    def compose(self, heads: np.ndarray, rule: Rule) -> Table:
+        """The tables of longer stretches, each of the neighbours from one of ``heads`` to the next."""
+        own = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        sizes = np.diff(np.append(heads, len(self.at) - 1))
+        group = np.repeat(np.arange(len(heads)), sizes)
+        entries = np.flatnonzero(rule.domain(self.t, self.at[heads]))
+        of = group[own[entries]]
+        t, place, count = self.t[entries], own[entries] - heads[of], sizes[of]
+        hour = (self.t[self.at[heads]] // HOUR)[of]
+        w, open_, state = np.zeros(len(t), np.int64), np.zeros(len(t), bool), begin(len(t))
+        for j in range(int(sizes.max())):
+            # walks still in the first hour go by the cooldown alone
+            go = np.flatnonzero((place < j) & (count > j))
+            i, now, still, first = heads[of[go]] + j, state.take(go), open_[go], hour[go]
+            at = _find(self.t, self.at[i], self.at[i + 1], now.free)
+            hit, near = at < self.at[i + 1], np.minimum(at, self.at[i + 1] - 1)
+            pure = still & hit & (self.t[near] // HOUR == first)
+            counted = State(now.free, now.hour, np.where(still, 0, now.sent))
+            new = self.advance(counted, rule, i, at).where(pure, self.exit.take(near)).where(still & ~hit, now)
+            state.put(go, new)
+            w[go] += np.where(pure, self.w[near], 0)
+            open_[go] = still & (new.hour == first)
+            # walks that begin here
+            go = np.flatnonzero(place == j)
+            mine = t[go] // HOUR == hour[go]
+            alone = State(t[go], np.full(len(go), _NEVER), np.zeros(len(go), np.int64))
+            new = self.advance(alone, rule, own[entries[go]], entries[go]).where(mine, self.exit.take(entries[go]))
+            state.put(go, new)
+            w[go] = np.where(mine, self.w[entries[go]], 0)
+            open_[go] = mine & (new.hour == hour[go])
+        return Table(_offsets(np.bincount(of, minlength=len(heads))), t, w, state)
+
+    def fold(self, heads: np.ndarray, before: State, rule: Rule) -> State:
+        """The state before each stretch, from those before the longer ones that begin at ``heads``."""
+        n = len(self.at) - 1
+        sizes, now, out = np.diff(np.append(heads, n)), before, begin(n)
+        for j in range(int(sizes.max())):
+            go = sizes > j
+            heads, sizes, now = heads[go], sizes[go], now.take(go)
+            out.put(heads + j, now)
+            now = self.advance(now, rule, heads + j)
+        return out
+
 
 def compose(tables: Sequence[Table], rule: Rule) -> Table:
     """The table of neighbouring stretches, in order."""
-    first, hour = int(tables[0].t[0]), tables[0].hour
-    t, w, open_, state, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), begin(0), False
-    for table in tables:
-        if len(t):
-            # walks still in the first hour go by the cooldown alone
-            at = np.searchsorted(table.t, state.free)
-            near = np.minimum(at, len(table.t) - 1)
-            pure = open_ & (at < len(table.t)) & (table.t[near] // HOUR == hour)
-            counted = State(state.free, state.hour, np.where(open_, 0, state.sent))
-            state = table.advance(counted, rule).where(pure, table.exit.take(near)).where(open_ & (at == len(table.t)), state)
-            w = w + np.where(pure, table.w[near], 0)
-            open_ = open_ & (state.hour == hour)
-        if not full:
-            n = rule.domain(table.t, first)
-            full = bool(table.t[n - 1] >= first + rule.reach)
-            own = table.t[:n]
-            mine = own // HOUR == hour
-            alone = State(own, np.full(n, _NEVER), np.zeros(n, np.int64))
-            new = table.advance(alone, rule).where(mine, table.exit.take(slice(0, n)))
-            t, w = np.append(t, own), np.append(w, np.where(mine, table.w[:n], 0))
-            open_ = np.append(open_, mine & (new.hour == hour))
-            state = State(*[np.append(getattr(state, f.name), getattr(new, f.name)) for f in fields(State)])
-    return Table(t, w, state)
-
-
-def _frame(key: str, block: int, table: Table, rows: int) -> pd.DataFrame:
-    parts = range(0, len(table.t), rows)
-    columns = {"t": table.t, "w": table.w, "free": table.exit.free, "hour": table.exit.hour, "sent": table.exit.sent}
-    return pd.DataFrame({"_key": key, "block": block, "piece": np.arange(len(parts), dtype=np.int32),
-                         **{c: [x[i: i + rows] for i in parts] for c, x in columns.items()}})
-
-
-def _tables(pdf: pd.DataFrame) -> list[tuple[int, Table]]:
-    out = []
-    for block, own in pdf.sort_values(["block", "piece"]).groupby("block"):
-        t, w, *state = (np.concatenate(own[c].to_list()).astype(np.int64) for c in ("t", "w", "free", "hour", "sent"))
-        out.append((int(block), Table(t, w, State(*state))))
-    return out
+    state = State(*[np.concatenate([getattr(x.exit, f.name) for x in tables]) for f in fields(State)])
+    every = Table(_offsets(np.concatenate([np.diff(x.at) for x in tables])), np.concatenate([x.t for x in tables]),
+                  np.concatenate([x.w for x in tables]), state)
+    return every.compose(np.zeros(1, np.int64), rule)
+
+
+def _rows(keys: pa.Array, blocks: np.ndarray, table: Table, rows: int) -> pa.RecordBatch:
+    """Tables as rows, in pieces of up to ``rows`` entries."""
+    pieces = -(-np.diff(table.at) // rows)
+    own = np.repeat(np.arange(len(pieces)), pieces)
+    piece = np.arange(len(own)) - _offsets(pieces)[:-1][own]
+    cuts = pa.array(np.append(table.at[own] + piece * rows, table.at[-1]).astype(np.int32))
+    entries = (table.t, table.w, *[getattr(table.exit, f.name) for f in fields(State)])
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(own)), pa.array(blocks[own]), pa.array(piece.astype(np.int32)),
+         *[pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in entries]],
+        ["_key", "block", "piece", "t", "w", "free", "hour", "sent"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of tables, cut only where a group (_key, _up) ends, some ``IN_STEP`` entries at once."""
+    kept, entries = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        entries += pc.sum(pc.list_value_length(batch["t"])).as_py()
+        if entries >= IN_STEP and (kept[0]["_key"][0], kept[0]["_up"][0]) != (batch["_key"][-1], batch["_up"][-1]):
+            rows = pa.concat_batches(kept)
+            end = int(_heads(_codes(rows["_key"]), rows["_up"].to_numpy())[-1])
+            yield rows.slice(0, end)
+            kept = [rows.slice(end)]
+            entries = pc.sum(pc.list_value_length(kept[0]["t"])).as_py()
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def _codes(keys: pa.Array) -> np.ndarray:
+    return keys.dictionary_encode().indices.to_numpy()
+
+
+def _levels(rows: pa.RecordBatch, rule: Rule, fan: int, levels: int) -> tuple[np.ndarray, list[tuple[Table, np.ndarray, np.ndarray]]]:
+    """Where in ``rows`` each stretch begins, and the tables level by level: with their numbers, and where groups of ``fan`` begin."""
+    codes, block = _codes(rows["_key"]), rows["block"].to_numpy()
+    heads = _heads(codes, block)
+    sizes = pc.list_value_length(rows["t"]).to_numpy()
+    t, w, *state = (rows[c].flatten().to_numpy() for c in ("t", "w", "free", "hour", "sent"))
+    table = Table(_offsets(np.add.reduceat(sizes, heads)), t, w, State(*state))
+    codes, block, out = codes[heads], block[heads], []
+    for level in range(levels):
+        up = _heads(codes, block // fan)
+        out.append((table, block, up))
+        codes, block = codes[up], block[up] // fan
+        if level < levels - 1:
+            table = table.compose(up, rule)
+    return heads, out
 
 
 def _block_starts(tables: DataFrame, rule: Rule, high: int, fan: int, rows: int, at_first: DataFrame | None) -> DataFrame:
     """The state that each block (0 … ``high``) of each key begins with, the first one with ``at_first``."""
     if high == 0:
         return _with_state(tables.select("_key", "block").distinct(), at_first)
+    levels, width = 1, fan
+    while width * fan < FAN:  # a task takes some levels at once, of as many tables as one wide level has
+        levels, width = levels + 1, width * fan
     tables = materialize(tables)
-    grouped = tables.withColumn("_up", F.floor(F.col("block") / fan))
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(pdf["_key"].iloc[0], int(pdf["_up"].iloc[0]), compose([t for _, t in _tables(pdf)], rule), rows)
 
-    above = _block_starts(grouped.groupBy("_key", "_up").applyInPandas(join, _TABLE), rule, high // fan, fan, rows, at_first)
-    above = above.select("_key", F.col("block").alias("_up"), *[F.col(f.name).alias(f"s_{f.name}") for f in fields(State)])
+    def grouped(df: DataFrame) -> DataFrame:
+        # by a hash of its own: a shuffle by the columns of a join before it would be left out, and
+        # Spark, not knowing of the groups, may read that join's rows with groups torn apart
+        dealt = df.withColumn("_deal", F.xxhash64("_key", "_up"))
+        return dealt.repartition("_deal").sortWithinPartitions("_key", "_up", "block", "piece").drop("_deal")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches):
+            heads, by_level = _levels(own, rule, fan, levels)
+            table, block, up = by_level[-1]
+            top = _heads(_codes(own["_key"]), own["_up"].to_numpy())
+            yield _rows(own["_key"].take(pa.array(top)), block[up] // fan, table.compose(up, rule), rows)
+
+    numbered = tables.withColumn("_up", F.floor(F.col("block") / width))
+    above = _block_starts(grouped(numbered).mapInArrow(join, _TABLE), rule, high // width, fan, rows, at_first)
+    state = [f.name for f in fields(State)]
+    above = above.select("_key", F.col("block").alias("_up"), *[F.col(c).alias(f"s_{c}") for c in state])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = State(*[pdf[f"s_{f.name}"].to_numpy()[:1] for f in fields(State)])
-        out = []
-        for block, table in _tables(pdf):
-            out.append((pdf["_key"].iloc[0], block, *[int(getattr(state, f.name)[0]) for f in fields(State)]))
-            state = table.advance(state, rule)
-        return pd.DataFrame(out, columns=["_key", "block", *[f.name for f in fields(State)]])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches):
+            heads, by_level = _levels(own, rule, fan, levels)
+            top = _heads(_codes(own["_key"]), own["_up"].to_numpy())
+            now = State(*[own[f"s_{c}"].to_numpy()[top] for c in state])
+            for table, _, up in reversed(by_level):
+                now = table.fold(up, now, rule)
+            yield pa.RecordBatch.from_arrays([own["_key"].take(pa.array(heads)), pa.array(by_level[0][1]),
+                                              *[pa.array(getattr(now, c)) for c in state]], ["_key", "block", *state])
 
-    return grouped.join(above, ["_key", "_up"]).groupBy("_key", "_up").applyInPandas(fold, _STATE)
+    return grouped(numbered.join(above, ["_key", "_up"])).mapInArrow(fold, _STATE)
 
 
 def _with_state(rows: DataFrame, known: DataFrame | None, on: Sequence[str] = ("_key",)) -> DataFrame:
@@ -275,13 +390,17 @@ def suppress(candidates: DataFrame, cooldown_minutes: float = DEFAULTS.cooldown_
     if high is None:  # every key is one block
         known = _with_state(blocks, at_first)
     else:
-        def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for key, block, times in zip(pdf["_key"], pdf["block"], pdf["times"]):
-                    yield _frame(key, block, Table.of_rows(np.asarray(times, np.int64), rule), block_rows)
+        def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_once = max(1, IN_STEP // block_rows)
+            for batch in batches:
+                for k in range(0, batch.num_rows, at_once):
+                    own = batch.slice(k, at_once)
+                    starts = _offsets(pc.list_value_length(own["times"]).to_numpy())[:-1]
+                    table = Table.of_rows(own["times"].flatten().to_numpy(), rule, starts)
+                    yield _rows(own["_key"], own["block"].to_numpy(), table, block_rows)
 
         near = blocks.join(spans, "_key").withColumn("block", F.col("block") - F.col("low"))
-        starts = _block_starts(near.select("_key", "block", "times").mapInPandas(reduce, _TABLE), rule, high, fan, block_rows, at_first)
+        starts = _block_starts(near.select("_key", "block", "times").mapInArrow(reduce, _TABLE), rule, high, fan, block_rows, at_first)
         placed = starts.join(spans, "_key").select("_key", (F.col("block") + F.col("low")).alias("block"), *state)
         single = blocks.join(spans, "_key", "left_anti")
         known = _with_state(single, at_first).select(*blocks.columns, *state).unionByName(

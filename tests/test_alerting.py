@@ -143,6 +143,31 @@ def test_no_array_is_longer_than_a_block(spark, monkeypatch):
     assert len(seen) > 10 and max(seen) == 16
 
 
+def test_tiny_blocks_take_few_tables(spark, monkeypatch):
+    """Levels of a small fan are joined in one task, not with a written table each."""
+    tables, write = [], sup.materialize
+    monkeypatch.setattr(sup, "materialize", lambda df, *by: (tables.append(df.columns), write(df, *by))[1])
+    cand = candidates(spark, np.round(np.random.default_rng(3).exponential(9, 300).cumsum(), 2))
+    got = {r["seq"] for r in al.suppress(spark.createDataFrame(cand, CAND), 30, 50, fan=2, block_rows=1).collect()}
+    assert got == sequential(cand, 30, 50)
+    assert sum("piece" in columns for columns in tables) == 2
+
+
+def test_groups_of_tables_stay_whole_if_a_join_turns_broadcast(spark):
+    """Spark may read such a join's rows without shuffling them, in pieces of groups."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    cand = candidates(spark, np.round(np.random.default_rng(5).exponential(2, 2500).cumsum(), 2))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["seq"] for r in al.suppress(spark.createDataFrame(cand, CAND), 30, 50, fan=2, block_rows=1).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sequential(cand, 30, 50)
+
+
 def detection(spark, score, flag, **extra):
     cols = {"server_id": "web-1", "metric_name": "cpu_usage", "timestamp": T0, "seq": 1,
             "anomaly_score": score, "is_anomaly": flag, **extra}
