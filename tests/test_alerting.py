@@ -168,6 +168,24 @@ def test_groups_of_tables_stay_whole_if_a_join_turns_broadcast(spark):
     assert got == sequential(cand, 30, 50)
 
 
+def test_tables_of_many_stretches_are_joined_in_step():
+    """All groups of a level at once give the same tables as one group after the other."""
+    r, minute = np.random.default_rng(9), 60_000_000
+    for cooldown, cap, fan in ((5, 2, 3), (1, 3, 2), (7, 1 << 61, 4)):
+        rule = sup.Rule(cooldown * minute, cap, sup.HOUR)
+        times = [np.unique((r.exponential(r.choice([0.5, 20]), n).cumsum() * minute).astype(np.int64)) for n in r.integers(1, 9, 40)]
+        start = np.cumsum([0, *[int(x[-1]) + minute for x in times[:-1]]])
+        times = [x + s for x, s in zip(times, start)]
+        every = sup.Table.of_rows(np.concatenate(times), rule, np.cumsum([0, *map(len, times[:-1])]))
+        heads = np.arange(0, 40, fan)
+        got = every.compose(heads, rule)
+        for i, k in enumerate(heads):
+            want = sup.compose([sup.Table.of_rows(x, rule) for x in times[k: k + fan]], rule)
+            own = slice(got.at[i], got.at[i + 1])
+            assert [x.tolist() for x in (got.t[own], got.w[own], got.exit.free[own], got.exit.hour[own], got.exit.sent[own])] == [
+                x.tolist() for x in (want.t, want.w, want.exit.free, want.exit.hour, want.exit.sent)]
+
+
 def detection(spark, score, flag, **extra):
     cols = {"server_id": "web-1", "metric_name": "cpu_usage", "timestamp": T0, "seq": 1,
             "anomaly_score": score, "is_anomaly": flag, **extra}
