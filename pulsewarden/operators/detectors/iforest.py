@@ -121,16 +121,25 @@ class _Forest:
         """``−2^(−E[h]/c)`` of each row; a block of rows goes down all trees at once."""
         if not self.scale:
             return np.full(len(x), -0.5)
-        child = np.stack([self.right, self.left], axis=1).ravel()
+        # places as numpy's own index type and buffers used again: nothing is converted or allocated in a step
+        child = np.stack([self.right, self.left], axis=1).ravel().astype(np.intp)
+        feature, roots = self.feature.astype(np.intp), self.roots.astype(np.intp)
         total = np.empty(len(x))
         for start in range(0, len(x), block):
             part = np.ascontiguousarray(x[start:start + block])
-            values, row = part.ravel(), (np.arange(len(part), dtype=np.int32) * x.shape[1])[:, None]
-            at = np.repeat(self.roots[None, :], len(part), axis=0)
+            values, row = part.ravel(), (np.arange(len(part)) * x.shape[1])[:, None]
+            at = np.repeat(roots[None, :], len(part), axis=0)
+            other, value, threshold = np.empty_like(at), np.empty(at.shape), np.empty(at.shape)
             for _ in range(self.levels):
-                go_left = values.take(row + self.feature.take(at)) <= self.threshold.take(at)
-                at = child.take(2 * at + go_left)
-            total[start:start + block] = self.length.take(at).sum(axis=1)
+                feature.take(at, out=other, mode="clip")
+                other += row
+                values.take(other, out=value, mode="clip")
+                self.threshold.take(at, out=threshold, mode="clip")
+                at *= 2
+                at += value <= threshold
+                child.take(at, out=other, mode="clip")
+                at, other = other, at
+            total[start:start + block] = self.length.take(at, mode="clip").sum(axis=1)
         return -np.power(2.0, -total / self.scale)
 
 

@@ -194,6 +194,24 @@ def test_blocks_of_long_series_step_together(spark, monkeypatch):
     assert sum(sizes) == 80_000 and max(sizes) < 5000 and len(packed.inputFiles()) > 4
 
 
+def test_descent_in_step_equals_row_by_row():
+    """Rows go down all trees at once; the result is that of one row and one tree after the other."""
+    from pulsewarden.operators.detectors.iforest import _grow
+
+    rng = np.random.default_rng(11)
+    grown = [_grow(1, 64)(pd.DataFrame({"tree": t, "_r": np.arange(1, 65), "vector": list(rng.normal(0, 1, (64, 3)))})) for t in range(20)]
+    f, x = _Forest(pd.concat(grown, ignore_index=True), 64), rng.normal(0, 1, (500, 3))
+    want = []
+    for v in x:
+        total = 0.0
+        for at in f.roots:
+            for _ in range(f.levels):
+                at = f.left[at] if v[f.feature[at]] <= f.threshold[at] else f.right[at]
+            total += f.length[at]
+        want.append(-(2.0 ** (-total / f.scale)))
+    assert f.depth_score(x) == pytest.approx(np.array(want), rel=1e-12)
+
+
 def test_holt_winters_short_and_flat_series():
     assert hw.fit_series(np.arange(3.0), 12) is None
     assert hw.fit_series(np.arange(10.0), 12)["m"] == 5
