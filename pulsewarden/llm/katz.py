@@ -16,7 +16,7 @@ model; their share is in their context's alpha. The base model knows every word.
 
 Blocks and shards. Texts are read once, into blocks of a few million tokens: the block's distinct
 words, and the places of its tokens among them. Level by level each block sends its distinct
-n-grams, packed, to shards, a shard merges the counts and packs them as one row of the level's
+n-grams, packed and compressed, to shards, a shard merges the counts and packs them as one row of the level's
 table, and the answers go back to the blocks: an n-gram's count, a context's alpha. So what is
 shuffled is one entry for each distinct n-gram of a block, and tokens stay in their blocks,
 where a text's probabilities are worked out by the recursion, from the lowest level up.
@@ -46,12 +46,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pulsewarden.llm.language import held_out
 from pulsewarden.llm.rows import with_rid
 from pulsewarden.llm.tokens import GROUP, groups, hashes, mix, utf8, words
-from pulsewarden.session import drop, materialize
+from pulsewarden.session import drop, materialize, wide_rows
 
 ORDER = 2
 #: Least count of an n-gram in the model, by level.
@@ -63,7 +64,7 @@ K = 5
 TOKENS = 1 << 19
 #: Parts, by shard, in which a level's n-grams are sent one after the other: all of them, but what is shuffled for
 #: a part is gone before the next.
-PARTS = 3
+PARTS = 2
 #: Bytes of text for each shard.
 SHARD_BYTES = 24 << 20
 #: A context is split if it has more than this part of the tokens of a shard.
@@ -130,6 +131,40 @@ def _lists(values: np.ndarray, cuts: Sequence[int] | None = None) -> pa.ListArra
     return pa.ListArray.from_arrays(cuts, pa.array(values))
 
 
+#: Arrays that lie packed in a column of bytes.
+PACKED = {
+    "words": ("key", "id", "c"),
+    "state": ("lens", "train", "base", "known", "seq", "id", "c", "gram", "gc", "s"),
+    "request": ("ctx", "all", "gctx", "nw", "word", "c", "low", "q"),
+    "contexts": ("ctx", "all"),
+    "grams": ("gctx", "nw", "sumq", "word", "c"),
+    "asked": ("blocks", "n_ctx", "n_gram", "ctx_at", "gram_at"),
+    "answer": ("alpha", "all", "c", "gram"),
+}
+_KINDS = [np.dtype(k) for k in (bool, np.int32, np.int64, np.float64)]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: all first bytes of an array's numbers, then all second ones …, compressed."""
+    head = np.array([[_KINDS.index(x.dtype), len(x)] for x in arrays], np.int64)
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    whole = b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *planes])
+    return np.int64(len(whole)).tobytes() + pa.compress(whole, "zstd", asbytes=True)
+
+
+def unpack(data: bytes | pa.Buffer) -> list[np.ndarray]:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    whole = np.frombuffer(pa.decompress(memoryview(data)[8:], size, "zstd"), np.uint8)
+    n = int(whole[:8].view(np.int64)[0])
+    at, out = 8 + 16 * n, []
+    for kind, length in whole[8:at].view(np.int64).reshape(n, 2):
+        kind = _KINDS[kind]
+        end = at + length * kind.itemsize
+        out.append(np.ascontiguousarray(whole[at:end].reshape(kind.itemsize, length).T).view(kind).reshape(length))
+        at = end
+    return out
+
+
 def _by_shard(key: np.ndarray, shards: int) -> np.ndarray:
     """Places of sorted keys in order of shard and key."""
     return np.argsort((key % _U(shards)).astype(np.int32), kind="stable")
@@ -195,13 +230,16 @@ def ask_words(shards: int) -> Callable:
 
 
 #: ``kind`` 0: a block's answers. 1: counts of counts (``key`` are counts, ``c`` how often). 2: the shard's words.
-WORD_ANSWER = "kind int, shard int, block long, key array<long>, id array<int>, c array<long>"
+WORD_ANSWER = "kind int, shard int, block long, words binary"
 
 
 def _joined(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The lists of a column end to end, and where each begins."""
-    parts = [x.values.to_numpy() for x in table.column(column).combine_chunks()] if table.num_rows else []
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+    parts = table.column(column).chunks
+    values = [p.flatten().to_numpy(zero_copy_only=False) for p in parts]
+    sizes = [pc.list_value_length(p).to_numpy(zero_copy_only=False) for p in parts]
+    at = np.append(0, np.cumsum(np.concatenate(sizes) if sizes else [])).astype(np.int64)
+    return (np.concatenate(values) if len(values) != 1 else values[0]) if values else np.zeros(0, np.int64), at
 
 
 def merge_words(shards: int, k: int) -> Callable:
@@ -219,15 +257,13 @@ def merge_words(shards: int, k: int) -> Callable:
         # besides counts of counts: -1 tokens, -2 distinct words, -3 texts
         r = np.concatenate([r, [-1, -2, -3]])
         seen = np.concatenate([seen, [total.sum(), (total > 0).sum(), end.sum()]]).astype(np.int64)
-        n = table.num_rows
-        ends = cuts[-1] + np.array([0, len(r), len(r) + len(word)])
+        n, none, place = table.num_rows, np.zeros(0, np.int64), place.reshape(-1)
+        id_, c = number[place], total[place]
+        rows = [pack(none, id_[i:j], c[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+        rows += [pack(r, none, seen), pack(word.view(np.int64), number, total)]
         return pa.table([
             pa.array(np.concatenate([np.zeros(n), [1, 2]]).astype(np.int32)), pa.array(np.full(n + 2, shard, np.int32)),
-            pa.array([*table["block"].to_pylist(), -1, -1], pa.int64()),
-            _lists(np.concatenate([r, word.view(np.int64)]), np.concatenate([np.zeros(n + 1, int), ends[1:] - cuts[-1]])),
-            _lists(np.concatenate([number[place], number]), np.concatenate([cuts, [cuts[-1], cuts[-1] + len(word)]])),
-            _lists(np.concatenate([total[place], seen, total]), np.concatenate([cuts, ends[1:]])),
-        ], ["kind", "shard", "block", "key", "id", "c"])
+            pa.array([*table["block"].to_pylist(), -1, -1], pa.int64()), pa.array(rows, pa.binary())], ["kind", "shard", "block", "words"])
 
     return run
 
@@ -236,13 +272,12 @@ def merge_words(shards: int, k: int) -> Callable:
 
 #: Tokens in order. ``seq``: place of its word in ``id`` and ``c``. From level 2 on ``gram`` and ``gc`` are the number
 #: and count of the highest n-gram that ends in a token (-1 and 0: not seen; a negative count: not in the model), and ``s`` its score.
-STATE = ("block long, lens array<int>, train array<boolean>, base array<double>, known array<int>, seq array<int>, "
-         "id array<int>, c array<long>, gram array<long>, gc array<long>, s array<double>")
+STATE = "block long, state binary"
 SUMS = "rid long, score double, base_score double, n_tokens long, n_known long"
 
 
-def _state_arrays(schema: list[str], values: list) -> pa.Table:
-    return pa.table([pa.array([values[0]], pa.int64()), *map(_lists, values[1:])], schema)
+def _state(block: int, *arrays: np.ndarray) -> pa.Table:
+    return pa.table([pa.array([block], pa.int64()), pa.array([pack(*arrays)], pa.binary())], ["block", "state"])
 
 
 def _sums(rid: int, lens: np.ndarray, s: np.ndarray, base: np.ndarray, known: np.ndarray) -> pa.Table:
@@ -251,23 +286,25 @@ def _sums(rid: int, lens: np.ndarray, s: np.ndarray, base: np.ndarray, known: np
                      pa.array(lens.astype(np.int64)), pa.array(known.astype(np.int64))], ["rid", "score", "base_score", "n_tokens", "n_known"])
 
 
-_STATE_NAMES = ["block", "lens", "train", "base", "known", "seq", "id", "c", "gram", "gc", "s"]
-
-
 def unigram_scores(c: np.ndarray, level: Level, totals: Totals) -> np.ndarray:
     d = level.discounted(c)
     with np.errstate(divide="ignore"):
         return np.where(d > 0, np.log10(d / max(totals.whole, 1)), np.log10(totals.left) if totals.left > 0 else 0.0)
 
 
+def _answers(answers: pa.Table, column: str, names: Sequence[str]) -> list[np.ndarray]:
+    """The answers to a block in order of shards, end to end."""
+    at = [PACKED[column].index(x) for x in names]
+    rows = [unpack(answers[column][int(i)].as_buffer()) for i in np.argsort(answers["shard"].to_numpy())]
+    return [np.concatenate([x[k] for x in rows]) if rows else np.zeros(0, np.int64) for k in at]
+
+
 def take_words(level: Level, totals: Totals, last: bool) -> Callable:
     """A block and the answers to it → its state; or, if there is no other level, the sums of its texts."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        answers = answers.sort_by("shard")
-        numbers, _ = _joined(answers, "id")
-        counts, _ = _joined(answers, "c")
+        numbers, counts = _answers(answers, "words", ("id", "c"))
         for i in range(block.num_rows):
             rid = block["block"][i].as_py()
             lens, train, seq = (block[c].combine_chunks()[i].values.to_numpy(zero_copy_only=False) for c in ("lens", "train", "seq"))
@@ -279,7 +316,7 @@ def take_words(level: Level, totals: Totals, last: bool) -> Callable:
                 out.append(_sums(rid, lens, unigram_scores(c, level, totals), base, known))
                 continue
             none, number = np.zeros(0, np.int64), np.where(counts > 0, numbers, -1).astype(np.int32)
-            out.append(_state_arrays(_STATE_NAMES, [rid, lens, train, base, known, seq, number, counts.astype(np.int64), none, none, np.zeros(0)]))
+            out.append(_state(rid, lens, train, base, known, seq, number, counts, none, none, np.zeros(0)))
         return pa.concat_tables(out)
 
     return run
@@ -364,8 +401,8 @@ class Entries:
 # ---- a higher level ---------------------------------------------------------------------
 
 #: ``ctx`` and ``all``: contexts at home in the shard. n-grams: runs of ``nw`` words of ``gctx``, with counts and what is in the model below
-#: them: the word's count (level 2, ``low``) or a probability (``q``).
-REQUEST = "shard int, block long, ctx array<long>, all array<long>, gctx array<long>, nw array<int>, word array<int>, c array<int>, low array<int>, q array<double>"
+#: them: the word's count (level 2, ``low``) or a probability (``q``). Contexts go as differences.
+REQUEST = "shard int, block long, request binary"
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,13 +411,13 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(sorted_)))
 
 
-def _row(batch, i: int) -> Callable[[str], np.ndarray]:
-    def get(name: str) -> np.ndarray:
-        x = batch.column(name)
-        x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-        return x[i].values.to_numpy(zero_copy_only=False)
-
-    return get
+def _row(batch: pa.RecordBatch | pa.Table, i: int) -> Callable[[str], np.ndarray]:
+    """The arrays of a row, by name."""
+    found: dict[str, np.ndarray] = {}
+    for column in batch.schema.names:
+        if column in PACKED:
+            found.update(zip(PACKED[column], unpack(batch[column][i].as_buffer())))
+    return found.__getitem__
 
 
 def ask_grams(n: int, below: Level, totals: Totals, shards: int, hot: float, part: int = 0, parts: int = 1) -> Callable:
@@ -398,60 +435,75 @@ def ask_grams(n: int, below: Level, totals: Totals, shards: int, hot: float, par
                 q = np.where(held, 10.0 ** t.lower[e.first], 0.0) if n > 2 else np.zeros(0)
                 at, nw = _runs(np.cumsum(np.append(0, (np.diff(e.gram_ctx) != 0) | (np.diff(e.gram_shard) != 0)))[: len(e.gram_ctx)])
                 ids = np.union1d(e.ctx_shard, e.gram_shard).astype(np.int32)
-                cut = lambda x: np.append(np.searchsorted(x, ids), len(x))
+                ids = ids[ids % parts == part]
+                cut = lambda x: np.stack([np.searchsorted(x, ids), np.searchsorted(x, ids, "right")], 1)
                 ctx_cut, gram_cut, run_cut = cut(e.ctx_shard), cut(e.gram_shard), cut(e.gram_shard[at])
-                row = pa.RecordBatch.from_arrays([
-                    pa.array(ids), batch.column("block").take(pa.array(np.full(len(ids), i))),
-                    _lists(e.ctx, ctx_cut), _lists(e.ctx_all, ctx_cut), _lists(e.gram_ctx[at], run_cut), _lists(nw.astype(np.int32), run_cut),
-                    _lists(e.gram_word.astype(np.int32), gram_cut), _lists(c, gram_cut),
-                    _lists(low, gram_cut if n == 2 else gram_cut * 0), _lists(q, gram_cut if n > 2 else gram_cut * 0)],
-                    ["shard", "block", "ctx", "all", "gctx", "nw", "word", "c", "low", "q"])
-                yield row.take(pa.array(np.flatnonzero(ids % parts == part))) if parts > 1 else row
+                runs, words_, none = e.gram_ctx[at], e.gram_word.astype(np.int32), np.zeros(0, np.int32)
+                rows = []
+                for (a, b), (f, g), (x, y) in zip(ctx_cut, gram_cut, run_cut):
+                    rows.append(pack(_differences(e.ctx[a:b]), e.ctx_all[a:b], _differences(runs[x:y]), nw[x:y].astype(np.int32), words_[f:g], c[f:g],
+                                     low[f:g] if n == 2 else none, q[f:g] if n > 2 else q))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), batch.column("block").take(pa.array(np.full(len(ids), i))), pa.array(rows, pa.binary())], ["shard", "block", "request"])
 
     return run
 
 
 #: One row for each shard. The model: contexts with all their occurrences; runs of ``nw`` words of ``gctx`` with counts (negative where the lower
 #: n-gram is not in the model), and the sum of the lower probabilities of those in the model. For the answers: what each block asked for, as differences of places.
-TABLE = ("n int, shard int, ctx array<long>, all array<long>, gctx array<long>, nw array<int>, sumq array<double>, word array<int>, c array<int>, "
-         "blocks array<long>, n_ctx array<int>, n_gram array<int>, ctx_at array<int>, gram_at array<int>, seen array<long>")
+TABLE = "n int, shard int, contexts binary, grams binary, asked binary, seen array<long>"
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=0).astype(np.int32)
+    return np.diff(x, prepend=x.dtype.type(0)).astype(np.int32, copy=False)
+
+
+def _differences(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the place of each of ``x`` among them in half the bytes."""
+    by = np.argsort(x).astype(np.int32)
+    values = x[by]
+    new = np.append(True, values[1:] != values[:-1])[: len(x)]
+    place = np.empty(len(x), np.int32)
+    place[by] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], place
 
 
 def merge_grams(n: int, cutoff: int, k: int, below: Level, totals: Totals) -> Callable:
     """All requests of a shard → its row of the level's ``TABLE``."""
 
     def run(table: pa.Table) -> pa.Table:
-        ctxs, ctx_cuts = _joined(table, "ctx")
-        alls, _ = _joined(table, "all")
+        shard, block = table["shard"].combine_chunks().slice(0, 1), table["block"].to_numpy()
+        rows = [unpack(x.as_buffer()) for x in table["request"]]
+        ctxs, alls, gctx, nw, word, c, low, q = [
+            np.concatenate([np.cumsum(r[k]) if name in ("ctx", "gctx") else r[k] for r in rows]) for k, name in enumerate(PACKED["request"])]
+        n_ctx, n_gram = (np.array([len(r[k]) for r in rows], np.int32) for k in (0, 4))
+        del rows
         ctx, first, ctx_place = np.unique(ctxs, return_index=True, return_inverse=True)
-        gctx, _ = _joined(table, "gctx")
-        nw, _ = _joined(table, "nw")
-        word, cuts = _joined(table, "word")
-        c, _ = _joined(table, "c")
-        q, _ = _joined(table, "low" if n == 2 else "q")
+        alls = alls[first]
         run_ctx, run_place = np.unique(gctx, return_inverse=True)
-        pair = (np.repeat(run_place, nw).astype(np.int64) << 31) | word
-        gram, place = np.unique(pair, return_inverse=True)
+        pair = np.repeat(run_place.astype(np.int64) << 31, nw)
+        pair |= word
+        del ctxs, gctx, nw, word
+        gram, place = _places(pair)
+        del pair
         total = np.bincount(place, c, len(gram)).astype(np.int64)
         lower = np.zeros(len(gram))
-        np.maximum.at(lower, place, q)  # the same wherever it is counted
+        np.maximum.at(lower, place, low if n == 2 else q)  # the same wherever it is counted
         if n == 2:
             lower = below.discounted(lower.astype(np.int64)) / max(totals.whole, 1)
         kept = (total >= max(cutoff, 1)) & (lower > 0)
         at, runs = _runs(gram >> 31)
         sumq = np.add.reduceat(np.where(kept, lower, 0.0), at) if len(at) else np.zeros(0)
         seen = np.bincount(total[(total > 0) & (total <= k + 1)], minlength=k + 2).astype(np.int64)
-        return pa.table([
-            pa.array([n], pa.int32()), table["shard"].combine_chunks().slice(0, 1), _lists(ctx), _lists(alls[first]),
-            _lists(run_ctx[gram[at] >> 31] if len(at) else run_ctx[:0]), _lists(runs.astype(np.int32)), _lists(sumq),
-            _lists((gram & ((1 << 31) - 1)).astype(np.int32)), _lists(np.where(lower > 0, total, -total).astype(np.int32)),
-            _lists(table["block"].to_numpy()), _lists(np.diff(ctx_cuts).astype(np.int32)), _lists(np.diff(cuts).astype(np.int32)),
-            _lists(_steps(ctx_place)), _lists(_steps(place)), _lists(seen)],
-            ["n", "shard", "ctx", "all", "gctx", "nw", "sumq", "word", "c", "blocks", "n_ctx", "n_gram", "ctx_at", "gram_at", "seen"])
+        grams = pack(run_ctx[gram[at] >> 31] if len(at) else run_ctx[:0], runs.astype(np.int32), sumq,
+                     (gram & ((1 << 31) - 1)).astype(np.int32), np.where(lower > 0, total, -total).astype(np.int32))
+        asked = pack(block, n_ctx, n_gram, _steps(ctx_place), _steps(place))
+        return pa.table([pa.array([n], pa.int32()), shard, *[pa.array([x], pa.binary()) for x in (pack(ctx, alls), grams, asked)], _lists(seen)],
+                        ["n", "shard", "contexts", "grams", "asked", "seen"])
 
     return run
 
@@ -464,7 +516,7 @@ def _mass(row: Callable[[str], np.ndarray], level: Level) -> tuple[np.ndarray, n
     return row("gctx"), (np.add.reduceat(d, at) if len(nw) else np.zeros(0)), row("sumq")
 
 
-ANSWER = "shard int, block long, alpha array<double>, all array<double>, c array<int>, gram array<long>"
+ANSWER = "shard int, block long, answer binary"
 
 
 def alphas(ctx: np.ndarray, all_: np.ndarray, gctx: np.ndarray, d: np.ndarray, q: np.ndarray, split: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -494,9 +546,10 @@ def answer_grams(level: Level, shards: int, last: bool) -> Callable:
                 ctx_at, gram_at = np.cumsum(row("ctx_at"), dtype=np.int64), np.cumsum(row("gram_at"), dtype=np.int64)
                 for b, name in enumerate(blocks):
                     own, mine = ctx_at[ctx_cut[b]: ctx_cut[b + 1]], gram_at[gram_cut[b]: gram_cut[b + 1]]
+                    gram = np.where(c[mine] != 0, mine * shards + shard, -1)[: 0 if last else None]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard], pa.int32()), pa.array([name], pa.int64()), _lists(alpha[own]), _lists(whole[own]), _lists(c[mine]),
-                         _lists(np.where(c[mine] != 0, mine * shards + shard, -1)[: 0 if last else None])], ["shard", "block", "alpha", "all", "c", "gram"])
+                        [pa.array([shard], pa.int32()), pa.array([name], pa.int64()), pa.array([pack(alpha[own], whole[own], c[mine], gram)], pa.binary())],
+                        ["shard", "block", "answer"])
 
     return run
 
@@ -506,8 +559,7 @@ def take_grams(n: int, level: Level, below: Level, totals: Totals, shards: int,
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        answers = answers.sort_by("shard")
-        alpha, whole, count, number = (_joined(answers, c)[0] for c in ("alpha", "all", "c", "gram"))
+        alpha, whole, count, number = _answers(answers, "answer", PACKED["answer"])
         for i in range(block.num_rows):
             row, rid = _row(block, i), block["block"][i].as_py()
             t = Tokens.of(row, n, below, totals)
@@ -522,8 +574,7 @@ def take_grams(n: int, level: Level, below: Level, totals: Totals, shards: int,
                 out.append(_sums(rid, t.lens, s, row("base"), row("known")))
                 continue
             gram = np.where(c != 0, number[e.of_gram], -1) if len(number) else np.full(len(has), -1)
-            out.append(_state_arrays(_STATE_NAMES, [
-                rid, t.lens.astype(np.int32), t.train, row("base"), row("known"), row("seq"), row("id"), row("c"), gram.astype(np.int64), c, s]))
+            out.append(_state(rid, t.lens, t.train, row("base"), row("known"), row("seq"), row("id"), row("c"), gram.astype(np.int64), c, s))
         return pa.concat_tables(out)
 
     return run
@@ -533,7 +584,7 @@ def take_grams(n: int, level: Level, below: Level, totals: Totals, shards: int,
 
 @dataclass
 class Katz:
-    """The model: ``words`` (shard, key, id, c), and ``levels`` by order from 2 on (``TABLE``), with what tasks know of them."""
+    """The model: ``words`` (shard, and key, id, c packed), and ``levels`` by order from 2 on (``TABLE``), with what tasks know of them."""
 
     words: DataFrame
     levels: dict[int, DataFrame]
@@ -555,17 +606,22 @@ def evaluate(rows: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOF
     Rids follow each other in a partition.
     """
     blocks = materialize(rows.select("text", "rid", "train").mapInArrow(read_blocks(shards), BLOCK))
+    with wide_rows(rows.sparkSession):
+        return _evaluate(blocks, order, cutoffs, k, shards)
+
+
+def _evaluate(blocks: DataFrame, order: int, cutoffs: Sequence[int], k: int, shards: int) -> tuple[DataFrame, Katz]:
     asked = blocks.mapInArrow(ask_words(shards), WORD_REQUEST)
     merged = materialize(asked.groupBy("shard").applyInArrow(merge_words(shards, k), WORD_ANSWER), "kind")
-    stats = _counts_of_counts([(r["key"], r["c"]) for r in merged.filter("kind = 1").select("key", "c").collect()])
+    stats = _counts_of_counts([(keys.tolist(), c.tolist()) for r in merged.filter("kind = 1").select("words").collect() for keys, _, c in [unpack(r["words"])]])
     totals = Totals(stats.get(-1, 0), stats.get(-2, 0), stats.get(-3, 0))
     level = Level(discounts({r: c for r, c in stats.items() if r > 0}, k), cutoffs[0])
-    vocabulary = merged.filter("kind = 2").select("shard", "key", "id", "c")
-    mass = sum(r["d"] for r in vocabulary.select("c").mapInArrow(_lowest_mass(level), "d double").collect())
+    vocabulary = merged.filter("kind = 2").select("shard", "words")
+    mass = sum(r["d"] for r in vocabulary.select("words").mapInArrow(_lowest_mass(level), "d double").collect())
     if totals.tokens:
         totals.whole = totals.tokens if mass < totals.tokens * (1 - 1e-12) else totals.tokens + 1
         totals.left = 1 - mass / totals.whole
-    answers = merged.filter("kind = 0").select("shard", "block", "id", "c")
+    answers = merged.filter("kind = 0").select("shard", "block", "words")
     state = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         take_words(level, totals, order == 1), SUMS if order == 1 else STATE)
     state = materialize(state)
@@ -596,7 +652,7 @@ def evaluate(rows: DataFrame, order: int = ORDER, cutoffs: Sequence[int] = CUTOF
 def _lowest_mass(level: Level) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([float(level.discounted(x.values.to_numpy()).sum()) for x in batch.column(0)], pa.float64())], ["d"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(level.discounted(unpack(x.as_buffer())[2]).sum()) for x in batch.column(0)], pa.float64())], ["d"])
 
     return run
 
@@ -617,11 +673,11 @@ def _split_contexts(table: DataFrame, level: Level, hot: float) -> dict[int, tup
                 pick = np.isin(ctx, split)
                 yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (ctx, d, q)], ["ctx", "d", "q"])
 
-    alls = {r["ctx"]: r["all"] for r in table.select("ctx", "all").mapInArrow(found, "ctx long, all long").distinct().collect()}
+    alls = {r["ctx"]: r["all"] for r in table.select("contexts").mapInArrow(found, "ctx long, all long").distinct().collect()}
     split = np.array(sorted(alls), np.int64)
     if not alls:
         return {}
-    rows = table.select("gctx", "nw", "sumq", "c").mapInArrow(sums, "ctx long, d double, q double").groupBy("ctx").agg(F.sum("d").alias("d"), F.sum("q").alias("q"))
+    rows = table.select("grams").mapInArrow(sums, "ctx long, d double, q double").groupBy("ctx").agg(F.sum("d").alias("d"), F.sum("q").alias("q"))
     known = {r["ctx"]: (r["d"], r["q"]) for r in rows.collect()}
     return {c: (*known.get(c, (0.0, 0.0)), n) for c, n in alls.items()}
 

@@ -6,9 +6,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsewarden.llm import katz, queries
+from pulsewarden.session import WIDE_BATCH, materialize, wide_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {65 + i: 97 + i for i in range(26)}
@@ -179,3 +182,37 @@ def test_very_long_text(make_docs):
     model = Brute([t for (_, t), h in zip(rows, held) if not h], 2, (1, 1))
     got = {r["doc_id"]: r["score"] for r in katz.lm_scores(make_docs(rows)).collect()}
     assert got == pytest.approx({i: model.score(t) for i, t in rows}, rel=1e-9)
+
+
+def test_arrays_come_back_and_lie_packed():
+    r = np.random.default_rng(1)
+    arrays = [r.integers(0, 3, 50_000).astype(np.int32), np.zeros(0, np.int64), r.random(7), np.array([True, False]), np.array([-5, 1 << 62])]
+    data = katz.pack(*arrays)
+    back = katz.unpack(data)
+    assert all(a.dtype == b.dtype and np.array_equal(a, b) for a, b in zip(arrays, back)) and len(back) == len(arrays)
+    assert len(data) < 50_000  # a quarter of the bytes of the counts alone
+
+
+def test_wide_rows_go_to_workers_one_by_one(spark, tmp_path):
+    """Not all rows of a file at once, which a worker then holds together."""
+    spark.range(12, numPartitions=1).selectExpr("id", "repeat('x', 3000000) AS wide").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    with wide_rows(spark):
+        rows = [r["n"] for r in table.mapInArrow(held, "n long").collect()]
+    assert sum(rows) == 12 and max(rows) <= 2
+    assert spark.conf.get(key, None) == before
+
+
+def test_the_model_is_fitted_on_wide_rows(make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(katz, "materialize", lambda df, *by: (seen.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)), materialize(df, *by))[1])
+    docs = make_docs(corpus(5)).selectExpr("text", "monotonically_increasing_id() AS rid", "true AS train")
+    katz.evaluate(docs, 2, (1, 1), shards=3)
+    assert len(seen) > 4 and set(seen[1:]) == {str(WIDE_BATCH)}
