@@ -10,7 +10,15 @@ among the first n - ceil(t * n) + k of each. The order needs no exact counts, on
 the same everywhere: it takes the doublings of a table of 2^20 counts, over all documents,
 that tokens fall into by hash.
 
-Index. Tokens that lie in few prefixes are indexed alone. For frequent ones the prefix is
+Index. Two sets that link differ in d tokens at most, of both together. Cut the smaller one's
+first g * (d + 1) tokens into runs of g: each token that only one set has breaks one run at most,
+so some run is whole, and its tokens are neighbours in the other set as well, at most d places
+later. So combinations of g neighbouring tokens of a prefix are indexed, g + 1 for each token that
+may differ: their number follows the text, and sets that don't link seldom have one in common,
+however many texts there are. g is ``RUN``, or less for sets too small to hold the runs.
+
+Where not even pairs fit (thresholds of two thirds and less), tokens that lie in few prefixes are
+indexed alone. For frequent ones the prefix is
 long enough for k = 2 shared tokens, and pairs of them are indexed: of two sets that link,
 the first two shared tokens are either both frequent, a common pair, or one is rare, a
 common token. The number of pairs of a set is bounded by indexing long sets by single
@@ -46,8 +54,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsewarden.llm.rows import maybe_in, with_rid
 from pulsewarden.llm.tokens import groups, hashes, mix, ngram_hashes, pair, utf8, words
@@ -55,6 +64,8 @@ from pulsewarden.session import drop, materialize
 
 WORDS, PERCENT = 3, 90
 
+#: Neighbouring tokens that are indexed together.
+RUN = 3
 #: Tokens in more prefixes than this are frequent.
 FREQUENT = 256
 #: Prefix length up to which pairs of frequent tokens are indexed: 2 080 pairs.
@@ -150,8 +161,43 @@ def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
+def differ(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that a set of ``n`` and one that links with it and isn't smaller have not in common, at most."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+
+
+def run_reach(n: np.ndarray, g: int, percent: int) -> np.ndarray:
+    """Where the runs of ``g`` end, at the latest, by which a set of ``n`` meets smaller and larger ones."""
+    out = g * (differ(n, percent) + 1)
+    for m in (least_shared(n, percent), n):  # the other is the smaller: the bound is largest at one end of its sizes
+        out = np.maximum(out, (n + m) * (g * (100 - percent) - percent) // (100 + percent) + g + n)
+    return np.minimum(out, n)
+
+
+def run_lengths(top: int, percent: int) -> np.ndarray:
+    """Whether sets of each size up to ``top`` are indexed by single tokens and pairs (row 0), and by runs of 2, 3 … (row 1, …).
+
+    Two sets meet by the runs that fit the smaller one, so a set takes part for all sizes that it may be linked with.
+    """
+    n = np.arange(top + 1)
+    best = np.zeros(top + 1, int)
+    for g in range(2, RUN + 1):
+        best[g * (differ(n, percent) + 1) <= n] = g - 1
+    low = np.minimum(least_shared(n, percent), n)
+    sums = np.concatenate([np.zeros((RUN, 1), int), np.cumsum(best == np.arange(RUN)[:, None], 1)], 1)
+    return sums[:, n + 1] > sums[:, low]
+
+
+def some_by_tokens(percent: int) -> bool:
+    """Whether there may be sets that runs don't fit."""
+    if 3 * percent <= 200:
+        return True
+    n = np.arange(1001)
+    return bool((run_lengths(1000, percent)[0] & (least_shared(n + 1, percent) <= n) & (n > 0)).any())
+
+
 def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
-    """rid, size, name (a, b) and prefix of each text of ``docs`` (text, rid)."""
+    """rid, size, name (a, b) and prefix of each text of ``docs`` (text, rid): as many tokens as any key may need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +212,9 @@ def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> Data
                 # a set linked with nothing but its equals needs no prefix
                 some = least_shared(size + 1, percent) <= size
                 k = np.where(some & (size > 0), size - least_shared(size, percent) + 2, 0)
+                runs = run_lengths(int(size.max(initial=0)), percent)
+                for g in range(2, RUN + 1):
+                    k = np.where(k > 0, np.maximum(k, run_reach(size, g, percent) * runs[g - 1][size]), 0)
                 k = np.minimum(k, size)
                 ends = np.cumsum(k)
                 at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(cuts[:-1] - ends + k, k)
@@ -177,8 +226,47 @@ def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> Data
     return docs.mapInArrow(run, "rid long, size int, a long, b long, prefix array<long>")
 
 
+def run_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """key and class: the runs of neighbouring tokens of each prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                size, prefix = part.column("size").to_numpy().astype(np.int64), part.column("prefix")
+                token = prefix.flatten().to_numpy().view(_U)
+                length = pc.list_value_length(prefix).to_numpy().astype(np.int64)
+                first = np.cumsum(length) - length
+                uses, h = run_lengths(int(size.max(initial=0)), percent), token
+                for g in range(2, RUN + 1):
+                    h = pair(h[:-1], token[g - 1:])
+                    n = np.where(uses[g - 1][size], np.maximum(np.minimum(run_reach(size, g, percent), length) - g + 1, 0), 0)
+                    ends = np.cumsum(n)
+                    at = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mix(h[at] + _U(g)).view(np.int64)), part.column("class").take(pa.array(np.repeat(np.arange(len(n)), n)))], ["key", "class"])
+
+    return sets.select("class", "size", "prefix").mapInArrow(run, "key long, class long")
+
+
 def index_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> DataFrame:
     """key and class, for keys with more than one class. ``sets``: one row per class."""
+    # moved once, and counted where they lie: most keys are of one class and end here
+    every = run_keys(sets, percent).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    runs = every.filter("n > 1").select("key", "class")
+    return runs.unionByName(token_keys(sets, percent, frequent, paired)) if some_by_tokens(percent) else runs
+
+
+def _shared_prefix(percent: int) -> Column:
+    """The part of the prefix that holds two shared tokens of any two sets that link."""
+    size = F.col("size")
+    return F.slice("prefix", 1, (size - F.ceil(size * percent / F.lit(100)) + 2).cast("int"))
+
+
+def token_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> DataFrame:
+    """key and class of the sets that runs don't fit: rare tokens, and pairs of frequent ones."""
+    runs = F.udf(lambda n: bool(run_lengths(n, percent)[0][n]), "boolean")
+    sets = sets.filter(runs("size")).withColumn("prefix", _shared_prefix(percent))
     longest = max(n for n in range(1, 200 * paired) if n - least_shared(n, percent) + 2 <= paired)
     overlap = percent * longest // 100
     index = sets.select("class", "size", F.explode("prefix").alias("token"))
@@ -195,9 +283,9 @@ def index_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> Dat
     return single.unionByName(many.select(F.explode(pairs).alias("key"), "class"))
 
 
-def sketches(sets: DataFrame) -> DataFrame:
+def sketches(sets: DataFrame, percent: int) -> DataFrame:
     """class, size, last token and sketch (the upper halves of the tokens) of the prefixes."""
-    return sets.select("class", "size", F.element_at("prefix", F.lit(-1)).alias("last"),
+    return sets.withColumn("prefix", _shared_prefix(percent)).select("class", "size", F.element_at("prefix", F.lit(-1)).alias("last"),
                        F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int")).alias("sketch"))
 
 
@@ -325,7 +413,7 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
     # sets that are much alike share many keys: those of the same sets are one
     lists = lists.groupBy("centre", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "centre", "n")
     rows = materialize(keys.join(lists, "key"))
-    marks = materialize(sketches(maybe_in(sets, rows.select("class").distinct(), "class")))
+    marks = materialize(sketches(maybe_in(sets, rows.select("class").distinct(), "class"), percent))
     pairs = rows.filter("class <> centre").select("centre", "class").distinct().join(marks, "class").join(
         marks.select(F.col("class").alias("centre"), *[F.col(c).alias(f"c_{c}") for c in ("size", "last", "sketch")]), "centre")
     tried = materialize(possible_pairs(pairs, percent))

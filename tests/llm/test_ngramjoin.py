@@ -112,3 +112,52 @@ def test_shards_follow_the_sketches(make_docs, monkeypatch):
         got = ngramjoin.link_documents(make_docs(rows), 3, 90, **limits)
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute(rows, 3, 90)
     assert seen[1] > 2 * seen[0]
+
+
+def test_texts_that_share_passages_but_do_not_link_have_few_keys(make_docs, monkeypatch):
+    """Each two of 20 texts share a passage of their own: most tokens of a prefix lie in another one too."""
+    passage = {(i, j): " ".join(f"w{i}x{j}x{k}" for k in range(30)) for i in range(20) for j in range(i)}
+    rows = [(i, " ".join(passage[max(i, j), min(i, j)] for j in range(20) if j != i)) for i in range(20)]
+    counts, stars = [], ngramjoin.stars
+    monkeypatch.setattr(ngramjoin, "stars", lambda keys, *a: counts.append(keys.count()) or stars(keys, *a))
+    got = ngramjoin.link_documents(make_docs(rows))
+    assert all(r["component_id"] == r["doc_id"] for r in got.collect())
+    assert counts[0] <= 20
+
+
+@pytest.mark.parametrize("percent, limits", [(50, {"frequent": 2, "paired": 10, "cover": 3}), (66, {}), (70, {"frequent": 1, "paired": 12}), (95, {"block": 4})])
+def test_groups_by_runs_and_by_tokens(make_docs, odd, percent, limits):
+    """Sets that runs don't fit are indexed by tokens, and meet those they fit."""
+    rows = near_copies(7, 10, 10) + [(10_000 + (i or 0) if i is not None else None, t) for i, t in odd]
+    got = ngramjoin.link_documents(make_docs(rows), 3, percent, **limits)
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str)
+    assert found == brute(rows, 3, percent)
+
+
+def test_sets_that_link_share_a_run():
+    """Whatever tokens differ, also if they are the first ones."""
+    r, linked = random.Random(1), 0
+
+    def keys(x, percent):
+        n, uses, out = np.array([len(x)]), ngramjoin.run_lengths(len(x), percent)[:, len(x)], set()
+        for g in range(2, ngramjoin.RUN + 1):
+            if uses[g - 1]:
+                end = int(ngramjoin.run_reach(n, g, percent)[0])
+                out |= {tuple(x[i: i + g]) for i in range(max(0, end - g + 1))}
+        return out, uses[0]
+
+    for _ in range(6000):
+        percent, n = r.choice((70, 80, 90, 95)), r.randint(1, 120)
+        a = sorted(r.sample(range(10_000), n))
+        b = list(a)
+        for _ in range(r.randint(0, int(ngramjoin.differ(np.array(n), percent)) + 2)):
+            if r.random() < 0.5 and len(b) > 1:
+                b.pop(int(r.random() ** 3 * len(b)))
+            else:
+                b.append(r.random() ** 3 * 10_000)
+        b = sorted(set(b))
+        if a != b and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b)):
+            linked += 1
+            (x, by_token), (y, also) = keys(a, percent), keys(b, percent)
+            assert x & y or (by_token and also)
+    assert linked > 1000
