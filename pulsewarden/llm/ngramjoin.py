@@ -58,7 +58,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsewarden.llm.rows import maybe_in, with_rid
+from pulsewarden.llm.rows import maybe_in, only_in, with_rid
 from pulsewarden.llm.tokens import groups, hashes, mix, ngram_hashes, pair, utf8, words
 from pulsewarden.session import drop, materialize
 
@@ -76,9 +76,11 @@ BLOCK = 1024
 SPLIT = 512
 #: Sets of a key that are covered by stars at once.
 COVER = 256
+#: Rows of sets and keys of a centre that are covered by one task.
+MEET = 1 << 18
 #: Tokens that a product of sets by tokens is formed over at once.
 WIDE = 1 << 13
-#: Numbers of sketches in a shard of keys, on average.
+#: Numbers of sketches in a shard of centres, on average; a row of a key counts as eight.
 HELD = 1 << 22
 
 #: Slots that tokens are counted in, and those sent as one row.
@@ -197,7 +199,10 @@ def some_by_tokens(percent: int) -> bool:
 
 
 def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
-    """rid, size, name (a, b) and prefix of each text of ``docs`` (text, rid): as many tokens as any key may need."""
+    """rid, size, name (a, b) and prefix of each text of ``docs`` (text, rid).
+
+    The prefix holds two shared tokens of any two sets that link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,64 +214,62 @@ def set_table(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> Data
                 sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(token), dtype=_U)])
                 other = np.concatenate([np.zeros(1, _U), np.cumsum(mix(token ^ _U(0x5DEECE66D)), dtype=_U)])
                 names = [x[cuts[1:]] - x[cuts[:-1]] for x in (sums, other)]
-                # a set linked with nothing but its equals needs no prefix
-                some = least_shared(size + 1, percent) <= size
-                k = np.where(some & (size > 0), size - least_shared(size, percent) + 2, 0)
-                runs = run_lengths(int(size.max(initial=0)), percent)
-                for g in range(2, RUN + 1):
-                    k = np.where(k > 0, np.maximum(k, run_reach(size, g, percent) * runs[g - 1][size]), 0)
-                k = np.minimum(k, size)
+                k = np.where(linkable(size, percent), np.minimum(size - least_shared(size, percent) + 2, size), 0)
                 ends = np.cumsum(k)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(cuts[:-1] - ends + k, k)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(i, j - i), pa.array(size.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in names],
-                    pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(token[at].view(np.int64)))],
+                    pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(token[_firsts(cuts, k, ends)].view(np.int64)))],
                     ["rid", "size", "a", "b", "prefix"])
 
     return docs.mapInArrow(run, "rid long, size int, a long, b long, prefix array<long>")
 
 
-def run_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """key and class: the runs of neighbouring tokens of each prefix."""
+def linkable(size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set may be linked with others than its equals."""
+    return (least_shared(size + 1, percent) <= size) & (size > 0)
+
+
+def _firsts(cuts: np.ndarray, k: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the first ``k`` tokens of each set. ``ends``: sums of k."""
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(cuts[:-1] - ends + k, k)
+
+
+def run_keys(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
+    """key and class: the runs of neighbouring tokens of each text of ``docs`` (text, rid).
+
+    They come from the texts: the prefixes they lie in are as large as these, and would have to be written and moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                size, prefix = part.column("size").to_numpy().astype(np.int64), part.column("prefix")
-                token = prefix.flatten().to_numpy().view(_U)
-                length = pc.list_value_length(prefix).to_numpy().astype(np.int64)
-                first = np.cumsum(length) - length
-                uses, h = run_lengths(int(size.max(initial=0)), percent), token
+            data, offsets = utf8(batch.column(0))
+            for i, j in groups(data, offsets):
+                base = offsets[i]
+                token, cuts = token_sets(data[base: offsets[j]], offsets[i: j + 1] - base, n, classes.value)
+                size, name = np.diff(cuts), batch.column(1).slice(i, j - i)
+                uses, h = run_lengths(int(size.max(initial=0)), percent)[:, size] & linkable(size, percent), token
                 for g in range(2, RUN + 1):
                     h = pair(h[:-1], token[g - 1:])
-                    n = np.where(uses[g - 1][size], np.maximum(np.minimum(run_reach(size, g, percent), length) - g + 1, 0), 0)
-                    ends = np.cumsum(n)
-                    at = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+                    k = np.where(uses[g - 1], np.maximum(run_reach(size, g, percent) - g + 1, 0), 0)
+                    at = _firsts(cuts, k, np.cumsum(k))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(mix(h[at] + _U(g)).view(np.int64)), part.column("class").take(pa.array(np.repeat(np.arange(len(n)), n)))], ["key", "class"])
+                        [pa.array(mix(h[at] + _U(g)).view(np.int64)), name.take(pa.array(np.repeat(np.arange(len(k)), k)))], ["key", "class"])
 
-    return sets.select("class", "size", "prefix").mapInArrow(run, "key long, class long")
+    return docs.select("text", "rid").mapInArrow(run, "key long, class long")
 
 
-def index_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> DataFrame:
-    """key and class, for keys with more than one class. ``sets``: one row per class."""
+def index_keys(docs: DataFrame, sets: DataFrame, n: int, percent: int, classes: Broadcast, frequent: int, paired: int) -> DataFrame:
+    """key and class, for keys with more than one class. ``docs``, ``sets``: one row per class."""
     # moved once, and counted where they lie: most keys are of one class and end here
-    every = run_keys(sets, percent).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    every = run_keys(docs, n, percent, classes).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     runs = every.filter("n > 1").select("key", "class")
     return runs.unionByName(token_keys(sets, percent, frequent, paired)) if some_by_tokens(percent) else runs
 
 
-def _shared_prefix(percent: int) -> Column:
-    """The part of the prefix that holds two shared tokens of any two sets that link."""
-    size = F.col("size")
-    return F.slice("prefix", 1, (size - F.ceil(size * percent / F.lit(100)) + 2).cast("int"))
-
-
 def token_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> DataFrame:
     """key and class of the sets that runs don't fit: rare tokens, and pairs of frequent ones."""
     runs = F.udf(lambda n: bool(run_lengths(n, percent)[0][n]), "boolean")
-    sets = sets.filter(runs("size")).withColumn("prefix", _shared_prefix(percent))
+    sets = sets.filter(runs("size"))
     longest = max(n for n in range(1, 200 * paired) if n - least_shared(n, percent) + 2 <= paired)
     overlap = percent * longest // 100
     index = sets.select("class", "size", F.explode("prefix").alias("token"))
@@ -283,9 +286,9 @@ def token_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> Dat
     return single.unionByName(many.select(F.explode(pairs).alias("key"), "class"))
 
 
-def sketches(sets: DataFrame, percent: int) -> DataFrame:
+def sketches(sets: DataFrame) -> DataFrame:
     """class, size, last token and sketch (the upper halves of the tokens) of the prefixes."""
-    return sets.withColumn("prefix", _shared_prefix(percent)).select("class", "size", F.element_at("prefix", F.lit(-1)).alias("last"),
+    return sets.select("class", "size", F.element_at("prefix", F.lit(-1)).alias("last"),
                        F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int")).alias("sketch"))
 
 
@@ -320,28 +323,33 @@ def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "centre long, class long, may boolean")
 
 
-def _left_over(centre: int, name: np.ndarray, free: np.ndarray, size: np.ndarray, last: np.ndarray,
-               sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Centre and member of stars that hold every two sets, one of them ``free``, that may link.
-
-    Those that are not free are in the star of ``centre``. One free set gets a star of its
-    own, with all free ones that may link with it; whatever may link beyond joins ``centre``.
-    """
+def _may_link(size: np.ndarray, last: np.ndarray, sketch: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each two sets may link, by their prefixes."""
     length = np.array([len(x) for x in sketch])
     values, place = np.unique(np.concatenate(sketch), return_inverse=True)
     by = np.argsort(place, kind="stable")
-    place, whose = place[by], np.repeat(np.arange(len(name)), length)[by]
-    both = np.zeros((len(name), len(name)), np.int64)
+    place, whose = place[by], np.repeat(np.arange(len(size)), length)[by]
+    both = np.zeros((len(size), len(size)), np.int64)
     for start in range(0, len(values), WIDE):
         i, j = np.searchsorted(place, (start, start + WIDE))
-        counts = np.zeros((len(name), min(WIDE, len(values) - start)), np.float32)
+        counts = np.zeros((len(size), min(WIDE, len(values) - start)), np.float32)
         np.add.at(counts, (whose[i:j], place[i:j] - start), 1)
         both += np.rint(counts @ counts.T).astype(np.int64)
     below = np.stack([np.searchsorted(x, last >> 32) for x in sketch])
     bound = may_share(both, (size[:, None], size[None, :]), (last[:, None], last[None, :]),
                       (length[:, None], length[None, :]), (below, below.T))
-    may = (bound >= need(size[:, None], size[None, :], percent)) & (free[:, None] | free[None, :])
+    may = bound >= need(size[:, None], size[None, :], percent)
     np.fill_diagonal(may, False)
+    return may
+
+
+def _stars_of(centre: int, name: np.ndarray, free: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+    """Centre and member of stars that hold every two sets, one of them ``free``, that ``may`` link.
+
+    Those that are not free are in the star of ``centre``. One free set gets a star of its
+    own, with all free ones that may link with it; whatever may link beyond joins ``centre``.
+    """
+    may = may & (free[:, None] | free[None, :])
     out, among = [], may & free[:, None] & free[None, :]
     if among.any():
         own = int(among.sum(1).argmax())
@@ -351,29 +359,58 @@ def _left_over(centre: int, name: np.ndarray, free: np.ndarray, size: np.ndarray
     return out + [(centre, int(name[k])) for k in np.flatnonzero(may.any(1) & free)]
 
 
+def _left_over(centre: int, name: np.ndarray, free: np.ndarray, size: np.ndarray, last: np.ndarray,
+               sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """``_stars_of`` sets by their prefixes."""
+    return _stars_of(centre, name, free, _may_link(size, last, sketch, percent))
+
+
 def cover_keys(rows: DataFrame, percent: int, shards: int) -> DataFrame:
     """centre and class of the stars that the free sets of ``rows`` need beyond their centre's.
 
-    ``rows``: key, centre, class, ``tied`` (may link with the centre), size, last, sketch, and
-    the blocks a and b that meet.
+    ``rows``: centre, part, key, class, ``tied`` (may link with the centre), and the blocks a and b that meet;
+    and once for each set of a centre's part, without a key, its size, last and sketch. Keys of one centre
+    hold the same sets over and over, so any two of these are tried once for all of them.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        key, a, b, centre, name, size, last = (table[c].to_numpy() for c in ("key", "a", "b", "centre", "class", "size", "last"))
+        table = table.combine_chunks()
+        marked = pc.is_null(table["key"])
+        marks, table = table.filter(marked), table.filter(pc.invert(marked))
+        place = {x: i for i, x in enumerate(zip(*[marks[c].to_pylist() for c in ("centre", "part", "class")]))}
+        size, last, sketch = marks["size"].to_numpy().astype(np.int64), marks["last"].to_numpy(), marks["sketch"].combine_chunks()
+        mark = np.array([place[x] for x in zip(*[table[c].to_pylist() for c in ("centre", "part", "class")])], np.int64)
+        key, a, b, centre, part, name = (table[c].to_numpy() for c in ("key", "a", "b", "centre", "part", "class"))
         free = ~table["tied"].to_numpy(zero_copy_only=False).astype(bool)
-        by = np.lexsort((b, a, key))
-        key, a, b = key[by], a[by], b[by]
-        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        sketch = table["sketch"].combine_chunks()
-        sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
+        by = np.lexsort((mark, b, a, key, part, centre))
         found: set[tuple[int, int]] = set()
-        for i, j in zip(cuts, np.append(cuts[1:], len(by))):
-            own = by[i:j]
-            found.update(_left_over(int(centre[own[0]]), name[own], free[own], size[own].astype(np.int64), last[own],
-                                    [sketch[int(k)].values.to_numpy() for k in own], percent))
+        for whole in _runs(by, centre, part):
+            own = np.unique(mark[whole])
+            lists = lambda at: [sketch[int(k)].values.to_numpy() for k in at]
+            may = _may_link(size[own], last[own], lists(own), percent) if len(own) <= 2 * COVER else None
+            seen = set()
+            for some in _runs(whole, key, a, b):
+                at = mark[some]
+                if at.tobytes() in seen or len(at) < 2:
+                    continue
+                seen.add(at.tobytes())
+                if may is None:
+                    new = _left_over(int(centre[some[0]]), name[some], free[some], size[at], last[at], lists(at), percent)
+                else:
+                    near = np.searchsorted(own, at)
+                    new = _stars_of(int(centre[some[0]]), name[some], free[some], may[np.ix_(near, near)])
+                found.update(new)
         return pa.table([pa.array([f[k] for f in sorted(found)], pa.int64()) for k in (0, 1)], ["centre", "class"])
 
-    return rows.groupBy(F.pmod(F.xxhash64("key", "a", "b"), F.lit(shards)).alias("shard")).applyInArrow(run, "centre long, class long")
+    return rows.groupBy(F.pmod(F.xxhash64("centre", "part"), F.lit(shards)).alias("shard")).applyInArrow(run, "centre long, class long")
+
+
+def _runs(by: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """``by`` (places in order) cut where any of ``columns`` changes."""
+    new = np.zeros(max(len(by) - 1, 0), bool)
+    for c in columns:
+        new |= c[by[1:]] != c[by[:-1]]
+    return np.split(by, np.flatnonzero(new) + 1) if len(by) else []
 
 
 def meet(rows: DataFrame, key: str, tied: str, block: int) -> DataFrame:
@@ -413,7 +450,7 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
     # sets that are much alike share many keys: those of the same sets are one
     lists = lists.groupBy("centre", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "centre", "n")
     rows = materialize(keys.join(lists, "key"))
-    marks = materialize(sketches(maybe_in(sets, rows.select("class").distinct(), "class"), percent))
+    marks = materialize(sketches(maybe_in(sets, rows.select("class").distinct(), "class")))
     pairs = rows.filter("class <> centre").select("centre", "class").distinct().join(marks, "class").join(
         marks.select(F.col("class").alias("centre"), *[F.col(c).alias(f"c_{c}") for c in ("size", "last", "sketch")]), "centre")
     tried = materialize(possible_pairs(pairs, percent))
@@ -421,14 +458,17 @@ def stars(keys: DataFrame, sets: DataFrame, percent: int, cover: int = COVER) ->
     left = rows.filter("n > 2 AND class <> centre").drop("n").join(tried.withColumnRenamed("may", "tied"), ["centre", "class"])
     left = by_size(left.join(marks.select("class", "size"), "class"), percent) if percent < 100 else left
     again = meet(left.drop("size"), "key", "tied", cover)
-    # the sketches that meet are counted, so that a shard's don't grow with the rows
-    sizes = marks.select("class", F.size("sketch").alias("held"))
-    held = materialize(again.join(sizes, "class").agg(F.sum("held").alias("held")))
-    shards = max(4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(held.first()["held"] or 0) // HELD))
-    drop(held)
-    found = cover_keys(again.join(marks, "class"), percent, shards)
+    again = materialize(again.drop("own"))
+    # a centre's sketches go to each part of its keys once, not with every key
+    parts = again.groupBy("centre").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+    again_in = again.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("key", "a", "b"), F.col("parts")).cast("int")).drop("parts")
+    marked = materialize(again_in.select("centre", "part", "class").distinct().join(marks, "class"))
+    # what meets is counted, so that a shard's doesn't grow with the rows
+    held = (marked.agg(F.sum(F.size("sketch"))).first()[0] or 0) + 8 * again.count()
+    shards = max(4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // HELD))
+    found = cover_keys(again_in.unionByName(marked, allowMissingColumns=True), percent, shards)
     star = materialize(tried.filter("may").select("centre", "class").unionByName(found).distinct())
-    drop(marks, rows, tried)
+    drop(marks, rows, tried, again, marked)
     centres = star.select("centre").distinct().select("centre", F.col("centre").alias("class"))
     return star.unionByName(centres).distinct()
 
@@ -564,7 +604,8 @@ def linked_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, class
                    frequent: int = FREQUENT, paired: int = PAIRED, block: int = BLOCK, cover: int = COVER) -> DataFrame:
     """class and root of all classes that link with another. ``sets``: class, size, prefix."""
     some = sets.filter(F.size("prefix") > 0).select("class", "size", "prefix")
-    keys = materialize(index_keys(some, percent, frequent, paired))
+    texts = only_in(docs, some.select("class"), "rid")
+    keys = materialize(index_keys(texts, some, n, percent, classes, frequent, paired))
     star = materialize(stars(keys, some, percent, cover))
     wanted = materialize(parts_of(star, SPLIT))
     tokens = materialize(_tokens(docs, wanted, n, classes))
@@ -588,7 +629,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     names = every.filter("size > 0").groupBy("a", "b", "size").agg(F.min("rid").alias("class"))
     sets = materialize(every.select("rid", "size", "a", "b").join(names, ["a", "b", "size"], "left").select("rid", "size", "class"))
     firsts = sets.filter("rid = class").select("class")
-    one = materialize(every.select(F.col("rid").alias("class"), "size", "prefix").join(firsts, "class", "left_semi"))
+    one = materialize(only_in(every.select(F.col("rid").alias("class"), "size", "prefix"), firsts, "class"))
     drop(every)  # the prefixes are in the classes' table now
     root = linked_classes(slim, one, words, percent, classes, **limits)
     drop(one)

@@ -49,3 +49,23 @@ def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
         F.bit_or(F.expr(f"shiftleft(1L, {hashed} & 63)")).alias(bits)))
     kept = rows.withColumn(hashed, h(column)).withColumn(row, F.shiftright(hashed, 6)).join(F.broadcast(filled), row)
     return kept.filter(f"shiftright({bits}, {hashed} & 63) & 1 = 1").select(*rows.columns)
+
+
+#: Bits of the number of rows that a row of the table of ``only_in`` tells apart.
+BLOCK_BITS = 12
+
+
+def only_in(rows: DataFrame, rids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is among ``rids`` (one column, numbers of ``with_rid``), exactly, none of them moved.
+
+    The numbers go as bits, some two for each row of the table they come from, and are broadcast: a
+    thousandth of texts of some hundred bytes.
+    """
+    block, word, bits, held = "_rid_block", "_rid_word", "_rid_bits", "_rid_held"  # not names that a caller would have
+    place = lambda c: ((F.shiftright(c, 6) % (1 << BLOCK_BITS - 6)).cast("int"))
+    bit = lambda c: f"shiftleft(1L, cast({c} & 63 AS int))"
+    name = rids.columns[0]
+    words = rids.groupBy(F.shiftright(name, BLOCK_BITS).alias(block), place(name).alias(word)).agg(F.bit_or(F.expr(bit(f"`{name}`"))).alias(bits))
+    table = materialize(words.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct(word, bits))).alias(held)))
+    found = rows.withColumn(block, F.shiftright(column, BLOCK_BITS)).join(F.broadcast(table), block)
+    return found.withColumn(word, place(column)).filter(f"{held}[{word}] & {bit(f'`{column}`')} <> 0").select(*rows.columns)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from pulsewarden.llm import ngramjoin
+from pulsewarden.llm.rows import only_in
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {65 + i: 97 + i for i in range(26)}
@@ -161,3 +162,36 @@ def test_sets_that_link_share_a_run():
             (x, by_token), (y, also) = keys(a, percent), keys(b, percent)
             assert x & y or (by_token and also)
     assert linked > 1000
+
+
+def test_prefixes_are_written_as_short_as_pairs_of_sets_need(make_docs, monkeypatch):
+    """The runs that sets are indexed by reach over three quarters of them, and come from the texts."""
+    r, held, linked_classes = random.Random(5), [], ngramjoin.linked_classes
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(204))) for i in range(20)]
+    rows += [(20, rows[3][1] + " more"), (21, rows[3][1])]
+    monkeypatch.setattr(ngramjoin, "linked_classes", lambda docs, sets, *a, **k: held.extend(
+        len(x["prefix"]) for x in sets.collect()) or linked_classes(docs, sets, *a, **k))
+    got = ngramjoin.link_documents(make_docs(rows), words=5, percent=80)
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()), key=str) == brute(rows, 5, 80)
+    assert len(held) == 21 and max(held) <= 43
+
+
+def test_rows_are_chosen_exactly(spark):
+    ids = [0, 1, 63, 64, 4095, 4096, (1 << 33) - 1, 1 << 33, (5 << 33) + 4097]
+    rows = spark.createDataFrame([(i, i % 7) for i in [*range(5000), *ids[5:], 6 << 33]], "rid long, _rid_other long")
+    got = only_in(rows, spark.createDataFrame([(i,) for i in ids + ids], "class long"), "rid")
+    assert got.columns == rows.columns
+    assert sorted(r["rid"] for r in got.collect()) == sorted(ids + [4096])
+    assert only_in(rows, spark.createDataFrame([], "class long"), "rid").count() == 0
+
+
+@pytest.mark.parametrize("meet, cover", [(1 << 18, 256), (7, 256), (7, 2)])
+def test_a_centres_sketches_go_once_to_each_part_of_its_keys(make_docs, monkeypatch, meet, cover):
+    rows, seen, cover_keys = near_copies(2, 14, 14), [], ngramjoin.cover_keys
+    monkeypatch.setattr(ngramjoin, "MEET", meet)
+    monkeypatch.setattr(ngramjoin, "COVER", cover)
+    monkeypatch.setattr(ngramjoin, "cover_keys", lambda r, p, shards: seen.extend(
+        x[0] for x in r.filter("sketch IS NOT NULL").groupBy("centre", "part", "class").count().select("count").collect()) or cover_keys(r, p, shards))
+    got = ngramjoin.link_documents(make_docs(rows), 3, 90, frequent=2, paired=6, block=4, cover=3)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute(rows, 3, 90)
+    assert seen and set(seen) == {1}
