@@ -44,6 +44,8 @@ BLOCK = 1000
 GROUP, SLICE = 1 << 19, 1 << 12
 #: Texts in a counting matrix.
 TEXTS = 256
+#: Values that are told apart by a table of all possible ones, not by sorting.
+TABLE = 1 << 22
 
 _GAP = 0  # stands for everything that is not a letter
 
@@ -64,10 +66,16 @@ def ngram_vectors(grams: np.ndarray) -> np.ndarray:
     """Bind the letters of each n-gram, given as one row of code points."""
     letters, place = np.unique(grams, return_inverse=True)
     base, place = letter_vectors(letters), place.reshape(grams.shape)
-    out = np.ones((len(grams), DIMENSIONS), np.float32)
+    minus = np.zeros((len(grams), DIMENSIONS // 8), np.uint8)  # products of +1 and -1 are sums of bits
     for i in range(N):
-        out *= np.roll(base, N - 1 - i, axis=1)[place[:, i]]
-    return out
+        minus ^= np.packbits(np.roll(base, N - 1 - i, axis=1) < 0, axis=1)[place[:, i]]
+    return _signs().take(minus, axis=0).reshape(len(grams), DIMENSIONS)
+
+
+@cache
+def _signs() -> np.ndarray:
+    """Eight numbers of +1 and -1 for each byte of bits."""
+    return 1 - 2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +89,26 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points[keep], whose[keep]
 
 
+def _distinct(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``values`` (below ``size``) in order, and the place of each among them; by a table where one is small."""
+    if size > TABLE:
+        return np.unique(values, return_inverse=True)
+    table = np.zeros(size, np.int32)
+    table[values] = 1
+    own = np.flatnonzero(table)
+    table[own] = np.arange(len(own), dtype=np.int32)
+    return own, table[values]
+
+
+def _tally(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``values`` (below ``size``) in order, and how often each comes."""
+    if size > TABLE:
+        return np.unique(values, return_counts=True)
+    n = np.bincount(values, minlength=size)
+    own = np.flatnonzero(n)
+    return own, n[own]
+
+
 def count_ngrams(texts: list[str]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
     """N-grams per text, and slices of: distinct n-grams as rows of code points; text, n-gram and count of pairs."""
     points, whose = _code_points(texts)
@@ -90,20 +118,21 @@ def count_ngrams(texts: list[str]) -> tuple[np.ndarray, Iterator[tuple[np.ndarra
     def slices() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for start in range(0, m, GROUP):
             end = min(m, start + GROUP)
-            code = np.zeros(end - start, np.uint64)
+            letters, rank = _distinct(points[start: end + N - 1], 0x110000)
+            code = np.zeros(end - start, np.int64)
             for i in range(N):
-                code = (code << np.uint64(21)) | points[start + i: end + i].astype(np.uint64)
+                code = code * len(letters) + rank[i: i + end - start]
             same = inside[start:end]
-            grams, place = np.unique(code[same], return_inverse=True)
+            grams, place = _distinct(code[same], len(letters) ** N)
             if not len(grams):
                 continue
             # by n-gram, so that a slice of them is a slice of the pairs
-            cells, n = np.unique(place * len(texts) + whose[start:end][same], return_counts=True)
+            cells, n = _tally(place.astype(np.int64) * len(texts) + whose[start:end][same], len(grams) * len(texts))
             cols, rows = np.divmod(cells, len(texts))
             for a in range(0, len(grams), SLICE):
                 i, j = np.searchsorted(cols, (a, a + SLICE))
                 own = grams[a: a + SLICE]
-                split = np.stack([(own >> np.uint64(21 * (N - 1 - k))) & np.uint64(0x1FFFFF) for k in range(N)], 1)
+                split = np.stack([letters[own // len(letters) ** (N - 1 - k) % len(letters)] for k in range(N)], 1)
                 yield split, rows[i:j], cols[i:j] - a, n[i:j]
 
     return np.bincount(whose[:m][inside], minlength=len(texts)), slices()
@@ -172,16 +201,18 @@ def learn(rows: DataFrame) -> DataFrame:
             return rows
 
         for batch in batches:
-            texts, langs = _texts(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
+            texts, langs = _texts(batch.column(0)), batch.column(1).to_pylist()
             for i, j in _batches(texts):
+                names = list(dict.fromkeys(langs[i:j]))
+                number = {lang: k for k, lang in enumerate(names)}
+                own = np.array([number[lang] for lang in langs[i:j]])
                 sizes, slices = count_ngrams(texts[i:j])
                 for grams, r, c, n in slices:
                     # scale each text by its number of n-grams, so that long ones don't drown the others
-                    share, vectors, own = n / sizes[r], ngram_vectors(grams), langs[i:j][r]
-                    for lang in set(own):
-                        pick = own == lang
-                        counts = np.bincount(c[pick], share[pick], len(grams))
-                        total[lang] = total.get(lang, 0) + counts.astype(np.float32) @ vectors
+                    counts = np.bincount(own[r] * len(grams) + c, n / sizes[r], len(names) * len(grams))
+                    sums = counts.reshape(len(names), -1).astype(np.float32) @ ngram_vectors(grams)
+                    for lang, v in zip(names, sums):
+                        total[lang] = total.get(lang, 0) + v
                 if len(total) > BLOCK:
                     yield out()
         yield out()

@@ -56,7 +56,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewarden.llm.rows import maybe_in, only_in, with_rid
 from pulsewarden.llm.tokens import groups, hashes, mix, ngram_hashes, pair, utf8, words
@@ -74,12 +74,14 @@ PAIRED = 65
 BLOCK = 1024
 #: Sets of a star that meet one copy of its centre.
 SPLIT = 512
-#: Sets of a key that are covered by stars at once.
-COVER = 256
+#: Sets of a key that are covered by stars at once, and of all keys of a centre. Rows of the table of any two of them at once.
+COVER, SETS, ROWS = 1024, 2048, 256
 #: Rows of sets and keys of a centre that are covered by one task.
 MEET = 1 << 18
 #: Tokens that a product of sets by tokens is formed over at once.
 WIDE = 1 << 13
+#: Keys of runs that a task packs at once, and tokens for each shard that they are dealt to.
+PACKED, SHARD = 1 << 20, 1 << 20
 #: Numbers of sketches in a shard of centres, on average; a row of a key counts as eight.
 HELD = 1 << 22
 
@@ -147,8 +149,9 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, n: int, classes: np.ndarra
     """Distinct tokens in the common order, and where each text's begin."""
     doc, token = shingles(data, offsets, n)
     token = (classes[_slot(token)].astype(_U) << _U(58)) | (token >> _U(6))
-    by = np.lexsort((token, doc))
-    doc, token = doc[by], token[by]
+    at = np.searchsorted(doc, np.arange(len(offsets))).tolist()
+    for i, j in zip(at, at[1:]):
+        token[i:j].sort()
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
     return token[new], np.searchsorted(doc[new], np.arange(len(offsets)))
@@ -234,38 +237,72 @@ def _firsts(cuts: np.ndarray, k: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(cuts[:-1] - ends + k, k)
 
 
-def run_keys(docs: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
-    """key and class: the runs of neighbouring tokens of each text of ``docs`` (text, rid).
+def run_keys(docs: DataFrame, n: int, percent: int, classes: Broadcast, shards: int) -> DataFrame:
+    """The runs of neighbouring tokens of each text of ``docs`` (text, rid), packed: keys and the classes that have them, by shards.
 
     They come from the texts: the prefixes they lie in are as large as these, and would have to be written and moved.
+    A shard is a range of keys.
     """
+    edges = np.array([(k << 64) // shards for k in range(1, shards)], _U)
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, name = (np.concatenate(x) for x in zip(*held))
+        by = np.argsort(key)
+        key, name = key[by], name[by]
+        cuts = np.concatenate([[0], np.searchsorted(key, edges), [len(key)]])
+        used = np.flatnonzero(np.diff(cuts))
+        at = pa.py_buffer((cuts[np.append(used, shards)] * 8).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), *[pa.Array.from_buffers(pa.binary(), len(used), [None, at, pa.py_buffer(x)]) for x in (key, name)]],
+            ["shard", "keys", "names"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size_held = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, j in groups(data, offsets):
                 base = offsets[i]
                 token, cuts = token_sets(data[base: offsets[j]], offsets[i: j + 1] - base, n, classes.value)
-                size, name = np.diff(cuts), batch.column(1).slice(i, j - i)
+                size, name = np.diff(cuts), batch.column(1).slice(i, j - i).to_numpy()
                 uses, h = run_lengths(int(size.max(initial=0)), percent)[:, size] & linkable(size, percent), token
                 for g in range(2, RUN + 1):
                     h = pair(h[:-1], token[g - 1:])
                     k = np.where(uses[g - 1], np.maximum(run_reach(size, g, percent) - g + 1, 0), 0)
                     at = _firsts(cuts, k, np.cumsum(k))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mix(h[at] + _U(g)).view(np.int64)), name.take(pa.array(np.repeat(np.arange(len(k)), k)))], ["key", "class"])
+                    held.append((mix(h[at] + _U(g)), np.repeat(name, k)))
+                    size_held += len(at)
+                if size_held >= PACKED:
+                    yield pack(held)
+                    held, size_held = [], 0
+        if size_held:
+            yield pack(held)
 
-    return docs.select("text", "rid").mapInArrow(run, "key long, class long")
+    return docs.select("text", "rid").mapInArrow(run, "shard int, keys binary, names binary")
 
 
 def index_keys(docs: DataFrame, sets: DataFrame, n: int, percent: int, classes: Broadcast, frequent: int, paired: int) -> DataFrame:
     """key and class, for keys with more than one class. ``docs``, ``sets``: one row per class."""
-    # moved once, and counted where they lie: most keys are of one class and end here
-    every = run_keys(docs, n, percent, classes).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    runs = every.filter("n > 1").select("key", "class")
+    # a set has some three quarters as many keys as tokens at 80 percent, fewer above
+    tokens = sets.agg(F.sum("size")).first()[0] or 0
+    shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD))
+    runs = with_others(run_keys(docs, n, percent, classes, shards))
     return runs.unionByName(token_keys(sets, percent, frequent, paired)) if some_by_tokens(percent) else runs
 
 
+def with_others(packed: DataFrame) -> DataFrame:
+    """key and class of the rows of ``run_keys`` whose key another row has as well: most keys are of one class and end here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, name = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("keys", "names"))
+        by = np.argsort(key)
+        key = key[by]
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        pick = np.flatnonzero(same[1:] | same[:-1])
+        return pa.table([pa.array(key[pick]), pa.array(name[by[pick]])], ["key", "class"])
+
+    return packed.groupBy("shard").applyInArrow(run, "key long, class long")
+
+
 def token_keys(sets: DataFrame, percent: int, frequent: int, paired: int) -> DataFrame:
     """key and class of the sets that runs don't fit: rare tokens, and pairs of frequent ones."""
     runs = F.udf(lambda n: bool(run_lengths(n, percent)[0][n]), "boolean")
@@ -323,22 +360,42 @@ def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "centre long, class long, may boolean")
 
 
+def _common(value: np.ndarray, whose: np.ndarray, m: int) -> np.ndarray:
+    """How many values each two of ``m`` sets have in common. ``value``: numbers from 0 on, in order, and whose each is."""
+    both = np.zeros((m, m), np.int32)
+    length = np.bincount(value)
+    first = np.cumsum(length) - length
+    # values of many sets by products, others pair by pair
+    many = (length > 1) & (length > m // 16)
+    v, w = (np.cumsum(many) - 1)[value[many[value]]], whose[many[value]]
+    wide = max(1, min(WIDE, (1 << 22) // m))
+    for start in range(0, int(many.sum()), wide):
+        i, j = np.searchsorted(v, (start, start + wide))
+        counts = np.zeros((m, min(wide, int(v[-1]) + 1 - start)), np.float32)
+        np.add.at(counts, (w[i:j], v[i:j] - start), 1)
+        both += np.rint(counts @ counts.T).astype(np.int32)
+    for n in np.unique(length[(length > 1) & ~many]).tolist():
+        at = first[(length == n) & ~many]
+        step = max(1, (1 << 20) // (n * n))
+        for i in range(0, len(at), step):
+            own = whose[at[i: i + step, None] + np.arange(n)]
+            np.add.at(both, (own[:, :, None], own[:, None, :]), 1)
+    return both
+
+
 def _may_link(size: np.ndarray, last: np.ndarray, sketch: list[np.ndarray], percent: int) -> np.ndarray:
     """Whether each two sets may link, by their prefixes."""
     length = np.array([len(x) for x in sketch])
-    values, place = np.unique(np.concatenate(sketch), return_inverse=True)
+    place = np.unique(np.concatenate(sketch), return_inverse=True)[1]
     by = np.argsort(place, kind="stable")
-    place, whose = place[by], np.repeat(np.arange(len(size)), length)[by]
-    both = np.zeros((len(size), len(size)), np.int64)
-    for start in range(0, len(values), WIDE):
-        i, j = np.searchsorted(place, (start, start + WIDE))
-        counts = np.zeros((len(size), min(WIDE, len(values) - start)), np.float32)
-        np.add.at(counts, (whose[i:j], place[i:j] - start), 1)
-        both += np.rint(counts @ counts.T).astype(np.int64)
-    below = np.stack([np.searchsorted(x, last >> 32) for x in sketch])
-    bound = may_share(both, (size[:, None], size[None, :]), (last[:, None], last[None, :]),
-                      (length[:, None], length[None, :]), (below, below.T))
-    may = bound >= need(size[:, None], size[None, :], percent)
+    both = _common(place[by], np.repeat(np.arange(len(size)), length)[by], len(size))
+    below = np.stack([np.searchsorted(x, last >> 32).astype(np.int32) for x in sketch])
+    may = np.empty(both.shape, bool)
+    for i in range(0, len(size), ROWS):
+        some = slice(i, i + ROWS)
+        rows = [x[some, None] for x in (size, last, length)]
+        bound = may_share(both[some], (rows[0], size[None, :]), (rows[1], last[None, :]), (rows[2], length[None, :]), (below[some], below[:, some].T))
+        may[some] = bound >= need(rows[0], size[None, :], percent)
     np.fill_diagonal(may, False)
     return may
 
@@ -346,15 +403,17 @@ def _may_link(size: np.ndarray, last: np.ndarray, sketch: list[np.ndarray], perc
 def _stars_of(centre: int, name: np.ndarray, free: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
     """Centre and member of stars that hold every two sets, one of them ``free``, that ``may`` link.
 
-    Those that are not free are in the star of ``centre``. One free set gets a star of its
-    own, with all free ones that may link with it; whatever may link beyond joins ``centre``.
+    Those that are not free are in the star of ``centre``. Free sets get stars of their own, each with all
+    free ones that may link with it; when these hold twice the free sets, whatever may link beyond joins ``centre``.
     """
     may = may & (free[:, None] | free[None, :])
     out, among = [], may & free[:, None] & free[None, :]
-    if among.any():
-        own = int(among.sum(1).argmax())
+    degree = among.sum(1)
+    while degree.any() and len(out) < 2 * free.sum():
+        own = int(degree.argmax())
         star = np.append(np.flatnonzero(among[own]), own)
-        may[np.ix_(star, star)] = False
+        may[np.ix_(star, star)] = among[np.ix_(star, star)] = False
+        degree[star] = among[star].sum(1)
         out += [(int(name[own]), int(name[k])) for k in star]
     return out + [(centre, int(name[k])) for k in np.flatnonzero(may.any(1) & free)]
 
@@ -377,40 +436,62 @@ def cover_keys(rows: DataFrame, percent: int, shards: int) -> DataFrame:
         table = table.combine_chunks()
         marked = pc.is_null(table["key"])
         marks, table = table.filter(marked), table.filter(pc.invert(marked))
-        place = {x: i for i, x in enumerate(zip(*[marks[c].to_pylist() for c in ("centre", "part", "class")]))}
         size, last, sketch = marks["size"].to_numpy().astype(np.int64), marks["last"].to_numpy(), marks["sketch"].combine_chunks()
-        mark = np.array([place[x] for x in zip(*[table[c].to_pylist() for c in ("centre", "part", "class")])], np.int64)
-        key, a, b, centre, part, name = (table[c].to_numpy() for c in ("key", "a", "b", "centre", "part", "class"))
+        mark = marks["class"].to_numpy()
+        key, a, b, centre, name = (table[c].to_numpy() for c in ("key", "a", "b", "centre", "class"))
         free = ~table["tied"].to_numpy(zero_copy_only=False).astype(bool)
-        by = np.lexsort((mark, b, a, key, part, centre))
+        # the parts of centres as numbers, for marks and rows alike
+        both = [np.concatenate([marks[c].to_numpy(), table[c].to_numpy()]) for c in ("centre", "part")]
+        whole = _numbers(np.lexsort(both[::-1]), *both)
+        marks_by, rows_by = np.lexsort((mark, whole[:len(mark)])), np.lexsort((b, a, key, whole[len(mark):]))
+        parts = range(int(whole.max(initial=-1)) + 2)
+        marks_at, rows_at = np.searchsorted(whole[:len(mark)][marks_by], parts), np.searchsorted(whole[len(mark):][rows_by], parts)
         found: set[tuple[int, int]] = set()
-        for whole in _runs(by, centre, part):
-            own = np.unique(mark[whole])
-            lists = lambda at: [sketch[int(k)].values.to_numpy() for k in at]
-            may = _may_link(size[own], last[own], lists(own), percent) if len(own) <= 2 * COVER else None
-            seen = set()
-            for some in _runs(whole, key, a, b):
-                at = mark[some]
-                if at.tobytes() in seen or len(at) < 2:
+        for k in parts[:-1]:
+            held, at = marks_by[marks_at[k]: marks_at[k + 1]], rows_by[rows_at[k]: rows_at[k + 1]]
+            near = np.searchsorted(mark[held], name[at])
+            meeting = _numbers(np.arange(len(at)), key[at], a[at], b[at])
+            for i, j in _few_sets(near, meeting, len(held)):
+                own, place = np.unique(near[i:j], return_inverse=True)
+                if len(own) < 2:
                     continue
-                seen.add(at.tobytes())
-                if may is None:
-                    new = _left_over(int(centre[some[0]]), name[some], free[some], size[at], last[at], lists(at), percent)
-                else:
-                    near = np.searchsorted(own, at)
-                    new = _stars_of(int(centre[some[0]]), name[some], free[some], may[np.ix_(near, near)])
-                found.update(new)
+                loose = np.zeros(len(own), bool)
+                loose[place] = free[at[i:j]]
+                may = _common(meeting[i:j] - meeting[i], place, len(own)) > 0
+                own = held[own]
+                may &= _may_link(size[own], last[own], [sketch[int(x)].values.to_numpy() for x in own], percent)
+                found.update(_stars_of(int(centre[at[i]]), mark[own], loose, may))
         return pa.table([pa.array([f[k] for f in sorted(found)], pa.int64()) for k in (0, 1)], ["centre", "class"])
 
-    return rows.groupBy(F.pmod(F.xxhash64("centre", "part"), F.lit(shards)).alias("shard")).applyInArrow(run, "centre long, class long")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("centre", "part"), F.lit(shards)))
+    # small tables can take long: as many tasks as the session has partitions, whatever their bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, "centre long, class long")
 
 
-def _runs(by: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """``by`` (places in order) cut where any of ``columns`` changes."""
-    new = np.zeros(max(len(by) - 1, 0), bool)
+def _numbers(by: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on for the distinct rows of ``columns``; ``by``: places in order."""
+    new = np.zeros(len(by), np.int64)
     for c in columns:
-        new |= c[by[1:]] != c[by[:-1]]
-    return np.split(by, np.flatnonzero(new) + 1) if len(by) else []
+        new[1:] |= c[by[1:]] != c[by[:-1]]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
+def _few_sets(place: np.ndarray, meeting: np.ndarray, sets: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold whole meetings, and ``SETS`` sets or one meeting. ``place``: the set of each row, below ``sets``."""
+    if sets <= SETS:
+        yield 0, len(place)
+        return
+    edges = np.flatnonzero(np.diff(meeting, prepend=-1, append=-1)).tolist()
+    start, held = 0, np.zeros(sets, bool)
+    for i, j in zip(edges, edges[1:]):
+        if i > start and held.sum() + (~held[place[i:j]]).sum() > SETS:
+            yield start, i
+            start, held = i, np.zeros(sets, bool)
+        held[place[i:j]] = True
+    yield start, len(place)
 
 
 def meet(rows: DataFrame, key: str, tied: str, block: int) -> DataFrame:

@@ -43,14 +43,14 @@ def _lines(text: Column) -> Column:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """One row per line with a word: _row, place (order of documents), pos, nth, h, from_word, to_word."""
-    spaces = " \t\n\x0b\x0c\r"
+    spaces = F.lit(" \t\n\x0b\x0c\r")
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.xxhash64("_text").alias("h"), F.col("_row").alias("r"))
+    # what a text has once is worked out before its lines are
+    cut = docs.select("_row", place.alias("place"), _lines(F.col("_text")).alias("lines"))
     lines = (
-        docs.select("_row", F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"),
-                                     F.xxhash64("_text").alias("h"), F.col("_row").alias("r")).alias("place"),
-                    F.posexplode(_lines(F.col("_text"))).alias("pos", "line"))
-        .select("_row", "place", "pos", F.xxhash64(F.trim("line", F.lit(spaces))).alias("h"),
-                F.xxhash64(F.lit(1), F.trim("line", F.lit(spaces))).alias("g"), word_count(F.col("line")).alias("words"))
-        .filter("words > 0")
+        cut.select("_row", "place", F.posexplode("lines").alias("pos", "line"))
+        .withColumn("bare", F.trim("line", spaces)).filter("bare <> ''")
+        .select("_row", "place", "pos", F.xxhash64("bare").alias("h"), F.xxhash64(F.lit(1), "bare").alias("g"), word_count(F.col("bare")).alias("words"))
     )
     upto = Window.partitionBy("_row").orderBy("pos")
     return (

@@ -91,3 +91,15 @@ def test_any_number_of_languages(make_docs, monkeypatch):
     blocks = sorted(tuple(r) for r in language.identify(make_docs(rows), block=7).select("doc_id", "lang_pred", "score").collect())
     assert [r[:2] for r in whole] == [r[:2] for r in blocks] and np.allclose([r[2] for r in whole], [r[2] for r in blocks])
     assert dict(r[:2] for r in whole)[1000] == "und" and dict(r[:2] for r in whole)[1002] == "l000"
+
+
+def test_ngrams_are_counted_alike_by_tables_and_by_sorting(monkeypatch):
+    texts = ["Hello, World!", "", "1 2 3", "ñandú ñandú", "a", "北京 x-y \U0001f600", "the other text " * 40]
+    # few n-grams need neither sorting nor products of rows of floats
+    sizes, slices = language.count_ngrams(texts)
+    by_table = [[np.asarray(x).tolist() for x in s] for s in slices]
+    monkeypatch.setattr(language, "TABLE", 0)
+    again, slices = language.count_ngrams(texts)
+    assert [[np.asarray(x).tolist() for x in s] for s in slices] == by_table
+    assert sizes.tolist() == again.tolist()
+    assert np.array_equal(language.profiles(texts), np.stack([bundle(t) for t in texts]))

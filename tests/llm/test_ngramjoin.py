@@ -6,6 +6,7 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsewarden.llm import ngramjoin
@@ -195,3 +196,63 @@ def test_a_centres_sketches_go_once_to_each_part_of_its_keys(make_docs, monkeypa
     got = ngramjoin.link_documents(make_docs(rows), 3, 90, frequent=2, paired=6, block=4, cover=3)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute(rows, 3, 90)
     assert seen and set(seen) == {1}
+
+
+class Table:
+    """Stands for the rows of an operator, and gives the function that it runs on a group of them."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    withColumn = repartition = groupBy = lambda self, *a: self
+
+    def applyInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("most", [2048, 300])
+def test_sets_of_many_keys_are_tried_once(spark, monkeypatch, most):
+    """700 sets of one centre meet in 40 keys, each with a tenth missing; the centre links with every other one."""
+    r, n, keys, tried, may_link = np.random.default_rng(1), 700, 40, [], ngramjoin._may_link
+    monkeypatch.setattr(ngramjoin, "SETS", most, raising=False)
+    monkeypatch.setattr(ngramjoin, "_may_link", lambda size, *a: tried.append(len(size)) or may_link(size, *a))
+    family = r.integers(0, 5, n)
+    sketch = [np.sort(np.concatenate([np.arange(50) + 1000 * f, 10_000 + 7 * k + np.arange(3)])).astype(np.int32) for k, f in enumerate(family)]
+    inside = r.random((keys, n)) < 0.9
+    key, name = np.nonzero(inside)
+    column = lambda values, kind, rest: pa.array([*values, *[None] * rest], kind)
+    rows = pa.table({
+        "centre": pa.array([-1] * (len(key) + n), pa.int64()), "part": pa.array([0] * (len(key) + n), pa.int32()),
+        "key": column(key.tolist(), pa.int64(), n), "class": pa.array([*name.tolist(), *range(n)], pa.int64()),
+        "tied": column((name % 2 == 0).tolist(), pa.bool_(), n), "a": column([0] * len(key), pa.int32(), n), "b": column([0] * len(key), pa.int32(), n),
+        "size": pa.array([None] * len(key) + [53] * n, pa.int32()), "last": pa.array([None] * len(key) + [int(x[-1]) << 32 for x in sketch], pa.int64()),
+        "sketch": pa.array([None] * len(key) + [x.tolist() for x in sketch], pa.list_(pa.int32()))})
+    stars = defaultdict(set)
+    for centre, member in zip(*ngramjoin.cover_keys(Table(spark), 80, 1)(rows).to_pydict().values()):
+        stars[centre].add(member)
+    stars[-1] |= set(range(0, n, 2))  # those that may link with the centre are in its star
+    may = may_link(np.full(n, 53), np.array([int(x[-1]) << 32 for x in sketch]), sketch, 80)
+    may &= (inside.T.astype(int) @ inside.astype(int)) > 0
+    together = np.zeros((n, n), bool)
+    for star in stars.values():
+        own = np.array(sorted(star - {-1}))
+        together[np.ix_(own, own)] = True
+    loose = np.arange(n) % 2 == 1
+    assert not (may & ~together & (loose[:, None] | loose[None, :])).any()
+    assert may.any()
+    if most > n:
+        assert tried == [n]  # not once for each key
+
+
+def test_keys_are_moved_in_packs(make_docs, monkeypatch):
+    """A row is a shard's keys of many texts, not a key."""
+    rows, packs, with_others = near_copies(9, 14, 14, 2000), [], ngramjoin.with_others
+    monkeypatch.setattr(ngramjoin, "with_others", lambda packed: packs.append(packed) or with_others(packed))
+    got = ngramjoin.link_documents(make_docs(rows, 1), 3, 90)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute(rows, 3, 90)
+    spark, held = got.sparkSession, pa.table({
+        "shard": pa.array([0, 0], pa.int32()), "keys": pa.array([np.array([5, 7, 7, -2]).tobytes(), np.array([5, 9]).tobytes()], pa.binary()),
+        "names": pa.array([np.array([1, 2, 3, 4]).tobytes(), np.array([6, 8]).tobytes()], pa.binary())})
+    found = with_others(Table(spark))(held).to_pydict()
+    assert sorted(zip(found["key"], found["class"])) == [(5, 1), (5, 6), (7, 2), (7, 3)]
+    assert packs and dict(packs[0].dtypes) == {"shard": "int", "keys": "binary", "names": "binary"}

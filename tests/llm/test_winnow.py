@@ -65,3 +65,13 @@ def test_empty_table_and_clashing_columns(make_docs):
     docs = make_docs([(1, "a")]).selectExpr("*", "1 AS place", "2 AS runs0", "3 AS n_lines", "4 AS a", "5 AS pos")
     got = winnow.dedup_lines(docs)
     assert len(set(got.columns)) == len(got.columns) and got.first()["n_lines"] == 1
+
+
+def test_a_text_stays_behind_when_its_lines_are_dealt(make_docs):
+    """Lines are cut, and their words counted, once; what a text has once isn't worked out for each line."""
+    docs = make_docs([(1, "a b\nc d")]).selectExpr("doc_id AS _row", "doc_id AS _id", "text AS _text")
+    plan = winnow.line_table(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    dealt = next(x for x in plan.splitlines() if "Generate posexplode" in x)
+    assert "_text" not in dealt
+    assert len(winnow.line_table(docs).collect()) == 2
