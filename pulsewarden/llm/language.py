@@ -45,7 +45,7 @@ GROUP, SLICE = 1 << 19, 1 << 12
 #: Texts in a counting matrix.
 TEXTS = 256
 #: Values that are told apart by a table of all possible ones, not by sorting.
-TABLE = 1 << 22
+TABLE = 1 << 21
 
 _GAP = 0  # stands for everything that is not a letter
 

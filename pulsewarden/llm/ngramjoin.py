@@ -81,7 +81,7 @@ MEET = 1 << 18
 #: Tokens that a product of sets by tokens is formed over at once.
 WIDE = 1 << 13
 #: Keys of runs that a task packs at once, and tokens for each shard that they are dealt to.
-PACKED, SHARD = 1 << 20, 1 << 20
+PACKED, SHARD = 1 << 19, 1 << 20
 #: Numbers of sketches in a shard of centres, on average; a row of a key counts as eight.
 HELD = 1 << 22
 
